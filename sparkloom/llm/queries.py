@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts
+from . import bpe, decontaminate, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text", "cleaned")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items with a verified overlap."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,9 +45,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
+    "op5_decontamination": decontaminate.oracle(),
 }
