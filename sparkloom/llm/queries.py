@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, token_counts
+from . import bpe, decontaminate, line_dedup, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after deduplication, and a digest of what stays, for every document."""
+    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("deduped").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,10 +52,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
     "op5_decontamination": decontaminate.oracle(),
+    "op7_line_dedup": line_dedup.oracle(),
 }
