@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, quality, token_counts
+from . import bpe, decontaminate, line_dedup, minhash, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from its archive."""
+    return warc.archive_and_read(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
@@ -60,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.oracle(),
     "op5_decontamination": decontaminate.oracle(),
     "op7_line_dedup": line_dedup.oracle(),
+    "op10_warc": warc.oracle(),
 }
