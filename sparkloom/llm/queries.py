@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, quality, token_counts, warc
+from . import bpe, decontaminate, langid, line_dedup, minhash, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_length_histogram(_table(spark, sf_dir, "documents"), by=("source",))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; four fifths of the ids may be learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the line-first verdict for every document."""
     done = quality.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
