@@ -1,0 +1,170 @@
+"""Cross-entropy difference between two matched byte n-gram models.
+
+A target model is counted over the texts marked as target, a background model over
+all texts. Both are trigram models over one vocabulary, the bytes that the background
+holds plus one symbol for all others, with the same Witten-Bell interpolation down to
+add-one byte frequencies. A document's score is the mean over its bytes of the
+target's loss minus the background's loss, in bits: the lower, the nearer to the target.
+
+Counts cover every byte of every text. They are summed inside each task first, so a task
+sends at most one row for each distinct trigram; the model has at most 256^3 entries for
+each of the two tables whatever the corpus (2 x 64 MiB as float32), which bounds what is
+gathered and broadcast.
+
+Edge cases: a null or empty text has no tokens, adds nothing and gets null scores.
+Target ids that are null or repeated count once or not at all; repeated documents count
+each time. Without any target text the target model is uniform over the vocabulary. Empty
+tables give an empty result. Extra columns are not read. A byte 0 inside a text is read
+as the start mark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .store import ship, slices
+
+
+@dataclass
+class Model:
+    symbol: np.ndarray  # 256 bytes to symbols; the last symbol stands for bytes not seen
+    target: np.ndarray  # bits of loss of symbol c after a, b, at (a * k + b) * k + c
+    background: np.ndarray
+    k: int
+
+
+def _layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with two start marks before each text, the places of the texts' own bytes,
+    and the number of bytes of each text."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"".join(b"\0\0" + r for r in raw), np.uint8)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    own = np.ones(len(data), bool)
+    starts = np.cumsum(np.concatenate([[0], sizes[:-1] + 2])) if len(raw) else np.zeros(0, np.int64)
+    own[starts], own[starts + 1] = False, False
+    return data, np.flatnonzero(own), sizes
+
+
+def _count(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams (24-bit codes) ending at the places ``at`` and their counts."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen = np.flatnonzero(np.bincount(data, minlength=256))
+    small = np.zeros(256, np.int64)
+    small[seen] = np.arange(len(seen))
+    d, k = small[data], len(seen)
+    n = np.bincount((d[at - 2] * k + d[at - 1]) * k + d[at], minlength=1)
+    got = np.flatnonzero(n)
+    code = (seen[got // (k * k)] << 16) | (seen[got // k % k] << 8) | seen[got % k]
+    return code, n[got]
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code = np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64)
+    u, inv = np.unique(code, return_inverse=True)
+    n = np.zeros(len(u), np.int64)
+    if parts:
+        np.add.at(n, inv, np.concatenate([x for _, x in parts]))
+    return u, n
+
+
+def trigram_counts(tagged: DataFrame) -> DataFrame:
+    """Rows (code, n, t) of the columns (is_target, text): counts over all and over target texts."""
+    ship(tagged.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_, own = [], []
+        for big in batches:
+            for b in slices(big, "text"):
+                data, at, sizes = _layout(b.column(1).to_pylist())
+                mine = np.repeat(np.array([bool(x) for x in b.column(0).to_pylist()], bool), sizes)
+                all_.append(_count(data, at))
+                own.append(_count(data, at[mine]))
+                if len(all_) >= 16:
+                    all_, own = [_merge(all_)], [_merge(own)]
+        code, n = _merge(all_)
+        tc, tn = _merge(own)
+        t = np.zeros(len(code), np.int64)
+        t[np.searchsorted(code, tc)] = tn
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.array(t)], ["code", "n", "t"])
+
+    parts = tagged.select("is_target", "text").mapInArrow(run, "code long, n long, t long")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def _losses(c3: np.ndarray) -> np.ndarray:
+    """Bits of loss of every trigram under Witten-Bell interpolation of the counts (k, k, k)."""
+    k = c3.shape[0]
+    c2 = c3.sum(axis=0, dtype=np.float64)  # (b, c)
+    c1 = c2.sum(axis=0)
+    p1 = (c1 + 1) / (c1.sum() + k)
+
+    def step(counts, lower):
+        total = counts.sum(axis=-1, keepdims=True, dtype=np.float64)
+        kinds = np.count_nonzero(counts, axis=-1)[..., None].astype(np.float64)
+        return np.where(total > 0, (counts + kinds * lower) / np.maximum(total + kinds, 1), lower)
+
+    p2 = step(c2, p1[None, :])
+    out = np.empty(c3.shape, np.float32)
+    for a in range(k):  # one plane at a time keeps the doubles small
+        out[a] = -np.log2(step(c3[a], p2))
+    return out.ravel()
+
+
+def build(code: np.ndarray, n: np.ndarray, t: np.ndarray) -> Model:
+    parts = np.stack([code >> 16, code >> 8 & 255, code & 255]) if len(code) else np.zeros((3, 0), np.int64)
+    seen = np.unique(np.concatenate([parts.ravel(), [0]]))
+    k = len(seen) + 1
+    symbol = np.full(256, k - 1, np.int64)
+    symbol[seen] = np.arange(len(seen))
+    at = tuple(symbol[p] for p in parts)
+    tables = []
+    for counts in (t, n):
+        c3 = np.zeros((k, k, k), np.float32)
+        c3[at] = counts
+        tables.append(_losses(c3))
+    return Model(symbol, *tables, k)
+
+
+def fit(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
+    """Models of all texts of ``docs`` and of those whose id is in ``targets`` (column doc_id)."""
+    marks = targets.select(F.col("doc_id").alias("_t")).filter("_t IS NOT NULL").distinct()
+    src = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("text"))
+    tagged = src.join(marks.hint("shuffle_hash"), F.col("_d") == F.col("_t"), "left").select(F.col("_t").isNotNull().alias("is_target"), "text")
+    got = trigram_counts(tagged).toPandas()
+    return build(*(got[c].to_numpy(np.int64) for c in ("code", "n", "t")))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ce_target, ce_background and ce_diff (bits a byte)."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(*keep, F.col(text).alias("_text"))
+    out = [T.StructField("n_tokens", T.LongType(), False), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_diff"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for big in batches:
+            for b in slices(big, "_text"):
+                data, at, sizes = _layout(b.column(len(keep)).to_pylist())
+                d = m.symbol[data]
+                codes = (d[at - 2] * m.k + d[at - 1]) * m.k + d[at]
+                has = sizes > 0
+                first = (np.cumsum(sizes) - sizes)[has]
+                cols = []
+                for table in (m.target, m.background):
+                    total = np.full(len(sizes), np.nan)
+                    if len(first):
+                        total[has] = np.add.reduceat(table[codes].astype(np.float64), first) / sizes[has]
+                    cols.append(total)
+                cols.append(cols[0] - cols[1])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sizes), *(pa.array(c, from_pandas=True) for c in cols)], [*keep, "n_tokens", "ce_target", "ce_background", "ce_diff"])
+
+    return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in keep), *out]))

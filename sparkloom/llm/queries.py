@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, minhash, quality, token_counts, warc
+from . import bpe, decontaminate, langid, line_dedup, lm_score, minhash, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text", "cleaned")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target are the documents labelled good."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score(docs, lm_score.fit(docs, good))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and benchmark items with a verified overlap."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,

@@ -1,0 +1,66 @@
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import lm_score as S
+
+
+def brute(texts, own):
+    """Witten-Bell trigram losses by dictionaries."""
+    vocab = {0} | {x for t in texts for x in (t or "").encode()}
+    k = len(vocab) + 1
+
+    def model(some):
+        c3, c2, c1 = Counter(), Counter(), Counter()
+        for t in some:
+            d = b"\0\0" + (t or "").encode()
+            for i in range(2, len(d)):
+                c3[d[i - 2], d[i - 1], d[i]] += 1
+                c2[d[i - 1], d[i]] += 1
+                c1[d[i]] += 1
+
+        def p(a, b, c):
+            q = (c1[c] + 1) / (sum(c1.values()) + k)
+            for have, rest in ((c2, (b,)), (c3, (a, b))):
+                n = sum(v for key, v in have.items() if key[:-1] == rest)
+                kinds = sum(1 for key in have if key[:-1] == rest)
+                q = (have[(*rest, c)] + kinds * q) / (n + kinds) if n else q
+            return q
+
+        return p
+
+    pt, pb = model([t for t, o in zip(texts, own) if o]), model(texts)
+    out = []
+    for t in texts:
+        d = b"\0\0" + (t or "").encode()
+        grams = [(d[i - 2], d[i - 1], d[i]) for i in range(2, len(d))]
+        out.append(tuple(sum(-math.log2(p(*g)) for g in grams) / len(grams) for p in (pt, pb)) if grams else (None, None))
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    texts = ["abab cab", "abba abba", "", None, "zz é zz", "abab cab", "q"]
+    own = [1, 0, 0, 1, 0, 1, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("is_target", F.lit("x"))
+    marks = spark.createDataFrame([(i,) for i, o in enumerate(own) if o] * 2 + [(None,)], "doc_id long")
+    m = S.fit(df, marks)
+    got = {r.doc_id: r for r in S.score(df, m).collect()}
+    for i, (ct, cb) in enumerate(brute(texts, own)):
+        assert got[i].n_tokens == len((texts[i] or "").encode())
+        if ct is None:
+            assert got[i].ce_diff is None
+        else:
+            assert got[i].ce_target == pytest.approx(ct, abs=1e-4) and got[i].ce_background == pytest.approx(cb, abs=1e-4)
+            assert got[i].ce_diff == pytest.approx(ct - cb, abs=1e-4)
+    assert got[0].ce_diff < got[1].ce_diff
+    other = S.score(spark.createDataFrame([(1, "語 new")], "doc_id long, text string"), m).first()
+    assert math.isfinite(other.ce_diff)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    none = df.limit(0)
+    assert S.score(none, S.fit(none, none)).count() == 0
+    assert math.isfinite(S.score(df, S.fit(df, none)).first().ce_diff)
