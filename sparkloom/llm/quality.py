@@ -115,9 +115,9 @@ def clean(df: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFr
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
     lost_too_much = 100 * F.col("lost_chars") > max_lost * F.col("_all_chars")
-    # rand() is never negative: it only keeps a filter on the verdict from being pushed
+    # A partition id is never negative: it only keeps a filter on the verdict from being pushed
     # below, where the steps would be inlined into each other's lambdas.
-    return step.withColumn("kept", F.when(F.rand(0) >= 0, ~F.col("base_failed") & ~lost_too_much)).select(*own, *OUTPUTS)
+    return step.withColumn("kept", F.when(F.spark_partition_id() >= 0, ~F.col("base_failed") & ~lost_too_much)).select(*own, *OUTPUTS)
 
 
 def oracle(table: str = "documents") -> str:
