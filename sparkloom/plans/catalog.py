@@ -1,6 +1,613 @@
-"""The registered queries of the session engine and the SQL that states their results."""
+"""The registered queries of the session engine and the SQL that states their results.
+
+Each query runs one operator over all sessions of an adapter (see ``sources.adapters``);
+``oracle`` holds the adapters' rows as DuckDB SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import advice, compaction as K, lost as L, reports as R, tokens as T, waste as W
+from ..operators import classify as C
+from ..sources.adapters import conversation_messages, event_messages, table
+from . import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+EV = O.events()
+
+# --- what fills a window ----------------------------------------------------------
+
+_BUCKETS = """full_ AS (SELECT g.s, c.category, coalesce(t, 0) AS t, coalesce(n, 0) AS n, coalesce(est, false) AS est, c.ord FROM (SELECT DISTINCT s FROM part) g CROSS JOIN cats c
+  LEFT JOIN (SELECT s, cat, sum(tok) AS t, sum(n) AS n, bool_or(est) AS est FROM part GROUP BY s, cat) p ON p.s = g.s AND p.cat = c.category)
+SELECT s AS session_id, category, CAST(t AS BIGINT) AS tokens, CAST(n AS BIGINT) AS n_messages, CASE WHEN est THEN 'estimated' ELSE 'exact' END AS accuracy,
+  CASE WHEN sum(t) OVER (PARTITION BY s) > 0 THEN CAST(t AS DOUBLE) / CAST(sum(t) OVER (PARTITION BY s) AS DOUBLE) * 100 ELSE 0.0 END AS percentage FROM full_"""
+
+
+@query(f"WITH {O.CONV}, {O.CATS}, part AS (SELECT s, cat, tok, 1 AS n, true AS est FROM msg), {_BUCKETS}")
+def context_breakdown(spark, d):
+    return C.buckets(C.classify(conversation_messages(spark, d)))
+
+
+@query(f"""WITH {EV}, {O.CATS}, part AS (SELECT s, cat, tok, 1 AS n, type <> 'assistant' AS est FROM msg UNION ALL SELECT DISTINCT s, 'tools', 9055, 0, true FROM msg
+  UNION ALL SELECT DISTINCT s, 'system', 1200, 0, true FROM msg UNION ALL SELECT DISTINCT s, 'state', 300, 0, true FROM msg), {_BUCKETS}""")
+def lifetime_breakdown(spark, d):
+    m = event_messages(spark, d)
+    return C.buckets(C.classify(m), C.config_overhead(m, prompt=1200, memory=300))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {O.CATS}, part AS (SELECT m.s, cat, tok, 1 AS n, type <> 'assistant' AS est FROM msg m JOIN st ON st.s = m.s AND idx >= start_idx), {_BUCKETS}""")
+def current_context_breakdown(spark, d):
+    m = event_messages(spark, d)
+    return C.buckets(K.current_context(C.classify(m), K.compaction_events(m)))
+
+
+@query(f"""WITH {O.CONV} SELECT s AS session_id, idx, type, cat AS category, tok AS tokens, CAST(sum(tok) OVER (PARTITION BY s ORDER BY idx) AS BIGINT) AS cumulative_tokens,
+  replace(substr(txt, 1, 60), chr(10), ' ') AS preview FROM msg""")
+def message_timeline(spark, d):
+    return C.classify(conversation_messages(spark, d)).select("session_id", "idx", "type", "category", "tokens", "cumulative_tokens", T.preview().alias("preview"))
+
+
+@query(f"""WITH {EV} SELECT s AS session_id, idx, cat AS category, tname AS tool_name, tok AS tokens, CASE WHEN type = 'assistant' THEN 'exact' ELSE 'estimated' END AS accuracy,
+  CAST(sum(tok) OVER (PARTITION BY s ORDER BY idx) AS BIGINT) AS cumulative_tokens FROM msg""")
+def classified_events(spark, d):
+    return C.classify(event_messages(spark, d)).select("session_id", "idx", "category", "tool_name", "tokens", "accuracy", "cumulative_tokens")
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, t AS (SELECT s, idx, tok, count(*) OVER (PARTITION BY s) AS n FROM msg), u AS (SELECT *, greatest(1, (n - 20) // 20) AS step FROM t)
+SELECT s AS session_id, idx, tok AS tokens FROM u WHERE n <= 30 OR idx < 10 OR idx >= n - 10 OR (idx >= 10 AND idx < n - 10 AND (idx - 10) % step = 0 AND (idx - 10) // step < 20)
+  OR EXISTS (SELECT 1 FROM ev WHERE ev.s = u.s AND ev.before_idx = u.idx)""")
+def timeline_sampled(spark, d):
+    m = event_messages(spark, d)
+    return K.timeline_sample(C.classify(m), K.compaction_events(m), show_all=30, middle=20).select("session_id", "idx", "tokens")
+
+
+@query(f"""SELECT doc_id, CAST(ceil(length(text) / CASE WHEN regexp_matches(text, '{O.CODE}') THEN 3.3::DOUBLE ELSE 4.0::DOUBLE END) AS BIGINT) AS tokens, regexp_matches(text, '{O.CODE}') AS is_code FROM documents""")
+def token_estimate_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.tokens_of(F.col("text")).alias("tokens"), X.looks_like_code(F.col("text")).alias("is_code"))
+
+
+@query(f"WITH {O.CONV} SELECT s AS session_id, CAST(max(CASE WHEN type = 'user' THEN idx END) AS BIGINT) AS last_human FROM msg GROUP BY s")
+def last_human_text(spark, d):
+    return C.last_human_text(conversation_messages(spark, d))
+
+
+@query(f"""WITH {O.CONV} SELECT s AS session_id, idx, contains(txt, ' the ') OR contains(txt, 'tion') AS has_state, contains(txt, ' de ') OR contains(txt, 'der') AS has_system FROM msg""")
+def state_system_markers(spark, d):
+    m = conversation_messages(spark, d)
+    return m.select("session_id", "idx", C.has_markers((" the ", "tion"), thinking=True).alias("has_state"), C.has_markers((" de ", "der"), thinking=False).alias("has_system"))
+
+
+# --- usage ------------------------------------------------------------------------
+
+_EFF = "ef AS (SELECT m.s, arg_max(eff, idx) FILTER (type = 'assistant' AND model <> '<synthetic>' AND eff > 0 AND idx >= coalesce(start_idx, 0)) AS effective FROM msg m LEFT JOIN st ON st.s = m.s GROUP BY m.s)"
+_SEG = """sg0 AS (SELECT *, CASE WHEN lag(model) OVER (PARTITION BY s ORDER BY idx) IS NOT DISTINCT FROM model THEN 0 ELSE 1 END AS b0 FROM msg WHERE type = 'assistant' AND model <> '<synthetic>'),
+sg1 AS (SELECT *, sum(b0) OVER (PARTITION BY s ORDER BY idx) AS segment FROM sg0),
+sg AS (SELECT s, segment, min(model) AS model, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n, sum(u_in) AS ui, sum(u_out) AS uo, sum(u_cc) AS uc, sum(u_cr) AS ur FROM sg1 GROUP BY s, segment)"""
+_LIM = f"""{_SEG}, cm AS (SELECT s, arg_max(model, segment) AS model, count(*) - 1 AS n_switches FROM sg GROUP BY s),
+lm AS (SELECT m.s, CASE WHEN regexp_matches(coalesce(max(cm.model), ''), '(?i)\\[1m\\]|-1m$') THEN 'model-id' WHEN max(eff) > 200000 THEN 'usage' ELSE 'default' END AS signal FROM msg m LEFT JOIN cm ON cm.s = m.s GROUP BY m.s),
+li AS (SELECT s, signal, CASE WHEN signal = 'default' THEN 200000 ELSE 1000000 END AS lim FROM lm)"""
+_STATE = f"""{_EFF}, {_LIM}, sn AS (SELECT m.s, count(*) FILTER (idx >= coalesce(start_idx, 0)) AS n, sum(tok) AS content FROM msg m LEFT JOIN st ON st.s = m.s GROUP BY m.s),
+sx AS (SELECT sn.s, CAST(coalesce(effective, content) AS BIGINT) AS total, lim, sn.n FROM sn JOIN ef USING (s) JOIN li USING (s)),
+sp AS (SELECT *, total::DOUBLE / lim::DOUBLE * 100 AS pct FROM sx)"""
+
+
+@query(f"WITH {EV}, {O.EVENTS}, {_EFF} SELECT s AS session_id, CAST(effective AS BIGINT) AS effective FROM ef")
+def effective_window(spark, d):
+    m = event_messages(spark, d)
+    return C.effective_window(m, K.last_compaction(K.compaction_events(m)))
+
+
+@query(f"WITH {EV}, {_LIM} SELECT s AS session_id, CAST(lim AS BIGINT) AS context_limit, signal FROM li")
+def context_limit_signal(spark, d):
+    m = event_messages(spark, d)
+    return C.context_limits(m, K.model_history(K.model_segments(m)).select("session_id", "current_model"))
+
+
+@query(f"""WITH {EV}, {_SEG} SELECT s AS session_id, CAST(segment AS BIGINT) AS segment, model, first_idx, last_idx, n AS n_messages, CAST(ui AS BIGINT) AS input_tokens, CAST(uo AS BIGINT) AS output_tokens,
+  CAST(uc AS BIGINT) AS cache_creation_input_tokens, CAST(ur AS BIGINT) AS cache_read_input_tokens FROM sg""")
+def model_segments(spark, d):
+    return K.model_segments(event_messages(spark, d))
+
+
+@query(f"""WITH {EV}, {_SEG}, f AS (SELECT s, model, min(segment) AS fs FROM sg GROUP BY s, model), g AS (SELECT s, count(*) AS n_models, string_agg(model, ',' ORDER BY fs) AS models FROM f GROUP BY s),
+h AS (SELECT s, arg_max(model, segment) AS current_model, count(*) - 1 AS n_switches FROM sg GROUP BY s) SELECT s AS session_id, current_model, n_switches, n_models, models FROM h JOIN g USING (s)""")
+def model_history(spark, d):
+    return K.model_history(K.model_segments(event_messages(spark, d)))
+
+
+_EVCOLS = "s AS session_id, before_idx, after_idx, tokens_before, tokens_after, tokens_before - tokens_after AS tokens_dropped"
+
+
+@query(f"WITH {EV}, {O.HEURISTIC} SELECT {_EVCOLS} FROM hv")
+def compaction_heuristic(spark, d):
+    return K.heuristic_events(event_messages(spark, d)).drop("summary_idx", "summary_tokens", "detection")
+
+
+@query(f"""WITH {O.events(summaries=True)}, {O.MARKERS}, sm AS (SELECT a.s, a.idx, min(c.idx) AS summary_idx, arg_min(CAST(ceil(length(c.txt) / 3.5::DOUBLE) AS BIGINT), c.idx) AS summary_tokens
+  FROM msg a JOIN msg c ON c.s = a.s AND c.cs AND c.idx > a.idx AND c.idx < a.idx + 5 WHERE a.type = 'system' GROUP BY a.s, a.idx)
+SELECT mk.s AS session_id, before_idx, after_idx, tokens_before, tokens_after, tokens_before - tokens_after AS tokens_dropped, summary_idx, summary_tokens FROM mk LEFT JOIN sm ON sm.s = mk.s AND sm.idx = mk.before_idx""")
+def compaction_markers(spark, d):
+    return K.marker_events(event_messages(spark, d, summaries=True)).drop("detection")
+
+
+@query(f"WITH {EV}, {O.EVENTS} SELECT {_EVCOLS}, detection FROM ev")
+def compaction_events(spark, d):
+    return K.compaction_events(event_messages(spark, d)).drop("summary_idx", "summary_tokens")
+
+
+@query(f"""WITH {O.events(cumulative=True, markers=False)}, c AS (SELECT s, idx, type, eff, sum(tok) OVER (PARTITION BY s ORDER BY idx) - tok AS before FROM msg),
+p AS (SELECT *, lead(idx) OVER w AS ni, lead(eff) OVER w AS ne, lead(before) OVER w AS nb, row_number() OVER (PARTITION BY s ORDER BY idx DESC) AS back, count(*) OVER (PARTITION BY s) AS n FROM c WHERE type = 'assistant' AND eff > 0 WINDOW w AS (PARTITION BY s ORDER BY idx)),
+q AS (SELECT s, CAST(ne - eff - (nb - before) AS DOUBLE) / CAST(ni - idx AS DOUBLE) AS x FROM p WHERE n >= 3 AND ni IS NOT NULL AND back <= 21 AND ne > eff),
+r AS (SELECT s, list_sort(list(x)) AS xs FROM q WHERE x BETWEEN 0 AND 50 GROUP BY s HAVING count(*) >= 3),
+u AS (SELECT r.s, CAST(floor(xs[len(xs) // 2 + 1] + 0.5) AS BIGINT) AS t, len(xs) AS ns, n FROM r JOIN (SELECT s, count(*) AS n FROM msg GROUP BY s) USING (s))
+SELECT s AS session_id, t AS tokens_per_message, t * n AS total_tokens, CAST(ns AS BIGINT) AS n_samples FROM u""")
+def message_framing(spark, d):
+    return K.framing(C.classify(event_messages(spark, d, cumulative=True, markers=False)))
+
+
+@query(f"""WITH {EV}, f AS (SELECT s, arg_min(eff, idx) FILTER (type = 'assistant' AND u_in > 0) AS first_input, arg_min(tok, idx) FILTER (type = 'user') AS fu FROM msg GROUP BY s)
+SELECT s AS session_id, first_input, CASE WHEN first_input - 9531 - coalesce(fu, 0) BETWEEN 1000 AND 15000 THEN first_input - 9531 - coalesce(fu, 0) END AS tokens FROM f""")
+def system_prompt_derivation(spark, d):
+    return K.internal_prompt(event_messages(spark, d))
+
+
+# --- tools ------------------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT s AS session_id, idx, res AS tool_use_id, rtool AS tool_name FROM msg WHERE is_res")
+def tool_use_names(spark, d):
+    c = C.classify(event_messages(spark, d)).filter((F.col("type") == "user") & C.has_block("tool_result"))
+    return c.select("session_id", "idx", F.get("blocks", F.lit(0))["tool_use_id"].alias("tool_use_id"), "tool_name")
+
+
+_SERVERS = tuple(f"s{k}" for k in range(6))
+MCP = O.events(mcp=True)
+_MU = "mu AS (SELECT g.s, g.server, coalesce(sum(CASE WHEN type = 'assistant' THEN 1 ELSE 0 END) FILTER (m.s IS NOT NULL), 0) AS inv, coalesce(sum(tok), 0) AS tok FROM (SELECT DISTINCT s, 's' || x AS server FROM msg, range(6) t(x)) g LEFT JOIN msg m ON m.s = g.s AND split_part(m.tname, '__', 2) = g.server AND m.tname LIKE 'mcp\\_\\_%' ESCAPE '\\' GROUP BY g.s, g.server)"
+
+
+@query(f"WITH {MCP}, {_MU} SELECT s AS session_id, server, CAST(inv AS BIGINT) AS invocations, CAST(tok AS BIGINT) AS tokens FROM mu")
+def mcp_servers(spark, d):
+    return advice.mcp_usage(C.classify(event_messages(spark, d, mcp=True)), _SERVERS)
+
+
+@query(f"WITH {MCP}, {_MU} SELECT s AS session_id, server FROM mu WHERE inv = 0")
+def unused_servers(spark, d):
+    return advice.mcp_usage(C.classify(event_messages(spark, d, mcp=True)), _SERVERS).filter("invocations = 0").select("session_id", "server")
+
+
+@query(f"""WITH {EV}, u AS (SELECT DISTINCT s, tname FROM msg WHERE tname IS NOT NULL), n AS (SELECT s, count(*) AS n FROM u GROUP BY s),
+x AS (SELECT g.s, string_agg(t, ',' ORDER BY t) AS unused FROM (SELECT DISTINCT s, t FROM msg, unnest(['Bash', 'Edit', 'Grep', 'Read']) v(t)) g WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.s = g.s AND u.tname = g.t) GROUP BY g.s),
+y AS (SELECT s, coalesce(sum(tok) FILTER (cat IN ('tools', 'retrieved') AND type = 'assistant'), 0) AS a, coalesce(sum(tok) FILTER (cat IN ('tools', 'retrieved') AND type <> 'assistant'), 0) AS b FROM msg GROUP BY s)
+SELECT y.s AS session_id, CAST(a AS BIGINT) AS call_tokens, CAST(b AS BIGINT) AS result_tokens, CAST(coalesce(n, 0) AS BIGINT) AS n_used, coalesce(unused, '') AS unused FROM y LEFT JOIN n USING (s) LEFT JOIN x USING (s)""")
+def tools_loaded_unused(spark, d):
+    return advice.tool_breakdown(C.classify(event_messages(spark, d)), ("Bash", "Edit", "Grep", "Read"))
+
+
+# --- waste ------------------------------------------------------------------------
+
+_LIVE = "lv AS (SELECT m.*, coalesce(start_idx, 0) AS st0 FROM msg m LEFT JOIN st ON st.s = m.s WHERE idx >= coalesce(start_idx, 0))"
+_RD = """rd AS (SELECT s, idx, path, use, st0, CASE WHEN lead(tname) OVER w = 'Read' THEN lead(tok) OVER w ELSE 0 END AS tk, coalesce(lead(tok) OVER w, 0) AS nt, tool, count(*) OVER (PARTITION BY s) AS n FROM lv WINDOW w AS (PARTITION BY s ORDER BY idx)),
+rr AS (SELECT *, split_part(path, '/', -1) AS fn FROM rd WHERE tool = 'Read')"""
+_STALE = """sr AS (SELECT s, tk, idx, fn, n - (idx - st0) AS age FROM rr WHERE n - (idx - st0) > 15 AND coalesce(tk, 0) <> 0 AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.s = rr.s AND lv.idx >= rr.idx + 2 AND lv.txt <> '' AND contains(lv.txt, rr.fn)))"""
+_DUP = """dp0 AS (SELECT *, lead(idx) OVER (PARTITION BY s, lower(path) ORDER BY idx) AS ni, count(*) OVER (PARTITION BY s, lower(path)) AS nr FROM rr),
+dp1 AS (SELECT * FROM dp0 WHERE ni IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lv e WHERE e.s = dp0.s AND e.tool = 'Edit' AND e.path = dp0.path AND e.idx > dp0.idx AND e.idx < dp0.ni)),
+dp AS (SELECT s, fn, sum(coalesce(tk, 0)) AS tk, min(idx) AS fi, max(idx) + 1 AS la, max(nr) AS nr, string_agg(CAST(idx + 1 AS VARCHAR), ',' ORDER BY idx) AS detail FROM dp1 GROUP BY s, fn HAVING sum(coalesce(tk, 0)) > 0)"""
+_CACHE = "co AS (SELECT s, sum(u_cr) AS cr, sum(eff) AS ti FROM msg GROUP BY s)"
+_UNUSED = """ur AS (SELECT a.s, a.idx, a.tok, c.tool AS rtool FROM lv a LEFT JOIN lv c ON c.s = a.s AND c.use = a.res
+  WHERE a.is_res AND length(a.txt) >= 200 AND coalesce(c.tool, '') NOT IN ('Read', 'Grep', 'Glob') AND a.tok > 100)"""
+_WASTE = f"""{_LIVE}, {_RD}, {_STALE}, {_DUP}, {_CACHE}, {_UNUSED},
+wa AS (SELECT s, 'stale_read' AS type, 'high' AS severity, tk AS tokens, idx AS first_idx, idx + 1 AS last_idx, fn AS filename, 1 AS n_reads, CAST(age AS VARCHAR) AS detail, 1 AS so, 1 AS d FROM sr
+ UNION ALL SELECT s, 'duplicate_read', 'medium', tk, fi, la, fn, nr, detail, 2, 2 FROM dp UNION ALL SELECT s, 'cache_overhead', 'info', 0, NULL, NULL, NULL, NULL, NULL, 4, 5 FROM co WHERE ti > 0 AND cr::DOUBLE / ti::DOUBLE > 0.6
+ UNION ALL SELECT s, 'unused_result', 'low', tok, idx, idx, NULL, NULL, coalesce(rtool, 'Tool'), 3, 6 FROM ur),
+wr AS (SELECT wa.*, row_number() OVER (PARTITION BY wa.s ORDER BY so, tokens DESC, d, first_idx, filename) AS rank, first_idx - coalesce(start_idx, 0) AS rel_first FROM wa LEFT JOIN st ON st.s = wa.s)"""
+_WCOLS = "s AS session_id, type, severity, CAST(tokens AS BIGINT) AS tokens, first_idx, last_idx, filename, CAST(n_reads AS BIGINT) AS n_reads, detail"
+
+
+def _live(spark, d, **kw):
+    m = event_messages(spark, d, **kw)
+    c, e = C.classify(m), K.compaction_events(m)
+    return m, c, e, K.last_compaction(e)
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_LIVE}, {_RD}, {_STALE} SELECT s AS session_id, 'stale_read' AS type, 'high' AS severity, CAST(tk AS BIGINT) AS tokens, idx AS first_idx, idx + 1 AS last_idx, fn AS filename, CAST(1 AS BIGINT) AS n_reads, CAST(age AS VARCHAR) AS detail FROM sr""")
+def stale_reads(spark, d):
+    m, c, e, since = _live(spark, d)
+    return W.stale_reads(K.slice_from(c, since))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_LIVE}, {_RD}, {_DUP} SELECT s AS session_id, 'duplicate_read' AS type, 'medium' AS severity, CAST(tk AS BIGINT) AS tokens, fi AS first_idx, la AS last_idx, fn AS filename, nr AS n_reads, detail FROM dp""")
+def duplicate_reads(spark, d):
+    m, c, e, since = _live(spark, d)
+    return W.duplicate_reads(K.slice_from(c, since))
+
+
+_PHRASES = ("tion", "der", "que")
+
+
+@query(f"""WITH {O.CONV}, t AS (SELECT s, idx, type, lower(trim(txt)) AS low, coalesce(sum(CASE WHEN cat IN ('conversation', 'tools', 'retrieved') THEN tok END) OVER (PARTITION BY s ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS tk FROM msg)
+SELECT s AS session_id, 'resolved_exchange' AS type, 'high' AS severity, CAST(tk AS BIGINT) AS tokens, greatest(0, idx - 10) AS first_idx, idx AS last_idx, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS BIGINT) AS n_reads, substr(low, 1, 40) AS detail
+FROM t WHERE type = 'user' AND length(low) BETWEEN 1 AND 200 AND (contains(low, 'tion') OR contains(low, 'der') OR contains(low, 'que')) AND tk > 100""")
+def resolved_exchanges(spark, d):
+    return W.resolved_exchanges(C.classify(conversation_messages(spark, d)), _PHRASES, min_tokens=100, max_chars=200)
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_LIVE}, {_UNUSED} SELECT s AS session_id, 'unused_result' AS type, 'low' AS severity, tok AS tokens, idx AS first_idx, idx AS last_idx, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS BIGINT) AS n_reads, coalesce(rtool, 'Tool') AS detail FROM ur""")
+def unused_results(spark, d):
+    m, c, e, since = _live(spark, d)
+    return W.unused_results(K.slice_from(c, since))
+
+
+@query(f"WITH {EV}, {_CACHE} SELECT s AS session_id, CAST(coalesce(cr, 0) AS BIGINT) AS cache_read, CAST(coalesce(ti, 0) AS BIGINT) AS total_input FROM co")
+def cache_ratio(spark, d):
+    return W.cache_ratio(event_messages(spark, d))
+
+
+@query(f"WITH {EV}, {_CACHE} SELECT s AS session_id, 'cache_overhead' AS type, 'info' AS severity FROM co WHERE ti > 0 AND cr::DOUBLE / ti::DOUBLE > 0.6")
+def cache_overhead(spark, d):
+    return W.cache_overhead(event_messages(spark, d)).select("session_id", "type", "severity")
+
+
+@query(f"WITH {EV}, {O.EVENTS}, {_WASTE} SELECT {_WCOLS}, rank, rel_first FROM wr")
+def waste_ranked(spark, d):
+    m, c, e, since = _live(spark, d)
+    return W.detect_waste(c, m, since)
+
+
+@query(f"WITH {EV}, {O.EVENTS}, {_WASTE} SELECT s AS session_id, severity, count(*) AS n_items, CAST(sum(tokens) AS BIGINT) AS tokens FROM wr GROUP BY ROLLUP (s, severity)")
+def waste_by_severity(spark, d):
+    m, c, e, since = _live(spark, d)
+    return W.waste_totals(W.detect_waste(c, m, since))
+
+
+_DIRS = "element_at(array('node_modules/', 'dist/', 'src/', 'build/', 'a/.next/', 'target/', 'lib/', 'x/.git/', 'src/', 'Dist/'), k % 10 + 1)"
+_DDIRS = "['node_modules/', 'dist/', 'src/', 'build/', 'a/.next/', 'target/', 'lib/', 'x/.git/', 'src/', 'Dist/'][k % 10 + 1]"
+NOISE = O.events(path=f"{_DDIRS} || 'f' || k || '.ts'")
+_NOISE = r"""nr AS (SELECT s, idx, use, path, CASE WHEN regexp_matches(path, '(?i)(^|[\\/])node_modules[\\/]') THEN 'node_modules/' WHEN regexp_matches(path, '(?i)(^|[\\/])dist[\\/]') THEN 'dist/' WHEN regexp_matches(path, '(?i)(^|[\\/])build[\\/]') THEN 'build/'
+  WHEN regexp_matches(path, '(?i)(^|[\\/])\.next[\\/]') THEN '.next/' WHEN regexp_matches(path, '(?i)(^|[\\/])target[\\/]') THEN 'target/' WHEN regexp_matches(path, '(?i)(^|[\\/])\.git[\\/]') THEN '.git/' END AS rule FROM msg WHERE tool = 'Read'),
+no AS (SELECT r.s, rule, count(DISTINCT r.path) AS n_paths, sum(CAST(ceil(length(m.txt) / 3.3::DOUBLE) AS BIGINT)) AS tokens FROM nr r JOIN msg m ON m.s = r.s AND m.res = r.use AND m.idx > r.idx WHERE rule IS NOT NULL GROUP BY r.s, rule)"""
+
+
+@query(f"WITH {NOISE}, {_NOISE} SELECT s AS session_id, rule, n_paths, CAST(tokens AS BIGINT) AS tokens FROM no")
+def noise_patterns(spark, d):
+    return W.noise_reads(event_messages(spark, d, paths=f"concat({_DIRS}, 'f', k, '.ts')"))
+
+
+# --- advice -----------------------------------------------------------------------
+
+_FOCUS = """ft AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY rank) AS r FROM wr WHERE severity IN ('high', 'medium')),
+fo AS (SELECT s, '/compact focus "' || string_agg(CASE WHEN type = 'duplicate_read' THEN 'keep only latest read of ' || filename ELSE 'drop stale read of ' || filename END, '; ' ORDER BY r) || '"' AS focus, CAST(sum(tokens) AS BIGINT) AS savings FROM ft WHERE r <= 3 GROUP BY s)"""
+
+
+@query(f"WITH {EV}, {O.EVENTS}, {_WASTE}, {_FOCUS} SELECT s AS session_id, focus, savings FROM fo")
+def compact_focus(spark, d):
+    m, c, e, since = _live(spark, d)
+    return advice.compact_focus(W.detect_waste(c, m, since))
+
+
+def _limits(m):
+    return C.context_limits(m, K.model_history(K.model_segments(m)).select("session_id", "current_model"))
+
+
+def _state(m, c, since):
+    return advice.session_state(c, C.effective_window(m, since), _limits(m), since)
+
+
+_LEFT = "CASE WHEN total >= lim * 0.8::DOUBLE THEN 0 WHEN total > 0 THEN floor((lim * 0.8::DOUBLE - total) / (total::DOUBLE / n::DOUBLE)) END"
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_STATE} SELECT s AS session_id, total, CAST(lim AS BIGINT) AS context_limit, n AS n_messages, pct AS percentage, CAST(greatest(0, lim - total) AS BIGINT) AS free_tokens,
+  CASE WHEN pct < 50 THEN 'healthy' WHEN pct < 70 THEN 'warming' WHEN pct < 85 THEN 'hot' ELSE 'critical' END AS health, CAST({_LEFT} AS BIGINT) AS messages_left FROM sp""")
+def context_health(spark, d):
+    m, c, e, since = _live(spark, d)
+    return _state(m, c, since)
+
+
+@query(f"""WITH {NOISE}, {_LIM}, {_NOISE}, nt AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS sv, string_agg(rule, ',' ORDER BY rule) AS detail FROM no GROUP BY s HAVING sum(tokens) >= 100),
+fx AS (SELECT s, 'ignore-file' AS kind, sv AS savings, detail, 2 AS o FROM nt UNION ALL SELECT s, 'prompt-rule', CAST(floor(sv / 2.0 + 0.5) AS BIGINT), detail, 3 FROM nt
+  UNION ALL SELECT DISTINCT s, 'mcp-disable', 0, 's9', 4 FROM msg UNION ALL SELECT DISTINCT s, 'prompt-oversized', 500, '2000', 5 FROM msg)
+SELECT fx.s AS session_id, row_number() OVER (PARTITION BY fx.s ORDER BY savings DESC, o) AS position, kind, savings, detail, CAST(sum(savings) OVER (PARTITION BY fx.s) AS BIGINT) AS total_saveable,
+  CAST(sum(savings) OVER (PARTITION BY fx.s) AS DOUBLE) / lim * 100 AS percent_of_context FROM fx JOIN li USING (s)""")
+def optimize_report(spark, d):
+    m = event_messages(spark, d, paths=f"concat({_DIRS}, 'f', k, '.ts')")
+    none = advice.compact_focus(W.stale_reads(C.classify(m)).select("session_id", "severity", "type", "tokens", "filename", "first_idx", "last_idx", F.lit(1).alias("rank"), F.col("first_idx").alias("rel_first"))).limit(0)
+    unused = m.select("session_id", F.lit("s9").alias("server")).distinct()
+    return advice.optimize_report(none, W.noise_reads(m), unused, _limits(m), prompt=2000)
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_FOCUS}, {_STATE}, {O.CATS},
+tp AS (SELECT m.s, CAST(coalesce(sum(tok) FILTER (cat = 'tools'), 0) AS DOUBLE) / CAST(sum(tok) AS DOUBLE) * 100 AS tpct FROM msg m GROUP BY m.s),
+pr AS (SELECT s, CAST(floor((lim * 0.8::DOUBLE - total) / (total::DOUBLE / n::DOUBLE)) AS BIGINT) AS lf FROM sp WHERE total > 0),
+dd AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, rank) AS r FROM wr WHERE type = 'duplicate_read'),
+dc AS (SELECT s, count(*) AS dups FROM dd GROUP BY s),
+hb AS (SELECT sp.s, CASE WHEN n_compactions >= 3 THEN 'clear-between-tasks' WHEN dups >= 5 THEN 'reuse-reads' WHEN tpct > 50 THEN 'fresh-sessions' END AS h FROM sp LEFT JOIN st ON st.s = sp.s LEFT JOIN dc ON dc.s = sp.s LEFT JOIN tp ON tp.s = sp.s),
+al AS (SELECT sp.s, 1 AS priority, 'compact' AS kind, coalesce(savings, CAST(floor(total * 0.25::DOUBLE) AS BIGINT)) AS impact, coalesce(focus, '/compact') AS subject, 0.0::DOUBLE AS o FROM sp LEFT JOIN fo ON fo.s = sp.s WHERE total >= lim * 0.5::DOUBLE
+  UNION ALL SELECT s, CASE WHEN lf <= 0 THEN 1 WHEN lf < 20 THEN 2 ELSE 5 END, 'prediction', 0, CAST(lf AS VARCHAR), 1 FROM pr WHERE lf <= 100
+  UNION ALL SELECT s, 2, 'duplicate-file', tokens, filename || '|' || n_reads || '|' || detail, 2 + r / 10 FROM dd WHERE r <= 5
+  UNION ALL SELECT s, 4, 'prompt-split', 500, '2000', 5 FROM sp UNION ALL SELECT s, 5, 'habit', 0, h, 6 FROM hb WHERE h IS NOT NULL)
+SELECT s AS session_id, CAST(priority AS BIGINT) AS priority, kind, CAST(impact AS BIGINT) AS impact, subject, row_number() OVER (PARTITION BY s ORDER BY priority, o) AS position FROM al""")
+def recommendations(spark, d):
+    m, c, e, since = _live(spark, d)
+    w = W.detect_waste(c, m, since)
+    share = C.buckets(c).filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
+    return advice.recommendations(_state(m, c, since), w, advice.compact_focus(w), since, share, m, prompt=2000)
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, lw AS (SELECT s, idx, tool, path, coalesce(lead(tok) OVER (PARTITION BY s ORDER BY idx), 0) AS nt FROM lv), fc AS (SELECT s, split_part(path, '/', -1) AS name, sum(nt) AS tokens, count(*) AS n_reads FROM lw WHERE tool = 'Read' GROUP BY 1, 2),
+ip AS (SELECT s, arg_min(eff, idx) FILTER (type = 'assistant' AND u_in > 0) - 9531 - coalesce(arg_min(tok, idx) FILTER (type = 'user'), 0) AS t FROM msg GROUP BY s),
+al AS (SELECT fc.s, name, fc.tokens, fc.n_reads, coalesce(w.tokens, 0) AS duplicate_tokens, 0 AS o FROM fc LEFT JOIN wr w ON w.s = fc.s AND w.type = 'duplicate_read' AND w.filename = fc.name
+  UNION ALL SELECT DISTINCT s, 'Tool schemas', 9055, 0, 0, 1 FROM lv UNION ALL SELECT s, 'System prompt', CASE WHEN t BETWEEN 1000 AND 15000 THEN t ELSE 0 END, 0, 0, 2 FROM ip WHERE s IN (SELECT s FROM lv)),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, o, name) AS position FROM al)
+SELECT s AS session_id, name, CAST(tokens AS BIGINT) AS tokens, n_reads, CAST(duplicate_tokens AS BIGINT) AS duplicate_tokens, position FROM r WHERE position <= 5""")
+def top_consumers(spark, d):
+    m, c, e, since = _live(spark, d)
+    derived = K.internal_prompt(m).filter("tokens IS NOT NULL").select("session_id", "tokens")
+    return advice.top_consumers(K.slice_from(c, since), W.detect_waste(c, m, since), e, derived)
+
+
+@query()
+def inject_decision(spark, d):
+    """A fold over each session's calls in order; checked against brute force in the tests."""
+    m = event_messages(spark, d)
+    turns = m.filter("usage IS NOT NULL").select("session_id", F.unix_millis(F.to_timestamp("ts")).alias("ts_ms"), (T.effective_input() / F.lit(200_000) * 100).alias("percentage"))
+    return advice.injection_decisions(turns, threshold=50, min_gap_ms=24 * 3600 * 1000)
+
+
+@query(f"""WITH {EV}, r AS (SELECT s, idx, type, (is_call AND use IS NOT NULL AND k % 3 = 0) OR (is_res AND k % 2 = 0) AS own, type = 'assistant' AND NOT is_call AS prose, type = 'user' AND NOT is_res AS asks FROM msg),
+a AS (SELECT s, max(idx) + 1 AS n, coalesce(max(CASE WHEN NOT own THEN idx END) + 1, 0) AS e1 FROM r GROUP BY s),
+b AS (SELECT r.s, coalesce(max(CASE WHEN NOT prose THEN idx END) + 1, 0) AS e2 FROM r JOIN a ON a.s = r.s AND idx < e1 GROUP BY r.s),
+c AS (SELECT a.s, n, e1, CASE WHEN e1 = n THEN n ELSE coalesce(e2, 0) END AS e2 FROM a LEFT JOIN b ON b.s = a.s)
+SELECT c.s AS session_id, n, e2 - CASE WHEN e1 < n AND EXISTS (SELECT 1 FROM r WHERE r.s = c.s AND r.idx = e2 - 1 AND asks) THEN 1 ELSE 0 END AS cutoff FROM c""")
+def cutoff_trim(spark, d):
+    m = event_messages(spark, d)
+    b = F.get("blocks", F.lit(0))
+    k = F.col("usage.output_tokens") - 20
+    return C.cutoff(m, F.coalesce((b["type"] == "tool_use") & (k % 3 == 0), F.lit(False)), F.coalesce((b["type"] == "tool_result") & (F.length(b["content_str"]) / 10 % 2 == 0), F.lit(False)))
+
+
+# --- losses -----------------------------------------------------------------------
+
+LOST = O.events(summaries=True)
+_LOST = f"""{O.EVENTS}, en AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY before_idx) AS event, lag(after_idx, 1, 0) OVER (PARTITION BY s ORDER BY before_idx) AS ws FROM ev),
+sm AS (SELECT en.s, event, coalesce(arg_min(lower(m.txt), m.idx), '') AS summary FROM en LEFT JOIN msg m ON m.s = en.s AND m.cs AND en.detection = 'marker' AND m.idx > before_idx AND m.idx < before_idx + 5 GROUP BY en.s, event),
+wi AS (SELECT m.*, event, ws, before_idx FROM msg m JOIN en ON en.s = m.s AND idx >= ws AND idx < before_idx),
+nx AS (SELECT wi.*, lead(tok) OVER w AS ntok, lead(cat) OVER w AS ncat, lead(type) OVER w AS ntype, lead(idx) OVER w AS nidx, lead(txt) OVER w AS ntxt FROM wi WINDOW w AS (PARTITION BY s, event ORDER BY idx)),
+lf AS (SELECT s, event, idx, split_part(path, '/', -1) AS fn, coalesce(ntok, 0) AS tokens FROM nx WHERE tool = 'Read' QUALIFY row_number() OVER (PARTITION BY s, event, lower(path) ORDER BY idx) = 1),
+lc AS (SELECT s, event, idx, txt, CASE WHEN ncat = 'conversation' AND ntype = 'assistant' THEN nidx ELSE idx END AS li, tok + CASE WHEN ncat = 'conversation' AND ntype = 'assistant' THEN ntok ELSE 0 END AS tokens FROM nx
+  WHERE cat = 'conversation' AND type = 'user' AND NOT is_res AND length(txt) >= 9),
+lost AS (SELECT s, event, 'file_read' AS type, idx AS first_idx, idx + 1 AS last_idx, tokens, fn AS subject, 1 AS o FROM lf JOIN sm USING (s, event) WHERE NOT contains(summary, lower(fn))
+  UNION ALL SELECT s, event, 'conversation', idx, li, tokens, txt, 2 FROM lc JOIN sm USING (s, event) WHERE tokens >= 50 AND NOT contains(summary, regexp_extract(txt, 'f[0-9]+.ts'))
+  UNION ALL SELECT s, event, 'tool_result', idx, idx, tok, coalesce(rtool, 'Tool'), 3 FROM wi JOIN sm USING (s, event) WHERE cat = 'tools' AND is_res AND tok >= 50
+  UNION ALL SELECT s, event, 'instruction', idx, idx, tok, txt, 4 FROM wi JOIN sm USING (s, event) WHERE cs AND length(txt) >= 9 AND NOT contains(summary, regexp_extract(txt, 'f[0-9]+.ts')))"""
+
+
+def _lost(spark, d):
+    m = event_messages(spark, d, summaries=True)
+    c = C.classify(m)
+    e = L.event_windows(K.compaction_events(m))
+    return L.window_rows(c, e), L.summaries(m, e)
+
+
+def _lost_sql(kind: str) -> str:
+    return f"WITH {LOST}, {_LOST} SELECT s AS session_id, event, type, first_idx, last_idx, tokens, subject FROM lost WHERE type = '{kind}'"
+
+
+@query(_lost_sql("file_read"))
+def lost_file_reads(spark, d):
+    return L.lost_file_reads(*_lost(spark, d))
+
+
+@query(_lost_sql("conversation"))
+def lost_conversations(spark, d):
+    return L.lost_conversations(*_lost(spark, d), min_chars=9)
+
+
+@query(_lost_sql("tool_result"))
+def lost_tool_results(spark, d):
+    return L.lost_tool_results(*_lost(spark, d))
+
+
+@query(_lost_sql("instruction"))
+def lost_instructions(spark, d):
+    return L.lost_instructions(*_lost(spark, d), min_tokens=1, min_chars=9)
+
+
+@query(f"WITH {LOST}, {_LOST} SELECT s AS session_id, event, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_items FROM lost WHERE type IN ('file_read', 'tool_result') GROUP BY ROLLUP (s, event)")
+def lost_totals(spark, d):
+    rows, said = _lost(spark, d)
+    both = L.lost_file_reads(rows, said).unionByName(L.lost_tool_results(rows, said))
+    return L.lost_totals(both)
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def content_survival(spark, d):
+    return L.surviving_items(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+# --- comparison, trends, calibration, benchmark runs --------------------------------
+
+_CMP = f"""WITH {O.CONV}, {O.CATS}, bk AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM msg) g CROSS JOIN cats c LEFT JOIN msg m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category),
+cp AS (SELECT a.s AS sa, b.s AS sb, a.category, CAST(a.t AS BIGINT) AS ta, CAST(b.t AS BIGINT) AS tb, CAST(b.t - a.t AS BIGINT) AS delta, CASE WHEN a.t > 0 THEN CAST(b.t - a.t AS DOUBLE) / CAST(a.t AS DOUBLE) * 100 WHEN b.t > 0 THEN 100.0 ELSE 0.0 END AS dp
+  FROM bk a JOIN bk b ON b.s = a.s + 1 AND b.category = a.category)"""
+
+
+def _pairs(buckets):
+    s = buckets.select("session_id").distinct()
+    return s.select(F.col("session_id").alias("session_a"), (F.col("session_id") + 1).alias("session_b"))
+
+
+@query(f"{_CMP} SELECT sa AS session_a, sb AS session_b, category, ta AS tokens_a, tb AS tokens_b, delta, dp AS delta_percent FROM cp")
+def compare_sessions(spark, d):
+    b = C.buckets(C.classify(conversation_messages(spark, d)))
+    return R.compare(_pairs(b), b)
+
+
+@query(f"""{_CMP}, x AS (SELECT sa, sb, max(delta) FILTER (category = 'tools') AS td, max(dp) FILTER (category = 'tools') AS tp, max(delta) FILTER (category = 'conversation') AS cd, max(dp) FILTER (category = 'conversation') AS cpp, sum(ta) AS ta, sum(tb) AS tb FROM cp GROUP BY sa, sb),
+y AS (SELECT *, sa % 4 AS wa, sb % 4 AS wb, sa % 3 AS ca, sb % 3 AS cb FROM x)
+SELECT sa AS session_a, sb AS session_b, concat_ws(',', CASE WHEN abs(tp) > 15 THEN 'more-tools-' || CASE WHEN td > 0 THEN 'b' ELSE 'a' END END, CASE WHEN abs(cpp) > 10 THEN 'more-conversation-' || CASE WHEN cd > 0 THEN 'b' ELSE 'a' END END,
+ CASE WHEN wa > 0 AND wb >= 2 * wa THEN 'more-waste-b' WHEN wb > 0 AND wa >= 2 * wb THEN 'more-waste-a' WHEN wa = 0 AND wb > 0 THEN 'only-waste-b' WHEN wb = 0 AND wa > 0 THEN 'only-waste-a' END,
+ CASE WHEN ca > 0 AND cb = 0 THEN 'only-compacted-a' WHEN cb > 0 AND ca = 0 THEN 'only-compacted-b' WHEN ca > 0 AND cb > 0 AND ca <> cb THEN 'both-compacted' END,
+ CASE WHEN ta > 0 AND CAST(abs(tb - ta) AS DOUBLE) / CAST(ta AS DOUBLE) * 100 > 20 THEN 'more-total-' || CASE WHEN tb > ta THEN 'b' ELSE 'a' END END) AS insights FROM y""")
+def compare_insights(spark, d):
+    b = C.buckets(C.classify(conversation_messages(spark, d)))
+    counts = b.groupBy("session_id").agg(F.sum("tokens").alias("total")).select("session_id", (F.col("session_id") % 4).alias("n_waste"), (F.col("session_id") % 3).alias("n_compactions"), "total")
+    return R.insights(R.compare(_pairs(b), b), counts)
+
+
+def _cut_sql(n: int) -> str:
+    return f"""c{n} AS (SELECT s, idx, type, tok, CASE WHEN type = 'system' THEN 'system' WHEN type = 'user' AND idx = max(CASE WHEN type = 'user' THEN idx END) OVER (PARTITION BY s) THEN 'user' ELSE 'conversation' END AS cat FROM msg WHERE idx < {n}),
+b{n} AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM c{n}) g CROSS JOIN cats c LEFT JOIN c{n} m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category)"""
+
+
+@query(f"WITH {O.CONV}, {O.CATS}, {_cut_sql(2)}, {_cut_sql(5)} SELECT s AS session_id, category, CAST(b2.t AS BIGINT) AS tokens_from, CAST(b5.t AS BIGINT) AS tokens_to, CAST(b5.t - b2.t AS BIGINT) AS delta FROM b2 JOIN b5 USING (s, category)")
+def session_diff(spark, d):
+    m = R.cut_messages(conversation_messages(spark, d), (2, 5))
+    return R.session_diff(C.buckets(C.classify(m)), 2, 5)
+
+
+def _records(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("session_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("project"), (F.col("o_totalprice") / 5000).alias("percent_used"), F.col("o_orderpriority").alias("top_category"))
+
+
+_HIST = "h AS (SELECT o_custkey AS s, o_orderdate AS ts, o_orderkey AS line, o_orderstatus AS project, o_totalprice / 5000 AS pu, o_orderpriority AS cat FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1)"
+
+
+@query(f"WITH {_HIST} SELECT s AS session_id, strftime(ts, '%Y-%m-%d') AS day, line, project, cat AS top_category FROM h")
+def trend_history(spark, d):
+    return R.trend_history(_records(spark, d)).select("session_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "line", "project", "top_category")
+
+
+@query(f"""WITH {_HIST}, p AS (SELECT *, count(*) OVER (PARTITION BY project) AS n, row_number() OVER (PARTITION BY project ORDER BY ts, s) AS pos FROM h), q AS (SELECT *, greatest(1, n // 3) AS third FROM p),
+a AS (SELECT project, count(*) AS n, avg(pu) AS ap, avg(pu) FILTER (pos <= third) AS fa, avg(pu) FILTER (pos > n - third) AS la FROM q GROUP BY project),
+m AS (SELECT project, cat, count(*) AS c, min(pos) AS p FROM q GROUP BY project, cat), b AS (SELECT project, cat FROM m QUALIFY row_number() OVER (PARTITION BY project ORDER BY c DESC, p) = 1)
+SELECT project, n, round(ap, 6) AS avg_percent, cat AS dominant_category, round(CASE WHEN n >= 3 THEN la - fa ELSE 0 END, 6) AS percent_delta, CASE WHEN n >= 3 AND la - fa > 5 THEN 'worsening' WHEN n >= 3 AND la - fa < -5 THEN 'improving' ELSE 'flat' END AS direction FROM a JOIN b USING (project)""")
+def trend_summary(spark, d):
+    s = R.trend_summary(R.trend_history(_records(spark, d)), "project")
+    return s.withColumns({"avg_percent": F.round("avg_percent", 6), "percent_delta": F.round("percent_delta", 6)})
+
+
+@query(f"""WITH {_HIST} SELECT strftime(ts, '%Y-%m-%d') AS day, concat_ws(',', CAST(s AS VARCHAR), project, cat) AS line FROM h""")
+def trend_csv(spark, d):
+    h = R.trend_history(_records(spark, d))
+    return R.trend_csv(h, ["session_id", "project", "top_category"]).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "line")
+
+
+def _pasted(spark, d):
+    c = table(spark, d, "customer")
+    v = F.col("c_custkey")
+    return c.select(v.alias("id"), F.concat(F.lit("System prompt: "), (v % 7).cast("string"), F.lit(".5k tokens\n  Tools: "), (v * 10).cast("string"), F.lit(" tokens\nMemory files: 0\nMessages: 1,2"), F.lpad((v % 100).cast("string"), 2, "0"), F.lit("\nmessages: 5k\nFree space: 2m")).alias("text"))
+
+
+_CAL = "ca AS (SELECT c_custkey AS id, unnest([{'b': 'system', 't': CASE WHEN c_custkey % 7 = 0 THEN 500 ELSE (c_custkey % 7) * 1000 + 500 END}, {'b': 'tools', 't': c_custkey * 10}, {'b': 'messages', 't': 5000}, {'b': 'free', 't': 2000000}], recursive := true) FROM customer)"
+
+
+@query(f"WITH {_CAL} SELECT id, b AS bucket, CAST(t AS BIGINT) AS tokens FROM ca WHERE t > 0")
+def calibration_parse(spark, d):
+    return R.parse_context_output(_pasted(spark, d))
+
+
+@query(f"""WITH {_CAL}, k AS (SELECT id, b, t FROM ca WHERE t > 0 AND b <> 'free'), e AS (SELECT c_custkey AS id, 'tools' AS b, 9055 AS t FROM customer),
+j AS (SELECT coalesce(k.id, e.id) AS id, coalesce(k.b, e.b) AS bucket, coalesce(e.t, 0) AS es, coalesce(k.t, 0) AS ac FROM k FULL JOIN e ON k.id = e.id AND k.b = e.b)
+SELECT id, bucket, CAST(es AS BIGINT) AS estimated, CAST(ac AS BIGINT) AS actual, CASE WHEN ac > 0 THEN CAST(es - ac AS DOUBLE) / CAST(ac AS DOUBLE) * 100 END AS delta_percent FROM j""")
+def calibration_compare(spark, d):
+    return R.calibrate(_estimates(spark, d), R.parse_context_output(_pasted(spark, d)).filter("bucket <> 'free'"))
+
+
+def _estimates(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("tools").alias("bucket"), F.lit(9055).cast("bigint").alias("tokens"))
+
+
+@query(f"""WITH {_CAL}, k AS (SELECT id, sum(t) AS a, max(t) FILTER (b = 'tools') AS tt FROM ca WHERE t > 0 AND b <> 'free' GROUP BY id)
+SELECT c_custkey AS id, CASE WHEN a > 0 THEN 100 - CAST(abs(9055 - a) AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS accuracy, coalesce(tt > 0 AND CAST(abs(tt - 9055) AS DOUBLE) / CAST(tt AS DOUBLE) > 0.05, false) AS stale FROM customer LEFT JOIN k ON k.id = c_custkey""")
+def calibration_accuracy(spark, d):
+    return R.calibration_accuracy(R.calibrate(_estimates(spark, d), R.parse_context_output(_pasted(spark, d)).filter("bucket <> 'free'")))
+
+
+def _snapshots(spark, d, shift: int):
+    p = table(spark, d, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    return p.select("p_partkey", *((k * (i + 1) % (97 + shift)).cast("bigint").alias(c) for i, c in enumerate(R.SNAPSHOT)))
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CAST((p_partkey * {i + 1}) % 100 - (p_partkey * {i + 1}) % 97 AS BIGINT) AS {c}" for i, c in enumerate(R.SNAPSHOT)) + " FROM part")
+def bench_snapshot_compare(spark, d):
+    return R.snapshot_delta(_snapshots(spark, d, 0), _snapshots(spark, d, 3), "p_partkey")
+
+
+def _paths(a: str, b: str) -> str:
+    return f"concat('see src/', source, '/', doc_id {a}, '.ts and lib/', lang, '.py, version 1.2.', doc_id, ' e.g. x.unknown, ./notes', doc_id {b}, '.md')"
+
+
+@query("SELECT doc_id, './notes' || (doc_id % 3) || '.md,' || 'lib/' || lang || '.py,' || 'src/' || source || '/' || (doc_id % 5) || '.ts' AS refs FROM documents")
+def file_refs(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.expr(_paths("% 5", "% 3")).alias("t"))
+    return t.select("doc_id", F.array_join(X.file_refs(F.col("t")), ",").alias("refs"))
+
+
+@query("""WITH r AS (SELECT doc_id, ['./notes' || (doc_id % 3) || '.md', 'lib/' || lang || '.py', 'src/' || source || '/' || (doc_id % 5) || '.ts'] AS a, ['./notes' || (doc_id % 2) || '.md', 'lib/' || lang || '.py', 'src/' || source || '/' || (doc_id % 4) || '.ts'] AS b FROM documents)
+SELECT doc_id, array_to_string([x for x in a if NOT list_contains(b, x)], ',') AS only_a, array_to_string([x for x in b if NOT list_contains(a, x)], ',') AS only_b, array_to_string([x for x in a if list_contains(b, x)], ',') AS in_both, CAST(len(b) - len(a) AS BIGINT) AS coverage_delta FROM r""")
+def file_ref_setdiff(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.expr(_paths("% 5", "% 3")).alias("a"), F.expr(_paths("% 4", "% 2")).alias("b"))
+    return R.survivor_diff(t, "doc_id", "a", "b")
+
+
+@query("""SELECT p_partkey, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(1 - b::DOUBLE / a::DOUBLE) < 0.1 THEN 'similar' WHEN b > a THEN 'b' ELSE 'a' END END AS more,
+  CASE WHEN a > 0 AND b > 0 AND abs(1 - b::DOUBLE / a::DOUBLE) >= 0.1 THEN CAST(floor((CASE WHEN b > a THEN b::DOUBLE / a::DOUBLE - 1 ELSE 1 / (b::DOUBLE / a::DOUBLE) - 1 END) * 100 + 0.5) AS BIGINT) END AS percent
+FROM (SELECT p_partkey, p_partkey % 13 AS a, p_partkey % 11 AS b FROM part)""")
+def bench_reclaim(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 13).alias("a"), (F.col("p_partkey") % 11).alias("b"))
+    return R.reclaim_ratio(p, "p_partkey", "a", "b")
+
+
+@query(r"""SELECT doc_id, array_to_string((regexp_extract_all(text, '[A-Za-z0-9_-]+\.[A-Za-z0-9_]{1,6}') || regexp_extract_all(text, '([a-zA-Z_][A-Za-z0-9_]{3,})\s*\(', 1) ||
+  [x for x in [regexp_replace(w, '[^a-zA-Z]', '', 'g') for w in string_split_regex(text, '\s+')] if length(x) > 6])[1:20], '|') AS terms FROM documents""")
+def key_terms(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.key_terms(F.col("text")), "|").alias("terms"))
+
+
+def _listing(spark, d):
+    """Sessions as a listing: conversations with their number of turns as the time."""
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), (F.col("n") * 1000 + F.col("conv_id")).alias("modified_at"), F.concat(F.lit("p-"), (F.col("conv_id") % 3).cast("string")).alias("project"), F.concat(F.lit("/"), F.col("conv_id").cast("string")).alias("path"))
+
+
+_LIST = "l AS (SELECT 'c' || conv_id AS session_id, count(*) * 1000 + conv_id AS modified_at, 'p-' || (conv_id % 3) AS project, '/' || conv_id AS path FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_LIST} SELECT * FROM l WHERE starts_with(session_id, 'c1') AND contains(lower(project), 'p-1') ORDER BY modified_at DESC, path LIMIT 1")
+def session_prefix_lookup(spark, d):
+    from ..sources.logs import resolve_session
+
+    return resolve_session(_listing(spark, d), "c1", "P-1")
+
+
+@query(f"WITH {_LIST} SELECT * FROM l ORDER BY modified_at DESC, path LIMIT 1")
+def latest_session(spark, d):
+    from ..sources.logs import latest_session as latest
+
+    return latest(_listing(spark, d))
+
+
+@query("SELECT c_nationkey, CASE max(CASE WHEN c_acctbal < 0 THEN 3 WHEN c_acctbal < 1000 THEN 2 ELSE 1 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'ok' END AS status, count(*) AS n_checks FROM customer GROUP BY c_nationkey")
+def doctor_status(spark, d):
+    c = table(spark, d, "customer")
+    status = F.when(F.col("c_acctbal") < 0, "fail").when(F.col("c_acctbal") < 1000, "warn").otherwise("ok")
+    return R.worst_status(c.select("c_nationkey", status.alias("status")), "c_nationkey")
