@@ -611,3 +611,16 @@ def doctor_status(spark, d):
     c = table(spark, d, "customer")
     status = F.when(F.col("c_acctbal") < 0, "fail").when(F.col("c_acctbal") < 1000, "warn").otherwise("ok")
     return R.worst_status(c.select("c_nationkey", status.alias("status")), "c_nationkey")
+
+
+@query()
+def watch_feed(spark, d):
+    """Compactions as a stream finds them: a stateful count for each session, as JSON lines."""
+    from ..sources.shared import shared_dir
+    from ..streaming.live import new_compactions, run_once
+
+    schema = table(spark, d, "events").schema
+    ev = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("int")
+    marks = ev.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), F.when((F.col("event_type") == "error") & (k < 5), "system").otherwise("user").alias("type"), F.lit("compact_boundary").alias("subtype"))
+    return run_once(new_compactions(marks), shared_dir(spark))
