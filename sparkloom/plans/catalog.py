@@ -620,7 +620,8 @@ def watch_feed(spark, d):
     from ..streaming.live import new_compactions, run_once
 
     schema = table(spark, d, "events").schema
-    ev = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    # a stream reads a folder; the filter picks the one table out of it
+    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     k = F.get_json_object("props", "$.k").cast("int")
     marks = ev.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), F.when((F.col("event_type") == "error") & (k < 5), "system").otherwise("user").alias("type"), F.lit("compact_boundary").alias("subtype"))
     return run_once(new_compactions(marks), shared_dir(spark))
