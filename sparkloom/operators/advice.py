@@ -158,3 +158,30 @@ def tool_breakdown(classified: DataFrame, loaded: tuple[str, ...]) -> DataFrame:
     listed = F.array(*(F.lit(x) for x in sorted(loaded)))
     j = sums.join(sets, "session_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
     return j.select("session_id", "call_tokens", "result_tokens", F.size("used").cast("bigint").alias("n_used"), F.array_join(F.array_except(listed, "used"), ",").alias("unused"))
+
+
+def fix_prompts(state: DataFrame, waste: DataFrame, focus: DataFrame, since: DataFrame, prompt: int = 0) -> DataFrame:
+    """Rows (session_id, session_prompt, prompt_snippet, compact_command): texts to paste, null
+    where there is nothing to say."""
+    dup = waste.filter("type = 'duplicate_read'").withColumn("r", F.row_number().over(by_session().orderBy(F.desc("tokens"), "rank")))
+    files = dup.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("r", "filename", "detail"))).alias("fs"))
+    j = state.join(files, "session_id", "left").join(focus, "session_id", "left").join(since.select("session_id", "n_compactions"), "session_id", "left")
+    listed = F.array_join(F.transform(F.slice("fs", 1, 10), lambda x: F.concat(x["filename"], F.lit(" ("), x["detail"], F.lit(")"))), "; ")
+    known = F.when(F.col("fs").isNotNull(), F.concat(F.lit("In context already: "), listed))
+    urgent = F.when((F.col("messages_left") > 0) & (F.col("messages_left") < 20), F.concat(F.lit("Messages until compaction: "), F.col("messages_left")))
+    keys = F.when(F.size("fs") >= 2, F.concat(F.lit("Key files: "), F.array_join(F.transform(F.slice("fs", 1, 8), lambda x: x["filename"]), ", ")))
+    habit = F.when(F.col("n_compactions") >= 2, F.lit("Clear the context between tasks."))
+    size = F.lit(f"Prompt tokens: {prompt}" if prompt > 1500 else None).cast("string")
+
+    def text(*parts):
+        return F.nullif(F.concat_ws("\n", *parts), F.lit(""))
+
+    command = F.when(F.col("percentage") >= 50, F.coalesce("focus", F.when(F.col("percentage") >= 70, F.lit("/compact"))))
+    return j.select("session_id", text(known, urgent).alias("session_prompt"), text(keys, habit, size).alias("prompt_snippet"), command.alias("compact_command"))
+
+
+def status_line(state: DataFrame, since: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (session_id, percent, line): one short line on each session. sizes: (session_id, n)."""
+    j = state.join(since.select("session_id", "n_compactions"), "session_id", "left").join(sizes, "session_id")
+    k = F.coalesce("n_compactions", F.lit(0))
+    return j.select("session_id", F.floor(F.col("percentage") + 0.5).cast("bigint").alias("percent"), F.concat_ws(" | ", F.col("health"), F.concat(F.col("n"), F.lit(" messages")), F.concat(k, F.when(k == 1, " compaction").otherwise(" compactions"))).alias("line"))

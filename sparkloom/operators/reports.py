@@ -193,3 +193,35 @@ def worst_status(checks: DataFrame, by: str) -> DataFrame:
     """fail beats warn beats ok."""
     rank = F.array_position(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.col("status"))
     return checks.groupBy(by).agg(F.max_by("status", rank).alias("status"), F.count(F.lit(1)).alias("n_checks"))
+
+
+def snapshots(state: DataFrame, totals: DataFrame, waste: DataFrame, since: DataFrame) -> DataFrame:
+    """The fields of ``SNAPSHOT`` for each session. totals: (session_id, tokens_total, message_count)."""
+    w = waste.groupBy("session_id").agg(F.count(F.lit(1)).alias("waste_count"))
+    j = state.join(totals, "session_id").join(w, "session_id", "left").join(since.select("session_id", "n_compactions"), "session_id", "left")
+    return j.select(
+        "session_id",
+        "tokens_total",
+        F.col("total").alias("tokens_current"),
+        F.col("percentage").alias("usage_percentage"),
+        "message_count",
+        F.coalesce("waste_count", F.lit(0)).alias("waste_count"),
+        F.coalesce("n_compactions", F.lit(0)).alias("compaction_count"),
+        "context_limit",
+    )
+
+
+def summary_refs(messages: DataFrame) -> DataFrame:
+    """Rows (session_id, refs): file references in the first summary after the last boundary."""
+    from .tokens import message_text
+
+    m = messages.select("session_id", "idx", (F.coalesce((F.col("type") == "system") & (F.col("subtype") == "compact_boundary"), F.lit(False))).alias("b"), F.coalesce("is_compact_summary", F.lit(False)).alias("s"), message_text().alias("text"))
+    last = m.filter("b").groupBy("session_id").agg(F.max("idx").alias("at"))
+    after = m.filter("s").join(last, "session_id").filter("idx > at").groupBy("session_id").agg(F.min_by("text", "idx").alias("text"))
+    return after.select("session_id", F.array_join(file_refs(F.col("text")), ",").alias("refs"))
+
+
+def trend_records(state: DataFrame, buckets: DataFrame, since: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One record of each session for the history log, from the live window. sizes: (session_id, n)."""
+    j = state.join(top_category(buckets), "session_id").join(since.select("session_id", "n_compactions"), "session_id", "left").join(sizes, "session_id")
+    return j.select("session_id", F.col("total").alias("total_tokens"), F.col("percentage").alias("percent_used"), F.col("n").alias("message_count"), F.coalesce("n_compactions", F.lit(0)).alias("compaction_count"), "health", "top_category", F.col("tokens").alias("top_category_tokens"), "context_limit")

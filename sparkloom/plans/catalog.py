@@ -222,9 +222,11 @@ _WCOLS = "s AS session_id, type, severity, CAST(tokens AS BIGINT) AS tokens, fir
 
 
 def _live(spark, d, **kw):
+    """Messages, classified rows, events and live starts; classified rows are kept, as
+    every detector reads them."""
     m = event_messages(spark, d, **kw)
-    c, e = C.classify(m), K.compaction_events(m)
-    return m, c, e, K.last_compaction(e)
+    c, e = C.classify(m).persist(), K.compaction_events(m)
+    return m, c, e, K.last_compaction(e).persist()
 
 
 @query(f"""WITH {EV}, {O.EVENTS}, {_LIVE}, {_RD}, {_STALE} SELECT s AS session_id, 'stale_read' AS type, 'high' AS severity, CAST(tk AS BIGINT) AS tokens, idx AS first_idx, idx + 1 AS last_idx, fn AS filename, CAST(1 AS BIGINT) AS n_reads, CAST(age AS VARCHAR) AS detail FROM sr""")
@@ -345,7 +347,7 @@ al AS (SELECT sp.s, 1 AS priority, 'compact' AS kind, coalesce(savings, CAST(flo
 SELECT s AS session_id, CAST(priority AS BIGINT) AS priority, kind, CAST(impact AS BIGINT) AS impact, subject, row_number() OVER (PARTITION BY s ORDER BY priority, o) AS position FROM al""")
 def recommendations(spark, d):
     m, c, e, since = _live(spark, d)
-    w = W.detect_waste(c, m, since)
+    w = W.detect_waste(c, m, since).persist()
     share = C.buckets(c).filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
     return advice.recommendations(_state(m, c, since), w, advice.compact_focus(w), since, share, m, prompt=2000)
 
@@ -625,3 +627,66 @@ def watch_feed(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     marks = ev.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), F.when((F.col("event_type") == "error") & (k < 5), "system").otherwise("user").alias("type"), F.lit("compact_boundary").alias("subtype"))
     return run_once(new_compactions(marks), shared_dir(spark))
+
+
+_FIX = f"""{_WASTE}, {_FOCUS}, {_STATE}, ps AS (SELECT *, CAST({_LEFT} AS BIGINT) AS ml FROM sp),
+dd AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, rank) AS r FROM wr WHERE type = 'duplicate_read'),
+da AS (SELECT s, count(*) AS n, string_agg(filename || ' (' || detail || ')', '; ' ORDER BY r) FILTER (r <= 10) AS a, string_agg(filename, ', ' ORDER BY r) FILTER (r <= 8) AS b FROM dd GROUP BY s)"""
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_FIX}
+SELECT ps.s AS session_id, nullif(concat_ws(chr(10), 'In context already: ' || a, CASE WHEN ml > 0 AND ml < 20 THEN 'Messages until compaction: ' || ml END), '') AS session_prompt,
+  nullif(concat_ws(chr(10), CASE WHEN da.n >= 2 THEN 'Key files: ' || b END, CASE WHEN n_compactions >= 2 THEN 'Clear the context between tasks.' END, 'Prompt tokens: 2000'), '') AS prompt_snippet,
+  CASE WHEN pct >= 50 THEN coalesce(focus, CASE WHEN pct >= 70 THEN '/compact' END) END AS compact_command FROM ps LEFT JOIN da ON da.s = ps.s LEFT JOIN fo ON fo.s = ps.s LEFT JOIN st ON st.s = ps.s""")
+def fix_prompts(spark, d):
+    m, c, e, since = _live(spark, d)
+    w = W.detect_waste(c, m, since).persist()
+    return advice.fix_prompts(_state(m, c, since), w, advice.compact_focus(w), since, prompt=2000)
+
+
+def _sizes(c):
+    return c.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HEALTH = "CASE WHEN pct < 50 THEN 'healthy' WHEN pct < 70 THEN 'warming' WHEN pct < 85 THEN 'hot' ELSE 'critical' END"
+_ALL = "al AS (SELECT s, count(*) AS na FROM msg GROUP BY s)"
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_STATE}, {_ALL} SELECT sp.s AS session_id, CAST(floor(pct + 0.5) AS BIGINT) AS percent,
+  concat_ws(' | ', {_HEALTH}, na || ' messages', coalesce(n_compactions, 0) || CASE WHEN coalesce(n_compactions, 0) = 1 THEN ' compaction' ELSE ' compactions' END) AS line FROM sp JOIN al ON al.s = sp.s LEFT JOIN st ON st.s = sp.s""")
+def status_line(spark, d):
+    m, c, e, since = _live(spark, d)
+    return advice.status_line(_state(m, c, since), since, _sizes(c))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_STATE}, {_ALL}, tt AS (SELECT s, CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND model <> '<synthetic>' AND eff > 0), sum(tok)) AS BIGINT) AS t FROM msg GROUP BY s), wc AS (SELECT s, count(*) AS n FROM wr GROUP BY s)
+SELECT sp.s AS session_id, tt.t AS tokens_total, total AS tokens_current, pct AS usage_percentage, na AS message_count, coalesce(wc.n, 0) AS waste_count, coalesce(n_compactions, 0) AS compaction_count, CAST(lim AS BIGINT) AS context_limit
+FROM sp JOIN al ON al.s = sp.s JOIN tt ON tt.s = sp.s LEFT JOIN wc ON wc.s = sp.s LEFT JOIN st ON st.s = sp.s""")
+def bench_snapshots(spark, d):
+    m, c, e, since = _live(spark, d)
+    totals = c.groupBy("session_id").agg(F.sum("tokens").alias("content"), F.count(F.lit(1)).alias("message_count")).join(C.effective_window(m), "session_id", "left")
+    totals = totals.select("session_id", F.coalesce("effective", "content").alias("tokens_total"), "message_count")
+    return R.snapshots(_state(m, c, since), totals, W.detect_waste(c, m, since), since)
+
+
+@query(f"""WITH {LOST}, b AS (SELECT s, max(idx) AS at_ FROM msg WHERE type = 'system' AND NOT cs GROUP BY s), c AS (SELECT m.s, arg_min(txt, idx) AS t FROM msg m JOIN b ON b.s = m.s AND m.cs AND idx > at_ GROUP BY m.s)
+SELECT s AS session_id, regexp_extract(t, 'f[0-9]+.ts') AS refs FROM c""")
+def summary_file_refs(spark, d):
+    return R.summary_refs(event_messages(spark, d, summaries=True))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_STATE}, {_ALL}, {O.CATS}, part AS (SELECT m.s, cat, tok FROM msg m LEFT JOIN st ON st.s = m.s WHERE idx >= coalesce(start_idx, 0)),
+bk AS (SELECT g.s, c.category, c.ord, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM part) g CROSS JOIN cats c LEFT JOIN part p ON p.s = g.s AND p.cat = c.category GROUP BY g.s, c.category, c.ord),
+tc AS (SELECT s, category, t FROM bk QUALIFY row_number() OVER (PARTITION BY s ORDER BY t DESC, ord) = 1)
+SELECT sp.s AS session_id, total AS total_tokens, pct AS percent_used, na AS message_count, coalesce(n_compactions, 0) AS compaction_count, {_HEALTH} AS health, category AS top_category, CAST(tc.t AS BIGINT) AS top_category_tokens, CAST(lim AS BIGINT) AS context_limit
+FROM sp JOIN al ON al.s = sp.s JOIN tc ON tc.s = sp.s LEFT JOIN st ON st.s = sp.s""")
+def trend_records(spark, d):
+    m, c, e, since = _live(spark, d)
+    return R.trend_records(_state(m, c, since), C.buckets(K.slice_from(c, since)), since, _sizes(c))
+
+
+@query("SELECT count(*) AS n_tools, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT unnest([250, 280, 280, 250, 200, 250, 250, 230, 280, 200, 230, 250, 200, 230, 230, 230, 200, 200, 200, 200, 200, 200, 230, 200, 250, 200, 200, 230, 230]) AS t UNION ALL SELECT 225 FROM range(11))")
+def builtin_tools(spark, d):
+    from ..sources.state import builtin_tools as tools
+
+    return tools(spark).agg(F.count(F.lit(1)).alias("n_tools"), F.sum("tokens").alias("tokens"))
