@@ -23,7 +23,7 @@ SPACE = r" \t-\r"
 SYMBOLS = "#*$%&|<>"
 #: A line's share of symbols (in percent of its non-space characters) from which it fails.
 MAX_LINE_SYMBOLS = 10
-#: A line of at least this many words must end in a closing mark.
+#: A line of at least this many words must hold the end of a sentence.
 LONG_LINE_WORDS = 8
 MAX_LOST = 50
 MIN_WORDS = 10
@@ -31,7 +31,7 @@ MAX_REPEATED = 20
 
 LINE_SYMBOL_SET = r"[#*$%&|<>{}~^\\]"
 LONG_LINE = rf"^[{SPACE}]*([^{SPACE}]+[{SPACE}]+){{{LONG_LINE_WORDS - 1}}}[^{SPACE}]"
-CLOSED = rf"""[.!?:;"')\]»”’…。！？][{SPACE}]*$"""
+CLOSED = rf"""[.!?…。！？]([{SPACE}"')\]»”’]|$)"""
 MENU = r"^[^|»›•·]*([|»›•·][^|»›•·]{0,40}){2,}$"
 NAV_LINE = (
     rf"^[{SPACE}]*(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|site ?map|next|previous|back to top|"
