@@ -6,7 +6,7 @@ from both states. A document's probabilities are the mean over all its positions
 windows cover the whole text, whatever its length.
 
 Training takes a bounded sample: up to ``PER_LANG`` texts for each of the ``MAX_LANGS``
-most frequent languages, chosen by a hash of id and text, and ``CUTS`` windows of each,
+most frequent languages, distinct texts chosen by a hash, and ``CUTS`` windows of each,
 spread over the text. Nothing but text and label enters the model.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
@@ -247,7 +247,8 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: in
         # twice the wanted number on average, so that a label is rarely short of it
         share = F.when(F.col(lang) == r["l"], F.lit(int(min(1.0, 2 * per_lang / r["n"]) * (1 << 30)))).otherwise(share)
     cuts = F.array(*(F.substring(F.col(text), (F.length(text) * k / CUTS).cast("int") + 1, F.lit(WINDOW)) for k in range(CUTS)))
-    rows = known.filter(spread < share).select(F.col(lang).alias("l"), spread.alias("s"), cuts.alias("c"))
+    # copies of a text share a hash; they count once, so that a large group cannot fill the sample
+    rows = known.filter(spread < share).select(F.col(lang).alias("l"), spread.alias("s"), cuts.alias("c")).distinct()
     kept: dict[str, list[str]] = {}
     for r in rows.orderBy("s").limit(2 * max_langs * per_lang).collect():
         own = kept.setdefault(r["l"], [])
