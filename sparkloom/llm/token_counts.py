@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import count_tokens
+from .store import cut
 
 BLOCK = 1024  # lengths to a block: a block's rows and the list of blocks each fit a task
 
@@ -62,7 +63,8 @@ def suffix_sums(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def token_length_histogram(docs: DataFrame, text: str = "text", by: tuple[str, ...] = (), **kw) -> DataFrame:
-    return suffix_sums(histogram(count_tokens(docs, text, keep=by, **kw), by=by), by)
+    # both levels of the sums read the histogram: it is written once, not encoded twice
+    return suffix_sums(cut(histogram(count_tokens(docs, text, keep=by, **kw), by=by)), by)
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
