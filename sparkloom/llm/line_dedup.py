@@ -100,7 +100,8 @@ def repeated_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("key", T.BinaryType(), False)])
     # one row for each document and key: repeated rows of a document count once
     held = cut(src.mapInArrow(suspect, schema).distinct())
-    confirmed = held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
+    # written, so that the join reads plain shuffles on both sides and a hot line can be split
+    confirmed = cut(held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
     return held.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key")
 
 
