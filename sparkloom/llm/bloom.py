@@ -26,7 +26,7 @@ from .store import ship
 MAX_BITS = 1 << 27
 PIECE = 1 << 16
 HASHES = 3
-FANOUT = 32
+FANOUT = 256
 
 _SCHEMA = "piece int, part int, once binary, twice binary"
 
@@ -111,7 +111,7 @@ def merged(parts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     some = parts.groupBy("piece", "part").applyInArrow(_merge_group, _SCHEMA)
     all_ = some.groupBy("piece").applyInArrow(_merge_group, _SCHEMA)
     once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for r in all_.toLocalIterator():
+    for r in all_.collect():  # bounded by MAX_BITS, and compressed
         at = r.piece * PIECE
         once[at : at + PIECE] = np.frombuffer(zlib.decompress(r.once), np.uint8)
         twice[at : at + PIECE] = np.frombuffer(zlib.decompress(r.twice), np.uint8)

@@ -41,6 +41,11 @@ ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
 SHINGLE = 5
 THRESHOLD = 0.8
+MARGIN = 0.1
+#: Rows of a bucket to a block; blocks, not rows, are paired.
+BLOCK = 1024
+#: Bytes of text that are hashed together.
+TOGETHER = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -179,7 +184,7 @@ def similarity(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) ->
     return max(plain, weighted_)
 
 
-_SKETCH = "doc_id long, same binary, bands array<long>"
+_SKETCH = "doc_id long, same binary, bands array<long>, regs binary"
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -187,12 +192,14 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in slices(big, "text", max_rows=1000, max_bytes=4 << 20):
+            for b in slices(big, "text", max_rows=500, max_bytes=TOGETHER):
                 texts = b.column(1).to_pylist()
                 h, counts = word_hashes(texts)
                 win, owner = shingles(h, counts)
                 o, w, c = weighted(win, owner)
-                keys = bands(sketch(o, w, c, len(texts))).view(np.int64)
+                held = sketch(o, w, c, len(texts))
+                keys = bands(held).view(np.int64)
+                low = (held >> _U(56)).astype(np.uint8)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 position = np.arange(len(h)) - np.repeat(first[:-1], counts)
                 with np.errstate(over="ignore"):
@@ -200,7 +207,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     same = [p[first[1:]] - p[first[:-1]] for p in parts]
                 ids = [x.tobytes() + y.tobytes() + n.tobytes() for x, y, n in zip(*same, counts.astype(np.uint64), strict=True)]
                 lists = [k if n else [] for k, n in zip(keys, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "same", "bands", "regs"])
 
     return docs.mapInArrow(run, _SKETCH)
 
@@ -209,7 +216,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) ->
     """The pairs (a, b) at the threshold or more. Texts are re-read; a Bloom filter of the
     ids in play (bounded, see ``bloom``) keeps the others out of the shuffle."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     bitmap, bits = bloom.of_column(ids, "id", n_ids)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -218,7 +225,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) ->
             hit = bloom.contains(shared.value, b.column(0).to_numpy().view(np.uint64), bits)
             if hit.any():
                 b = b.filter(pa.array(hit))
-                for s in slices(b, "text", max_rows=1000, max_bytes=4 << 20):
+                for s in slices(b, "text", max_rows=500, max_bytes=TOGETHER):
                     texts = s.column(2).to_pylist()
                     o, w, c = weighted(*shingles(*word_hashes(texts)))
                     cuts = np.searchsorted(o, np.arange(len(texts) + 1))
@@ -249,17 +256,58 @@ def _members(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("root", "r"), "id", "left").select("key", "id", F.coalesce("r", "id").alias("root"))
 
 
+def _across(rest: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket of ``rest`` (key, id, root)
+    and whose registers agree nearly as often as the threshold asks; each pair once."""
+    sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    marks = sketched.select(F.col("doc_id").alias("id"), "bands", "regs").join(rest.select("id").distinct(), "id", "left_semi")
+    full = rest.join(marks, "id").join(per, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    listed = lambda d, to: d.groupBy("key", "salt").agg(F.max("main").alias("main"), F.collect_list(F.struct("id", "root", "bands", "regs")).alias(to)).drop("salt")
+    few = listed(full.filter("root <> main"), "x").withColumnRenamed("main", "m")
+    both = few.join(listed(full, "y").drop("main"), "key").select("key", "m", "x", "y")
+    need = (threshold - MARGIN) * REGISTERS
+
+    def side(rows):
+        flat = rows.flatten()
+        ids, roots = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        keys = np.stack([np.asarray(v, np.int64) for v in flat.field(2).to_pylist()])
+        regs = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
+        return ids, roots, keys, regs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(big.num_rows):
+                b = big.slice(k, 1)
+                key, main = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+                xi, xr, xk, xs = side(b.column(2))
+                yi, yr, yk, ys = side(b.column(3))
+                at = int(np.flatnonzero(xk[0] == key)[0])  # the bucket's band
+                left, right = [], []
+                for i in range(len(xi)):
+                    hit = (yr != xr[i]) & ((yr == main) | (yi > xi[i]))
+                    hit &= ~(yk[:, :at] == xk[i, :at]).any(axis=1)  # an earlier shared band has the pair
+                    j = np.flatnonzero(hit)
+                    j = j[(ys[j] == xs[i]).sum(axis=1) >= need]
+                    left.append(np.minimum(yi[j], xi[i]))
+                    right.append(np.maximum(yi[j], xi[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, class_id): one for each row of ``docs``; class_id is the least doc_id of the class."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     whole = src.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(_sketches(whole))
     # equal texts: one representative each; pre-aggregated, so a group of any size is one row a task
-    reps = sketched.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    # (written, so that the join reads plain shuffles on both sides and a hot group can be split)
+    reps = cut(sketched.groupBy("same").agg(F.min("doc_id").alias("rep")))
     copies = cut(sketched.select("doc_id", "same").join(reps, "same").select("doc_id", "rep").distinct())
     rows = sketched.join(copies.filter("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows = rows.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
+    buckets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most"))
     shared = cut(rows.join(buckets.select("key", "least"), "key").select("key", "id", "least"))
     star = cut(shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     n = star.count()
@@ -270,14 +318,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
         held = _members(shared.select("key", "id").distinct(), roots)
         split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         rest = cut(held.join(split, "key", "left_semi"))
-        sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        minor = rest.join(main, "key").filter("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"), "main")
-        other = rest.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
-        # pairs of two minor members are met from one side only
-        across = minor.join(other, "key").filter("rx <> ry AND (ry = main OR x < y)")
-        more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = cut(more)
+        more = cut(_across(rest, sketched, threshold).join(star, ["a", "b"], "left_anti"))
         k = more.count()
         if k:
             links = links.union(cut(_verify(more, whole, 2 * k, threshold)))

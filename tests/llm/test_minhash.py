@@ -120,3 +120,17 @@ def test_components(spark, seed):
         up[b] = a
     got = {x.id: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in up)
+
+
+def test_members_that_miss_the_bucket_leader_are_linked(spark):
+    """A chain of texts: neighbours are similar, the ends are not, so leaders miss most links."""
+    r = random.Random(9)
+    words_ = ["c%d" % r.randrange(5000) for _ in range(400)]
+    texts = []
+    for k in range(24):
+        texts.append(" ".join(words_[k * 9 : k * 9 + 150]))
+    texts += [" ".join("z%d" % r.randrange(5000) for _ in range(150)) for _ in range(5)]
+    df = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in M.near_duplicate_classes(df).collect()}
+    order = [texts[len(texts) - i] for i in range(1, len(texts) + 1)]
+    assert [got[i + 1] - 1 for i in range(len(texts))] == classes(order)
