@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, lm_score, minhash, quality, token_counts, warc
+from . import bpe, decontaminate, langid, license_scan, line_dedup, minhash, quality, token_counts, warc, word_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document; the target are the documents labelled good."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lm_score.score(docs, lm_score.fit(docs, good))
+    return word_lm.score(docs, good)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
