@@ -10,11 +10,15 @@ connected component of the links, named by its least doc_id.
 Steps: texts with equal words are merged first. Each remaining text gets ``BANDS`` x
 ``ROWS`` registers: its shingles arrive by Poisson processes with their weights as
 rates, each arrival draws a register, a register keeps its first arrival, and a
-shingle's process ends as soon as it is later than every register. Texts that share a
+shingle's process ends as soon as it is later than every register. A text with a repeated
+shingle gets as many registers again, with every weight 1, so that plain Jaccard links are
+proposed too (without repeats both sets are the same). Texts that share a
 band meet in a bucket. Buckets are never expanded into all pairs: each member is
 verified against the bucket's least member, links are joined into components, and
 only members outside the component that is largest in their bucket are then verified
-against the bucket's other components, so no link found by banding is lost.
+against the bucket's other components, all of them and exactly, so no link found by banding
+is lost. They are verified inside blocks that carry their shingles; pairs whose components the
+block has linked already are passed over, and only links that join components come out.
 
 Shared-band probability at a similarity of 0.8: 1 - (1 - 0.8^7)^40 = 0.9999.
 
@@ -41,9 +45,8 @@ ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
 SHINGLE = 5
 THRESHOLD = 0.8
-MARGIN = 0.1
-#: Rows of a bucket to a block; blocks, not rows, are paired.
-BLOCK = 1024
+#: Bytes of shingles of a bucket to a block; blocks, not rows, are paired.
+BLOCK = 4 << 20
 #: Bytes of text that are hashed together.
 TOGETHER = 1 << 20
 _U = np.uint64
@@ -184,7 +187,7 @@ def similarity(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) ->
     return max(plain, weighted_)
 
 
-_SKETCH = "doc_id long, same binary, bands array<long>, regs binary"
+_SKETCH = "doc_id long, same binary, bands array<long>"
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -198,8 +201,13 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 win, owner = shingles(h, counts)
                 o, w, c = weighted(win, owner)
                 held = sketch(o, w, c, len(texts))
-                keys = bands(held).view(np.int64)
-                low = (held >> _U(56)).astype(np.uint8)
+                keys = list(bands(held).view(np.int64))
+                more = np.unique(o[c > 1])  # without repeats the plain registers are the same
+                if len(more):
+                    mine = np.isin(o, more)
+                    plain = sketch(np.searchsorted(more, o[mine]), w[mine], np.ones(mine.sum(), np.int64), len(more))
+                    for k, extra in zip(more, bands(plain).view(np.int64), strict=True):
+                        keys[k] = np.concatenate([keys[k], extra])
                 first = np.concatenate([[0], np.cumsum(counts)])
                 position = np.arange(len(h)) - np.repeat(first[:-1], counts)
                 with np.errstate(over="ignore"):
@@ -207,16 +215,15 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     same = [p[first[1:]] - p[first[:-1]] for p in parts]
                 ids = [x.tobytes() + y.tobytes() + n.tobytes() for x, y, n in zip(*same, counts.astype(np.uint64), strict=True)]
                 lists = [k if n else [] for k, n in zip(keys, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "same", "bands", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
 
     return docs.mapInArrow(run, _SKETCH)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) at the threshold or more. Texts are re-read; a Bloom filter of the
-    ids in play (bounded, see ``bloom``) keeps the others out of the shuffle."""
+def _sets(ids: DataFrame, docs: DataFrame, n_ids: int) -> DataFrame:
+    """Rows (id, packed) with the distinct shingles and counts of at least the ``ids``. Texts are
+    re-read; a Bloom filter (bounded, see ``bloom``) keeps others out of the shuffle."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     bitmap, bits = bloom.of_column(ids, "id", n_ids)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -234,7 +241,18 @@ def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) ->
 
     sets = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(maybe, "id long, packed binary")
     # a repeated doc_id keeps one of its texts, chosen by value
-    sets = cut(sets.groupBy("id").agg(F.max("packed").alias("packed")))
+    return cut(sets.groupBy("id").agg(F.max("packed").alias("packed")))
+
+
+def _unpacked(raw) -> tuple[np.ndarray, np.ndarray]:
+    u = np.frombuffer(raw, np.int64)
+    return u[: len(u) // 2].view(np.uint64), u[len(u) // 2 :]
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) at the threshold or more."""
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    sets = _sets(ids, docs, n_ids)
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
@@ -243,9 +261,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) ->
         for t in batches:
             ok = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
-                i, j = len(u) // 2, len(v) // 2
-                ok.append(similarity(u[:i].view(np.uint64), u[i:], v[:j].view(np.uint64), v[j:]) >= threshold)
+                ok.append(similarity(*_unpacked(x.as_buffer()), *_unpacked(y.as_buffer())) >= threshold)
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(test, "a long, b long")
@@ -256,24 +272,27 @@ def _members(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("root", "r"), "id", "left").select("key", "id", F.coalesce("r", "id").alias("root"))
 
 
-def _across(rest: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket of ``rest`` (key, id, root)
-    and whose registers agree nearly as often as the threshold asks; each pair once."""
+def _across(rest: DataFrame, sketched: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components which share a bucket of ``rest`` (key, id, root):
+    every pair of a member outside the bucket's main component and one of another component is
+    verified, in its first shared band, unless links of the same block join them already."""
     sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    per = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
-    marks = sketched.select(F.col("doc_id").alias("id"), "bands", "regs").join(rest.select("id").distinct(), "id", "left_semi")
-    full = rest.join(marks, "id").join(per, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    listed = lambda d, to: d.groupBy("key", "salt").agg(F.max("main").alias("main"), F.collect_list(F.struct("id", "root", "bands", "regs")).alias(to)).drop("salt")
+    per = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    ids = cut(rest.select("id").distinct())
+    marks = sketched.select(F.col("doc_id").alias("id"), "bands").join(ids, "id", "left_semi").groupBy("id").agg(F.max("bands").alias("bands"))
+    known = cut(marks.join(_sets(ids, docs, ids.count()), "id"))
+    weight = rest.join(known.select("id", F.length("packed").alias("size")), "id").groupBy("key").agg(F.sum("size").alias("size"))
+    full = rest.join(known, "id").join(per.join(weight, "key"), "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
+    listed = lambda d, to: d.groupBy("key", "salt").agg(F.max("main").alias("main"), F.collect_list(F.struct("id", "root", "bands", "packed")).alias(to)).drop("salt")
     few = listed(full.filter("root <> main"), "x").withColumnRenamed("main", "m")
     both = few.join(listed(full, "y").drop("main"), "key").select("key", "m", "x", "y")
-    need = (threshold - MARGIN) * REGISTERS
 
     def side(rows):
         flat = rows.flatten()
         ids, roots = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        keys = np.stack([np.asarray(v, np.int64) for v in flat.field(2).to_pylist()])
-        regs = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
-        return ids, roots, keys, regs
+        # a text without repeats has the same keys for both sets of registers
+        keys = np.stack([np.resize(np.asarray(v, np.int64), 2 * BANDS) for v in flat.field(2).to_pylist()]).reshape(len(ids), 2, BANDS)
+        return ids, roots, keys, flat.field(3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -282,16 +301,31 @@ def _across(rest: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame
                 key, main = b.column(0)[0].as_py(), b.column(1)[0].as_py()
                 xi, xr, xk, xs = side(b.column(2))
                 yi, yr, yk, ys = side(b.column(3))
-                at = int(np.flatnonzero(xk[0] == key)[0])  # the bucket's band
+                at = int(np.argwhere(xk[0] == key)[0][1])  # the bucket's band
+                up: dict[int, int] = {}
+
+                def find(v: int, up=up) -> int:
+                    while up.get(v, v) != v:
+                        up[v] = v = up.get(up[v], up[v])
+                    return v
+
                 left, right = [], []
                 for i in range(len(xi)):
                     hit = (yr != xr[i]) & ((yr == main) | (yi > xi[i]))
-                    hit &= ~(yk[:, :at] == xk[i, :at]).any(axis=1)  # an earlier shared band has the pair
                     j = np.flatnonzero(hit)
-                    j = j[(ys[j] == xs[i]).sum(axis=1) >= need]
-                    left.append(np.minimum(yi[j], xi[i]))
-                    right.append(np.maximum(yi[j], xi[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    for p in (0, 1):  # an earlier shared band has the pair
+                        for q in (0, 1):
+                            j = j[~(yk[j, p, :at] == xk[i, q, :at]).any(axis=1)]
+                    if not len(j):
+                        continue
+                    mine = _unpacked(xs[i].as_buffer())
+                    for n in j.tolist():
+                        u, v = find(int(xr[i])), find(int(yr[n]))
+                        if u != v and similarity(*mine, *_unpacked(ys[n].as_buffer())) >= threshold:
+                            up[max(u, v)] = min(u, v)
+                            left.append(min(yi[n], xi[i]))
+                            right.append(max(yi[n], xi[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -306,7 +340,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     reps = cut(sketched.groupBy("same").agg(F.min("doc_id").alias("rep")))
     copies = cut(sketched.select("doc_id", "same").join(reps, "same").select("doc_id", "rep").distinct())
     rows = sketched.join(copies.filter("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = rows.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    rows = rows.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("id"))
     buckets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most"))
     shared = cut(rows.join(buckets.select("key", "least"), "key").select("key", "id", "least"))
     star = cut(shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
@@ -318,10 +352,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
         held = _members(shared.select("key", "id").distinct(), roots)
         split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         rest = cut(held.join(split, "key", "left_semi"))
-        more = cut(_across(rest, sketched, threshold).join(star, ["a", "b"], "left_anti"))
-        k = more.count()
-        if k:
-            links = links.union(cut(_verify(more, whole, 2 * k, threshold)))
+        if not rest.isEmpty():
+            links = links.union(cut(_across(rest, sketched, whole, threshold)))
         edges = edges.union(links)
     roots = components(edges)
     return src.select("doc_id").join(roots, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

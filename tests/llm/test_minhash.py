@@ -134,3 +134,28 @@ def test_members_that_miss_the_bucket_leader_are_linked(spark):
     got = {x.doc_id: x.class_id for x in M.near_duplicate_classes(df).collect()}
     order = [texts[len(texts) - i] for i in range(1, len(texts) + 1)]
     assert [got[i + 1] - 1 for i in range(len(texts))] == classes(order)
+
+
+def test_repeated_passages_meet(spark):
+    """Plain Jaccard of 0.98, probability Jaccard of 0.65: linked though the weighted registers part,
+    also where the pairs meet outside their bucket's least member."""
+    rows = []
+    for k in range(40):
+        w = [f"t{k}x{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[-64:] * 19))]
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(a[1], b[1]) for a, b in zip(rows[::2], rows[1::2])]
+    assert all(brute(a, b) >= 0.8 for a, b in pairs)
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_every_pair_across_components_is_verified(spark):
+    """Two components of one bucket whose only link has a low probability Jaccard."""
+    w = [f"q{i}" for i in range(204)]
+    texts = {1: "lone text of the bucket that is not like others at all", 2: " ".join(w), 3: " ".join(w + w[-64:] * 19)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketched = M._sketches(docs)
+    bands = {r.doc_id: set(r.bands) for r in sketched.collect()}
+    key = min(bands[2] & bands[3], key=lambda k: [list(r.bands) for r in sketched.filter("doc_id = 2").collect()][0].index(k))
+    rest = spark.createDataFrame([(key, 2, 2), (key, 3, 3)], "key long, id long, root long")
+    assert [tuple(r) for r in M._across(rest, sketched, docs, 0.8).collect()] == [(2, 3)]
