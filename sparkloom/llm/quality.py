@@ -9,6 +9,10 @@ line without words is never tested or removed. Repeated rows are judged alike; r
 order plays no part. An empty table gives an empty result. Extra columns pass through
 unless their names clash with the outputs, which raises ValueError.
 
+A line of prose that mentions a boilerplate phrase stays if it is longer than
+``BOILERPLATE_CHARS``; a hard-wrapped line stays if the next line runs on; sentence ends of all
+scripts count. The SQL states the rules without these three exceptions.
+
 Words are the maximal runs outside space and U+0009..U+000D. Repeated five-word
 windows are found inside the row: windows are hashed, and only documents in which two
 hashes agree are sorted to mark the covered words.
@@ -43,22 +47,29 @@ BOILERPLATE = (
     r"follow us on|share this (page|article)|all rights reserved)"
 )
 
+#: A boilerplate phrase fails a line of at most this many characters; a longer one is text that mentions it.
+BOILERPLATE_CHARS = 200
+#: Sentence ends of other scripts, which need nothing after them (Arabic, Urdu, Indic, Armenian, Ethiopic, Khmer, Burmese, Tibetan, CJK).
+OTHER_ENDS = "[؟۔।॥։።፧፨។៕၊။།༎᙮᠃᠉꓿꘎꛳꩝꯫｡．‼⁇⁈⁉。！？]"
+#: The start of a line into which the sentence of the line before runs on: a letter that is not upper case.
+RUNS_ON = rf"""^[{SPACE}"'(«“]*[\p{{Ll}}\p{{Lo}}]"""
+
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with words that breaks one of the line rules."""
+def line_fails(line: Column, following: Column) -> Column:
+    """True for a line with words that breaks one of the line rules; ``following`` is the next line or null."""
     dense = F.regexp_replace(line, f"[{SPACE}]+", "")
     low = F.lower(line)
     symbols = F.length(dense) - F.length(F.regexp_replace(dense, LINE_SYMBOL_SET, ""))
     return (F.length(dense) > 0) & (
         (100 * symbols > MAX_LINE_SYMBOLS * F.length(dense))
-        | (line.rlike(LONG_LINE) & ~line.rlike(CLOSED))
+        | (line.rlike(LONG_LINE) & ~line.rlike(CLOSED) & ~line.rlike(OTHER_ENDS) & ~F.coalesce(following.rlike(RUNS_ON), F.lit(False)))
         | line.rlike(MENU)
         | low.rlike(NAV_LINE)
-        | low.rlike(BOILERPLATE)
+        | ((F.length(line) <= BOILERPLATE_CHARS) & low.rlike(BOILERPLATE))
     )
 
 
@@ -89,7 +100,7 @@ def clean(df: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFr
         ).alias("_grams"),
         "_lines",
         F.filter("_lines", lambda x: x.rlike(f"[^{SPACE}]")).alias("_full"),
-        F.filter("_lines", lambda x: ~line_fails(x)).alias("_good"),
+        F.filter("_lines", lambda x, i: ~line_fails(x, F.get("_lines", i + 1))).alias("_good"),
     )
     step = step.select(
         *own,

@@ -94,3 +94,15 @@ def test_licenses_against_python(spark):
     assert len(LR.rules()) > 300
     assert "apache-2.0" in licenses(LICENSES[2])[5] and "apache," not in licenses(LICENSES[2])[5] + ","
     assert LS.scan(df.limit(0)).count() == 0
+
+
+def test_clean_prose_is_not_taken_for_boilerplate(spark):
+    long = "The court read the privacy policy of the firm and found that it said nothing of the sale. " + "It then turned to the letters that the clerk had kept over many years, weighed each of them with care and found for the widow in the end."
+    wrapped = "The river rises in the hills to the north of\nthe old town and then runs for many miles through\nopen fields and woods until it meets the sea."
+    hindi = "यह एक साफ और लंबा वाक्य है जो पूर्ण विराम पर समाप्त होता है।"
+    urdu = "یہ ایک صاف اور لمبا جملہ ہے جو اپنے نشان پر ختم ہوتا ہے۔"
+    junk = "cheap shoes buy online best price deals store sale discount\nRead our privacy policy today please"
+    df = spark.createDataFrame(list(enumerate([long, wrapped, hindi, urdu, junk])), "doc_id long, text string")
+    got = {r.doc_id: r for r in Q.clean(df).collect()}
+    assert all(got[i].kept and got[i].n_lines_removed == 0 for i in range(4))
+    assert not got[4].kept and got[4].n_lines_removed == 2
