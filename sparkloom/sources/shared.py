@@ -1,4 +1,8 @@
-"""A folder that all executors share, for sinks and checkpoints."""
+"""Folders that all executors share, for streams and for what operators read twice.
+
+Executors may be lost and do not share folders with the driver, so what is read twice is
+written as Parquet below ``spark.checkpoint.dir``. An application's folder goes with it.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,54 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder (as a URI) below spark.checkpoint.dir; a local one in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder (as a URI) below the cluster's shared checkpoint folder.
+
+    A folder of this machine is used only when the setting is absent, which is
+    accepted in local mode alone.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        kept = spark.sparkContext.getCheckpointDir()
+        if kept:
+            root = kept
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = Path(tempfile.mkdtemp(prefix="loom-shared-")).as_uri()
+            spark.sparkContext.setCheckpointDir(root)
+        else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = Path(tempfile.mkdtemp(prefix="loom-shared-")).as_uri()
-    if root.startswith("/"):
-        root = Path(root).as_uri()
-    return f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    if "://" not in root and not root.startswith("file:"):
+        root = Path(root).as_uri() if root.startswith("/") else root
+    own = f"{root.rstrip('/')}/loom-{spark.sparkContext.applicationId}"
+    if own not in _MARKED:  # the application's folder goes when its JVM ends
+        fs, path = _hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/cut"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote. Only for those whose every reader has been written itself."""
+    for df in cuts:
+        fs, path = _hadoop(df.sparkSession, df._cut_path)
+        fs.delete(path, True)
