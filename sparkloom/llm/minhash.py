@@ -7,12 +7,12 @@ their exact probability Jaccard over these weights and their plain Jaccard over
 distinct shingles; texts at ``THRESHOLD`` or more are linked, and a class is a
 connected component of the links, named by its least doc_id.
 
-Steps: texts with equal words are merged first. Each remaining text gets ``BANDS`` x
-``ROWS`` registers: its shingles arrive by Poisson processes with their weights as
-rates, each arrival draws a register, a register keeps its first arrival, and a
-shingle's process ends as soon as it is later than every register. A text with a repeated
+Steps: texts with equal words are one vertex, known by a 64-bit hash of its word sequence.
+Each vertex gets ``BANDS`` x ``ROWS`` registers: its shingles arrive by Poisson processes with
+their weights as rates, each arrival draws a register, a register keeps its first arrival, and
+a shingle's process ends as soon as it is later than every register. A text with a repeated
 shingle gets as many registers again, with every weight 1, so that plain Jaccard links are
-proposed too (without repeats both sets are the same). Texts that share a
+proposed too (without repeats both sets are the same). Vertices that share a
 band meet in a bucket. Buckets are never expanded into all pairs: each member is
 verified against the bucket's least member, links are joined into components, and
 only members outside the component that is largest in their bucket are then verified
@@ -22,10 +22,13 @@ block has linked already are passed over, and only links that join components co
 
 Shared-band probability at a similarity of 0.8: 1 - (1 - 0.8^7)^40 = 0.9999.
 
-Edge cases: a null text or doc_id is in no class with others (a null doc_id keeps a
-null class); texts without words but not null are equal to each other. Repeated rows
-of one doc_id come out repeated, with one class. Ties are broken by the least doc_id.
-An empty table gives an empty result. Extra columns are not read. doc_id is a long.
+Edge cases: a row is judged by its own text, so rows of one doc_id with different texts may
+have different classes; repeated rows come out repeated, with one class. A row with a null
+text or doc_id is in no class with others (its class is its doc_id); texts without words but
+not null are equal to each other. Ties are broken by the least doc_id. A very long text is
+hashed whole by one task, which takes about 60 bytes of memory a word. An empty table gives an
+empty result. Extra columns are not read, and ``keep_one`` passes them through under any name.
+doc_id is a long.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .store import cut, ship, slices
+from .store import column, cut, free, ship, slices, unused
 
 ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
@@ -187,19 +190,31 @@ def similarity(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) ->
     return max(plain, weighted_)
 
 
-_SKETCH = "doc_id long, same binary, bands array<long>"
+def identities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of the word sequence of each text."""
+    first = np.concatenate([[0], np.cumsum(counts)])
+    position = np.arange(len(h)) - np.repeat(first[:-1], counts)
+    out = mix(counts.astype(np.uint64))
+    with np.errstate(over="ignore"):
+        for salt in (1, 1 << 40):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + mix(position.astype(np.uint64) + _U(salt))), dtype=np.uint64)])
+            out = mix(out ^ (sums[first[1:]] - sums[first[:-1]]))
+    return out.view(np.int64)
+
+
+_SKETCH = "doc_id long, mark long, id long, bands array<long>"
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, mark, id, bands) of rows (doc_id, mark, text)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big, "text", max_rows=500, max_bytes=TOGETHER):
-                texts = b.column(1).to_pylist()
+                texts = b.column(2).to_pylist()
                 h, counts = word_hashes(texts)
-                win, owner = shingles(h, counts)
-                o, w, c = weighted(win, owner)
+                o, w, c = weighted(*shingles(h, counts))
                 held = sketch(o, w, c, len(texts))
                 keys = list(bands(held).view(np.int64))
                 more = np.unique(o[c > 1])  # without repeats the plain registers are the same
@@ -208,40 +223,37 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     plain = sketch(np.searchsorted(more, o[mine]), w[mine], np.ones(mine.sum(), np.int64), len(more))
                     for k, extra in zip(more, bands(plain).view(np.int64), strict=True):
                         keys[k] = np.concatenate([keys[k], extra])
-                first = np.concatenate([[0], np.cumsum(counts)])
-                position = np.arange(len(h)) - np.repeat(first[:-1], counts)
-                with np.errstate(over="ignore"):
-                    parts = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + mix(position.astype(np.uint64) + _U(salt))), dtype=np.uint64)]) for salt in (1, 1 << 40)]
-                    same = [p[first[1:]] - p[first[:-1]] for p in parts]
-                ids = [x.tobytes() + y.tobytes() + n.tobytes() for x, y, n in zip(*same, counts.astype(np.uint64), strict=True)]
                 lists = [k if n else [] for k, n in zip(keys, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(identities(h, counts)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "mark", "id", "bands"])
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, _SKETCH)
 
 
-def _sets(ids: DataFrame, docs: DataFrame, n_ids: int) -> DataFrame:
-    """Rows (id, packed) with the distinct shingles and counts of at least the ``ids``. Texts are
-    re-read; a Bloom filter (bounded, see ``bloom``) keeps others out of the shuffle."""
+def _sets(ids: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (id, packed) with the distinct shingles and counts of at least the vertices ``ids``.
+    The texts of their representatives are re-read; a Bloom filter (bounded, see ``bloom``) keeps
+    others out of the shuffle."""
     spark = docs.sparkSession
-    bitmap, bits = bloom.of_column(ids, "id", n_ids)
+    named = lambda d, who: F.xxhash64(d[who], d["mark"])
+    wanted = cut(vertices.join(ids, "id", "left_semi").select(named(vertices, "rep").alias("h")))
+    bitmap, bits = bloom.of_column(wanted, "h", wanted.count())
+    free(wanted)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = bloom.contains(shared.value, b.column(0).to_numpy().view(np.uint64), bits)
             if hit.any():
-                b = b.filter(pa.array(hit))
-                for s in slices(b, "text", max_rows=500, max_bytes=TOGETHER):
-                    texts = s.column(2).to_pylist()
-                    o, w, c = weighted(*shingles(*word_hashes(texts)))
+                for s in slices(b.filter(pa.array(hit)), "text", max_rows=500, max_bytes=TOGETHER):
+                    texts = s.column(1).to_pylist()
+                    h, counts = word_hashes(texts)
+                    o, w, c = weighted(*shingles(h, counts))
                     cuts = np.searchsorted(o, np.arange(len(texts) + 1))
                     sets = [np.concatenate([w[x:y].view(np.int64), c[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([s.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(identities(h, counts)), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "packed"])
 
-    sets = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(maybe, "id long, packed binary")
-    # a repeated doc_id keeps one of its texts, chosen by value
-    return cut(sets.groupBy("id").agg(F.max("packed").alias("packed")))
+    sets = docs.select(F.xxhash64(named(docs, "doc_id")).alias("h"), "text").mapInArrow(maybe, "id long, packed binary")
+    return cut(sets.groupBy("id").agg(F.max("packed").alias("packed")))  # equal words have equal sets
 
 
 def _unpacked(raw) -> tuple[np.ndarray, np.ndarray]:
@@ -249,10 +261,10 @@ def _unpacked(raw) -> tuple[np.ndarray, np.ndarray]:
     return u[: len(u) // 2].view(np.uint64), u[len(u) // 2 :]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) at the threshold or more."""
+def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) at the threshold or more, written."""
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    sets = _sets(ids, docs, n_ids)
+    sets = _sets(ids, vertices, docs)
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
@@ -264,7 +276,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, n_ids: int, threshold: float) ->
                 ok.append(similarity(*_unpacked(x.as_buffer()), *_unpacked(y.as_buffer())) >= threshold)
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(test, "a long, b long")
+    links = cut(both.mapInArrow(test, "a long, b long"))
+    free(sets)
+    return links
 
 
 def _members(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -272,15 +286,17 @@ def _members(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("root", "r"), "id", "left").select("key", "id", F.coalesce("r", "id").alias("root"))
 
 
-def _across(rest: DataFrame, sketched: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join different components which share a bucket of ``rest`` (key, id, root):
+def _across(rest: DataFrame, single: DataFrame, vertices: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b), written, that join different components which share a bucket of ``rest`` (key, id, root):
     every pair of a member outside the bucket's main component and one of another component is
     verified, in its first shared band, unless links of the same block join them already."""
     sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     per = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     ids = cut(rest.select("id").distinct())
-    marks = sketched.select(F.col("doc_id").alias("id"), "bands").join(ids, "id", "left_semi").groupBy("id").agg(F.max("bands").alias("bands"))
-    known = cut(marks.join(_sets(ids, docs, ids.count()), "id"))
+    marks = single.select("id", "bands").join(ids, "id", "left_semi").groupBy("id").agg(F.max("bands").alias("bands"))
+    sets = _sets(ids, vertices, docs)
+    known = cut(marks.join(sets, "id"))
+    free(ids, sets)
     weight = rest.join(known.select("id", F.length("packed").alias("size")), "id").groupBy("key").agg(F.sum("size").alias("size"))
     full = rest.join(known, "id").join(per.join(weight, "key"), "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
     listed = lambda d, to: d.groupBy("key", "salt").agg(F.max("main").alias("main"), F.collect_list(F.struct("id", "root", "bands", "packed")).alias(to)).drop("salt")
@@ -327,40 +343,64 @@ def _across(rest: DataFrame, sketched: DataFrame, docs: DataFrame, threshold: fl
                             right.append(max(yi[n], xi[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    links = cut(both.mapInArrow(run, "a long, b long"))
+    free(known)
+    return links
 
 
-def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, class_id): one for each row of ``docs``; class_id is the least doc_id of the class."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    whole = src.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sketched = cut(_sketches(whole))
-    # equal texts: one representative each; pre-aggregated, so a group of any size is one row a task
-    # (written, so that the join reads plain shuffles on both sides and a hot group can be split)
-    reps = cut(sketched.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    copies = cut(sketched.select("doc_id", "same").join(reps, "same").select("doc_id", "rep").distinct())
-    rows = sketched.join(copies.filter("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = rows.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("id"))
+def _links(vertices: DataFrame, single: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between vertices, enough to join every class."""
+    rows = single.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
     buckets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most"))
     shared = cut(rows.join(buckets.select("key", "least"), "key").select("key", "id", "least"))
+    free(buckets)
     star = cut(shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    n = star.count()
-    edges = copies.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    if n:
-        links = cut(_verify(star, whole, 2 * n, threshold))
-        roots = components(links)
-        held = _members(shared.select("key", "id").distinct(), roots)
-        split = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rest = cut(held.join(split, "key", "left_semi"))
-        if not rest.isEmpty():
-            links = links.union(cut(_across(rest, sketched, whole, threshold)))
-        edges = edges.union(links)
-    roots = components(edges)
-    return src.select("doc_id").join(roots, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    if star.isEmpty():
+        return star
+    links = _verify(star, vertices, docs, threshold)
+    free(star)
+    held = cut(_members(shared.select("key", "id").distinct(), components(links)))
+    free(shared)
+    split = cut(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"))
+    rest = cut(held.join(split, "key", "left_semi"))
+    free(held, split)
+    return links if rest.isEmpty() else links.union(_across(rest, single, vertices, docs, threshold))
+
+
+def _row_classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """Rows (doc_id, mark, class_id) of rows (doc_id, mark, text) without nulls."""
+    sketched = cut(_sketches(docs))
+    # equal words: one vertex; pre-aggregated, so a group of any size is one row a task (written,
+    # so that the joins read plain shuffles on both sides and a hot group can be split)
+    vertices = cut(sketched.groupBy("id").agg(F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("mark")))
+    one = vertices.select("id", F.col("rep").alias("doc_id"), "mark")
+    single = cut(sketched.select("id", "doc_id", "mark", "bands").join(one, ["id", "doc_id", "mark"], "left_semi").select("id", "bands"))
+    roots = components(_links(vertices, single, docs, threshold))
+    free(single)
+    inner = roots.join(vertices, "id").select("root", "rep").union(roots.select("root").distinct().join(vertices, F.col("root") == F.col("id")).select("root", "rep"))
+    names = cut(inner.groupBy("root").agg(F.min("rep").alias("name")))
+    named = roots.join(names, "root").select("id", "name").union(names.select(F.col("root").alias("id"), "name"))
+    labels = cut(vertices.join(named, "id", "left").select("id", F.coalesce("name", "rep").alias("class_id")))
+    free(names, vertices)
+    return sketched.select("doc_id", "mark", "id").join(labels, "id").select("doc_id", "mark", "class_id")
+
+
+def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(column(doc_id).cast("long").alias("doc_id"), F.xxhash64(column(text)).alias("mark"), column(text).alias("text"))
+
+
+def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, class_id): one for each row of ``docs``; class_id is the least doc_id of the class."""
+    src = _source(docs, text, doc_id)
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    alone = src.filter(~whole).select("doc_id", F.col("doc_id").alias("class_id"))
+    return _row_classes(src.filter(whole), threshold).select("doc_id", "class_id").union(alone)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose class is named by another document."""
-    classes = near_duplicate_classes(docs, text, doc_id, threshold)
-    gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    src = _source(docs, text, doc_id).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    gone = _row_classes(src, threshold).filter("class_id <> doc_id")
+    i, m = unused(docs, "gone_id"), unused(docs, "gone_mark")
+    gone = gone.select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct()
+    return docs.join(gone, (column(doc_id).cast("long") == F.col(i)) & (F.xxhash64(column(text)) == F.col(m)), "left_anti")

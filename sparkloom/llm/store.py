@@ -1,47 +1,32 @@
-"""Shared storage, lineage cuts and code shipping for the operators.
-
-Executors may be lost and do not share folders with the driver, so everything that
-is read twice is written as Parquet below ``spark.checkpoint.dir``.
-"""
+"""Lineage cuts, code shipping and internal column names for the operators."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import cut, free, shared_dir
+
+__all__ = ["column", "cut", "free", "shared_dir", "ship", "slices", "unused"]
 
 _SHIPPED: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder (as a URI) below the cluster's shared checkpoint folder.
+def column(name: str) -> Column:
+    """The column of this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    A folder of this machine is used only when the setting is absent, which is
-    accepted in local mode alone.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            root = kept
-        elif spark.sparkContext.master.split("[")[0] == "local":
-            root = Path(tempfile.mkdtemp(prefix="loom-shared-")).as_uri()
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if "://" not in root and not root.startswith("file:"):
-        root = Path(root).as_uri() if root.startswith("/") else root
-    return f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/cut"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -100,7 +100,53 @@ def test_classes_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(M.near_duplicate_classes(df).collect(), key=str)
     assert sorted(map(tuple, got), key=str) == sorted([(None, None), (1, 1), (1, 1), (2, 2)], key=str)
-    assert M.near_duplicate_classes(df.limit(0)).count() == 0
+    assert M.keep_one(df.limit(0)).count() == 0
+    clash = df.withColumnsRenamed({"text": "gone_id"}).withColumns({"gone_mark": F.lit(1), "class_id": F.lit(2), "a.b": F.lit(3)})
+    kept = M.keep_one(clash, text="gone_id")
+    assert kept.columns == clash.columns and kept.count() == 4
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(7, a), (7, b), (8, b + " tail"), (9, a + " tail"), (9, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, M.near_duplicate_classes(df).collect())) == [(7, 7), (7, 7), (8, 7), (9, 7), (9, 9)]
+    assert sorted(map(tuple, M.keep_one(df).collect())) == sorted([(7, a), (7, b), (9, "alone")])
+
+
+def test_a_very_long_text_meets_its_copy(spark):
+    long = " ".join("w%d" % (i * 7919 % 50021) for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " one more"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in M.near_duplicate_classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_recall_on_documents(spark):
+    """Links of the module's own similarity at 0.8 or more, by brute force over shared shingles."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text}
+    o, w, c = M.weighted(*M.shingles(*M.word_hashes(list(docs.values()))))
+    cuts = np.searchsorted(o, np.arange(len(docs) + 1))
+    sets = {i: (w[x:y], c[x:y]) for i, x, y in zip(docs, cuts, cuts[1:])}
+    by = defaultdict(list)
+    for i, (hashes, _) in sets.items():
+        for x in hashes.tolist():
+            by[x].append(i)
+    shared = Counter((a, b) for v in by.values() for a in v for b in v if a < b)
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.3 * min(len(sets[a][0]), len(sets[b][0])) and M.similarity(*sets[a], *sets[b]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    linked = sum(got[a] == got[b] for a, b in near)
+    assert len(near) > 50 and linked >= 0.99 * len(near)
+
+
+@pytest.mark.parametrize(("block", "times"), [(10, 20), (5, 60)])
+def test_recall_on_repeated_blocks(spark, block, times):
+    rows = []
+    for k in range(60):
+        w = [f"b{k}x{i}" for i in range(150)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[70 : 70 + block] * times))]
+    pairs = [(x, y) for (_, x), (_, y) in zip(rows[::2], rows[1::2])]
+    assert all(brute(x, y) >= 0.8 for x, y in pairs)
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(60)) == 60
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -153,9 +199,11 @@ def test_every_pair_across_components_is_verified(spark):
     """Two components of one bucket whose only link has a low probability Jaccard."""
     w = [f"q{i}" for i in range(204)]
     texts = {1: "lone text of the bucket that is not like others at all", 2: " ".join(w), 3: " ".join(w + w[-64:] * 19)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs = M._source(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "text", "doc_id")
     sketched = M._sketches(docs)
-    bands = {r.doc_id: set(r.bands) for r in sketched.collect()}
-    key = min(bands[2] & bands[3], key=lambda k: [list(r.bands) for r in sketched.filter("doc_id = 2").collect()][0].index(k))
-    rest = spark.createDataFrame([(key, 2, 2), (key, 3, 3)], "key long, id long, root long")
-    assert [tuple(r) for r in M._across(rest, sketched, docs, 0.8).collect()] == [(2, 3)]
+    ids = {r.doc_id: r.id for r in sketched.collect()}
+    bands = {r.doc_id: list(r.bands) for r in sketched.collect()}
+    key = next(k for k in bands[2] if k in bands[3])
+    vertices = sketched.select("id", F.col("doc_id").alias("rep"), "mark")
+    rest = spark.createDataFrame([(key, ids[i], ids[i]) for i in (2, 3)], "key long, id long, root long")
+    assert [tuple(r) for r in M._across(rest, sketched, vertices, docs, 0.8).collect()] == [tuple(sorted((ids[2], ids[3])))]
