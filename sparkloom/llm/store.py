@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, free, shared_dir
 
-__all__ = ["column", "cut", "free", "shared_dir", "ship", "slices", "unused"]
+__all__ = ["column", "cut", "fence", "free", "shared_dir", "ship", "slices", "unused"]
 
 _SHIPPED: set[str] = set()
 
@@ -29,6 +29,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """``df``, behind an unnesting of one-row arrays: what lies below is computed once for each row.
+    Neither filters nor projections above are merged into it, where an expression could be copied
+    into another's lambda and run for each of its elements."""
+    row = F.explode_outer(F.array(F.struct(*(column(c) for c in df.columns)))).alias("row")
+    return df.select(row).select("row.*")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context."""
     app = spark.sparkContext.applicationId

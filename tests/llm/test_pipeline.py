@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import regex
+
 import corpus_pipeline as P
 from sparkloom.llm import bpe, decontaminate as D, line_dedup as L, quality as Q
 from tests.llm.test_minhash import bag, brute, words
@@ -11,12 +13,13 @@ from tests.llm.test_native import base_counts
 SPACE = " \t\n\v\f\r"
 
 
-def line_fails(x):
-    dense = re.sub(f"[{SPACE}]+", "", x)
-    if not dense:
-        return False
-    sym = len(re.findall(Q.LINE_SYMBOL_SET, dense))
-    return bool(100 * sym > Q.MAX_LINE_SYMBOLS * len(dense) or (re.search(Q.LONG_LINE, x) and not re.search(Q.CLOSED, x)) or re.search(Q.MENU, x) or re.search(Q.NAV_LINE, x.lower()) or re.search(Q.BOILERPLATE, x.lower()))
+def line_fails(x, following):
+    dense = regex.sub(f"[{SPACE}]+", "", x)
+    sym = len(regex.findall(Q.LINE_SYMBOL_SET, dense))
+    runs_on = following is not None and regex.search(Q.RUNS_ON, following)
+    open_ = regex.search(Q.LONG_LINE, x) and not regex.search(Q.CLOSED, x) and not regex.search(Q.OTHER_ENDS, x) and not runs_on
+    said = len(x) <= Q.BOILERPLATE_CHARS and regex.search(Q.BOILERPLATE, x.lower())
+    return bool(100 * sym > Q.MAX_LINE_SYMBOLS * len(dense) or open_ or regex.search(Q.MENU, x) or (len(x) <= Q.NAV_CHARS and regex.search(Q.NAV_LINE, x.lower())) or said)
 
 
 def quality(docs):
@@ -24,9 +27,10 @@ def quality(docs):
     for i, t in docs.items():
         lines = (t or "").split("\n")
         n, *_, rep = base_counts(t)
-        bad = [x for x in lines if line_fails(x)]
+        fails = [line_fails(x, y) for x, y in zip(lines, [*lines[1:], None])]
+        bad = [x for x, f in zip(lines, fails) if f]
         if n >= 10 and 100 * rep <= 20 * n and 100 * sum(map(len, bad)) <= Q.MAX_LOST * sum(map(len, lines)):
-            out[i] = "\n".join(x for x in lines if not line_fails(x)) if bad else t
+            out[i] = "\n".join(x for x, f in zip(lines, fails) if not f) if bad else t
     return out
 
 
@@ -75,9 +79,9 @@ def leaks(docs, items):
         for k, m in enumerate(D.MASKS):
             for p in range(len(d) - len(m) + 1):
                 for w, q in seeds.get((k, tuple(d[p + j] for j, x in enumerate(m) if x == "1")), ()):
-                    lo, hi = max(-D.REACH, -q, -p), min(len(m) + D.REACH, len(w) - q, len(d) - p)
-                    same = sum(d[p + o] == w[q + o] for o in range(lo, hi))
-                    hit |= len(w) >= 5 and hi - lo >= min(D.MIN_WINDOW, len(w)) and same / (hi - lo) >= D.MIN_SHARE
+                    wide = min(D.MIN_WINDOW, len(w))
+                    lo, hi = max(len(m) - wide, -q, -p), min(wide, len(w) - q, len(d) - p)
+                    hit |= len(w) >= 5 and any(sum(d[p + o] == w[q + o] for o in range(s, s + wide)) >= D.MIN_SHARE * wide for s in range(lo, hi - wide + 1))
         if not hit:
             out[i] = t
     return out
