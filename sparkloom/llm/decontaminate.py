@@ -3,19 +3,25 @@
 Fixed masks pick five tokens out of a short span and ignore the others, so a seed
 still agrees when an ignored token was replaced. Hashes of the test items' seeds are
 joined with the hashes at every position of every training text; each agreement is
-verified by comparing the aligned tokens around it, and a window counts when at least
-``MIN_SHARE`` of them are equal.
-
-A window reaches ``REACH`` tokens beyond the seed on both sides, inside the item and
-the text. It must hold ``MIN_WINDOW`` tokens, or the whole item when that is shorter.
-
-Edge cases: null or empty texts have no tokens and match nothing; items of fewer than
-five tokens are ignored; a null doc_id or item_id is a value like any other; repeated
-rows with one id give one result row for each (doc_id, item_id). Empty tables give an
-empty result. Only the id and text columns are read, so further columns cannot clash.
-
-The seeds are broadcast only up to ``max_broadcast`` rows, counted first; beyond
-that the seeds and positions are joined by shuffle and texts are joined back by id.
+verified around the seed: all windows of ``MIN_WINDOW`` aligned tokens that hold the seed, inside
+the item and the text, are compared token by token (the whole item where it is shorter), and
+the agreement counts when at least ``MIN_SHARE`` of the tokens of the best window are equal.
+
+Items of fewer than five tokens have no spaced seed; with ``short`` they are found as whole runs of
+their tokens. ``drop_contaminated`` leaves them out unless told otherwise: a text that holds an
+answer like "yes" is not contaminated.
+
+Edge cases: null or empty texts have no tokens and match nothing; a null doc_id or item_id is a
+value like any other. Texts are known by id and text, so several rows of one id are all searched
+and their agreements added up in one result row for each (doc_id, item_id); repeated rows count
+once. Ties cannot occur. Empty tables give an empty result. Only the id and text columns are
+read, so further columns cannot clash, and ``drop_contaminated`` passes them through under any
+name. A very long text is searched by one task, which holds its tokens and one hash a mask and
+position.
+
+The seeds are broadcast only up to ``max_broadcast`` rows, counted first; beyond that seeds and
+positions are joined by shuffle, without the texts, which are joined once to the pairs of a
+text and an item that agree somewhere. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -23,8 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import column, unused
+
 MASKS = ("11111", "1101011", "110010011")
-REACH = 6
+#: For items of one to four tokens: all of them.
+SHORT = ("1", "11", "111", "1111")
 MIN_WINDOW = 13
 MIN_SHARE = 0.8
 MAX_BROADCAST = 500_000
@@ -36,20 +45,19 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN), "")
 
 
-def _seed_array(mask: int, words: str) -> str:
-    span = len(MASKS[mask])
-    picked = ", ".join(f"{words}[i + {k}]" for k, x in enumerate(MASKS[mask]) if x == "1")
-    return f"CASE WHEN size({words}) >= {span} THEN transform(sequence(0, size({words}) - {span}), i -> xxhash64({mask}, {picked})) ELSE array() END"
+def _seed_array(mask: str, words: str) -> str:
+    picked = ", ".join(f"{words}[i + {k}]" for k, x in enumerate(mask) if x == "1")
+    return f"CASE WHEN size({words}) >= {len(mask)} THEN transform(sequence(0, size({words}) - {len(mask)}), i -> xxhash64('{mask}', {picked})) ELSE array() END"
 
 
-def _positions(df: DataFrame, words: str, hash_: str, pos: str, span: str, keep: list[str]) -> DataFrame:
+def _positions(df: DataFrame, masks: tuple[str, ...], words: str, hash_: str, pos: str, span: str, keep: list[str]) -> DataFrame:
     """One row for each mask and position: the seed's hash, its start and the mask's span."""
-    lens = [f"greatest(0, size({words}) - {len(m) - 1})" for m in MASKS]
-    seeds = df.select(*keep, words, F.expr("concat(" + ", ".join(_seed_array(k, words) for k in range(len(MASKS))) + ")").alias("_h"))
+    lens = [f"greatest(0, size({words}) - {len(m) - 1})" for m in masks]
+    seeds = df.select(*keep, words, F.expr("concat(" + ", ".join(_seed_array(m, words) for m in masks) + ")").alias("_h"))
     # outer: an inner explode infers a filter that inlines the token split into every lambda
     rows = seeds.select(*keep, words, F.posexplode_outer("_h").alias("_p", hash_))
     where, wide, before = "CASE", "CASE", "0"
-    for k, m in enumerate(MASKS):
+    for k, m in enumerate(masks):
         upto = f"{before} + {lens[k]}"
         where += f" WHEN _p < {upto} THEN _p - ({before})"
         wide += f" WHEN _p < {upto} THEN {len(m)}"
@@ -58,59 +66,70 @@ def _positions(df: DataFrame, words: str, hash_: str, pos: str, span: str, keep:
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """Windows around the seeds that hold, from rows with dw, dp (text) and iw, ip, span (item)."""
-    lo = f"greatest(-{REACH}, -ip, -dp)"
-    hi = f"least(span + {REACH}, size(iw) - ip, size(dw) - dp)"
-    win = hits.withColumns({"lo": F.expr(lo), "hi": F.expr(hi)})
-    win = win.filter(F.expr(f"hi - lo >= least({MIN_WINDOW}, size(iw))"))
-    same = F.expr("size(filter(sequence(lo, hi - 1), o -> dw[dp + o] = iw[ip + o]))")
-    return win.withColumn("share", same / (F.col("hi") - F.col("lo"))).filter(F.col("share") >= MIN_SHARE)
+    """The agreements that hold, with their share, from rows with dw, dp (text) and iw, ip, span (item)."""
+    width = F.expr(f"least({MIN_WINDOW}, size(iw))")
+    win = hits.withColumn("wide", width).withColumns({"lo": F.expr("greatest(span - wide, -ip, -dp)"), "hi": F.expr("least(wide, size(iw) - ip, size(dw) - dp)")})
+    win = win.filter("hi - lo >= wide")
+    win = win.withColumn("eq", F.expr("transform(sequence(lo, hi - 1), o -> CAST(dw[dp + o] = iw[ip + o] AS INT))")).filter(F.expr(f"aggregate(eq, 0, (a, x) -> a + x) >= {MIN_SHARE} * wide"))
+    best = F.expr("array_max(transform(sequence(0, size(eq) - wide), s -> aggregate(slice(eq, s + 1, wide), 0, (a, x) -> a + x)))")
+    return win.withColumn("share", best / F.col("wide")).filter(F.col("share") >= MIN_SHARE)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, short: bool = True) -> DataFrame:
     """One row (doc_id, item_id, n_windows, best_share) for each pair with a verified overlap."""
-    it = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("iw")).filter(F.size("iw") >= 5).distinct()
-    seeds = _positions(it, "iw", "h", "ip", "span", ["item_id"])
-    dt = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("dw"))
-    at = _positions(dt, "dw", "dh", "dp", "dspan", ["doc_id"])
+    it = items.select(column(item_id).alias("item_id"), tokens(column(item_text)).alias("iw")).filter(F.size("iw") >= (1 if short else 5)).distinct()
+    it = it.select("item_id", "iw", F.xxhash64("iw").alias("ik"))
+    # at most four lengths: the positions of short items are hashed only where there are any
+    lengths = {r[0] for r in it.filter(F.size("iw") < 5).select(F.size("iw")).distinct().collect()}
+    masks = MASKS + tuple(m for m in SHORT if len(m) in lengths)
+    seeds = _positions(it, masks, "iw", "h", "ip", "span", ["item_id", "ik"]).filter("h IS NOT NULL AND (span >= 5 OR span = size(iw))")
+    seeds = seeds.select("h", "item_id", "ik", "ip", "span")
+    dt = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(text)).alias("dk"), tokens(column(text)).alias("dw"))
+    at = _positions(dt, masks, "dw", "dh", "dp", "dspan", ["doc_id", "dk"])
+    same_item = F.col("hit").eqNullSafe(F.col("item_id")) & (F.col("hk") == F.col("ik"))
     if seeds.select(F.lit(1)).limit(max_broadcast + 1).count() <= max_broadcast:
-        small = seeds.select("h", "item_id", "ip", "span")
-        hits = at.join(F.broadcast(small), F.col("dh") == F.col("h")).select("doc_id", "dw", "dp", F.col("item_id").alias("hit"), "ip", "span")
-        hits = hits.join(F.broadcast(it), F.col("hit").eqNullSafe(F.col("item_id")))
+        met = at.join(F.broadcast(seeds.withColumnsRenamed({"item_id": "hit", "ik": "hk"})), F.col("dh") == F.col("h"))
+        hits = met.select("doc_id", "dk", "dw", "dp", "hit", "hk", "ip", "span").join(F.broadcast(it), same_item)
     else:
-        pairs = at.select("doc_id", "dh", "dp").join(seeds.select("h", "item_id", "ip", "span"), F.col("dh") == F.col("h"))
-        pairs = pairs.select(F.col("doc_id").alias("hit_doc"), "dp", F.col("item_id").alias("hit"), "ip", "span").distinct()
-        hits = pairs.join(it, F.col("hit").eqNullSafe(F.col("item_id"))).join(dt, F.col("hit_doc").eqNullSafe(F.col("doc_id")))
-    return _verified(hits).groupBy("doc_id", "item_id").agg(F.countDistinct("dp", "ip", "span").alias("n_windows"), F.max("share").alias("best_share"))
+        met = at.select("doc_id", "dk", "dh", "dp").join(seeds, F.col("dh") == F.col("h"))
+        pairs = met.groupBy(F.col("doc_id").alias("hit_doc"), F.col("dk").alias("hit_dk"), F.col("item_id").alias("hit"), F.col("ik").alias("hk")).agg(F.collect_set(F.struct("dp", "ip", "span")).alias("places"))
+        once = dt.dropDuplicates(["doc_id", "dk"])
+        hits = pairs.join(it, same_item).join(once, F.col("hit_doc").eqNullSafe(F.col("doc_id")) & (F.col("hit_dk") == F.col("dk")))
+        hits = hits.select("doc_id", "item_id", "dk", "ik", "dw", "iw", F.explode("places").alias("p")).select("doc_id", "item_id", "dk", "ik", "dw", "iw", "p.*")
+    found = _verified(hits).select("doc_id", "item_id", "dk", "ik", "dp", "ip", "span", "share")
+    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("dk", "ik", "dp", "ip", "span").alias("n_windows"), F.max("share").alias("best_share"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", short: bool = False, **kw) -> DataFrame:
     """The rows of ``docs`` whose id has no verified overlap; rows with a null id are judged as one."""
-    bad = contaminated(docs, items, doc_id=doc_id, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "bad")
+    bad = contaminated(docs, items, doc_id=doc_id, short=short, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, column(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
 def oracle() -> str:
     """The same pairs as DuckDB SQL."""
     toks = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-    def seeds(words: str, ids: str, source: str) -> str:
+    def seeds(words: str, ids: str, source: str, whole: bool) -> str:
         parts = []
-        for k, m in enumerate(MASKS):
+        for m in MASKS + SHORT:
             key = ", ".join(f"{words}[p + {j + 1}]" for j, x in enumerate(m) if x == "1")
-            parts.append(f"SELECT {ids}, p, {len(m)} AS span, concat_ws(' ', '{k}', {key}) AS h FROM (SELECT {ids}, {words}, unnest(range(0, len({words}) - {len(m) - 1})) AS p FROM {source})")
+            only = f" WHERE len({words}) = {len(m)}" if whole and m in SHORT else ""
+            # texts are searched for runs of a length only if an item has it
+            some = f" WHERE EXISTS (SELECT 1 FROM its WHERE len(iw) = {len(m)})" if not whole and m in SHORT else ""
+            parts.append(f"SELECT {ids}, p, {len(m)} AS span, concat_ws(' ', '{m}', {key}) AS h FROM (SELECT {ids}, {words}, unnest(range(0, len({words}) - {len(m) - 1})) AS p FROM {source}{only}{some})")
         return " UNION ALL ".join(parts)
 
     return f"""
-WITH dt AS (SELECT row_number() OVER () AS r, doc_id, {toks} AS dw FROM documents),
-it AS (SELECT DISTINCT item_id, iw FROM (SELECT item_id, {toks} AS iw FROM benchmark) WHERE len(iw) >= 5),
-its AS (SELECT row_number() OVER () AS ir, item_id, iw FROM it),
-ds AS ({seeds('dw', 'r', 'dt')}),
-bs AS ({seeds('iw', 'ir', 'its')}),
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, dw FROM (SELECT doc_id, {toks} AS dw FROM (SELECT DISTINCT doc_id, text FROM documents))),
+its AS (SELECT row_number() OVER () AS ir, item_id, iw FROM (SELECT DISTINCT item_id, {toks} AS iw FROM benchmark) WHERE len(iw) >= 1),
+ds AS ({seeds('dw', 'r', 'dt', False)}),
+bs AS ({seeds('iw', 'ir', 'its', True)}),
 hits AS (SELECT DISTINCT ds.r, bs.ir, ds.p AS dp, bs.p AS ip, bs.span FROM ds JOIN bs USING (h)),
-win AS (SELECT doc_id, item_id, dw, iw, dp, ip, span, greatest(-{REACH}, -ip, -dp) AS lo,
-  least(span + {REACH}, len(iw) - ip, len(dw) - dp) AS hi FROM hits JOIN dt USING (r) JOIN its USING (ir)),
-ok AS (SELECT *, len(list_filter(range(lo, hi), lambda o: dw[dp + o + 1] = iw[ip + o + 1])) / (hi - lo) AS share FROM win
-  WHERE hi - lo >= least({MIN_WINDOW}, len(iw)))
-SELECT doc_id, item_id, CAST(count(DISTINCT (dp, ip, span)) AS BIGINT) AS n_windows, max(share) AS best_share
+win AS (SELECT doc_id, item_id, r, ir, dw, iw, dp, ip, span, least({MIN_WINDOW}, len(iw)) AS wide FROM hits JOIN dt USING (r) JOIN its USING (ir)),
+sp AS (SELECT *, greatest(span - wide, -ip, -dp) AS lo, least(wide, len(iw) - ip, len(dw) - dp) AS hi FROM win),
+st AS (SELECT *, unnest(range(lo, hi - wide + 1)) AS s FROM sp WHERE hi - lo >= wide),
+ok AS (SELECT doc_id, item_id, r, ir, dp, ip, span, len(list_filter(range(s, s + wide), lambda o: dw[dp + o + 1] = iw[ip + o + 1])) / wide AS share FROM st)
+SELECT doc_id, item_id, CAST(count(DISTINCT (r, ir, dp, ip, span)) AS BIGINT) AS n_windows, max(share) AS best_share
 FROM ok WHERE share >= {MIN_SHARE} GROUP BY doc_id, item_id"""
