@@ -5,20 +5,24 @@ intervals; sorted by start, longest first, then by priority and rule order, an i
 inside one met earlier is suppressed unless its own priority is stronger. The labels of
 what stays, together with those of the base phrases, describe the document.
 
+Every signature is an expression with a constant pattern, so it is compiled once. Running sums and
+maxima over the matches of a text go by blocks of ``BLOCK`` matches, as an array that grows by one
+element is copied each time.
+
 Edge cases: a null text counts as empty: no words, no labels, score 0. Repeated rows are
 scanned alike; ties between equal intervals go to the stronger, then the earlier rule.
-An empty table gives an empty result. Extra columns pass through; clashing output names
-raise ValueError. Offsets count code points of the lower-cased text.
+An empty table gives an empty result. Extra columns pass through under any name but those of the
+outputs, which raise ValueError. Offsets count code points of the lower-cased text. A very long
+text is scanned by one task, which holds its words and matches at once.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import Rule, rules
+from .store import column, fence
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,43 +31,53 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 BASE_SCORE = 0.5
 OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 
-_GROUPS = "array<struct<keyword: string, rules: array<struct<n: int, pattern: string, priority: int, label: string, score: double>>>>"
+#: Matches to a block of the running sums.
+BLOCK = 256
+#: A keyword that many other words hold is looked for with what must surround it.
+GATES = {"cc": r"\bcc[- \t\r\n]"}
 
 
-def _grouped(table: tuple[Rule, ...]) -> str:
-    by: dict[str, list[dict]] = {}
+def _matches(text: str, table: tuple[Rule, ...]) -> Column:
+    """array<struct<n: rule, m: its matches>> of the rules that match."""
+    by: dict[str, list[Column]] = {}
     for n, r in enumerate(table):
-        by.setdefault(r.keyword, []).append({"n": n, "pattern": r.pattern, "priority": r.priority, "label": r.label, "score": r.score})
-    return json.dumps([{"keyword": k, "rules": v} for k, v in by.items()])
-
-
-# All matches of rule r in _t: the pieces between matches give the offsets. The outer
-# transform over one struct binds both lists once, so no lambda computes them again.
-_SPANS = """transform(array(struct(regexp_extract_all(_t, r.pattern, 0) AS m, split(_t, r.pattern) AS p)), x ->
-  aggregate(sequence(0, size(x.m) - 1), struct(0 AS at, cast(array() AS array<struct<start: int, neg_end: int, priority: int, n: int, label: string, score: double>>) AS out),
-    (a, k) -> struct(a.at + length(x.p[k]) + length(x.m[k]) AS at,
-      concat(a.out, array(struct(a.at + length(x.p[k]) AS start, -(a.at + length(x.p[k]) + length(x.m[k])) AS neg_end, r.priority AS priority, r.n AS n, r.label AS label, r.score AS score))) AS out),
-    a -> a.out))[0]"""
-
-_FOUND = f"""sort_array(flatten(transform(filter(_rules, g -> contains(_t, g.keyword)), g ->
-  flatten(transform(filter(g.rules, r -> _t RLIKE r.pattern), r -> {_SPANS})))))"""
+        by.setdefault(r.keyword, []).append(F.struct(F.lit(n).alias("n"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("m")))
+    gate = lambda k: F.col(text).rlike(GATES[k]) if k in GATES else F.contains(F.col(text), F.lit(k))
+    none = F.array().cast("array<struct<n: int, m: array<string>>>")
+    groups = F.flatten(F.array(*(F.when(gate(k), F.array(*found)).otherwise(none) for k, found in by.items())))
+    return F.filter(groups, lambda x: F.size(x["m"]) > 0)
+
+
+def _running(array: str, start: str, state: str, step: str, out: str, emit: str) -> str:
+    """SQL of an array with ``emit`` for each element y of ``array``, given the state s before it; ``step``
+    is the state after it. Linear but for the copying inside blocks."""
+    chunks = f"transform(sequence(0, (size(z.v) - 1) div {BLOCK}), c -> slice(z.v, c * {BLOCK} + 1, {BLOCK}))"
+    before = f"aggregate(z.ch, struct({start} AS s, cast(array() AS array<{state}>) AS out), (a, c) -> struct(aggregate(c, a.s, (s, y) -> {step}) AS s, concat(a.out, array(a.s)) AS out), a -> a.out)"
+    inner = f"aggregate(c, struct(z.be[i] AS s, cast(array() AS array<{out}>) AS out), (a, y) -> struct(transform(array(a.s), s -> {step})[0] AS s, concat(a.out, array(transform(array(a.s), s -> {emit})[0])) AS out), a -> a.out)"
+    one = f"transform(array(struct({array} AS v)), z -> struct({chunks} AS ch))[0]"
+    two = f"transform(array({one}), z -> struct(z.ch AS ch, {before} AS be))[0]"
+    return f"transform(array({two}), z -> flatten(transform(z.ch, (c, i) -> {inner})))[0]"
+
+
+# Of one rule's matches: the pieces between them give the offsets. A transform over an array of one
+# struct binds what is used several times.
+_STARTS = _running("transform(x.m, (w, k) -> length(x.p[k]) + CASE WHEN k > 0 THEN length(x.m[k - 1]) ELSE 0 END)", "0", "int", "s + y", "int", "s + y")
+_SPANS = f"""transform(array(struct(h.n AS n, h.m AS m, split(t, patterns[h.n]) AS p)), x ->
+  transform({_STARTS}, (b, k) -> struct(b AS start, -(b + length(x.m[k])) AS neg_end, priorities[x.n] AS priority, x.n AS n)))[0]"""
+_FOUND = f"sort_array(flatten(transform(hits, h -> {_SPANS})))"
 
 # e0, e1, e2: the farthest end met so far among intervals of priority 0, 1 and 2
-_KEPT = """aggregate(_found, struct(-1 AS e0, -1 AS e1, -1 AS e2, cast(array() AS array<struct<label: string, start: int, `end`: int, score: double>>) AS out),
-  (a, x) -> struct(
-    CASE WHEN x.priority = 0 THEN greatest(a.e0, -x.neg_end) ELSE a.e0 END AS e0,
-    CASE WHEN x.priority = 1 THEN greatest(a.e1, -x.neg_end) ELSE a.e1 END AS e1,
-    CASE WHEN x.priority = 2 THEN greatest(a.e2, -x.neg_end) ELSE a.e2 END AS e2,
-    CASE WHEN -x.neg_end <= CASE x.priority WHEN 0 THEN a.e0 WHEN 1 THEN greatest(a.e0, a.e1) ELSE greatest(a.e0, a.e1, a.e2) END THEN a.out
-      ELSE concat(a.out, array(struct(x.label AS label, x.start AS start, -x.neg_end AS `end`, x.score AS score))) END AS out),
-  a -> a.out)"""
+_STATE = "struct<e0: int, e1: int, e2: int>"
+_STEP = "struct(" + ", ".join(f"CASE WHEN y.priority = {k} THEN greatest(s.e{k}, -y.neg_end) ELSE s.e{k} END AS e{k}" for k in range(3)) + ")"
+_STAYS = "-y.neg_end > CASE y.priority WHEN 0 THEN s.e0 WHEN 1 THEN greatest(s.e0, s.e1) ELSE greatest(s.e0, s.e1, s.e2) END"
+_KEEP = _running("found", "struct(-1 AS e0, -1 AS e1, -1 AS e2)", _STATE, _STEP, "boolean", _STAYS)
 
 
 def _places(phrase: str) -> str:
-    """Starts of a phrase in _words; the array is searched only where the first word occurs."""
+    """Starts of a phrase in words; the array is searched only where the first word occurs."""
     words = phrase.split()
-    same = " AND ".join(f"coalesce(get(_words, i + {k}) = '{w}', false)" for k, w in enumerate(words))
-    return f"CASE WHEN size(_words) >= {len(words)} AND contains(_t, '{words[0]}') AND contains(_t, '{words[-1]}') THEN filter(sequence(0, size(_words) - {len(words)}), i -> {same}) ELSE cast(array() AS array<int>) END"
+    same = " AND ".join(f"coalesce(get(words, i + {k}) = '{w}', false)" for k, w in enumerate(words))
+    return f"CASE WHEN size(words) >= {len(words)} AND contains(t, '{words[0]}') AND contains(t, '{words[-1]}') THEN filter(sequence(0, size(words) - {len(words)}), i -> {same}) ELSE cast(array() AS array<int>) END"
 
 
 def scan(df: DataFrame, text: str = "text", table: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -71,49 +85,66 @@ def scan(df: DataFrame, text: str = "text", table: tuple[Rule, ...] | None = Non
     taken = {c.lower() for c in df.columns} & set(OUTPUTS)
     if taken:
         raise ValueError(f"output columns already exist: {sorted(taken)}")
-    own = [f"`{c}`" for c in df.columns]
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    step = df.select(*own, low.alias("_t"))
-    step = step.select(*own, "_t", F.array_remove(F.split("_t", NOT_WORD), "").alias("_words"), F.from_json(F.lit(_grouped(table or rules())), _GROUPS).alias("_rules"))
-    step = step.select(*own, F.size("_words").cast("long").alias("n_words"), *(F.expr(_places(p)).alias(f"_at{k}") for k, (p, _) in enumerate(PHRASES)), F.expr(_FOUND).alias("_found"))
-    step = step.select(
-        *own,
+    table = table or rules()
+    # beside the row as a whole there are only names of this function, so none can clash
+    step = df.select(F.struct(*(column(c) for c in df.columns)).alias("row"), F.translate(F.coalesce(column(text), F.lit("")), UPPER, LOWER).alias("t"))
+    step = fence(step).select("row", "t", F.array_remove(F.split("t", NOT_WORD), "").alias("words"), _matches("t", table).alias("hits"))
+    listed = lambda name, values: F.array(*(F.lit(v) for v in values)).alias(name)
+    step = fence(step).select(
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        *(F.expr(_places(p)).alias(f"at{k}") for k, (p, _) in enumerate(PHRASES)),
+        F.expr(_FOUND.replace("patterns[", _sql(r.pattern for r in table) + "[").replace("priorities[", _sql(r.priority for r in table) + "[")).alias("found"),
+    )
+    step = fence(step).withColumn("keep", F.expr(_KEEP))
+    labels, scores = listed("labels", [r.label for r in table]), listed("scores", [r.score for r in table])
+    kept = F.filter("found", lambda x, i: F.get("keep", i))
+    detections = F.transform(kept, lambda x: F.struct(F.get(labels, x["n"]).alias("label"), x["start"].alias("start"), (-x["neg_end"]).alias("end"), F.get(scores, x["n"]).alias("score")))
+    step = fence(step).select(
+        "row",
         "n_words",
-        F.concat(*(f"_at{k}" for k in range(len(PHRASES)))).alias("_at"),
-        F.array_compact(F.array(*(F.when(F.size(f"_at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)))).alias("_base"),
-        F.expr(_KEPT).alias("detections"),
+        F.concat(*(f"at{k}" for k in range(len(PHRASES)))).alias("at"),
+        F.array_compact(F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)))).alias("base"),
+        detections.alias("detections"),
     )
-    named = F.sort_array(F.array_distinct(F.concat("_base", F.transform("detections", lambda d: d["label"]))))
-    best = F.array_max(F.concat(F.array(F.when(F.size("_base") > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0))), F.transform("detections", lambda d: d["score"])))
+    step = fence(step)
+    named = F.sort_array(F.array_distinct(F.concat("base", F.transform("detections", lambda d: d["label"]))))
+    best = F.array_max(F.concat(F.array(F.when(F.size("base") > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0))), F.transform("detections", lambda d: d["score"])))
     return step.select(
-        *own,
+        "row.*",
         "n_words",
-        F.size("_at").cast("long").alias("n_base"),
-        F.array_min("_at").cast("long").alias("first_word"),
-        F.array_max("_at").cast("long").alias("last_word"),
-        F.array_join(F.sort_array("_base"), ",").alias("base_labels"),
+        F.size("at").cast("long").alias("n_base"),
+        F.array_min("at").cast("long").alias("first_word"),
+        F.array_max("at").cast("long").alias("last_word"),
+        F.array_join(F.sort_array("base"), ",").alias("base_labels"),
         F.array_join(named, ",").alias("labels"),
         best.alias("score"),
         "detections",
     )
 
 
+def _sql(values) -> str:
+    """SQL of a constant array."""
+    quoted = ("r'" + v + "'" if isinstance(v, str) and "'" not in v else 'r"' + v + '"' if isinstance(v, str) else str(v) for v in values)
+    return f"array({', '.join(quoted)})"
+
+
 def oracle() -> str:
     """The registered query's result as DuckDB SQL."""
     q = lambda p: "'" + p.replace("'", "''") + "'"
-    listed = ", ".join(f"({n}, {q(r.keyword)}, {q(r.pattern)}, {r.priority}, {q(r.label)}, {r.score}::DOUBLE)" for n, r in enumerate(rules()))
+    listed = ", ".join(f"({n}, {q(r.pattern)}, {r.priority}, {q(r.label)}, {r.score}::DOUBLE)" for n, r in enumerate(rules()))
     places = " UNION ALL ".join(
         f"SELECT r, i, {q(label)} AS label FROM (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM w WHERE list_contains(ws, {q(phrase.split()[0])})) WHERE "
         + " AND ".join(f"ws[i + {k + 1}] = {q(x)}" for k, x in enumerate(phrase.split()))
         for phrase, label in PHRASES
     )
     return f"""
-WITH rules(n, kw, pat, prio, label, score) AS (VALUES {listed}),
+WITH rules(n, pat, prio, label, score) AS (VALUES {listed}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM d),
 p AS ({places}),
 b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS ls FROM p GROUP BY r),
-c AS (SELECT d.r, t, rules.* FROM d JOIN rules ON contains(t, kw) WHERE regexp_matches(t, pat)),
+c AS (SELECT d.r, t, rules.* FROM d JOIN rules ON regexp_matches(t, pat)),
 e AS (SELECT r, n, prio, label, score, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS s FROM c),
 f AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM e),
 g AS (SELECT r, n, prio, label, score, list_sum([length(x) for x in s[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0) AS a, length(m[k]) AS len FROM f),
