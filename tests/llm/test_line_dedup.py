@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bloom
@@ -30,6 +31,28 @@ def test_against_brute_force(spark):
     got = sorted(((r.doc_id, r.deduped, r.n_lines, r.n_dropped) for r in L.dedup_lines(df).collect()), key=str)
     assert got == brute(rows)
     assert L.dedup_lines(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit(7) for c in ("row", "gone", "gone_id", "_id", "_gone", "keeper", "a.b")})
+    done = L.dedup_lines(clash)
+    assert done.columns == [*clash.columns, *L.OUTPUTS]
+    assert sorted(((r.doc_id, r.deduped, r.n_lines, r.n_dropped) for r in done.filter("gone = 7").collect()), key=str) == brute(rows)
+    with pytest.raises(ValueError):
+        L.dedup_lines(df.withColumn("N_LINES", F.lit(1)))
+
+
+def test_shards_give_the_same_rows(spark):
+    """Beyond the filters' bound: the same result, few once-only lines confirmed, a hot line split."""
+    hot = "a line that every document of the table holds"
+    rows = [(i, f"{hot}\nown line number {i} of this document\nshared line of the group number {i // 4}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    got = sorted(((r.doc_id, r.deduped, r.n_lines, r.n_dropped) for r in L.dedup_lines(df, max_bits=1 << 10, shard=256).collect()), key=str)
+    assert got == want
+    keys = L.line_keys(df).cache()
+    n = keys.agg(F.sum("n_keys")).first()[0]
+    assert n == 6000
+    met = L._sharded(keys, n, 256).distinct()
+    assert 4000 <= met.count() < 4000 + 0.1 * 2000
+    assert met.select("key").distinct().count() < 501 + 0.1 * 2000
 
 
 def test_filters_lose_nothing():
