@@ -111,34 +111,53 @@ def optimize_report(focus: DataFrame, noise: DataFrame, unused_servers: DataFram
     return all_.select("session_id", F.row_number().over(by_session().orderBy(F.desc("savings"), "ord")).cast("bigint").alias("position"), "kind", "savings", "detail", total.alias("total_saveable"), (total / F.col("context_limit") * 100).alias("percent_of_context"))
 
 
-def injection(state: DataFrame, focus: DataFrame, top_categories: DataFrame) -> DataFrame:
-    """Rows (session_id, text): a short note on the window for the next turn."""
-    head = F.format_string("Context window at %d percent (%s).", F.floor(F.col("percentage") + 0.5).cast("bigint"), F.col("health"))
-    j = state.join(focus, "session_id", "left").join(top_categories, "session_id", "left")
-    return j.select("session_id", F.concat_ws("\n", head, F.coalesce("focus", F.lit("/compact")), F.concat(F.lit("Largest: "), F.col("top"))).alias("text"))
+def injection(state: DataFrame, focus: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (session_id, text): a note on the window for the next turn, with the focused compaction to
+    run; the head says what it would reclaim, or else the shares of the first three categories."""
+    order = F.array_position(F.array(*(F.lit(x) for x in S.CATEGORIES)), F.col("category"))
+    share = F.struct(order.alias("o"), F.concat("category", F.lit(" "), F.floor(F.col("percentage") + 0.5), F.lit("%")).alias("t"))
+    top = buckets.groupBy("session_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(share)), 1, 3), lambda x: x["t"]), ", ").alias("top"))
+    j = state.join(focus, "session_id", "left").join(top, "session_id", "left")
+    used = F.concat(F.lit("Context window at "), F.floor(F.col("percentage") + 0.5), F.lit("%."))
+    gain = F.when(F.col("savings") > 0, F.concat(F.lit(" About "), F.format_number("savings", 0), F.lit(" tokens can be reclaimed."))).otherwise(F.concat(F.lit(" Largest parts: "), "top", F.lit(".")))
+    ask = F.lit("Ask the user to run this before the next answer:")
+    why = F.lit("At 80% the window is compacted unasked, and more is dropped. Files stay on disk and can be read again.")
+    return j.select("session_id", F.concat_ws("\n", F.concat(used, gain), ask, F.coalesce("focus", F.lit("/compact")), why).alias("text"))
 
 
 def injection_decisions(turns: DataFrame, threshold: float, min_gap_ms: int) -> DataFrame:
     """Which turns get a note: at the threshold or more, and the gap since the session's last
     note at least ``min_gap_ms``. turns: (session_id, ts_ms, percentage); one row each emitted.
 
-    Each decision depends on the one before, so a session's turns are folded in order."""
-    hits = turns.filter(F.col("percentage") >= threshold).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "percentage"))).alias("ts"))
-    start = F.expr("named_struct('last', CAST(NULL AS BIGINT), 'out', CAST(array() AS array<bigint>))")
+    Each decision depends on the one before: sorted by session and time, turns stream through one
+    pass that carries the last note's time only, so a session may have any number of turns."""
+    hits = turns.filter(F.col("percentage") >= threshold).select("session_id", "ts_ms").repartition("session_id").sortWithinPartitions("session_id", "ts_ms")
 
-    def step(a, x):
-        emit = a["last"].isNull() | (x["ts_ms"] - a["last"] >= min_gap_ms)
-        return F.struct(F.when(emit, x["ts_ms"]).otherwise(a["last"]).alias("last"), F.when(emit, F.concat(a["out"], F.array(x["ts_ms"]))).otherwise(a["out"]).alias("out"))
+    def run(batches):
+        import pyarrow as pa
 
-    return hits.select("session_id", F.explode(F.aggregate("ts", start, step, lambda a: a["out"])).alias("ts_ms"))
+        session, last = None, None
+        for b in batches:
+            keep = []
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first = s != session or last is None
+                emit = first or t - last >= min_gap_ms
+                session, last = s, t if emit else last
+                keep.append(emit)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return hits.mapInArrow(run, hits.schema)
 
 
 def mcp_usage(classified: DataFrame, servers: tuple[str, ...]) -> DataFrame:
-    """Rows (session_id, server, invocations, tokens) for configured servers, used or not."""
+    """Rows (session_id, server, invocations, tokens, position) for configured servers, used or not; by
+    tokens, ties in the order of the configuration."""
     named = classified.filter(F.col("tool_name").startswith("mcp__")).withColumn("server", F.split("tool_name", "__")[1])
     used = named.groupBy("session_id", "server").agg(F.sum(F.when(F.col("type") == "assistant", 1).otherwise(0)).alias("inv"), F.sum("tokens").alias("tok"))
     grid = classified.select("session_id").distinct().select("session_id", F.explode(F.array(*(F.lit(s) for s in servers))).alias("server"))
-    return grid.join(used, ["session_id", "server"], "left").select("session_id", "server", F.coalesce("inv", F.lit(0)).alias("invocations"), F.coalesce("tok", F.lit(0)).alias("tokens"))
+    full = grid.join(used, ["session_id", "server"], "left").select("session_id", "server", F.coalesce("inv", F.lit(0)).alias("invocations"), F.coalesce("tok", F.lit(0)).alias("tokens"))
+    listed = F.array_position(F.array(*(F.lit(s) for s in servers)), F.col("server"))
+    return full.withColumn("position", F.row_number().over(by_session().orderBy(F.desc("tokens"), listed)).cast("bigint"))
 
 
 def used_tools(classified: DataFrame) -> DataFrame:

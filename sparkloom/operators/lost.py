@@ -28,9 +28,15 @@ def summaries(messages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def window_rows(classified: DataFrame, events: DataFrame) -> DataFrame:
-    """Classified rows with the event whose window holds them; an equi join on the session."""
-    e = events.select("session_id", "event", "window_start", "before_idx")
-    return classified.join(e, "session_id").filter((F.col("idx") >= F.col("window_start")) & (F.col("idx") < F.col("before_idx")))
+    """Classified rows with the event whose window holds them.
+
+    Windows do not overlap, so a row can only belong to the next event: one pass backwards over
+    each session carries it, with no join of rows and events."""
+    e = events.select("session_id", F.col("before_idx").alias("idx"), F.struct("event", "window_start", "before_idx").alias("e"))
+    both = classified.unionByName(e, allowMissingColumns=True)
+    back = by_session().orderBy(F.desc("idx"), F.col("e").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"mark": F.col("e").isNotNull(), "e": F.last("e", ignorenulls=True).over(back)})
+    return both.filter(~F.col("mark") & (F.col("idx") >= F.col("e.window_start"))).select(*classified.columns, "e.event", "e.window_start", "e.before_idx")
 
 
 def _mentions(terms, summary):
@@ -106,12 +112,20 @@ def surviving_items(items: DataFrame, texts: DataFrame) -> DataFrame:
 
     Both sides are keyed by a hash of the words at the item's start, so the test runs on
     matching places only and never as a nested loop over all pairs. Items: (item_id, text);
-    texts: (doc_id, text). Items of fewer than five words are matched by their whole text's words.
+    texts: (doc_id, text). Items of fewer than five words are matched where they stand as whole words.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    head = lambda w: F.xxhash64(*(F.get(w, F.lit(k)) for k in (1, 2, 3)))
-    it = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") >= 5).select("item_id", "item", head(F.col("w")).alias("h"))
-    tx = texts.select("doc_id", "text", words(F.col("text")).alias("w"))
-    at = tx.select("doc_id", "text", F.expr("CASE WHEN size(w) >= 3 THEN array_distinct(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))) ELSE array() END").alias("hs"))
-    at = at.select("doc_id", "text", F.explode_outer("hs").alias("h"))
-    return at.join(it, "h").filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
+    it = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") >= 1).distinct()
+    # a long item's ends may be parts of words: its key are three words inside; a short one's all its words
+    inner = F.when(F.size("w") >= 5, F.slice("w", 2, 3)).otherwise(F.col("w"))
+    it = it.select("item_id", "item", F.xxhash64("item").alias("ik"), F.xxhash64(inner).alias("h"), F.size(inner).alias("n"))
+    sizes = sorted(r[0] for r in it.select("n").distinct().collect())  # at most 1 to 4
+    runs = [f"CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> xxhash64(slice(w, i + 1, {n}))) ELSE array() END" for n in sizes]
+    key = F.xxhash64("text")
+    tx = texts.select("doc_id", key.alias("tk"), words(F.col("text")).alias("w")).withColumn("hs", F.expr(f"array_distinct(concat({', '.join(runs) or 'array(0L)'}))"))
+    # hashes travel without the texts, which are joined once to the pairs that agree
+    met = tx.select("doc_id", "tk", F.explode_outer("hs").alias("h")).join(it.select("item_id", "ik", "h"), "h").select("doc_id", "tk", "item_id", "ik").distinct()
+    met = met.join(it.select(F.col("item_id").alias("i2"), F.col("ik").alias("k2"), "item"), F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("ik") == F.col("k2")))
+    src = texts.select(F.col("doc_id").alias("d2"), key.alias("t2"), "text")
+    met = met.join(src, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tk") == F.col("t2")))
+    return met.filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()

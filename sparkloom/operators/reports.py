@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..functions.text import csv_field, file_refs
+from ..functions.text import WHITE, csv_field, file_refs, js_trim
 from .classify import by_session
 
 # --- comparison -----------------------------------------------------------------
@@ -25,7 +25,7 @@ def compare(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def insights(compared: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (session_a, session_b, insights): codes of what stands out between two sessions.
+    """Rows (session_a, session_b, insights): a line on each thing that stands out between two sessions.
 
     ``counts`` has rows (session_id, n_waste, n_compactions, total).
     """
@@ -37,17 +37,18 @@ def insights(compared: DataFrame, counts: DataFrame) -> DataFrame:
         own = counts.select(F.col("session_id").alias(f"session_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n_waste", "n_compactions", "total")))
         pivoted = pivoted.join(own, f"session_{side}")
     wa, wb, ca, cb, ta, tb = (F.col(x) for x in ("n_waste_a", "n_waste_b", "n_compactions_a", "n_compactions_b", "total_a", "total_b"))
-    sided = lambda name, d: F.concat(F.lit(f"{name}-"), F.when(d > 0, "b").otherwise("a"))
+    side = lambda d: F.when(d > 0, "b").otherwise("a")
+    count = lambda n: F.format_number(F.abs(n), 0)
     found = F.array_compact(
         F.array(
-            F.when(F.abs("t.delta_percent") > 15, sided("more-tools", F.col("t.delta"))),
-            F.when(F.abs("c.delta_percent") > 10, sided("more-conversation", F.col("c.delta"))),
-            F.when((wa > 0) & (wb >= 2 * wa), "more-waste-b").when((wb > 0) & (wa >= 2 * wb), "more-waste-a").when((wa == 0) & (wb > 0), "only-waste-b").when((wb == 0) & (wa > 0), "only-waste-a"),
-            F.when((ca > 0) & (cb == 0), "only-compacted-a").when((cb > 0) & (ca == 0), "only-compacted-b").when((ca > 0) & (cb > 0) & (ca != cb), "both-compacted"),
-            F.when((ta > 0) & (F.abs(tb - ta) / ta * 100 > 20), sided("more-total", tb - ta)),
+            F.when(F.abs("t.delta_percent") > 15, F.concat(F.lit("more tool tokens in "), side(F.col("t.delta")), F.lit(": "), count(F.col("t.delta")))),
+            F.when(F.abs("c.delta_percent") > 10, F.concat(F.lit("more conversation tokens in "), side(F.col("c.delta")), F.lit(": "), count(F.col("c.delta")))),
+            F.when(((wa > 0) & (wb >= 2 * wa)) | ((wb > 0) & (wa >= 2 * wb)) | ((wa == 0) & (wb > 0)) | ((wb == 0) & (wa > 0)), F.concat(F.lit("more waste in "), side(wb - wa), F.lit(": a "), wa, F.lit(", b "), wb)),
+            F.when(((ca > 0) | (cb > 0)) & (ca != cb), F.concat(F.when((ca > 0) & (cb > 0), "both compacted").otherwise(F.concat(F.lit("only compacted in "), side(cb - ca))), F.lit(": a "), ca, F.lit(", b "), cb)),
+            F.when((ta > 0) & (F.abs(tb - ta) / ta * 100 > 20), F.concat(F.lit("more tokens in all in "), side(tb - ta), F.lit(": "), count(tb - ta), F.lit(", "), F.floor(F.abs(tb - ta) / ta * 100 + 0.5), F.lit(" percent"))),
         )
     )
-    return pivoted.select("session_a", "session_b", F.array_join(found, ",").alias("insights"))
+    return pivoted.select("session_a", "session_b", F.array_join(found, "\n").alias("insights"))
 
 
 def cut_messages(messages: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
@@ -119,43 +120,60 @@ def top_category(buckets: DataFrame) -> DataFrame:
 
 # --- calibration ----------------------------------------------------------------
 
-# Labels that name each calibrated bucket, in the order they are tried.
+# Words that name each calibrated bucket, in the order they are tried.
 CALIBRATION_LABELS = (
-    ("system", ("system prompt", "system")),
-    ("tools", ("tools", "system tools", "mcp")),
-    ("memory", ("memory", "memory files")),
-    ("skills", ("skills",)),
-    ("messages", ("messages", "conversation")),
-    ("free", ("free", "free space")),
+    ("system_prompt", ("system prompt", "system instructions")),
+    ("system_tools", ("system tool", "built-in tool", "tools")),
+    ("custom_agents", ("custom agent", "agent")),
+    ("memory_files", ("memory file", "memory", "memdir")),
+    ("mcp_tools", ("mcp tool", "mcp")),
+    ("messages", ("message", "conversation")),
+    ("free_space", ("free space", "free", "remaining", "available")),
+    ("total", ("total", "capacity", "context window")),
 )
+_USED = ("system_prompt", "system_tools", "custom_agents", "memory_files", "mcp_tools", "messages")
 
 
-def parse_context_output(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (id, bucket, tokens) of pasted usage lines like ``Label: 12.3k tokens``.
-
-    A later line of a label wins; a bucket takes the first of its labels with a value above 0."""
-    lines = df.select("id", F.posexplode(F.split(text, "\r?\n")).alias("pos", "line"))
-    rx = r"^[^A-Za-z]*([A-Za-z][A-Za-z ]*?)\s*:\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*([kKmM]?)"
-    got = lines.select("id", "pos", F.lower(F.regexp_extract("line", rx, 1)).alias("label"), F.regexp_replace(F.regexp_extract("line", rx, 2), ",", "").alias("num"), F.lower(F.regexp_extract("line", rx, 3)).alias("unit")).filter("label <> '' AND num <> ''")
-    factor = F.when(F.col("unit") == "k", 1000).when(F.col("unit") == "m", 1_000_000).otherwise(1)
-    got = got.withColumn("tokens", F.floor(F.col("num").cast("double") * factor + 0.5).cast("bigint"))
-    got = got.groupBy("id", "label").agg(F.max_by("tokens", "pos").alias("tokens"), F.min("pos").alias("first"))
-    rows = [(b, w, k) for b, words in CALIBRATION_LABELS for k, w in enumerate(words)]
-    names = F.explode(F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(w).alias("word"), F.lit(k).alias("k")) for b, w, k in rows)))
-    met = got.filter("tokens > 0").withColumn("m", names).filter(F.col("label").contains(F.col("m.word")))
-    return met.groupBy("id", "m.bucket").agg(F.min_by("tokens", F.struct("m.k", "first")).alias("tokens"))
-
-
-def calibrate(estimated: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows (id, bucket, estimated, actual, delta_percent) where either side is above 0."""
-    j = estimated.withColumnRenamed("tokens", "estimated").join(actual.withColumnRenamed("tokens", "actual"), ["id", "bucket"], "full")
-    j = j.withColumns({"estimated": F.coalesce("estimated", F.lit(0)), "actual": F.coalesce("actual", F.lit(0))}).filter("estimated > 0 OR actual > 0")
-    return j.withColumn("delta_percent", F.when(F.col("actual") > 0, (F.col("estimated") - F.col("actual")) / F.col("actual") * 100))
+def token_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (id, pos, label, tokens) of pasted usage lines like ``Label: 12,300 tokens``; others are skipped."""
+    lines = df.select("id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rx = rf"(?i)^[{WHITE}]*([^:]+):[{WHITE}]*([0-9,]+)[{WHITE}]*(?:tokens?)?[{WHITE}]*$"
+    number = F.expr("try_cast(regexp_replace(num, ',', '') AS BIGINT)")
+    got = lines.select("id", "pos", F.lower(js_trim(F.regexp_extract("line", rx, 1))).alias("label"), F.regexp_extract("line", rx, 2).alias("num"))
+    return got.withColumn("tokens", number).filter("tokens IS NOT NULL").drop("num")
 
 
-def calibration_accuracy(compared: DataFrame, builtin: int = S.BUILTIN_SCHEMA_TOKENS) -> DataFrame:
+def parse_context_output(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row for each id with a usable text: the calibrated buckets, total_used and total_capacity.
+
+    A later line of a label wins. A bucket's words are tried in order; each asks the first label that
+    holds it, and the first answer above 0 counts."""
+    labels = token_lines(df, text).groupBy("id", "label").agg(F.max_by("tokens", "pos").alias("tokens"), F.min("pos").alias("first"))
+    asked = [(b, w) for b, words in CALIBRATION_LABELS for w in words]
+    wide = labels.groupBy("id").agg(*(F.min_by("tokens", F.when(F.col("label").contains(w), F.col("first"))).alias(f"w{k}") for k, (_, w) in enumerate(asked)))
+    picked = lambda b: F.coalesce(*(F.when(F.col(f"w{k}") > 0, F.col(f"w{k}")) for k, (x, _) in enumerate(asked) if x == b), F.lit(0)).cast("bigint")
+    out = wide.select("id", *(picked(b).alias(b) for b, _ in CALIBRATION_LABELS))
+    used = reduce(lambda x, y: x + y, (F.col(b) for b in _USED))
+    out = out.withColumn("total_used", used).filter("total_used > 0 OR free_space > 0")
+    return out.withColumn("total_capacity", F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("total_used") + F.col("free_space"))).drop("total")
+
+
+def calibrate(buckets: DataFrame, actual: DataFrame) -> DataFrame:
+    """Rows (id, bucket, estimated, actual, delta_percent) where either side is above 0.
+
+    buckets: (id, category, tokens), the estimates; actual: rows of ``parse_context_output``."""
+    mine = lambda *cats: F.coalesce(F.sum(F.when(F.col("category").isin(*cats), F.col("tokens"))), F.lit(0))
+    est = buckets.groupBy("id").agg(mine("system").alias("e1"), mine("tools").alias("e2"), mine("conversation", "retrieved", "user").alias("e3"), mine("state").alias("e4"))
+    zero = F.lit(0).cast("bigint")
+    sides = (("System prompt", F.col("e1"), F.col("system_prompt")), ("Tools", F.col("e2"), F.col("system_tools") + F.col("mcp_tools")), ("Messages", F.col("e3"), F.col("messages")), ("Memory", F.col("e4"), F.col("memory_files")), ("Custom agents", zero, F.col("custom_agents")))
+    rows = F.array(*(F.struct(F.lit(n).alias("bucket"), e.alias("estimated"), x.alias("actual")) for n, e, x in sides))
+    j = est.join(actual, "id").select("id", F.explode(rows).alias("r")).select("id", "r.*").filter("estimated > 0 OR actual > 0")
+    return j.withColumn("delta_percent", F.when(F.col("actual") > 0, (F.col("estimated") - F.col("actual")) / F.col("actual") * 100).otherwise(F.lit(0.0)))
+
+
+def calibration_accuracy(compared: DataFrame, actual: DataFrame, builtin: int = S.BUILTIN_SCHEMA_TOKENS) -> DataFrame:
     """Rows (id, accuracy, stale): agreement of the sums, and whether the schema table is off by over 5 %."""
-    g = compared.groupBy("id").agg(F.sum("estimated").alias("e"), F.sum("actual").alias("a"), F.max(F.when(F.col("bucket") == "tools", F.col("actual"))).alias("t"))
+    g = compared.groupBy("id").agg(F.sum("estimated").alias("e"), F.sum("actual").alias("a")).join(actual.select("id", F.col("system_tools").alias("t")), "id")
     return g.select("id", F.when(F.col("a") > 0, 100 - F.abs(F.col("e") - F.col("a")) / F.col("a") * 100).alias("accuracy"), F.coalesce((F.col("t") > 0) & (F.abs(F.col("t") - builtin) / F.col("t") > 0.05), F.lit(False)).alias("stale"))
 
 
@@ -189,6 +207,26 @@ def reclaim_ratio(runs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return runs.select(key, F.when(both, F.when(F.abs(1 - ratio) < 0.1, "similar").when(ratio > 1, "b").otherwise("a")).alias("more"), F.when(both & (F.abs(1 - ratio) >= 0.1), F.floor(F.when(ratio > 1, ratio - 1).otherwise(1 / ratio - 1) * 100 + 0.5).cast("bigint")).alias("percent"))
 
 
+def run_insights(compared: DataFrame, preview: int = 5) -> DataFrame:
+    """Rows (key, insights): lines on what two runs kept and reclaimed.
+
+    compared: key, refs_a, refs_b (arrays of file references), reclaimed_a, reclaimed_b."""
+    a, b = F.col("refs_a"), F.col("refs_b")
+    only = lambda x, y: F.array_sort(F.array_except(x, y))
+    listed = lambda x: F.concat(F.array_join(F.slice(x, 1, preview), ", "), F.when(F.size(x) > preview, F.concat(F.lit(", and "), F.size(x) - preview, F.lit(" more"))).otherwise(""))
+    more = F.size(b) - F.size(a)
+    x, y = F.col("reclaimed_a"), F.col("reclaimed_b")
+    ratio = y / x
+    percent = F.floor(F.when(ratio > 1, ratio - 1).otherwise(1 / ratio - 1) * 100 + 0.5)
+    found = F.array(
+        F.when((F.size(a) > 0) | (F.size(b) > 0), F.when(more > 0, F.concat(F.lit("b names more files by "), more)).when(more < 0, F.concat(F.lit("a names more files by "), -more)).otherwise(F.concat(F.lit("both name as many files: "), F.size(a)))),
+        F.when(F.size(only(b, a)) > 0, F.concat(F.lit("only in b: "), listed(only(b, a)))),
+        F.when(F.size(only(a, b)) > 0, F.concat(F.lit("only in a: "), listed(only(a, b)))),
+        F.when((x > 0) & (y > 0), F.when(F.abs(1 - ratio) < 0.1, "both reclaimed about as much").otherwise(F.concat(F.when(ratio > 1, "b").otherwise("a"), F.lit(" reclaimed more by "), percent, F.lit(" percent")))),
+    )
+    return compared.select("key", F.array_join(F.array_compact(found), "\n").alias("insights"))
+
+
 def worst_status(checks: DataFrame, by: str) -> DataFrame:
     """fail beats warn beats ok."""
     rank = F.array_position(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.col("status"))

@@ -47,9 +47,12 @@ def stale_reads(classified: DataFrame, min_age: int = 15) -> DataFrame:
     """Reads of more than ``min_age`` rows ago whose file no later row (from the second on) names."""
     r = file_reads(classified).withColumn("age", F.col("n") - (F.col("idx") - F.col("start"))).filter((F.col("age") > min_age) & (F.col("tokens") != 0))
     r = r.withColumn("filename", filename(F.col("path")))
-    t = _row_texts(classified).select(F.col("session_id").alias("s"), F.col("idx").alias("ti"), "text")
-    on = (F.col("session_id") == F.col("s")) & (F.col("ti") >= F.col("idx") + 2) & F.col("text").contains(F.col("filename"))
-    return r.join(t, on, "left_anti").select("session_id", F.lit("stale_read").alias("type"), F.lit("high").alias("severity"), "tokens", F.col("idx").alias("first_idx"), (F.col("idx") + 1).alias("last_idx"), "filename", F.lit(1).cast("bigint").alias("n_reads"), F.col("age").cast("string").alias("detail"))
+    # texts meet the distinct names of their session, and only the last mention of a name goes on
+    names = r.select("session_id", "filename").distinct()
+    t = _row_texts(classified).withColumnRenamed("idx", "ti")
+    last = names.join(t, "session_id").filter(F.col("text").contains(F.col("filename"))).groupBy("session_id", "filename").agg(F.max("ti").alias("ti"))
+    r = r.join(last, ["session_id", "filename"], "left").filter(F.coalesce("ti", F.lit(-1)) < F.col("idx") + 2)
+    return r.select("session_id", F.lit("stale_read").alias("type"), F.lit("high").alias("severity"), "tokens", F.col("idx").alias("first_idx"), (F.col("idx") + 1).alias("last_idx"), "filename", F.lit(1).cast("bigint").alias("n_reads"), F.col("age").cast("string").alias("detail"))
 
 
 def read_pairs(classified: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import advice, compaction as K, lost as L, reports as R, tokens as T, waste as W
 from ..operators import classify as C
 from ..sources.adapters import conversation_messages, event_messages, table
+from ..sources.shared import cut, shared_dir
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,7 +184,7 @@ MCP = O.events(mcp=True)
 _MU = "mu AS (SELECT g.s, g.server, coalesce(sum(CASE WHEN type = 'assistant' THEN 1 ELSE 0 END) FILTER (m.s IS NOT NULL), 0) AS inv, coalesce(sum(tok), 0) AS tok FROM (SELECT DISTINCT s, 's' || x AS server FROM msg, range(6) t(x)) g LEFT JOIN msg m ON m.s = g.s AND split_part(m.tname, '__', 2) = g.server AND m.tname LIKE 'mcp\\_\\_%' ESCAPE '\\' GROUP BY g.s, g.server)"
 
 
-@query(f"WITH {MCP}, {_MU} SELECT s AS session_id, server, CAST(inv AS BIGINT) AS invocations, CAST(tok AS BIGINT) AS tokens FROM mu")
+@query(f"WITH {MCP}, {_MU} SELECT s AS session_id, server, CAST(inv AS BIGINT) AS invocations, CAST(tok AS BIGINT) AS tokens, row_number() OVER (PARTITION BY s ORDER BY tok DESC, server) AS position FROM mu")
 def mcp_servers(spark, d):
     return advice.mcp_usage(C.classify(event_messages(spark, d, mcp=True)), _SERVERS)
 
@@ -212,7 +213,8 @@ dp1 AS (SELECT * FROM dp0 WHERE ni IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lv
 dp AS (SELECT s, fn, sum(coalesce(tk, 0)) AS tk, min(idx) AS fi, max(idx) + 1 AS la, max(nr) AS nr, string_agg(CAST(idx + 1 AS VARCHAR), ',' ORDER BY idx) AS detail FROM dp1 GROUP BY s, fn HAVING sum(coalesce(tk, 0)) > 0)"""
 _CACHE = "co AS (SELECT s, sum(u_cr) AS cr, sum(eff) AS ti FROM msg GROUP BY s)"
 _UNUSED = """ur AS (SELECT a.s, a.idx, a.tok, c.tool AS rtool FROM lv a LEFT JOIN lv c ON c.s = a.s AND c.use = a.res
-  WHERE a.is_res AND length(a.txt) >= 200 AND coalesce(c.tool, '') NOT IN ('Read', 'Grep', 'Glob') AND a.tok > 100)"""
+  WHERE a.is_res AND length(a.txt) >= 200 AND coalesce(c.tool, '') NOT IN ('Read', 'Grep', 'Glob') AND a.tok > 100
+  AND NOT EXISTS (SELECT 1 FROM lv e WHERE e.s = a.s AND e.event_type = 'signup' AND e.idx > a.idx AND e.idx <= a.idx + 4 AND (length(e.txt) > 50 OR contains(e.txt, trim(substr(a.txt, 1, 50))))))"""
 _WASTE = f"""{_LIVE}, {_RD}, {_STALE}, {_DUP}, {_CACHE}, {_UNUSED},
 wa AS (SELECT s, 'stale_read' AS type, 'high' AS severity, tk AS tokens, idx AS first_idx, idx + 1 AS last_idx, fn AS filename, 1 AS n_reads, CAST(age AS VARCHAR) AS detail, 1 AS so, 1 AS d FROM sr
  UNION ALL SELECT s, 'duplicate_read', 'medium', tk, fi, la, fn, nr, detail, 2, 2 FROM dp UNION ALL SELECT s, 'cache_overhead', 'info', 0, NULL, NULL, NULL, NULL, NULL, 4, 5 FROM co WHERE ti > 0 AND cr::DOUBLE / ti::DOUBLE > 0.6
@@ -222,11 +224,11 @@ _WCOLS = "s AS session_id, type, severity, CAST(tokens AS BIGINT) AS tokens, fir
 
 
 def _live(spark, d, **kw):
-    """Messages, classified rows, events and live starts; classified rows are kept, as
-    every detector reads them."""
-    m = event_messages(spark, d, **kw)
-    c, e = C.classify(m).persist(), K.compaction_events(m)
-    return m, c, e, K.last_compaction(e).persist()
+    """Messages, classified rows, events and live starts. Classified rows hold the messages; they and the
+    starts are written once, as every detector reads them."""
+    c = cut(C.classify(event_messages(spark, d, **kw)))
+    e = K.compaction_events(c)
+    return c, c, e, cut(K.last_compaction(e))
 
 
 @query(f"""WITH {EV}, {O.EVENTS}, {_LIVE}, {_RD}, {_STALE} SELECT s AS session_id, 'stale_read' AS type, 'high' AS severity, CAST(tk AS BIGINT) AS tokens, idx AS first_idx, idx + 1 AS last_idx, fn AS filename, CAST(1 AS BIGINT) AS n_reads, CAST(age AS VARCHAR) AS detail FROM sr""")
@@ -322,16 +324,16 @@ def context_health(spark, d):
     return _state(m, c, since)
 
 
-@query(f"""WITH {NOISE}, {_LIM}, {_NOISE}, nt AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS sv, string_agg(rule, ',' ORDER BY rule) AS detail FROM no GROUP BY s HAVING sum(tokens) >= 100),
-fx AS (SELECT s, 'ignore-file' AS kind, sv AS savings, detail, 2 AS o FROM nt UNION ALL SELECT s, 'prompt-rule', CAST(floor(sv / 2.0 + 0.5) AS BIGINT), detail, 3 FROM nt
-  UNION ALL SELECT DISTINCT s, 'mcp-disable', 0, 's9', 4 FROM msg UNION ALL SELECT DISTINCT s, 'prompt-oversized', 500, '2000', 5 FROM msg)
+@query(f"""WITH {NOISE}, {O.EVENTS}, {_WASTE}, {_FOCUS}, {_LIM}, {_NOISE}, nt AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS sv, string_agg(rule, ',' ORDER BY rule) AS detail FROM no GROUP BY s HAVING sum(tokens) >= 100),
+us AS (SELECT s, string_agg(server, ',' ORDER BY server) AS detail FROM (SELECT DISTINCT s, unnest(['s8', 's9']) AS server FROM msg) GROUP BY s),
+fx AS (SELECT s, 'compact-focus' AS kind, savings, focus AS detail, 1 AS o FROM fo WHERE savings >= 100 UNION ALL SELECT s, 'ignore-file', sv, detail, 2 FROM nt UNION ALL SELECT s, 'prompt-rule', CAST(floor(sv / 2.0 + 0.5) AS BIGINT), detail, 3 FROM nt
+  UNION ALL SELECT s, 'mcp-disable', 0, detail, 4 FROM us UNION ALL SELECT DISTINCT s, 'prompt-oversized', 500, '2000', 5 FROM msg)
 SELECT fx.s AS session_id, row_number() OVER (PARTITION BY fx.s ORDER BY savings DESC, o) AS position, kind, savings, detail, CAST(sum(savings) OVER (PARTITION BY fx.s) AS BIGINT) AS total_saveable,
   CAST(sum(savings) OVER (PARTITION BY fx.s) AS DOUBLE) / lim * 100 AS percent_of_context FROM fx JOIN li USING (s)""")
 def optimize_report(spark, d):
-    m = event_messages(spark, d, paths=f"concat({_DIRS}, 'f', k, '.ts')")
-    none = advice.compact_focus(W.stale_reads(C.classify(m)).select("session_id", "severity", "type", "tokens", "filename", "first_idx", "last_idx", F.lit(1).alias("rank"), F.col("first_idx").alias("rel_first"))).limit(0)
-    unused = m.select("session_id", F.lit("s9").alias("server")).distinct()
-    return advice.optimize_report(none, W.noise_reads(m), unused, _limits(m), prompt=2000)
+    m, c, e, since = _live(spark, d, paths=f"concat({_DIRS}, 'f', k, '.ts')")
+    unused = advice.mcp_usage(c, ("s8", "s9")).filter("invocations = 0").select("session_id", "server")
+    return advice.optimize_report(advice.compact_focus(W.detect_waste(c, m, since)), W.noise_reads(m), unused, _limits(m), prompt=2000)
 
 
 @query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_FOCUS}, {_STATE}, {O.CATS},
@@ -347,7 +349,7 @@ al AS (SELECT sp.s, 1 AS priority, 'compact' AS kind, coalesce(savings, CAST(flo
 SELECT s AS session_id, CAST(priority AS BIGINT) AS priority, kind, CAST(impact AS BIGINT) AS impact, subject, row_number() OVER (PARTITION BY s ORDER BY priority, o) AS position FROM al""")
 def recommendations(spark, d):
     m, c, e, since = _live(spark, d)
-    w = W.detect_waste(c, m, since).persist()
+    w = cut(W.detect_waste(c, m, since))
     share = C.buckets(c).filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
     return advice.recommendations(_state(m, c, since), w, advice.compact_focus(w), since, share, m, prompt=2000)
 
@@ -364,9 +366,9 @@ def top_consumers(spark, d):
     return advice.top_consumers(K.slice_from(c, since), W.detect_waste(c, m, since), e, derived)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, h AS (SELECT s, epoch_ns(ts) // 1000000 AS t FROM msg WHERE eff IS NOT NULL AND CAST(eff AS DOUBLE) / 200000 * 100 >= 50),
+r AS (SELECT s, min(t) AS t FROM h GROUP BY s UNION ALL SELECT r.s, min(h.t) AS t FROM r JOIN h ON h.s = r.s AND h.t >= r.t + 86400000 GROUP BY r.s, r.t) SELECT s AS session_id, t AS ts_ms FROM r""")
 def inject_decision(spark, d):
-    """A fold over each session's calls in order; checked against brute force in the tests."""
     m = event_messages(spark, d)
     turns = m.filter("usage IS NOT NULL").select("session_id", F.unix_millis(F.to_timestamp("ts")).alias("ts_ms"), (T.effective_input() / F.lit(200_000) * 100).alias("percentage"))
     return advice.injection_decisions(turns, threshold=50, min_gap_ms=24 * 3600 * 1000)
@@ -396,7 +398,7 @@ lc AS (SELECT s, event, idx, txt, CASE WHEN ncat = 'conversation' AND ntype = 'a
   WHERE cat = 'conversation' AND type = 'user' AND NOT is_res AND length(txt) >= 9),
 lost AS (SELECT s, event, 'file_read' AS type, idx AS first_idx, idx + 1 AS last_idx, tokens, fn AS subject, 1 AS o FROM lf JOIN sm USING (s, event) WHERE NOT contains(summary, lower(fn))
   UNION ALL SELECT s, event, 'conversation', idx, li, tokens, txt, 2 FROM lc JOIN sm USING (s, event) WHERE tokens >= 50 AND NOT contains(summary, regexp_extract(txt, 'f[0-9]+.ts'))
-  UNION ALL SELECT s, event, 'tool_result', idx, idx, tok, coalesce(rtool, 'Tool'), 3 FROM wi JOIN sm USING (s, event) WHERE cat = 'tools' AND is_res AND tok >= 50
+  UNION ALL SELECT s, event, 'tool_result', idx, idx, tok, coalesce(rtool, 'Tool'), 3 FROM wi JOIN sm USING (s, event) WHERE cat = 'tools' AND is_res AND tok >= 50 AND NOT coalesce(contains(summary, lower(rtool)), false)
   UNION ALL SELECT s, event, 'instruction', idx, idx, tok, txt, 4 FROM wi JOIN sm USING (s, event) WHERE cs AND length(txt) >= 9 AND NOT contains(summary, regexp_extract(txt, 'f[0-9]+.ts')))"""
 
 
@@ -461,18 +463,32 @@ def compare_sessions(spark, d):
     return R.compare(_pairs(b), b)
 
 
-@query(f"""{_CMP}, x AS (SELECT sa, sb, max(delta) FILTER (category = 'tools') AS td, max(dp) FILTER (category = 'tools') AS tp, max(delta) FILTER (category = 'conversation') AS cd, max(dp) FILTER (category = 'conversation') AS cpp, sum(ta) AS ta, sum(tb) AS tb FROM cp GROUP BY sa, sb),
-y AS (SELECT *, sa % 4 AS wa, sb % 4 AS wb, sa % 3 AS ca, sb % 3 AS cb FROM x)
-SELECT sa AS session_a, sb AS session_b, concat_ws(',', CASE WHEN abs(tp) > 15 THEN 'more-tools-' || CASE WHEN td > 0 THEN 'b' ELSE 'a' END END, CASE WHEN abs(cpp) > 10 THEN 'more-conversation-' || CASE WHEN cd > 0 THEN 'b' ELSE 'a' END END,
- CASE WHEN wa > 0 AND wb >= 2 * wa THEN 'more-waste-b' WHEN wb > 0 AND wa >= 2 * wb THEN 'more-waste-a' WHEN wa = 0 AND wb > 0 THEN 'only-waste-b' WHEN wb = 0 AND wa > 0 THEN 'only-waste-a' END,
- CASE WHEN ca > 0 AND cb = 0 THEN 'only-compacted-a' WHEN cb > 0 AND ca = 0 THEN 'only-compacted-b' WHEN ca > 0 AND cb > 0 AND ca <> cb THEN 'both-compacted' END,
- CASE WHEN ta > 0 AND CAST(abs(tb - ta) AS DOUBLE) / CAST(ta AS DOUBLE) * 100 > 20 THEN 'more-total-' || CASE WHEN tb > ta THEN 'b' ELSE 'a' END END) AS insights FROM y""")
+@query(f"""WITH {EV}, {O.EVENTS}, {O.CATS}, {_WASTE}, bk AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM msg) g CROSS JOIN cats c LEFT JOIN msg m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category),
+x0 AS (SELECT a.s AS sa, b.s AS sb, a.category, b.t - a.t AS d, CASE WHEN a.t > 0 THEN CAST(b.t - a.t AS DOUBLE) / a.t * 100 WHEN b.t > 0 THEN 100.0 ELSE 0.0 END AS p FROM bk a JOIN bk b ON b.s = a.s + 1 AND b.category = a.category),
+x AS (SELECT sa, sb, max(d) FILTER (category = 'tools') AS td, max(p) FILTER (category = 'tools') AS tp, max(d) FILTER (category = 'conversation') AS cd, max(p) FILTER (category = 'conversation') AS cpp FROM x0 GROUP BY sa, sb),
+wc AS (SELECT s, count(*) AS n FROM wr GROUP BY s), nn AS (SELECT m.s, coalesce(any_value(wc.n), 0) AS w, coalesce(any_value(n_compactions), 0) AS c,
+  CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND model <> '<synthetic>' AND eff > 0), sum(tok)) AS BIGINT) AS t FROM msg m LEFT JOIN wc ON wc.s = m.s LEFT JOIN st ON st.s = m.s GROUP BY m.s),
+y AS (SELECT x.*, a.w AS wa, b.w AS wb, a.c AS ca, b.c AS cb, a.t AS ta, b.t AS tb FROM x JOIN nn a ON a.s = sa JOIN nn b ON b.s = sb)
+SELECT sa AS session_a, sb AS session_b, concat_ws(chr(10), CASE WHEN abs(tp) > 15 THEN 'more tool tokens in ' || CASE WHEN td > 0 THEN 'b' ELSE 'a' END || ': ' || format('{{:,}}', CAST(abs(td) AS BIGINT)) END,
+ CASE WHEN abs(cpp) > 10 THEN 'more conversation tokens in ' || CASE WHEN cd > 0 THEN 'b' ELSE 'a' END || ': ' || format('{{:,}}', CAST(abs(cd) AS BIGINT)) END,
+ CASE WHEN (wa > 0 AND wb >= 2 * wa) OR (wb > 0 AND wa >= 2 * wb) OR (wa = 0 AND wb > 0) OR (wb = 0 AND wa > 0) THEN 'more waste in ' || CASE WHEN wb > wa THEN 'b' ELSE 'a' END || ': a ' || wa || ', b ' || wb END,
+ CASE WHEN (ca > 0 OR cb > 0) AND ca <> cb THEN CASE WHEN ca > 0 AND cb > 0 THEN 'both compacted' ELSE 'only compacted in ' || CASE WHEN cb > ca THEN 'b' ELSE 'a' END END || ': a ' || ca || ', b ' || cb END,
+ CASE WHEN ta > 0 AND CAST(abs(tb - ta) AS DOUBLE) / ta * 100 > 20 THEN 'more tokens in all in ' || CASE WHEN tb > ta THEN 'b' ELSE 'a' END || ': ' || format('{{:,}}', abs(tb - ta)) || ', ' || CAST(floor(CAST(abs(tb - ta) AS DOUBLE) / ta * 100 + 0.5) AS BIGINT) || ' percent' END) AS insights FROM y""")
 def compare_insights(spark, d):
-    b = C.buckets(C.classify(conversation_messages(spark, d)))
-    counts = b.groupBy("session_id").agg(F.sum("tokens").alias("total")).select("session_id", (F.col("session_id") % 4).alias("n_waste"), (F.col("session_id") % 3).alias("n_compactions"), "total")
+    m, c, e, since = _live(spark, d)
+    b = C.buckets(c)
+    waste = W.detect_waste(c, m, since).groupBy("session_id").agg(F.count(F.lit(1)).alias("w"))
+    counts = _totals(c).join(waste, "session_id", "left").join(since, "session_id", "left")
+    counts = counts.select("session_id", F.coalesce("w", F.lit(0)).alias("n_waste"), F.coalesce("n_compactions", F.lit(0)).alias("n_compactions"), F.col("tokens_total").alias("total"))
     return R.insights(R.compare(_pairs(b), b), counts)
 
 
+def _totals(c):
+    """Rows (session_id, tokens_total, message_count) of whole sessions."""
+    totals = c.groupBy("session_id").agg(F.sum("tokens").alias("content"), F.count(F.lit(1)).alias("message_count")).join(C.effective_window(c), "session_id", "left")
+    return totals.select("session_id", F.coalesce("effective", "content").alias("tokens_total"), "message_count")
+
+
 def _cut_sql(n: int) -> str:
     return f"""c{n} AS (SELECT s, idx, type, tok, CASE WHEN type = 'system' THEN 'system' WHEN type = 'user' AND idx = max(CASE WHEN type = 'user' THEN idx END) OVER (PARTITION BY s) THEN 'user' ELSE 'conversation' END AS cat FROM msg WHERE idx < {n}),
 b{n} AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM c{n}) g CROSS JOIN cats c LEFT JOIN c{n} m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category)"""
@@ -513,45 +529,66 @@ def trend_csv(spark, d):
 
 
 def _pasted(spark, d):
-    c = table(spark, d, "customer")
-    v = F.col("c_custkey")
-    return c.select(v.alias("id"), F.concat(F.lit("System prompt: "), (v % 7).cast("string"), F.lit(".5k tokens\n  Tools: "), (v * 10).cast("string"), F.lit(" tokens\nMemory files: 0\nMessages: 1,2"), F.lpad((v % 100).cast("string"), 2, "0"), F.lit("\nmessages: 5k\nFree space: 2m")).alias("text"))
+    """Pasted usage listings, one for each customer: repeated labels, odd lines, and a total in some."""
+    return table(spark, d, "customer").selectExpr("c_custkey AS id", f"{_PASTE} AS text")
+
+
+#: Read alike by Spark and DuckDB.
+_PASTE = r"""concat('  System prompt:  1,2', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), ' tokens', chr(10), 'System tools: ', CAST(c_custkey * 10 AS STRING), chr(10), 'Tools: 11k', chr(10),
+  'Custom agents: ', CAST(c_custkey % 3 * 40 AS STRING), ' tokens', chr(10), 'Memory files: 0', chr(10), 'MCP tools: ', CAST(c_custkey % 5 * 100 AS STRING), chr(10), 'Messages: 7,000 tokens', chr(10), 'memdir: 55', chr(10),
+  'messages: ', CAST(c_custkey % 4 * 2500 AS STRING), ' TOKENS', chr(10), 'Free space: 2,000', chr(10), 'noise', chr(10), CASE WHEN c_custkey % 2 = 0 THEN 'Total: 200,000 tokens' ELSE 'Total: n/a' END)"""
+_FIND = {b: words for b, words in R.CALIBRATION_LABELS}
+_CAL = (
+    f"""ln AS (SELECT c_custkey AS id, l, p FROM (SELECT c_custkey, string_split({_PASTE.replace('STRING', 'VARCHAR')}, chr(10)) AS ls FROM customer), LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS p)),
+lb AS (SELECT id, p, lower(trim(regexp_extract(l, '^\\s*([^:]+):', 1))) AS label, CAST(replace(regexp_extract(l, '(?i):\\s*([0-9,]+)\\s*(?:tokens?)?\\s*$', 1), ',', '') AS BIGINT) AS v FROM ln WHERE regexp_matches(l, '(?i)^\\s*[^:]+:\\s*[0-9,]+\\s*(?:tokens?)?\\s*$')),
+la AS (SELECT id, label, arg_max(v, p) AS v, min(p) AS p FROM lb GROUP BY id, label),
+cb AS (SELECT id, """.replace("\\\\", "\\")
+    + ", ".join(f"coalesce({', '.join(f'nullif(arg_min(v, p) FILTER (contains(label, {chr(39)}{w}{chr(39)})), 0)' for w in words)}, 0) AS {b}" for b, words in _FIND.items())
+    + """ FROM la GROUP BY id),
+ca AS (SELECT * EXCLUDE (total), system_prompt + system_tools + custom_agents + memory_files + mcp_tools + messages AS total_used, total FROM cb),
+cc AS (SELECT * EXCLUDE (total), CASE WHEN total > 0 THEN total ELSE total_used + free_space END AS total_capacity FROM ca WHERE total_used > 0 OR free_space > 0)"""
+)
+
+
+@query(f"WITH {_CAL} SELECT * FROM cc")
+def calibration_parse(spark, d):
+    return R.parse_context_output(_pasted(spark, d))
 
 
-_CAL = "ca AS (SELECT c_custkey AS id, unnest([{'b': 'system', 't': CASE WHEN c_custkey % 7 = 0 THEN 500 ELSE (c_custkey % 7) * 1000 + 500 END}, {'b': 'tools', 't': c_custkey * 10}, {'b': 'messages', 't': 5000}, {'b': 'free', 't': 2000000}], recursive := true) FROM customer)"
+def _estimates(spark, d):
+    """Estimated buckets of the sessions that have a customer's number, with the fixed costs."""
+    c = C.classify(event_messages(spark, d))
+    return C.buckets(c, C.config_overhead(c, prompt=1200, memory=300)).select(F.col("session_id").alias("id"), "category", "tokens")
 
 
-@query(f"WITH {_CAL} SELECT id, b AS bucket, CAST(t AS BIGINT) AS tokens FROM ca WHERE t > 0")
-def calibration_parse(spark, d):
-    return R.parse_context_output(_pasted(spark, d))
+_CALC = f"""{_CAL}, es AS (SELECT s AS id, sum(tok) FILTER (cat = 'system') AS a, sum(tok) FILTER (cat = 'tools') AS b, sum(tok) FILTER (cat IN ('conversation', 'retrieved', 'user')) AS c, sum(tok) FILTER (cat = 'state') AS e FROM
+  (SELECT s, cat, tok FROM msg UNION ALL SELECT DISTINCT s, 'tools', 9055 FROM msg UNION ALL SELECT DISTINCT s, 'system', 1200 FROM msg UNION ALL SELECT DISTINCT s, 'state', 300 FROM msg) GROUP BY s),
+cm AS (SELECT id, unnest([{{'bucket': 'System prompt', 'estimated': coalesce(a, 0), 'actual': system_prompt}}, {{'bucket': 'Tools', 'estimated': coalesce(b, 0), 'actual': system_tools + mcp_tools}}, {{'bucket': 'Messages', 'estimated': coalesce(c, 0), 'actual': messages}},
+  {{'bucket': 'Memory', 'estimated': coalesce(e, 0), 'actual': memory_files}}, {{'bucket': 'Custom agents', 'estimated': 0, 'actual': custom_agents}}], recursive := true) FROM es JOIN cc USING (id)),
+cp AS (SELECT * FROM cm WHERE estimated > 0 OR actual > 0)"""
 
 
-@query(f"""WITH {_CAL}, k AS (SELECT id, b, t FROM ca WHERE t > 0 AND b <> 'free'), e AS (SELECT c_custkey AS id, 'tools' AS b, 9055 AS t FROM customer),
-j AS (SELECT coalesce(k.id, e.id) AS id, coalesce(k.b, e.b) AS bucket, coalesce(e.t, 0) AS es, coalesce(k.t, 0) AS ac FROM k FULL JOIN e ON k.id = e.id AND k.b = e.b)
-SELECT id, bucket, CAST(es AS BIGINT) AS estimated, CAST(ac AS BIGINT) AS actual, CASE WHEN ac > 0 THEN CAST(es - ac AS DOUBLE) / CAST(ac AS DOUBLE) * 100 END AS delta_percent FROM j""")
+@query(f"WITH {EV}, {_CALC} SELECT id, bucket, CAST(estimated AS BIGINT) AS estimated, CAST(actual AS BIGINT) AS actual, CASE WHEN actual > 0 THEN CAST(estimated - actual AS DOUBLE) / CAST(actual AS DOUBLE) * 100 ELSE 0.0 END AS delta_percent FROM cp")
 def calibration_compare(spark, d):
-    return R.calibrate(_estimates(spark, d), R.parse_context_output(_pasted(spark, d)).filter("bucket <> 'free'"))
+    return R.calibrate(_estimates(spark, d), R.parse_context_output(_pasted(spark, d)))
 
 
-def _estimates(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("tools").alias("bucket"), F.lit(9055).cast("bigint").alias("tokens"))
-
-
-@query(f"""WITH {_CAL}, k AS (SELECT id, sum(t) AS a, max(t) FILTER (b = 'tools') AS tt FROM ca WHERE t > 0 AND b <> 'free' GROUP BY id)
-SELECT c_custkey AS id, CASE WHEN a > 0 THEN 100 - CAST(abs(9055 - a) AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS accuracy, coalesce(tt > 0 AND CAST(abs(tt - 9055) AS DOUBLE) / CAST(tt AS DOUBLE) > 0.05, false) AS stale FROM customer LEFT JOIN k ON k.id = c_custkey""")
+@query(f"""WITH {EV}, {_CALC}, g AS (SELECT id, sum(estimated) AS e, sum(actual) AS a FROM cp GROUP BY id)
+SELECT id, CASE WHEN a > 0 THEN 100 - CAST(abs(e - a) AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS accuracy, system_tools > 0 AND CAST(abs(system_tools - 9055) AS DOUBLE) / CAST(system_tools AS DOUBLE) > 0.05 AS stale FROM g JOIN cc USING (id)""")
 def calibration_accuracy(spark, d):
-    return R.calibration_accuracy(R.calibrate(_estimates(spark, d), R.parse_context_output(_pasted(spark, d)).filter("bucket <> 'free'")))
+    actual = R.parse_context_output(_pasted(spark, d))
+    return R.calibration_accuracy(R.calibrate(_estimates(spark, d), actual), actual)
 
 
-def _snapshots(spark, d, shift: int):
-    p = table(spark, d, "part").select("p_partkey")
-    k = F.col("p_partkey")
-    return p.select("p_partkey", *((k * (i + 1) % (97 + shift)).cast("bigint").alias(c) for i, c in enumerate(R.SNAPSHOT)))
+_SNAP = f"""{O.EVENTS}, {_WASTE}, {_STATE}, an AS (SELECT s, count(*) AS na FROM msg GROUP BY s), tt AS (SELECT s, CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND model <> '<synthetic>' AND eff > 0), sum(tok)) AS BIGINT) AS t FROM msg GROUP BY s), wc AS (SELECT s, count(*) AS n FROM wr GROUP BY s),
+sh AS (SELECT sp.s, tt.t AS tokens_total, total AS tokens_current, pct AS usage_percentage, na AS message_count, coalesce(wc.n, 0) AS waste_count, coalesce(n_compactions, 0) AS compaction_count, CAST(lim AS BIGINT) AS context_limit
+  FROM sp JOIN an ON an.s = sp.s JOIN tt ON tt.s = sp.s LEFT JOIN wc ON wc.s = sp.s LEFT JOIN st ON st.s = sp.s)"""
 
 
-@query("SELECT p_partkey, " + ", ".join(f"CAST((p_partkey * {i + 1}) % 100 - (p_partkey * {i + 1}) % 97 AS BIGINT) AS {c}" for i, c in enumerate(R.SNAPSHOT)) + " FROM part")
+@query(f"WITH {EV}, {_SNAP} SELECT a.s AS session_id, " + ", ".join(f"b.{c} - a.{c} AS {c}" for c in R.SNAPSHOT) + " FROM sh a JOIN sh b ON b.s = a.s + 1")
 def bench_snapshot_compare(spark, d):
-    return R.snapshot_delta(_snapshots(spark, d, 0), _snapshots(spark, d, 3), "p_partkey")
+    s = cut(bench_snapshots(spark, d))
+    return R.snapshot_delta(s, s.withColumn("session_id", F.col("session_id") - 1), "session_id")
 
 
 def _paths(a: str, b: str) -> str:
@@ -571,12 +608,46 @@ def file_ref_setdiff(spark, d):
     return R.survivor_diff(t, "doc_id", "a", "b")
 
 
-@query("""SELECT p_partkey, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(1 - b::DOUBLE / a::DOUBLE) < 0.1 THEN 'similar' WHEN b > a THEN 'b' ELSE 'a' END END AS more,
-  CASE WHEN a > 0 AND b > 0 AND abs(1 - b::DOUBLE / a::DOUBLE) >= 0.1 THEN CAST(floor((CASE WHEN b > a THEN b::DOUBLE / a::DOUBLE - 1 ELSE 1 / (b::DOUBLE / a::DOUBLE) - 1 END) * 100 + 0.5) AS BIGINT) END AS percent
-FROM (SELECT p_partkey, p_partkey % 13 AS a, p_partkey % 11 AS b FROM part)""")
+def _reclaimed(spark, d):
+    """What the last compactions of two neighbouring sessions dropped."""
+    e = K.compaction_events(event_messages(spark, d)).groupBy("session_id").agg(F.max_by("tokens_dropped", "before_idx").alias("a"))
+    return e.join(e.select((F.col("session_id") - 1).alias("session_id"), F.col("a").alias("b")), "session_id")
+
+
+_RECL = f"""{O.EVENTS}, rc AS (SELECT s, arg_max(tokens_before - tokens_after, before_idx) AS a FROM ev GROUP BY s), rp AS (SELECT x.s, x.a, y.a AS b FROM rc x JOIN rc y ON y.s = x.s + 1)"""
+_RATIO = "CASE WHEN a > 0 AND b > 0 AND abs(1 - b::DOUBLE / a::DOUBLE) >= 0.1 THEN CAST(floor((CASE WHEN b > a THEN b::DOUBLE / a::DOUBLE - 1 ELSE 1 / (b::DOUBLE / a::DOUBLE) - 1 END) * 100 + 0.5) AS BIGINT) END"
+
+
+@query(f"""WITH {EV}, {_RECL} SELECT s AS session_id, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(1 - b::DOUBLE / a::DOUBLE) < 0.1 THEN 'similar' WHEN b > a THEN 'b' ELSE 'a' END END AS more, {_RATIO} AS percent FROM rp""")
 def bench_reclaim(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 13).alias("a"), (F.col("p_partkey") % 11).alias("b"))
-    return R.reclaim_ratio(p, "p_partkey", "a", "b")
+    return R.reclaim_ratio(_reclaimed(spark, d), "session_id", "a", "b")
+
+
+@query(f"""WITH {EV}, {_RECL}, fl AS (SELECT s, list_distinct(list(split_part(path, '/', -1)) FILTER (tool = 'Read')) AS r FROM msg GROUP BY s),
+q AS (SELECT rp.s, a, b, coalesce(x.r, []) AS ra, coalesce(y.r, []) AS rb, {_RATIO} AS pc FROM rp JOIN fl x ON x.s = rp.s JOIN fl y ON y.s = rp.s + 1),
+o AS (SELECT *, list_sort([v for v in rb if NOT list_contains(ra, v)]) AS ob, list_sort([v for v in ra if NOT list_contains(rb, v)]) AS oa FROM q)
+SELECT s AS key, concat_ws(chr(10), CASE WHEN len(ra) > 0 OR len(rb) > 0 THEN CASE WHEN len(rb) > len(ra) THEN 'b names more files by ' || (len(rb) - len(ra)) WHEN len(rb) < len(ra) THEN 'a names more files by ' || (len(ra) - len(rb)) ELSE 'both name as many files: ' || len(ra) END END,
+  CASE WHEN len(ob) > 0 THEN 'only in b: ' || array_to_string(ob[1:5], ', ') || CASE WHEN len(ob) > 5 THEN ', and ' || (len(ob) - 5) || ' more' ELSE '' END END,
+  CASE WHEN len(oa) > 0 THEN 'only in a: ' || array_to_string(oa[1:5], ', ') || CASE WHEN len(oa) > 5 THEN ', and ' || (len(oa) - 5) || ' more' ELSE '' END END,
+  CASE WHEN a > 0 AND b > 0 THEN CASE WHEN abs(1 - b::DOUBLE / a::DOUBLE) < 0.1 THEN 'both reclaimed about as much' ELSE CASE WHEN b > a THEN 'b' ELSE 'a' END || ' reclaimed more by ' || pc || ' percent' END END) AS insights FROM o""")
+def bench_insights(spark, d):
+    m = event_messages(spark, d)
+    files = C.tool_uses(m).filter("name = 'Read'").groupBy("session_id").agg(F.collect_set(X.filename(F.col("path"))).alias("r"))
+    files = m.select("session_id").distinct().join(files, "session_id", "left").select("session_id", F.coalesce("r", F.array().cast("array<string>")).alias("refs_a"))
+    both = files.join(files.select((F.col("session_id") - 1).alias("session_id"), F.col("refs_a").alias("refs_b")), "session_id")
+    runs = _reclaimed(spark, d).join(both, "session_id")
+    return R.run_insights(runs.select(F.col("session_id").alias("key"), "refs_a", "refs_b", F.col("a").alias("reclaimed_a"), F.col("b").alias("reclaimed_b")))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_FOCUS}, {_STATE}, {O.CATS}, bk AS (SELECT g.s, c.category, c.ord, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM msg) g CROSS JOIN cats c LEFT JOIN msg m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category, c.ord),
+bp AS (SELECT *, CASE WHEN sum(t) OVER (PARTITION BY s) > 0 THEN CAST(t AS DOUBLE) / CAST(sum(t) OVER (PARTITION BY s) AS DOUBLE) * 100 ELSE 0.0 END AS p FROM bk),
+tq AS (SELECT s, string_agg(category || ' ' || CAST(floor(p + 0.5) AS BIGINT) || '%', ', ' ORDER BY ord) AS top FROM bp WHERE ord <= 3 GROUP BY s)
+SELECT sp.s AS session_id, 'Context window at ' || CAST(floor(pct + 0.5) AS BIGINT) || '%.' || CASE WHEN coalesce(savings, 0) > 0 THEN ' About ' || format('{{:,}}', savings) || ' tokens can be reclaimed.' ELSE ' Largest parts: ' || top || '.' END || chr(10) ||
+  'Ask the user to run this before the next answer:' || chr(10) || coalesce(focus, '/compact') || chr(10) || 'At 80% the window is compacted unasked, and more is dropped. Files stay on disk and can be read again.' AS text
+FROM sp JOIN tq ON tq.s = sp.s LEFT JOIN fo ON fo.s = sp.s""")
+def injection_text(spark, d):
+    m, c, e, since = _live(spark, d)
+    return advice.injection(_state(m, c, since), advice.compact_focus(W.detect_waste(c, m, since)), C.buckets(c))
 
 
 @query(r"""SELECT doc_id, array_to_string((regexp_extract_all(text, '[A-Za-z0-9_-]+\.[A-Za-z0-9_]{1,6}') || regexp_extract_all(text, '([a-zA-Z_][A-Za-z0-9_]{3,})\s*\(', 1) ||
@@ -615,10 +686,10 @@ def doctor_status(spark, d):
     return R.worst_status(c.select("c_nationkey", status.alias("status")), "c_nationkey")
 
 
-@query()
+@query("""SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS known, count(*) AS now FROM events
+WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INT) < 5 GROUP BY user_id""")
 def watch_feed(spark, d):
     """Compactions as a stream finds them: a stateful count for each session, as JSON lines."""
-    from ..sources.shared import shared_dir
     from ..streaming.live import new_compactions, run_once
 
     schema = table(spark, d, "events").schema
@@ -640,7 +711,7 @@ SELECT ps.s AS session_id, nullif(concat_ws(chr(10), 'In context already: ' || a
   CASE WHEN pct >= 50 THEN coalesce(focus, CASE WHEN pct >= 70 THEN '/compact' END) END AS compact_command FROM ps LEFT JOIN da ON da.s = ps.s LEFT JOIN fo ON fo.s = ps.s LEFT JOIN st ON st.s = ps.s""")
 def fix_prompts(spark, d):
     m, c, e, since = _live(spark, d)
-    w = W.detect_waste(c, m, since).persist()
+    w = cut(W.detect_waste(c, m, since))
     return advice.fix_prompts(_state(m, c, since), w, advice.compact_focus(w), since, prompt=2000)
 
 
@@ -664,9 +735,7 @@ SELECT sp.s AS session_id, tt.t AS tokens_total, total AS tokens_current, pct AS
 FROM sp JOIN al ON al.s = sp.s JOIN tt ON tt.s = sp.s LEFT JOIN wc ON wc.s = sp.s LEFT JOIN st ON st.s = sp.s""")
 def bench_snapshots(spark, d):
     m, c, e, since = _live(spark, d)
-    totals = c.groupBy("session_id").agg(F.sum("tokens").alias("content"), F.count(F.lit(1)).alias("message_count")).join(C.effective_window(m), "session_id", "left")
-    totals = totals.select("session_id", F.coalesce("effective", "content").alias("tokens_total"), "message_count")
-    return R.snapshots(_state(m, c, since), totals, W.detect_waste(c, m, since), since)
+    return R.snapshots(_state(m, c, since), _totals(c), W.detect_waste(c, m, since), since)
 
 
 @query(f"""WITH {LOST}, b AS (SELECT s, max(idx) AS at_ FROM msg WHERE type = 'system' AND NOT cs GROUP BY s), c AS (SELECT m.s, arg_min(txt, idx) AS t FROM msg m JOIN b ON b.s = m.s AND m.cs AND idx > at_ GROUP BY m.s)

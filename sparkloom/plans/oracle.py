@@ -41,7 +41,7 @@ e2 AS (SELECT s, idx, k, b, ts, event_type, eff0, is_call,
   CASE WHEN is_call THEN {path} END AS path, CASE WHEN is_call THEN 'u' || event_id END AS use,
   CASE WHEN event_type = 'error' AND NOT b THEN res0 END AS res, CASE WHEN event_type = 'error' AND NOT b THEN rtool END AS rtool,
   event_type = 'error' AND NOT b AS is_res, event_type = 'click' AND k % 4 = 0 AND {str(summaries).lower()} AS cs,
-  CASE WHEN event_type = 'click' THEN 'see f' || (k % 20) || '.ts' WHEN event_type = 'signup' THEN 'signup' WHEN event_type = 'error' AND NOT b THEN repeat('x', 10 * k) END AS txt,
+  CASE WHEN event_type = 'click' THEN 'see f' || (k % 20) || '.ts' || CASE WHEN k % 8 = 0 THEN ' after edit' ELSE '' END WHEN event_type = 'signup' THEN CASE WHEN k % 3 = 0 THEN repeat('signed up and done, ', 3) ELSE 'signup' END WHEN event_type = 'error' AND NOT b THEN repeat('x', 10 * k) END AS txt,
   CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN CAST(u_in AS BIGINT) END AS u_in, CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN CAST(u_cc AS BIGINT) END AS u_cc,
   CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN CAST(u_cr AS BIGINT) END AS u_cr, CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN 20 + k END AS u_out,
   CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN CASE WHEN k % 10 = 9 THEN '<synthetic>' ELSE ['model-a', 'model-b', 'model-c[1m]'][k % 3 + 1] END END AS model,

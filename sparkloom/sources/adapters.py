@@ -85,9 +85,9 @@ def event_messages(spark: SparkSession, sf_dir: str, mcp: bool = False, markers:
             "CASE WHEN NOT boundary THEN who END AS role",
             "CASE WHEN who = 'assistant' THEN CASE WHEN k % 10 = 9 THEN '<synthetic>' ELSE element_at(array('model-a', 'model-b', 'model-c[1m]'), k % 3 + 1) END END AS model",
             "CASE WHEN boundary THEN 'none' WHEN event_type = 'click' THEN 'string' ELSE 'array' END AS content_kind",
-            "CASE WHEN event_type = 'click' THEN concat('see f', k % 20, '.ts') END AS content_str",
+            "CASE WHEN event_type = 'click' THEN concat('see f', k % 20, '.ts', CASE WHEN k % 8 = 0 THEN ' after edit' ELSE '' END) END AS content_str",
             f"CASE WHEN boundary OR event_type = 'click' THEN NULL WHEN event_type = 'view' THEN {call(read)} WHEN event_type = 'purchase' THEN {call(edit)}"
-            f" WHEN event_type = 'signup' THEN {_block(type=chr(39) + 'text' + chr(39), text=chr(39) + 'signup' + chr(39))}"
+            f" WHEN event_type = 'signup' THEN {_block(type=chr(39) + 'text' + chr(39), text="CASE WHEN k % 3 = 0 THEN repeat('signed up and done, ', 3) ELSE 'signup' END")}"
             f" ELSE {_block(type=chr(39) + 'tool_result' + chr(39), tool_use_id='call_id', content_kind=chr(39) + 'string' + chr(39), content_str='repeat(' + chr(39) + 'x' + chr(39) + ', 10 * k)')} END AS blocks",
             f"CASE WHEN who = 'assistant' THEN CAST({usage} AS {USAGE}) END AS usage",
             "CAST(ts AS STRING) AS ts",
