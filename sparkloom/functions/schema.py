@@ -35,6 +35,10 @@ RESOLUTION_PHRASES = (
     "awesome", "exactly", "that did it", "working now",
 )
 
+#: What marks the analyser's own turn at the end of a session.
+OWN_COMMANDS = ("sparkloom analyze", "sparkloom waste", "sparkloom timeline", "sparkloom list", "sparkloom calibrate", "sparkloom fix")
+OWN_MARKS = ("sparkloom report",)
+
 # Total of the built-in tools' schemas, skills' default, thresholds.
 BUILTIN_SCHEMA_TOKENS = 9_055
 DEFAULT_SKILL_TOKENS = 476

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions import schema as S
+from ..sources.shared import cut
+from ..sources.state import Thresholds
 from . import advice, classify as C, compaction as K, waste as W
 
 
@@ -16,6 +18,7 @@ class Analysis:
     events: DataFrame
     since: DataFrame
     buckets: DataFrame
+    current: DataFrame
     window: DataFrame
     limits: DataFrame
     segments: DataFrame
@@ -26,25 +29,33 @@ class Analysis:
     focus: DataFrame
 
 
-def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, cache: bool = False) -> Analysis:
-    """All intermediate tables, lazily; ``cache`` keeps the classified rows for reuse."""
+def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False) -> Analysis:
+    """All intermediate tables, lazily; ``cache`` writes the classified rows once for all of them.
+
+    ``config`` is what ``sources.logs.gather_config`` returns; ``prompt`` and ``memory`` stand in for it.
+    ``current`` are the buckets from the last compaction on, with the same fixed costs."""
+    known = {"prompt": prompt, "memory": memory, "builtin": S.BUILTIN_SCHEMA_TOKENS, "mcp": 0, "skill_tokens": 0} | (config or {})
+    t = thresholds or Thresholds()
     classified = C.classify(messages)
     if cache:
-        classified = classified.persist()
+        classified = messages = cut(classified)
     events = K.compaction_events(messages)
     since = K.last_compaction(events)
     segments = K.model_segments(messages)
     limits = C.context_limits(messages, K.model_history(segments).select("session_id", "current_model"))
     window = C.effective_window(messages, since)
-    derived = K.internal_prompt(messages, prompt, memory=memory).filter("tokens IS NOT NULL").select("session_id", "tokens")
+    derived = K.internal_prompt(messages, known["prompt"], known["builtin"], known["memory"], known["skill_tokens"]).filter("tokens IS NOT NULL").select("session_id", "tokens")
     framing = K.framing(classified, since)
-    overhead = C.config_overhead(classified, prompt, memory=memory, derived=derived)
-    waste = W.detect_waste(classified, messages, since, prompt)
+    overhead = C.config_overhead(classified, known["prompt"], known["builtin"], known["mcp"], known["memory"], derived)
+    each = framing.select("session_id", "tokens_per_message")
+    live = overhead.join(since.select("session_id"), "session_id", "left_semi")
+    waste = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))
     return Analysis(
         classified,
         events,
         since,
-        C.buckets(classified, overhead),
+        C.buckets(classified, overhead, each),
+        C.buckets(K.current_context(classified, events), live, each),
         window,
         limits,
         segments,

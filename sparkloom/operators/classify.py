@@ -164,6 +164,23 @@ def context_limits(messages: DataFrame, model: DataFrame) -> DataFrame:
     return joined.select("session_id", limit.alias("context_limit"), signal.alias("signal"))
 
 
+def runs_command(commands: tuple[str, ...], tool: str = "Bash") -> Column:
+    """A call of the shell tool whose command holds one of ``commands``."""
+    said = lambda b: _any_of(F.coalesce(F.get_json_object(b["input_json"], "$.command"), F.lit("")), commands)
+    return F.coalesce(F.exists("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] == tool) & said(b)), F.lit(False))
+
+
+def shows_output(marks: tuple[str, ...]) -> Column:
+    """A tool result whose text holds one of ``marks``."""
+    return F.coalesce(F.exists("blocks", lambda b: (b["type"] == "tool_result") & _any_of(F.coalesce(b["content_str"], F.lit("")), marks)), F.lit(False))
+
+
+def without_own_turn(messages: DataFrame, commands: tuple[str, ...] = S.OWN_COMMANDS, marks: tuple[str, ...] = S.OWN_MARKS) -> DataFrame:
+    """``messages`` up to the turn in which the analyser itself was run, if the session ends with one."""
+    cuts = cutoff(messages, runs_command(commands), shows_output(marks)).select("session_id", "cutoff")
+    return messages.join(cuts, "session_id").filter("idx < cutoff").drop("cutoff")
+
+
 def cutoff(messages: DataFrame, is_own_call: Column, is_own_result: Column) -> DataFrame:
     """Rows (session_id, n, cutoff): where a trailing run of the analyser's own turn begins.
 

@@ -81,7 +81,7 @@ def duplicate_reads(classified: DataFrame) -> DataFrame:
 def oversized_system(sessions: DataFrame, prompt_tokens: int, threshold: int = 1500) -> DataFrame:
     none = F.lit(None).cast("bigint")
     rows = sessions.select("session_id").distinct().filter(F.lit(prompt_tokens > threshold))
-    return rows.select("session_id", F.lit("oversized_system").alias("type"), F.lit("medium").alias("severity"), F.lit(prompt_tokens - threshold).cast("bigint").alias("tokens"), none.alias("first_idx"), none.alias("last_idx"), F.lit(None).cast("string").alias("filename"), none.alias("n_reads"), F.lit(str(prompt_tokens)).alias("detail"))
+    return rows.select("session_id", F.lit("oversized_system").alias("type"), F.lit("medium").alias("severity"), F.lit(int(prompt_tokens - threshold)).cast("bigint").alias("tokens"), none.alias("first_idx"), none.alias("last_idx"), F.lit(None).cast("string").alias("filename"), none.alias("n_reads"), F.lit(str(prompt_tokens)).alias("detail"))
 
 
 def resolved_exchanges(classified: DataFrame, phrases=S.RESOLUTION_PHRASES, lookback: int = 10, min_tokens: int = 500, max_chars: int = 100) -> DataFrame:

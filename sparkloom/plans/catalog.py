@@ -759,3 +759,38 @@ def builtin_tools(spark, d):
     from ..sources.state import builtin_tools as tools
 
     return tools(spark).agg(F.count(F.lit(1)).alias("n_tools"), F.sum("tokens").alias("tokens"))
+
+
+# --- logs as files ------------------------------------------------------------------
+
+
+@query(f"WITH {O.CONV} SELECT 'p-' || (s % 3) || '/c' || (s // 3) AS session_id, idx, type, cat AS category, tok AS tokens FROM msg")
+def jsonl_sessions(spark, d):
+    """Conversations written as logs of three projects with equal file names, and read back; a progress
+    row, a broken and an empty line stand in each."""
+    from ..sources.logs import read_sessions
+    from ..sources.sinks import write_sessions
+
+    t = table(spark, d, "conversations")
+    place = [F.concat(F.lit("p-"), (F.col("conv_id") % 3).cast("string")).alias("project"), F.concat(F.lit("c"), F.floor(F.col("conv_id") / 3).cast("string")).alias("name")]
+    said = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    turns = t.select(*place, (F.col("turn") * 2).cast("bigint").alias("pos"), said.alias("line"))
+    noise = F.explode(F.array(F.lit('{"type":"progress"}'), F.lit('{"type":'), F.lit("")))
+    other = t.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(*place, (F.col("turn") * 2 + 1).cast("bigint").alias("pos"), noise.alias("line"))
+    base = shared_dir(spark)
+    write_sessions(turns.unionByName(other), base).count()
+    return C.classify(read_sessions(spark, f"{base}/*/*.jsonl")).select("session_id", "idx", "type", "category", "tokens")
+
+
+@query(f"""WITH {O.events(cumulative=True)}, {O.EVENTS}, {O.CATS}, c AS (SELECT m.s, idx, type, eff, sum(tok) OVER (PARTITION BY m.s ORDER BY idx) - tok AS before, coalesce(start_idx, 0) AS st0 FROM msg m LEFT JOIN st ON st.s = m.s),
+p AS (SELECT *, lead(idx) OVER w AS ni, lead(eff) OVER w AS ne, lead(before) OVER w AS nb, row_number() OVER (PARTITION BY s ORDER BY idx DESC) AS back, count(*) OVER (PARTITION BY s) AS n FROM c WHERE type = 'assistant' AND eff > 0 AND idx >= st0 WINDOW w AS (PARTITION BY s ORDER BY idx)),
+q AS (SELECT s, CAST(ne - eff - (nb - before) AS DOUBLE) / CAST(ni - idx AS DOUBLE) AS x FROM p WHERE n >= 3 AND ni IS NOT NULL AND back <= 21 AND ne > eff),
+r AS (SELECT s, list_sort(list(x)) AS xs FROM q WHERE x BETWEEN 0 AND 50 GROUP BY s HAVING count(*) >= 3), fr AS (SELECT s, CAST(floor(xs[len(xs) // 2 + 1] + 0.5) AS BIGINT) AS f FROM r),
+ip AS (SELECT s, arg_min(eff, idx) FILTER (type = 'assistant' AND u_in > 0) - 9831 - coalesce(arg_min(tok, idx) FILTER (type = 'user'), 0) AS t FROM msg GROUP BY s),
+part AS (SELECT m.s, cat, tok + coalesce(f, 0) AS tok, 1 AS n, type <> 'assistant' OR coalesce(f, 0) > 0 AS est FROM msg m JOIN st ON st.s = m.s AND idx >= start_idx LEFT JOIN fr ON fr.s = m.s
+  UNION ALL SELECT s, 'tools', 9055, 0, true FROM st UNION ALL SELECT s, 'state', 300, 0, true FROM st UNION ALL SELECT s, 'system', t, 0, true FROM ip WHERE t BETWEEN 1000 AND 15000 AND s IN (SELECT s FROM st)), {_BUCKETS}""")
+def analyze_current_context(spark, d):
+    """The whole analysis' view from the last compaction on: fixed costs, derived prompt and framing included."""
+    from ..operators.analyze import analyze
+
+    return analyze(event_messages(spark, d, cumulative=True), memory=300, cache=True).current

@@ -1,28 +1,37 @@
 """Session logs: JSON lines, one file for each session, below one folder for each project.
 
-A file is read whole, so a line's number is exact; rows that no parser accepts are
-dropped and counted. The position of a message is assigned after the row filter.
+Files are split like any text, so a long log takes many tasks: a line's place is its block's
+start in the file and its row in the block. Rows that no parser accepts are dropped and
+counted. The position of a message is assigned after the row filter. A session is known by its
+project and file name, as files of different projects may have one name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import DROPPED_TYPES, KEPT_TYPES, SYNTHETIC
-from ..functions.text import strip_bom
+from ..functions.text import js_len, strip_bom
 
 _CONTENT = "struct<role:string,content:string,model:string,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>>"
 _LINE = f"struct<type:string,subtype:string,message:{_CONTENT},model:string,isCompactSummary:boolean,isMeta:boolean,timestamp:string,compactMetadata:struct<trigger:string,preTokens:bigint>>"
 _RAW_BLOCK = "struct<type:string,text:string,thinking:string,signature:string,name:string,input:string,id:string,tool_use_id:string,is_error:boolean,content:string>"
 
 
+def _key(path: Column) -> Column:
+    """project/name of a log file."""
+    return F.regexp_extract(path, r"([^/]+/[^/]+)\.jsonl$", 1)
+
+
 def discover_sessions(spark: SparkSession, base: str) -> DataFrame:
-    """Rows (session_id, project, path, modified_at, size_bytes), newest first; direct children of a project only."""
+    """Rows (session_id, project, session_key, path, modified_at, size_bytes), newest first; direct
+    children of a project only. ``read_sessions`` names sessions by the key."""
     found = spark.read.format("binaryFile").load(f"{base}/*/*.jsonl").select("path", "modificationTime", "length")
     return found.select(
         F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_id"),
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project"),
+        _key(F.col("path")).alias("session_key"),
         "path",
         F.col("modificationTime").alias("modified_at"),
         F.col("length").alias("size_bytes"),
@@ -50,9 +59,8 @@ def project_path(slug: str) -> str:
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = whole.select(F.regexp_replace("file", r"\.jsonl$", "").alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return lines.filter(F.length(F.trim("line")) > 0)
+    raw = spark.read.text(paths).select(_key(F.col("_metadata.file_path")).alias("session_id"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("line_no"), F.col("value").alias("line"))
+    return raw.filter(F.length(F.trim("line")) > 0)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -110,10 +118,62 @@ def malformed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _lines(spark, paths).filter(F.expr("try_parse_json(line)").isNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_malformed"))
 
 
-def read_prompt_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (path, tokens) of the prompt files that exist; four characters make a token."""
-    text = spark.read.text(paths, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.ceil(F.length("value") / F.lit(4.0)).cast("bigint").alias("tokens"))
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist, in any store that Spark reads."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            found.append(p)
+    return found
+
+
+_FILE_TOKENS = "path string, tokens bigint"
+
+
+def read_prompt_files(spark: SparkSession, paths: list[str], most: int = 3) -> DataFrame:
+    """Rows (path, tokens) of the first ``most`` prompt files that exist; four characters make a token."""
+    found = existing(spark, paths[:most])
+    if not found:
+        return spark.createDataFrame([], _FILE_TOKENS)
+    text = spark.read.text(found, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.ceil(js_len(F.col("value")) / F.lit(4.0)).cast("bigint").alias("tokens"))
+
+
+def read_memory(spark: SparkSession, folder: str, index: str = "MEMORY.md") -> DataFrame:
+    """Rows (path, tokens) of a folder's index and of the linked files that exist; a repeated link counts again."""
+    at = f"{folder}/{index}"
+    if not existing(spark, [at]):
+        return spark.createDataFrame([], _FILE_TOKENS)
+    read = lambda paths: spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), "value", F.ceil(js_len(F.col("value")) / F.lit(4.0)).cast("bigint").alias("tokens"))
+    main = read([at])
+    links = memory_links(main.select("value"), "value").select(F.regexp_extract("target", r"([^/]+)$", 1).alias("name"), "target")
+    found = existing(spark, sorted({f"{folder}/{r.target}" for r in links.select("target").collect()}))  # one index file's links
+    out = main.select("path", "tokens")
+    return out if not found else out.union(links.join(read(found), "name").select("path", "tokens"))
+
+
+def gather_config(spark: SparkSession, prompt_paths: list[str], memory_dir: str, global_json: str, project_json: str) -> dict:
+    """What a session is loaded with beside its messages: tokens of prompt files, memory, skills and
+    built-in tools, and the names of servers and skills. Files that do not exist count as empty."""
+    from .state import BUILTIN_TOOLS
+
+    def whole(path: str) -> DataFrame:
+        return spark.read.text(path, wholetext=True) if existing(spark, [path]) else spark.createDataFrame([], "value string")
+
+    total = lambda df: df.agg(F.sum("tokens")).first()[0] or 0
+    both = whole(global_json), whole(project_json)
+    servers = [r["name"] for r in mcp_servers(*both).collect()]
+    skilled = skills(*both).collect()
+    return {
+        "prompt": total(read_prompt_files(spark, prompt_paths)),
+        "memory": total(read_memory(spark, memory_dir)),
+        "builtin": sum(t for _, t in BUILTIN_TOOLS),
+        "mcp": 0,  # schemas of servers are loaded when they are asked for
+        "skill_tokens": sum(r["tokens"] for r in skilled),
+        "servers": servers,
+        "skills": [r["name"] for r in skilled],
+    }
 
 
 def memory_links(df: DataFrame, text: str = "text") -> DataFrame:

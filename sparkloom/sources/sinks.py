@@ -7,17 +7,50 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_field
-
 
 def to_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; fields are quoted only where they must be."""
-    line = F.concat_ws(",", *(csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns))
-    df.sparkSession.createDataFrame([(0, ",".join(df.columns))], "o int, value string").unionByName(df.select(F.lit(1).alias("o"), line.alias("value"))).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    """CSV part files with a header each; fields are quoted only where they must be."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_sessions(lines: DataFrame, base: str) -> DataFrame:
+    """Write rows (project, name, pos, line) as ``base``/project/name.jsonl; rows (path, n_lines).
+
+    A file is streamed by one task, in order, under a name of its attempt and renamed at the end."""
+    src = lines.select("project", "name", "pos", "line").repartition("project", "name").sortWithinPartitions("project", "name", "pos")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(base)
+        held, at, n, done = None, None, 0, []
+
+        def close():
+            held.close()
+            store.move(f"{root}/{at[0]}/_try-{TaskContext.get().taskAttemptId()}-{at[1]}", f"{root}/{at[0]}/{at[1]}.jsonl")
+            done.append((f"{base}/{at[0]}/{at[1]}.jsonl", n))
+
+        for b in batches:
+            for project, name, _, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (project, name):
+                    if held:
+                        close()
+                    at, n = (project, name), 0
+                    store.create_dir(f"{root}/{project}", recursive=True)
+                    held = store.open_output_stream(f"{root}/{project}/_try-{TaskContext.get().taskAttemptId()}-{name}", compression=None)
+                held.write(f"{line}\n".encode())
+                n += 1
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["path", "n_lines"])
+
+    return src.mapInArrow(run, "path string, n_lines bigint")
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -44,27 +77,54 @@ def _cell(x) -> str:
     return fixed(x, 1) if isinstance(x, float) else str(x)
 
 
-def markdown_table(df: DataFrame, title: str, rows: int = 200) -> str:
-    """A report of the first ``rows`` rows; reports are for people and so are bounded."""
-    got = df.limit(rows).collect()
+def _rows(df: DataFrame, rows: int | None):
+    """The rows of a report as lists of cells, one partition at a time, and how many are left out."""
+    shown = df if rows is None else df.limit(rows)
+    left = 0 if rows is None else max(0, df.count() - rows)
+    return ([_cell(x) for x in r] for r in shown.toLocalIterator()), left
+
+
+def markdown_table(df: DataFrame, title: str, rows: int | None = None) -> str:
+    """A report of all rows, or of the first ``rows`` with a note on the others."""
+    got, left = _rows(df, rows)
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(_cell(x).replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in got]
-    return "\n".join(lines) + "\n"
+    lines += ["| " + " | ".join(x.replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in got]
+    return "\n".join([*lines, *(["", f"{left} more rows"] if left else [])]) + "\n"
+
 
+def text_table(df: DataFrame, rows: int | None = None) -> str:
+    """Columns aligned for a terminal; numbers to the right."""
+    got, left = _rows(df, rows)
+    cells = [[x.replace("\n", " ") for x in r] for r in got]
+    numeric = [t in ("int", "bigint", "double", "float") for _, t in df.dtypes]
+    wide = [max(len(x) for x in col) for col in zip(df.columns, *cells)]
+    line = lambda r: "  ".join(x.rjust(w) if n else x.ljust(w) for x, w, n in zip(r, wide, numeric)).rstrip()
+    return "\n".join([line(df.columns), "  ".join("-" * w for w in wide), *map(line, cells), *([f"{left} more rows"] if left else [])]) + "\n"
 
-def html_report(sections: dict[str, DataFrame], title: str, rows: int = 200) -> str:
-    """One page with a table for each section."""
+
+def html_report(sections: dict[str, DataFrame], title: str, rows: int | None = None, notes: tuple[str, ...] = ()) -> str:
+    """One page with a table for each section; a column named percentage is drawn as bars as well."""
     from html import escape
 
-    out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    style = "body{font-family:sans-serif}td,th{padding:2px 8px;text-align:left}.bar{background:#69c;height:8px}"
+    out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>{style}</style></head><body><h1>{escape(title)}</h1>"]
+    out += [f"<p>{escape(n)}</p>" for n in notes]
     for name, df in sections.items():
-        got = df.limit(rows).collect()
+        got, left = _rows(df, rows)
         out.append(f"<h2>{escape(name)}</h2><table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr>")
-        out += ["<tr>" + "".join(f"<td>{escape(_cell(x))}</td>" for x in r) + "</tr>" for r in got]
-        out.append("</table>")
+        for r in got:
+            bar = lambda c, x: f"<div class='bar' style='width:{min(100.0, float(x)):.1f}px'></div>" if c == "percentage" and x else ""
+            out.append("<tr>" + "".join(f"<td>{escape(x)}{bar(c, x)}</td>" for c, x in zip(df.columns, r)) + "</tr>")
+        out.append("</table>" + (f"<p>{left} more rows</p>" if left else ""))
     return "".join(out) + "</body></html>"
 
 
+def session_report(analysis, title: str) -> str:
+    """The whole analysis as one page: window, buckets, live slice, waste, compactions and models."""
+    parts = {"Window": analysis.state, "Categories": analysis.buckets, "Since the last compaction": analysis.current, "Waste": analysis.waste, "Compactions": analysis.events, "Models": analysis.segments}
+    return html_report(parts, title)
+
+
 def sparkline(values: list[float]) -> str:
     """Eight-level bars scaled to the values' own range."""
     bars = "▁▂▃▄▅▆▇█"

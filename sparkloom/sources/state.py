@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_bom
@@ -17,7 +17,8 @@ BUILTIN_TOOLS = (
     ("AskUserQuestion", 200), ("Skill", 230), ("TaskCreate", 230), ("TaskUpdate", 230), ("TaskGet", 200),
     ("TaskList", 200), ("TaskOutput", 200), ("TaskStop", 200), ("EnterPlanMode", 200), ("ExitPlanMode", 200),
     ("EnterWorktree", 230), ("ExitWorktree", 200), ("CronCreate", 250), ("CronDelete", 200), ("CronList", 200),
-    ("RemoteTrigger", 230), ("ToolSearch", 230), *((f"Tool_{k}", 225) for k in range(30, 41)),
+    ("RemoteTrigger", 230), ("ToolSearch", 230), ("Tool_30", 225), ("Tool_31", 225), ("Tool_32", 225), ("Tool_33", 225),
+    ("Tool_34", 225), ("Tool_35", 225), ("Tool_36", 225), ("Tool_37", 225), ("Tool_38", 225), ("Tool_39", 225), ("Tool_40", 225),
 )
 
 
@@ -75,6 +76,32 @@ def read_config(spark: SparkSession, path: str) -> dict:
     return got if isinstance(got, dict) else {}
 
 
+def upsert_config(path: str, changes: dict) -> dict:
+    """Write ``changes`` into the JSON object of a local file; other keys, nested ones too, stay."""
+    import json
+    import os
+
+    def merged(old, new):
+        return {**old, **{k: merged(old.get(k), v) if isinstance(v, dict) and isinstance(old.get(k), dict) else v for k, v in new.items()}}
+
+    try:
+        with open(path, encoding="utf-8-sig") as f:
+            old = json.load(f)
+    except (FileNotFoundError, ValueError):
+        old = {}
+    out = merged(old if isinstance(old, dict) else {}, changes)
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        json.dump(out, f, indent=2, ensure_ascii=False)
+    os.replace(f"{path}.new", path)
+    return out
+
+
+def surplus_backups(backups: DataFrame, keep: int = 10) -> DataFrame:
+    """Rows (file, name) of backups that can go: all but the ``keep`` newest, by name, of each file."""
+    newest = Window.partitionBy("file").orderBy(F.desc("name"))
+    return backups.withColumn("r", F.row_number().over(newest)).filter(F.col("r") > keep).select("file", "name")
+
+
 _RECORD = "sessionId string, projectName string, timestamp string, totalTokens bigint, percentUsed double, messageCount bigint, compactionCount bigint, health string, topCategory string, topCategoryTokens bigint, contextLimit bigint"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.functions.schema import message_schema
 from sparkloom.operators import advice, analyze, classify as C, compaction as K, reports as R, waste as W
-from sparkloom.sources import logs, sinks
+from sparkloom.sources import doctor, logs, sinks, state
 from sparkloom.streaming import live
 
 
@@ -208,9 +208,14 @@ def test_whole_analysis_and_reports(spark, read, tmp_path):
     assert {r.category: r.tokens for r in a.buckets.collect()}["tools"] == 9_055
     md = sinks.markdown_table(a.buckets, "Window")
     assert md.count("\n") == 10
-    assert "<table>" in sinks.html_report({"w": a.state}, "Report")
-    sinks.to_csv(a.state, str(tmp_path / "csv"))
-    assert spark.read.text(str(tmp_path / "csv")).first()[0].startswith("session_id,")
+    assert "<table>" in sinks.html_report({"w": a.state}, "Report") and "1 more rows" in sinks.html_report({"w": a.buckets}, "R", rows=5)
+    assert sinks.session_report(a, "All").count("<h2>") == 6 and "5 more rows" in sinks.markdown_table(a.buckets, "W", rows=1)
+    shown = sinks.text_table(a.buckets.select("category", "tokens").orderBy("category")).split("\n")
+    assert shown[0].startswith("category") and shown[2].endswith(" 31") and len(shown) == 9
+    odd = spark.createDataFrame([("a,b", 1), ('say "x"', None)], "t string, n int")
+    sinks.to_csv(odd, str(tmp_path / "csv"))
+    lines = {x.value for x in spark.read.text(str(tmp_path / "csv")).collect()}
+    assert lines == {"t,n", '"a,b",1', '"say ""x""",'}
     assert sinks.fixed(0.15, 1) == "0.1" and sinks.sparkline([0, 7]) == "▁█"
 
 
@@ -226,3 +231,100 @@ def test_watch_reads_grown_files(spark, tmp_path):
     live.watch(spark, str(tmp_path), lambda m: got.append(m.count()), seen)
     assert got == [1, 2]
     assert live.boundary_lines(spark.read.text(str(f))).count() == 1
+
+
+def test_equal_names_in_two_projects(spark, tmp_path):
+    for project in "pq":
+        (tmp_path / project).mkdir()
+        (tmp_path / project / "s.jsonl").write_text("\r\n".join(ask(f"{project}{i}") for i in range(50)))
+    m = logs.read_sessions(spark, str(tmp_path / "*" / "*.jsonl"))
+    got = {(r.session_id, r.idx): r.blocks[0].text for r in m.collect()}
+    assert got == {(f"{p}/s", i): f"{p}{i}" for p in "pq" for i in range(50)}
+    found = logs.discover_sessions(spark, str(tmp_path)).collect()
+    assert {(r.session_id, r.session_key) for r in found} == {("s", "p/s"), ("s", "q/s")}
+
+
+def test_a_split_log_keeps_its_order(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "long.jsonl").write_text("\n".join(ask(f"{i} " + "x" * (i % 90)) for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        m = logs.read_sessions(spark, str(tmp_path / "p" / "long.jsonl"))
+        rows = m.select("idx", F.get("blocks", F.lit(0))["text"].alias("t")).orderBy("idx").collect()
+        assert [int(r.t.split()[0]) for r in rows] == [r.idx for r in rows] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_own_turn_is_left_out(read):
+    own = line("assistant", [{"type": "tool_use", "id": "z", "name": "Bash", "input": {"command": "sparkloom waste --json"}}])
+    m = read(ask("work"), reply(5), ask("waste?"), own, result("z", "sparkloom report: 3"))
+    assert C.without_own_turn(m).count() == 2
+    assert C.without_own_turn(read(ask("work"), reply(5), ask("go on"), name="o2")).count() == 3
+
+
+def test_config_scan(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"p{k}.md").write_text("x" * (4 * k + 1))
+    mem = tmp_path / "mem"
+    mem.mkdir()
+    (mem / "MEMORY.md").write_text("[a](one.md) [b](one.md) [c](none.md)")
+    (mem / "one.md").write_text("y" * 40)
+    (tmp_path / "g.json").write_text('\ufeff{"mcpServers": {"a": {}, "b": {}}, "skills": ["s1", {"name": "s2"}]}')
+    (tmp_path / "l.json").write_text('{"mcpServers": {"b": {}, "c": {}}, "skills": {"s1": 1, "s3": 2}}')
+    got = logs.gather_config(spark, [str(tmp_path / f) for f in ("none.md", "p1.md", "p2.md", "p3.md")], str(mem), str(tmp_path / "g.json"), str(tmp_path / "l.json"))
+    assert (got["prompt"], got["memory"], got["builtin"], got["skill_tokens"]) == (2 + 3, 9 + 20, 9_055, 180)
+    assert sorted(got["servers"]) == ["a", "b", "c"] and sorted(got["skills"]) == ["s1", "s2", "s3"]
+    none = logs.gather_config(spark, [], str(tmp_path / "no"), str(tmp_path / "no.json"), str(tmp_path / "no.json"))
+    assert (none["prompt"], none["memory"], none["servers"]) == (0, 0, [])
+
+
+def test_thresholds_and_framing_reach_the_analysis(read):
+    m = read(*(x for k in range(6) for x in (ask("q" * 40), reply(1_000 + 200 * k, out=100))), name="fr")
+    a = analyze.analyze(m, prompt=2_000, thresholds=state.Thresholds.of({"oversized_system": 500, "stale_read": -1}))
+    assert {r.type: r.tokens for r in a.waste.collect()} == {"oversized_system": 1_500}
+    each = a.framing.first().tokens_per_message
+    b = {r.category: r for r in a.buckets.collect()}
+    assert each == 45 and b["user"].tokens == 10 + each and b["user"].n_messages == 1
+    assert a.current.count() == 0
+
+
+def test_doctor_and_files(spark, tmp_path):
+    home, own = tmp_path / "home", tmp_path / "own"
+    first = {r.name: r.status for r in doctor.run_doctor(spark, str(home), str(own)).collect()}
+    assert len(first) == 9 and (first["home folder"], first["settings"], first["sessions"], first["backups"]) == ("fail", "warn", "warn", "ok")
+    (home / "projects" / "p").mkdir(parents=True)
+    (home / "projects" / "p" / "s.jsonl").write_text(ask("a"))
+    (home / "settings.json").write_text('{"hooks": {"Stop": [{"hooks": [{"command": "sparkloom status"}]}]}, "statusLine": {"command": "other"}}')
+    (own / "calibration.json").write_text("{oops")
+    (own / "history.jsonl").write_text("{}\n{}\n")
+    checks = doctor.run_doctor(spark, str(home), str(own))
+    now = {r.name: (r.status, r.detail) for r in checks.collect()}
+    assert now["hook"] == ("ok", "installed") and now["status line"] == ("warn", "other") and now["calibration"][0] == "fail" and now["history"] == ("ok", "2 records") and now["sessions"] == ("ok", "1 sessions")
+    assert R.worst_status(checks.withColumn("all", F.lit(1)), "all").first().status == "fail"
+    at = str(tmp_path / "c.json")
+    state.upsert_config(at, {"a": {"x": 1}, "b": 2})
+    assert state.upsert_config(at, {"a": {"y": 3}}) == {"a": {"x": 1, "y": 3}, "b": 2} == json.loads((tmp_path / "c.json").read_text())
+    backups = spark.createDataFrame([("f", f"f.{k:02d}") for k in range(13)] + [("g", "g.1")], "file string, name string")
+    assert {r.name for r in state.surplus_backups(backups).collect()} == {"f.00", "f.01", "f.02"}
+
+
+def test_await_compaction(tmp_path):
+    f = tmp_path / "s.jsonl"
+    f.write_text(ask("a") + "\n")
+    shots = iter([{"tokens_current": 90, "compaction_count": 0, "context_limit": 1}, {"tokens_current": 20, "compaction_count": 1, "context_limit": 1}])
+    mark = boundary(5) + "\n"
+    parts = iter([ask("compact_boundary") + "\n" + mark[:9], mark[9:]])
+    now = [0.0]
+
+    def sleep(s):
+        now[0] += s
+        with f.open("a") as out:
+            out.write(next(parts, ""))
+
+    got = live.await_compaction(f.as_uri(), lambda: next(shots), clock=lambda: now[0], sleep=sleep)
+    assert (got["status"], got["delta"], got["waited"]) == ("compacted", {"tokens_current": -70, "compaction_count": 1}, 2.0)
+    late = live.await_compaction(f.as_uri(), lambda: {"compaction_count": 0}, timeout=3, clock=lambda: now[0], sleep=sleep)
+    assert late["status"] == "timeout" and live.await_compaction((tmp_path / "no").as_uri(), dict)["status"] == "error"
+    assert live.read_between(f.as_uri(), 2, 6) == f.read_bytes()[2:6]
