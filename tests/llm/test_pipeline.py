@@ -1,10 +1,12 @@
 """The corpus pipeline against a brute-force version of all its stages."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import regex
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from sparkloom.llm import bpe, decontaminate as D, line_dedup as L, quality as Q
 from tests.llm.test_minhash import bag, brute, words
@@ -98,14 +100,23 @@ def test_pipeline_against_brute_force(spark):
     assert all(list(r.token_ids) == enc.encode_ordinary(want[i]) and r.round_trip and r.n_tokens == len(r.token_ids) for i, r in got.items())
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, an empty table and clashing names, stage by stage."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = docs
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    body = " ".join(f"word{i} and other{i * 7} things." for i in range(30))
+    long = " ".join(f"Sentence number {i} says thing {i * 3} of part {i % 97}." for i in range(20_000))
+    rows = [(1, None), (2, ""), (3, body), (3, body), (4, body + " More."), (None, "a b c " * 9), (5, long), (6, leak)]
+    names = ["row", "kept", "cleaned", "deduped", "n_dropped", "gone", "bad", "gone_id", "gone_mark", "token_ids", "class_id", "a.b"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema).select("*", *(F.lit(7).alias(n) for n in names))
+    want = {"quality_rules": {3: 2, 4: 1, 5: 1, 6: 1}, "line_dedup": {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1, None: 1}, "near_dedup": {1: 1, 2: 1, 3: 2, 5: 1, 6: 1, None: 1}, "decontamination": {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, None: 1}}
     for name, stage in P.STAGES[:-1]:
-        out = stage(spark, out, sf)
-        assert out.columns == docs.columns, name
-    rows = spark.createDataFrame([(1, None, None, None, None), (None, "a b c " * 9, "en", "s", 3)], docs.schema)
-    for _, stage in P.STAGES[:-1]:
-        assert stage(spark, rows, sf).count() <= 2
-    assert P.STAGES[-1][1](spark, rows, sf).count() == 2
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        got = Counter(r.doc_id for r in out.filter("kept = 7").collect())
+        assert got == want[name] or (name == "quality_rules" and got == {k: v for k, v in want[name].items() if k != 6}), (name, got)
+        assert stage(spark, df.limit(0), sf).count() == 0, name
+    done = {r.doc_id: r for r in P.STAGES[-1][1](spark, df, sf).collect()}
+    assert done[1].n_tokens == done[2].n_tokens == 0 and all(r.round_trip for r in done.values()) and len(done) == 7
+    assert P.STAGES[-1][1](spark, df.limit(0), sf).count() == 0
