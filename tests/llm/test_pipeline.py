@@ -106,7 +106,7 @@ def test_stages_on_odd_rows(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
     body = " ".join(f"word{i} and other{i * 7} things." for i in range(30))
-    long = " ".join(f"Sentence number {i} says thing {i * 3} of part {i % 97}." for i in range(20_000))
+    long = " ".join(f"Sentence s{i} says t{i * 3} of p{i}." for i in range(20_000))
     rows = [(1, None), (2, ""), (3, body), (3, body), (4, body + " More."), (None, "a b c " * 9), (5, long), (6, leak)]
     names = ["row", "kept", "cleaned", "deduped", "n_dropped", "gone", "bad", "gone_id", "gone_mark", "token_ids", "class_id", "a.b"]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema).select("*", *(F.lit(7).alias(n) for n in names))
