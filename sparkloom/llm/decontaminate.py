@@ -3,9 +3,10 @@
 Fixed masks pick five tokens out of a short span and ignore the others, so a seed
 still agrees when an ignored token was replaced. Hashes of the test items' seeds are
 joined with the hashes at every position of every training text; each agreement is
-verified around the seed: all windows of ``MIN_WINDOW`` aligned tokens that hold the seed, inside
-the item and the text, are compared token by token (the whole item where it is shorter), and
-the agreement counts when at least ``MIN_SHARE`` of the tokens of the best window are equal.
+verified around the seed, inside the item and the text: all windows of ``MIN_WINDOW`` aligned tokens
+that hold the seed (the whole item where it is shorter) and the window that reaches ``REACH`` tokens
+beyond the seed on both sides are compared token by token, and the agreement counts when at least
+``MIN_SHARE`` of the tokens of the best window are equal.
 
 Items of fewer than five tokens have no spaced seed; with ``short`` they are found as whole runs of
 their tokens. ``drop_contaminated`` leaves them out unless told otherwise: a text that holds an
@@ -35,6 +36,7 @@ MASKS = ("11111", "1101011", "110010011")
 #: For items of one to four tokens: all of them.
 SHORT = ("1", "11", "111", "1111")
 MIN_WINDOW = 13
+REACH = 6
 MIN_SHARE = 0.8
 MAX_BROADCAST = 500_000
 
@@ -68,11 +70,13 @@ def _positions(df: DataFrame, masks: tuple[str, ...], words: str, hash_: str, po
 def _verified(hits: DataFrame) -> DataFrame:
     """The agreements that hold, with their share, from rows with dw, dp (text) and iw, ip, span (item)."""
     width = F.expr(f"least({MIN_WINDOW}, size(iw))")
-    win = hits.withColumn("wide", width).withColumns({"lo": F.expr("greatest(span - wide, -ip, -dp)"), "hi": F.expr("least(wide, size(iw) - ip, size(dw) - dp)")})
-    win = win.filter("hi - lo >= wide")
-    win = win.withColumn("eq", F.expr("transform(sequence(lo, hi - 1), o -> CAST(dw[dp + o] = iw[ip + o] AS INT))")).filter(F.expr(f"aggregate(eq, 0, (a, x) -> a + x) >= {MIN_SHARE} * wide"))
-    best = F.expr("array_max(transform(sequence(0, size(eq) - wide), s -> aggregate(slice(eq, s + 1, wide), 0, (a, x) -> a + x)))")
-    return win.withColumn("share", best / F.col("wide")).filter(F.col("share") >= MIN_SHARE)
+    near = {"lo0": F.expr(f"greatest(-{REACH}, -ip, -dp)"), "hi0": F.expr(f"least(span + {REACH}, size(iw) - ip, size(dw) - dp)")}
+    win = hits.withColumn("wide", width).withColumns(near | {"lo": F.expr("greatest(span - wide, -ip, -dp)"), "hi": F.expr("least(wide, size(iw) - ip, size(dw) - dp)")})
+    # guarded, as Spark may evaluate the conditions of a join in any order
+    win = win.withColumn("eq", F.expr("CASE WHEN hi - lo >= wide THEN transform(sequence(lo, hi - 1), o -> CAST(get(dw, dp + o) = get(iw, ip + o) AS INT)) END"))
+    best = F.expr("CASE WHEN size(eq) >= wide THEN array_max(transform(sequence(0, size(eq) - wide), s -> aggregate(slice(eq, s + 1, wide), 0, (a, x) -> a + x))) END")
+    around = F.expr("CASE WHEN hi0 - lo0 >= wide THEN aggregate(sequence(lo0, hi0 - 1), 0, (a, o) -> a + CAST(get(dw, dp + o) = get(iw, ip + o) AS INT)) / (hi0 - lo0) END")
+    return win.withColumn("share", F.greatest(best / F.col("wide"), around)).filter(F.col("share") >= MIN_SHARE)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, short: bool = True) -> DataFrame:
@@ -128,8 +132,8 @@ ds AS ({seeds('dw', 'r', 'dt', False)}),
 bs AS ({seeds('iw', 'ir', 'its', True)}),
 hits AS (SELECT DISTINCT ds.r, bs.ir, ds.p AS dp, bs.p AS ip, bs.span FROM ds JOIN bs USING (h)),
 win AS (SELECT doc_id, item_id, r, ir, dw, iw, dp, ip, span, least({MIN_WINDOW}, len(iw)) AS wide FROM hits JOIN dt USING (r) JOIN its USING (ir)),
-sp AS (SELECT *, greatest(span - wide, -ip, -dp) AS lo, least(wide, len(iw) - ip, len(dw) - dp) AS hi FROM win),
-st AS (SELECT *, unnest(range(lo, hi - wide + 1)) AS s FROM sp WHERE hi - lo >= wide),
-ok AS (SELECT doc_id, item_id, r, ir, dp, ip, span, len(list_filter(range(s, s + wide), lambda o: dw[dp + o + 1] = iw[ip + o + 1])) / wide AS share FROM st)
+sp AS (SELECT *, greatest(span - wide, -ip, -dp) AS lo, least(wide, len(iw) - ip, len(dw) - dp) AS hi, greatest(-{REACH}, -ip, -dp) AS lo0, least(span + {REACH}, len(iw) - ip, len(dw) - dp) AS hi0 FROM win),
+st AS (SELECT * EXCLUDE (lo, hi, lo0, hi0), unnest(range(lo, hi - wide + 1)) AS s, wide AS n FROM sp WHERE hi - lo >= wide UNION ALL SELECT * EXCLUDE (lo, hi, lo0, hi0), lo0, hi0 - lo0 FROM sp WHERE hi0 - lo0 >= wide),
+ok AS (SELECT doc_id, item_id, r, ir, dp, ip, span, len(list_filter(range(s, s + n), lambda o: dw[dp + o + 1] = iw[ip + o + 1])) / n AS share FROM st)
 SELECT doc_id, item_id, CAST(count(DISTINCT (r, ir, dp, ip, span)) AS BIGINT) AS n_windows, max(share) AS best_share
 FROM ok WHERE share >= {MIN_SHARE} GROUP BY doc_id, item_id"""

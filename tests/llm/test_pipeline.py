@@ -83,6 +83,8 @@ def leaks(docs, items):
                 for w, q in seeds.get((k, tuple(d[p + j] for j, x in enumerate(m) if x == "1")), ()):
                     wide = min(D.MIN_WINDOW, len(w))
                     lo, hi = max(len(m) - wide, -q, -p), min(wide, len(w) - q, len(d) - p)
+                    a, b = max(-D.REACH, -q, -p), min(len(m) + D.REACH, len(w) - q, len(d) - p)
+                    hit |= len(w) >= 5 and b - a >= wide and sum(d[p + o] == w[q + o] for o in range(a, b)) >= D.MIN_SHARE * (b - a)
                     hit |= len(w) >= 5 and any(sum(d[p + o] == w[q + o] for o in range(s, s + wide)) >= D.MIN_SHARE * wide for s in range(lo, hi - wide + 1))
         if not hit:
             out[i] = t
