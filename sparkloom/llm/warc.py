@@ -16,7 +16,8 @@ that name the response, the digest and the length. Smaller payloads are all resp
 Edge cases: a null html is an empty payload, a null url an empty target; a null page_id
 is written and read as null and sorts after all others. Rows with one page_id and equal
 payloads are all responses when that id is the least. Empty tables write no file. Extra
-columns are not read.
+columns are not read, but for a timestamp column ``fetched_at``: it dates the record (``DATE``
+without one). A very long payload is written and read whole by one task.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ MAX_BROADCAST = 200_000
 RANGE = 256
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_DATE = "2024-01-01T00:00:00Z"
+DATE = "2024-01-01T00:00:00Z"
 
 
 def _open(uri: str):
@@ -55,13 +56,13 @@ def _header(fields: list[tuple[str, str]], body: int) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str | None = None) -> bytes:
     """One record; a revisit has HTTP headers only."""
     name = "null" if page_id is None else str(page_id)
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:page:{name}>"),
-        ("WARC-Date", _DATE),
+        ("WARC-Date", date or DATE),
         ("WARC-Target-URI", quote(url or "", safe=":/?&=#%+@!$,;~*'()[]")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -135,8 +136,10 @@ def _inflate(f) -> Iterator[bytes]:
 
 
 def with_record_types(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Rows (page_id, url, html, digest, refers_to); refers_to is null for responses."""
-    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    """Rows (page_id, url, html, digest, refers_to, date); refers_to is null for responses."""
+    dated = dict(pages.dtypes).get("fetched_at") == "timestamp"
+    date = F.date_format(F.to_utc_timestamp("fetched_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if dated else F.lit(None).cast("string")
+    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), date.alias("date"))
     src = src.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     big = src.filter(F.octet_length("html") >= MIN_SHARED)
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -144,7 +147,7 @@ def with_record_types(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> D
     small = first.limit(max_broadcast + 1).count() <= max_broadcast
     joined = src.join(F.broadcast(first) if small else first, F.col("digest") == F.col("d"), "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"), "date")
 
 
 def write_archives(pages: DataFrame, to: str) -> DataFrame:
@@ -167,20 +170,21 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
                     out = fs.open_output_stream(trial, compression=None)
                 for r in rows:
                     kind = "response" if r["refers_to"] is None else "revisit"
-                    out.write(z.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], kind, r["refers_to"])))
+                    out.write(z.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], kind, r["refers_to"], r["date"])))
         if out is not None:
             out.write(z.flush())
             out.close()
             fs.move(trial, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{to}/{name}"]})
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string")
+    return pages.select("page_id", "url", "html", "digest", "refers_to", "date").mapInArrow(run, "path string")
 
 
 def normalise(files: DataFrame, to: str) -> DataFrame:
     """Rewrite each file (column path) with one gzip member for each record.
 
-    Rows (path, index, start, records): ranges of the sidecar index, for readers.
+    Rows (path, index, start, records, index_from, index_to): ranges of the sidecar index, with the bytes
+    that hold each, so that a reader takes no more of the index than its own range.
     The index has one JSON line for each record: its offset, length, type and id.
     """
     ship(files.sparkSession)
@@ -195,7 +199,8 @@ def normalise(files: DataFrame, to: str) -> DataFrame:
                 fs.create_dir(base, recursive=True)
                 name = at.rsplit("/", 1)[1]
                 tag = f"{base}/_try-{TaskContext.get().taskAttemptId()}-{name}"
-                offset = n = 0
+                offset = n = at_index = 0
+                edges = []
                 with source.open_input_stream(at, compression=None) as f, fs.open_output_stream(tag, compression=None) as out, fs.open_output_stream(f"{tag}.idx", compression=None) as idx:
                     for rec in split_records(_inflate(f)):
                         z = zlib.compressobj(6, wbits=31)
@@ -203,17 +208,21 @@ def normalise(files: DataFrame, to: str) -> DataFrame:
                         head = rec[: rec.index(b"\r\n\r\n")].decode()
                         said = dict(x.split(": ", 1) for x in head.split("\r\n")[1:])
                         out.write(member)
-                        idx.write(json.dumps({"offset": offset, "length": len(member), "type": said["WARC-Type"], "id": said["WARC-Record-ID"]}).encode() + b"\n")
+                        entry = json.dumps({"offset": offset, "length": len(member), "type": said["WARC-Type"], "id": said["WARC-Record-ID"]}).encode() + b"\n"
+                        idx.write(entry)
+                        if n % RANGE == 0:
+                            edges.append(at_index)
+                        at_index += len(entry)
                         offset += len(member)
                         n += 1
                 fs.move(tag, f"{base}/{name}")
                 fs.move(f"{tag}.idx", f"{base}/{name}.idx")
                 starts = list(range(0, n, RANGE))
                 yield pa.RecordBatch.from_pydict(
-                    {"path": [f"{to}/{name}"] * len(starts), "index": [f"{to}/{name}.idx"] * len(starts), "start": pa.array(starts, pa.int64()), "records": pa.array([min(RANGE, n - s) for s in starts], pa.int64())}
+                    {"path": [f"{to}/{name}"] * len(starts), "index": [f"{to}/{name}.idx"] * len(starts), "start": pa.array(starts, pa.int64()), "records": pa.array([min(RANGE, n - s) for s in starts], pa.int64()), "index_from": pa.array(edges, pa.int64()), "index_to": pa.array([*edges[1:], at_index][: len(edges)], pa.int64())}
                 )
 
-    return files.mapInArrow(run, "path string, index string, start long, records long")
+    return files.mapInArrow(run, "path string, index string, start long, records long, index_from long, index_to long")
 
 
 _READ = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -229,8 +238,9 @@ def read_archives(ranges: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 fs, at = _open(r["path"])
                 _, index = _open(r["index"])
-                with fs.open_input_stream(index, compression=None) as f:
-                    lines = f.read().splitlines()[r["start"] : r["start"] + r["records"]]
+                with fs.open_input_file(index) as f:
+                    f.seek(r["index_from"])
+                    lines = f.read(r["index_to"] - r["index_from"]).splitlines()
                 found = []
                 with fs.open_input_file(at) as f:
                     spans = [json.loads(x) for x in lines]

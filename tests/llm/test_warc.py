@@ -36,6 +36,7 @@ def test_normalised_files(spark, tmp_path):
     assert len(files) == 1
     ranges = warc.normalise(spark.createDataFrame(files), (tmp_path / "norm").as_uri()).collect()
     assert [(r.start, r.records) for r in ranges] == [(0, 256), (256, 256), (512, 88)]
+    assert [r.index_from for r in ranges[1:]] == [r.index_to for r in ranges[:-1]] and ranges[-1].index_to == (tmp_path / "norm" / "part-000000.warc.gz.idx").stat().st_size
     data = (tmp_path / "norm" / "part-000000.warc.gz").read_bytes()
     index = [json.loads(x) for x in (tmp_path / "norm" / "part-000000.warc.gz.idx").read_text().splitlines()]
     assert len(index) == 600 and sum(x["length"] for x in index) == len(data)
@@ -55,3 +56,13 @@ def test_broken_archives_are_refused():
         list(warc.split_records(iter([rec[:-3]])))
     with pytest.raises(ValueError):
         warc.parse(rec[:-3])
+
+
+def test_ties_dates_and_clashing_names(spark, tmp_path):
+    """Two rows with the least id are both responses; a page's own time dates its record."""
+    rows = [(3, "u", "y" * 150), (3, "v", "y" * 150), (4, "u", "y" * 150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "TIMESTAMP'2020-02-03 04:05:06' AS fetched_at", "1 AS digest", "2 AS first", "3 AS d")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_and_read(df).collect())
+    assert got == [(3, "response", None), (3, "response", None), (4, "revisit", 3)]
+    files = warc.write_archives(warc.with_record_types(df).coalesce(1), (tmp_path / "m").as_uri()).collect()
+    assert len(files) == 1 and zlib.decompress((tmp_path / "m" / "part-000000.warc.gz").read_bytes(), wbits=31).count(b"WARC-Date: 2020-02-03T04:05:06Z") == 3
