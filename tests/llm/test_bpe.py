@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, token_counts
+from sparkloom.llm import bpe, queries, token_counts
 
 TEXTS = ["", "Hello world, it's  fine.\n\n  Done", "a" * 40000, "ab1" * 9000, " " * 5000 + "x", "x" + "\n" * 60000 + " y", "é ü  ñ" * 4000, "!!''s don't'" * 3000, "y" + " " * 4000]
 
@@ -65,3 +67,17 @@ def test_histogram_against_brute_force(spark):
         own = [x for i, x in enumerate(lens) if (i % 2 == 1) == (r.source == "s")]
         assert r.total_docs == len(own) and r.total_tokens == sum(own)
     assert token_counts.token_length_histogram(df.limit(0)).count() == 0
+
+
+def test_registered_digests(spark, tmp_path):
+    """op8: counts and digests of whole texts against one ``encode_ordinary`` call each."""
+    texts = [None, "", "Hi there, it's 12:30\n\n  now", "é ü ñ " * 50, "a1b2 " * 9000, " " * 3000 + "x", "日本語 text 😀"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_byte_bpe(spark, str(tmp_path)).collect()}
+    enc, sha = _enc(), lambda b: hashlib.sha256(b).hexdigest()
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))
+    clash = spark.createDataFrame([(1, "a b", 2, 3)], "doc_id long, text string, n_docs long, block long")
+    assert token_counts.token_length_histogram(clash, by=("doc_id",)).count() == 1
