@@ -5,7 +5,9 @@ texts. Both are word trigram models (words as in ``minhash``: lower-cased runs o
 digits and non-ASCII characters) over one vocabulary, the words of the whole corpus plus one
 for all others, with the same Witten-Bell interpolation of trigrams, bigrams and add-one word
 frequencies. A document's score is the mean over its words of the target's loss minus the
-background's loss, in bits: the lower, the nearer to the target.
+background's loss, in bits: the lower, the nearer to the target. Each text is scored without its
+own row's counts in either model, so that no text is judged by a model that has seen it; the
+vocabulary stays that of the whole corpus.
 
 The counts grow with the corpus and are never gathered or broadcast. Documents are dealt
 into chunks of about ``CHUNK`` bytes by a hash of their id. First a chunk sends its distinct
@@ -13,12 +15,13 @@ words, once each with counts, to buckets by hash; a bucket adds up all chunks' c
 its words, frequent ones first, and answers each chunk. Then a chunk sends its distinct
 bigrams and trigrams, as numbers, to the buckets of their contexts, and each is answered
 with the corpus' counts of the n-gram and its context's totals and numbers of continuations.
-The chunk turns them into losses and adds these up by document. A frequent n-gram is one
-entry a chunk. Words are compared by 64-bit hashes, n-grams exactly by their words' numbers.
+The chunk takes off what each of its texts has added itself, turns the rest into losses and adds
+these up by document. A frequent n-gram is one entry a chunk. Words are compared by 64-bit hashes, n-grams exactly by their words' numbers.
 
 Edge cases: a null text or one without words has no tokens, adds nothing and gets null scores.
 Target ids that are null or repeated count once or not at all; repeated documents count each
-time. Without any target text the target model is uniform over the vocabulary. Empty tables
+time, and each is scored with the others counted. Without any other target text the target model
+is uniform over the vocabulary. Empty tables
 give an empty result. Extra columns are not read. Two start marks precede each text. More than
 2^32 numbers of words raise an error.
 """
@@ -164,7 +167,7 @@ def _requests(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["bucket", "chunk", "packs", "sizes"])
 
 
-def _mine(docs: pa.Table, other: pa.Table, counts: np.ndarray) -> np.ndarray:
+def _mine(docs: pa.Table, other: pa.Table, counts: np.ndarray | int) -> np.ndarray:
     good = set(other.column("mark").to_pylist()) - {None}
     return np.repeat(np.array([x in good for x in docs.column("_d").to_pylist()], bool), counts)
 
@@ -257,8 +260,26 @@ def _answer_grams(asked: pa.Table) -> pa.Table:
     return _answers(asked, parts, [])
 
 
-def _losses(words: _Words, mine: np.ndarray, other: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of loss of every token of a chunk under the target and the background model."""
+class _Pairs:
+    """The distinct pairs of a text and an n-gram in it, by text and n-gram, with their counts."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, head: np.ndarray | None = None):
+        key = (text << _U(32)) | at.astype(_U)
+        u, self.first, self.at, self.n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        self.text, self.gram = (u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64)
+        if head is not None:  # n-grams are numbered by context, so those of one context and text are neighbours
+            self.ctx = head[self.gram]
+            new = (np.diff(self.text, prepend=-1) != 0) | (np.diff(self.ctx, prepend=-1) != 0)
+            self.run = np.cumsum(new) - 1
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.run, weights=x)[self.run]
+
+
+def _losses(words: _Words, target: np.ndarray, other: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of loss of every token of a chunk under the target and the background model, both without
+    the counts of the token's own text; ``target`` tells which texts are in the target."""
+    mine = np.repeat(target, words.counts)
     (n, t, number), (kinds, total, own) = _told_words(words, other, buckets)
     orders = _grams(words, number, buckets)
     held = []
@@ -272,13 +293,20 @@ def _losses(words: _Words, mine: np.ndarray, other: pa.Table, buckets: int) -> t
             for i, p in enumerate(packs):
                 x, y = (o.bounds if i < 2 else o.heads)[b : b + 2]
                 held[k - 1][i][x:y] += _unpack(p, y - x)
+    text = np.repeat(np.arange(len(words.counts), dtype=_U), words.counts)
+    single, *more = (_Pairs(text, at, head) for at, head in ((words.at, None), *((o.at, o.head) for o in orders)))
     out = []
     for m, (count, tokens) in ((1, (t, own)), (0, (n, total))):
-        p, at = (count + 1.0) / (tokens + kinds + 1), words.at
-        for o, h in zip(orders, held, strict=True):
-            whole, after = h[2 + m][o.head], h[4 + m][o.head]
+        inside = target if m else np.ones(len(target), bool)
+        left = single.n * inside[single.text]
+        p, at = (count[single.gram] - left + 1.0) / (tokens - (words.counts * inside)[single.text] + kinds + 1), single.at
+        for o, h in zip(more, held, strict=True):
+            left = o.n * inside[o.text]
+            rest = h[m][o.gram].astype(float) - left
+            whole = h[2 + m][o.ctx] - o.by_context(left)
+            after = h[4 + m][o.ctx] - o.by_context((left > 0) & (rest == 0))
             lower = p[at[o.first]]
-            p, at = np.where(whole > 0, (h[m] + after * lower) / np.maximum(whole + after, _U(1)), lower), o.at
+            p, at = np.where(whole > 0, (rest + after * lower) / np.maximum(whole + after, 1), lower), o.at
         out.append(-np.log2(p)[at])
     return out[0], out[1]
 
@@ -311,7 +339,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
         has = counts > 0
         first = (np.cumsum(counts) - counts)[has]
         cols = []
-        for loss in _losses(words, _mine(own, other, counts), other, buckets):
+        for loss in _losses(words, _mine(own, other, 1), other, buckets):
             total = np.full(len(counts), np.nan)
             if len(first):
                 total[has] = np.add.reduceat(loss, first) / counts[has]

@@ -8,7 +8,7 @@ from sparkloom.llm import queries, word_lm
 
 
 def brute(texts, own):
-    """Witten-Bell word trigram losses by dictionaries."""
+    """Witten-Bell word trigram losses by dictionaries, each text under models of the others."""
     words = [re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) for t in texts]
     k = len({w for d in words for w in d}) + 1
 
@@ -33,9 +33,10 @@ def brute(texts, own):
 
         return p
 
-    models = model([d for d, o in zip(words, own) if o]), model(words)
     out = []
-    for d in words:
+    for i, d in enumerate(words):
+        rest = [(x, o) for j, (x, o) in enumerate(zip(words, own)) if j != i]
+        models = model([x for x, o in rest if o]), model([x for x, _ in rest])
         full = [None, None, *d]
         grams = [tuple(full[i - 2 : i + 1]) for i in range(2, len(full))]
         out.append((len(d), *(sum(-math.log2(p(g)) for g in grams) / len(grams) if grams else None for p in models)))
