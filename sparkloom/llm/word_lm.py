@@ -264,19 +264,21 @@ class _Pairs:
     """The distinct pairs of a text and an n-gram in it, by text and n-gram, with their counts."""
 
     def __init__(self, text: np.ndarray, at: np.ndarray, head: np.ndarray | None = None):
-        key = (text << _U(32)) | at.astype(_U)
-        u, self.first, self.at, self.n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        self.text, self.gram = (u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64)
+        key = (text.astype(_U) << _U(32)) | at.astype(_U)
+        u, *rest = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        del key
+        self.first, self.at, self.n = (x.astype(np.int32) for x in rest)
+        self.text, self.gram = (u >> _U(32)).astype(np.int32), (u & _U(0xFFFFFFFF)).astype(np.int32)
         if head is not None:  # n-grams are numbered by context, so those of one context and text are neighbours
-            self.ctx = head[self.gram]
+            self.ctx = head[self.gram].astype(np.int32)
             new = (np.diff(self.text, prepend=-1) != 0) | (np.diff(self.ctx, prepend=-1) != 0)
-            self.run = np.cumsum(new) - 1
+            self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
 
     def by_context(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.run, weights=x)[self.run]
 
 
-def _losses(words: _Words, target: np.ndarray, other: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _losses(words: _Words, target: np.ndarray, other: pa.Table, buckets: int) -> list[np.ndarray]:
     """Bits of loss of every token of a chunk under the target and the background model, both without
     the counts of the token's own text; ``target`` tells which texts are in the target."""
     mine = np.repeat(target, words.counts)
@@ -293,22 +295,26 @@ def _losses(words: _Words, target: np.ndarray, other: pa.Table, buckets: int) ->
             for i, p in enumerate(packs):
                 x, y = (o.bounds if i < 2 else o.heads)[b : b + 2]
                 held[k - 1][i][x:y] += _unpack(p, y - x)
-    text = np.repeat(np.arange(len(words.counts), dtype=_U), words.counts)
-    single, *more = (_Pairs(text, at, head) for at, head in ((words.at, None), *((o.at, o.head) for o in orders)))
-    out = []
-    for m, (count, tokens) in ((1, (t, own)), (0, (n, total))):
-        inside = target if m else np.ones(len(target), bool)
-        left = single.n * inside[single.text]
-        p, at = (count[single.gram] - left + 1.0) / (tokens - (words.counts * inside)[single.text] + kinds + 1), single.at
-        for o, h in zip(more, held, strict=True):
-            left = o.n * inside[o.text]
-            rest = h[m][o.gram].astype(float) - left
-            whole = h[2 + m][o.ctx] - o.by_context(left)
-            after = h[4 + m][o.ctx] - o.by_context((left > 0) & (rest == 0))
-            lower = p[at[o.first]]
-            p, at = np.where(whole > 0, (rest + after * lower) / np.maximum(whole + after, 1), lower), o.at
-        out.append(-np.log2(p)[at])
-    return out[0], out[1]
+    text = np.repeat(np.arange(len(words.counts), dtype=np.int32), words.counts)
+    models = ((1, target), (0, np.ones(len(target), bool)))
+    pairs, probs = _Pairs(text, words.at), []
+    for m, inside in models:
+        left = pairs.n * inside[pairs.text]
+        whole = (own if m else total) - (words.counts * inside)[pairs.text]
+        probs.append(((t if m else n)[pairs.gram] - left + 1.0) / (whole + kinds + 1))
+    del n, t, number, mine, left, whole
+    while orders:  # one length at a time, as each holds a dozen arrays of the chunk's size
+        o, h = orders.pop(0), held.pop(0)
+        below, pairs = pairs.at, _Pairs(text, o.at, o.head)
+        below = below[pairs.first]
+        for k, (m, inside) in enumerate(models):
+            left = pairs.n * inside[pairs.text]
+            rest = h[m][pairs.gram].astype(float) - left
+            after = h[4 + m][pairs.ctx] - pairs.by_context((left > 0) & (rest == 0))
+            whole = h[2 + m][pairs.ctx] - pairs.by_context(left)
+            lower = probs[k][below]
+            probs[k] = np.where(whole > 0, (rest + after * lower) / np.maximum(whole + after, 1), lower)
+    return [-np.log2(p)[pairs.at] for p in probs]
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK) -> DataFrame:
