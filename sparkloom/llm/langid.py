@@ -5,9 +5,10 @@ GRUs, trained in numpy by backpropagation through time) and labels every byte po
 from both states. A document's probabilities are the mean over all its positions; the
 windows cover the whole text, whatever its length.
 
-Training takes a bounded sample: up to ``PER_LANG`` texts for each of the ``MAX_LANGS``
-most frequent languages, distinct texts chosen by a hash, and ``CUTS`` windows of each,
-spread over the text. Nothing but text and label enters the model.
+Training takes a bounded sample: up to ``PER_LANG`` texts for each language, fewer where these
+would be more than ``MAX_TEXTS`` in all, distinct texts chosen by a hash, and ``CUTS`` windows of
+each, spread over the text. No language is left out; more languages than ``MAX_TEXTS`` raise
+ValueError. Nothing but text and label enters the model.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
 labelled row every text is ``und``. Rows with a null label are predicted but not
@@ -33,7 +34,7 @@ WINDOW = 64
 HIDDEN = 8
 EMBED = 8
 PER_LANG = 400
-MAX_LANGS = 64
+MAX_TEXTS = 25_600
 CUTS = 3
 STEPS = 260
 BATCH = 192
@@ -235,12 +236,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_texts: int = MAX_TEXTS) -> list[tuple[str, str]]:
     """(window text, label) rows: at most ``CUTS * per_lang`` for each label, on the driver."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(max_texts + 1).collect()
     if not counts:
         return []
+    if len(counts) > max_texts:
+        raise ValueError(f"more than {max_texts} languages")
+    per_lang = min(per_lang, max_texts // len(counts))
     spread = F.pmod(F.xxhash64(text), F.lit(1 << 30))
     share = F.lit(-1)
     for r in counts:
@@ -250,7 +254,8 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: in
     # copies of a text share a hash; they count once, so that a large group cannot fill the sample
     rows = known.filter(spread < share).select(F.col(lang).alias("l"), spread.alias("s"), cuts.alias("c")).distinct()
     kept: dict[str, list[str]] = {}
-    for r in rows.orderBy("s").limit(2 * max_langs * per_lang).collect():
+    # about two max_texts are expected at most, so the limit only guards the driver
+    for r in rows.orderBy("s").limit(3 * max_texts).collect():
         own = kept.setdefault(r["l"], [])
         if len(own) < CUTS * per_lang:
             own += [c for c in r["c"] if c]

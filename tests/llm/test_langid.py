@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid as L
@@ -49,3 +50,13 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in got if r.doc_id == 5} == {"de"} and len(got) == 6
     assert {r.lang_pred for r in L.predict(df, L.fit(df.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
     assert L.predict(df.limit(0), model).count() == 0
+
+
+def test_sample_keeps_every_label(spark):
+    rows = [(i, f"text {i} of {k}", f"l{k:03d}") for i in range(6) for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {y for _, y in L.sample(df)} == {r[2] for r in rows}
+    few = L.sample(df.filter("lang < 'l003'"), per_lang=100, max_texts=100)
+    assert len({t for t, _ in few}) > 6 and len({y for _, y in few}) == 3
+    with pytest.raises(ValueError):
+        L.sample(df, max_texts=69)
