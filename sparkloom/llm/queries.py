@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, license_scan, line_dedup, minhash, quality, token_counts, warc, word_lm
+from . import bpe, centroids, decontaminate, langid, license_scan, line_dedup, minhash, passage_quality, quality, token_counts, turn_repair, warc, word_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage by a hash."""
+    original = _table(spark, sf_dir, "conversations")
+    return turn_repair.report(original, turn_repair.damage(original))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, exact distance and inertia of every usable vector."""
+    return centroids.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; four fifths of the ids may be learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = passage_quality.fit(docs, labels.filter(passage_quality.learn_from(F.col("doc_id"))))
+    return passage_quality.predict(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -88,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_warc": op10_warc,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +118,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": license_scan.oracle(),
     "op7_line_dedup": line_dedup.oracle(),
     "op10_warc": warc.oracle(),
+    "op12_centroid_clustering": centroids.oracle(),
 }
