@@ -15,7 +15,6 @@ from ..functions import schema as S
 from .tokens import effective_input, message_text, with_tokens
 
 
-
 def by_session():
     """The rows of one session."""
     return Window.partitionBy("session_id")
@@ -70,32 +69,37 @@ def last_human_text(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.max(F.when(human, F.col("idx"))).alias("last_human"))
 
 
+def row_marks(messages: DataFrame, state_markers=S.STATE_MARKERS, system_markers=S.SYSTEM_MARKERS) -> DataFrame:
+    """``messages`` with what a row tells by itself: tokens, accuracy, and _human (a user's own words),
+    _marker (system whatever else), _result (the first tool result), _call (the tool called), _other (its
+    category if it is neither the last human text nor a tool's)."""
+    m = with_tokens(messages)
+    human = (F.col("type") == "user") & (F.col("role") == "user") & ~has_block("tool_result")
+    is_call = (F.col("type") == "assistant") & (F.col("content_kind") == "array") & has_block("tool_use") & ~has_block("text")
+    marker = F.coalesce(F.col("is_compact_summary"), F.lit(False)) | (F.col("type") == "system") | ((F.col("idx") == 0) & F.coalesce(F.col("role") == "user", F.lit(False)) & has_markers(system_markers, thinking=False))
+    m = m.withColumns({"_human": F.coalesce(human, F.lit(False)), "_marker": marker, "_is_call": is_call, "_call": F.when(is_call, first_block("tool_use")["name"])})
+    m = m.withColumn("_result", F.when((F.col("type") == "user") & (F.col("content_kind") == "array"), first_block("tool_result")))
+    return m.withColumn("_other", F.when(F.col("_marker"), "system").when(has_markers(state_markers, thinking=True), "state").otherwise("conversation"))
+
+
+def tool_category(tool: Column) -> Column:
+    return F.when(F.coalesce(tool.isin(*S.RETRIEVAL_TOOLS), F.lit(False)), "retrieved").otherwise("tools")
+
+
 def classify(messages: DataFrame, state_markers=S.STATE_MARKERS, system_markers=S.SYSTEM_MARKERS) -> DataFrame:
     """``messages`` with category, tool_name, tokens, accuracy and the running token sum."""
-    human = (F.col("type") == "user") & (F.col("role") == "user") & ~has_block("tool_result")
-    m = with_tokens(messages)
-    m = m.withColumns({"_human": F.coalesce(human, F.lit(False)), "_result": F.when((F.col("type") == "user") & (F.col("content_kind") == "array"), first_block("tool_result"))})
+    m = row_marks(messages, state_markers, system_markers)
     names = tool_names(messages).withColumnsRenamed({"id": "_id", "name": "_result_tool"})
     m = m.join(names.withColumnRenamed("session_id", "_s"), (F.col("session_id") == F.col("_s")) & (F.col("_result.tool_use_id") == F.col("_id")), "left")
     m = m.withColumn("_last", F.max(F.when(F.col("_human"), F.col("idx"))).over(by_session()))
-    call = first_block("tool_use")
-    is_call = (F.col("type") == "assistant") & (F.col("content_kind") == "array") & has_block("tool_use") & ~has_block("text")
     is_result = F.col("_result").isNotNull()
-    tool = F.when(is_call, call["name"]).when(is_result, F.col("_result_tool"))
-    retrieved = F.coalesce(tool.isin(*S.RETRIEVAL_TOOLS), F.lit(False))
-    by_marker = F.coalesce(F.col("is_compact_summary"), F.lit(False)) | (F.col("type") == "system") | ((F.col("idx") == 0) & F.coalesce(F.col("role") == "user", F.lit(False)) & has_markers(system_markers, thinking=False))
+    tool = F.when(F.col("_is_call"), F.col("_call")).when(is_result, F.col("_result_tool"))
     is_last = F.col("_human") & (F.col("idx") == F.col("_last"))
-    as_tool = ~by_marker & ~is_last & (is_call | is_result)
-    category = (
-        F.when(by_marker, "system")
-        .when(is_last, "user")
-        .when(as_tool, F.when(retrieved, "retrieved").otherwise("tools"))
-        .when(has_markers(state_markers, thinking=True), "state")
-        .otherwise("conversation")
-    )
+    as_tool = ~F.col("_marker") & ~is_last & (F.col("_is_call") | is_result)
+    category = F.when(F.col("_marker"), "system").when(is_last, "user").when(as_tool, tool_category(tool)).otherwise(F.col("_other"))
     m = m.withColumns({"category": category, "tool_name": F.when(as_tool, tool)})
     m = m.withColumn("cumulative_tokens", F.sum("tokens").over(so_far()))
-    return m.drop("_human", "_result", "_s", "_id", "_result_tool", "_last")
+    return m.drop("_human", "_marker", "_is_call", "_call", "_other", "_result", "_s", "_id", "_result_tool", "_last")
 
 
 def category_order(c: Column) -> Column:
@@ -116,6 +120,15 @@ def buckets(classified: DataFrame, overhead: DataFrame | None = None, framing: D
         sums = sums.join(framing, "session_id", "left")
         extra = F.col("n_messages") * F.coalesce("tokens_per_message", F.lit(0))
         sums = sums.select("session_id", "category", (F.col("tokens") + extra).alias("tokens"), "n_messages", (F.col("estimated") | (extra > 0)).alias("estimated"))
+    return _six_rows(sums)
+
+
+def bucket_rows(parts: DataFrame) -> DataFrame:
+    """The six rows of each session from partial sums (session_id, category, tokens, n, n_estimated)."""
+    return _six_rows(parts.groupBy("session_id", "category").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n_messages"), (F.sum("n_estimated") > 0).alias("estimated")))
+
+
+def _six_rows(sums: DataFrame) -> DataFrame:
     grid = sums.select("session_id").distinct().select("session_id", F.explode(F.array(*(F.lit(c) for c in S.CATEGORIES))).alias("category"))
     full = grid.join(sums, ["session_id", "category"], "left").select(
         "session_id",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -686,18 +686,89 @@ def doctor_status(spark, d):
     return R.worst_status(c.select("c_nationkey", status.alias("status")), "c_nationkey")
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS known, count(*) AS now FROM events
-WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INT) < 5 GROUP BY user_id""")
+_THIRDS = "t3 AS (SELECT *, CAST(floor(3 * idx / count(*) OVER (PARTITION BY s)) AS BIGINT) AS third FROM msg)"
+
+
+def _in_thirds(spark, rows, step):
+    """Append every session's rows to a table in three steps, in order, and call ``step`` with a stream of it after each."""
+    at = shared_dir(spark)
+    third = F.floor(3 * F.col("idx") / F.count(F.lit(1)).over(C.by_session()))
+    parts = cut(rows.withColumn("third", third))
+    for k in range(3):
+        parts.filter(F.col("third") == k).drop("third").write.mode("append").parquet(f"{at}/rows")
+        step(spark.readStream.schema(rows.schema).parquet(f"{at}/rows"))
+
+
+@query(f"""WITH {EV}, {_THIRDS}, g AS (SELECT s, third, count(*) FILTER (type = 'system') AS n FROM t3 GROUP BY s, third),
+c AS (SELECT s, n, sum(n) OVER (PARTITION BY s ORDER BY third) AS now FROM g)
+SELECT CAST(s AS VARCHAR) AS session_id, CAST(now - n AS BIGINT) AS known, CAST(now AS BIGINT) AS now FROM c WHERE n > 0""")
 def watch_feed(spark, d):
-    """Compactions as a stream finds them: a stateful count for each session, as JSON lines."""
+    """Compactions as a stream finds them in three batches: a stateful count for each session, as JSON lines."""
     from ..streaming.live import new_compactions, run_once
 
-    schema = table(spark, d, "events").schema
-    # a stream reads a folder; the filter picks the one table out of it
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
-    k = F.get_json_object("props", "$.k").cast("int")
-    marks = ev.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), F.when((F.col("event_type") == "error") & (k < 5), "system").otherwise("user").alias("type"), F.lit("compact_boundary").alias("subtype"))
-    return run_once(new_compactions(marks), shared_dir(spark))
+    to = shared_dir(spark)
+    found = []
+    _in_thirds(spark, event_messages(spark, d).select("session_id", "idx", "type", "subtype"), lambda stream: found.append(run_once(new_compactions(stream), to)))
+    return found[-1]
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {O.CATS}, vw AS (SELECT 'lifetime' AS v, s, cat, tok, type <> 'assistant' AS est FROM msg
+  UNION ALL SELECT 'current', m.s, cat, tok, type <> 'assistant' FROM msg m JOIN st ON st.s = m.s AND idx >= start_idx),
+p AS (SELECT v, s, cat, sum(tok) AS t, count(*) AS n, bool_or(est) AS est FROM vw GROUP BY v, s, cat)
+SELECT g.v AS view, CAST(g.s AS VARCHAR) AS session_id, category, CAST(coalesce(t, 0) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS n_messages, CASE WHEN coalesce(est, false) THEN 'estimated' ELSE 'exact' END AS accuracy
+FROM (SELECT DISTINCT v, s FROM vw) g CROSS JOIN cats LEFT JOIN p ON p.v = g.v AND p.s = g.s AND p.cat = category""")
+def incremental_analysis(spark, d):
+    """Buckets of the whole sessions and of their live windows from a state that grew in three batches."""
+    from ..streaming.incremental import Incremental
+
+    kept, at = Incremental(shared_dir(spark), fold_every=2), shared_dir(spark)
+    rows = event_messages(spark, d).withColumn("line_no", F.col("idx"))
+    _in_thirds(spark, rows, lambda stream: kept.follow(stream.drop("idx"), at).awaitTermination())
+    state = kept.state(spark)
+    views = (v.select(F.lit(n).alias("view"), "session_id", "category", "tokens", "n_messages", "accuracy") for n, v in (("lifetime", state.buckets), ("current", state.current)))
+    return next(views).unionByName(next(views))
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_EFF}, {_LIM} SELECT CAST(m.s AS VARCHAR) AS session_id, count(*) AS n, CAST(coalesce(any_value(n_compactions), 0) AS BIGINT) AS n_compactions,
+  CAST(any_value(effective) AS BIGINT) AS effective, CAST(any_value(lim) AS BIGINT) AS context_limit, any_value(signal) AS signal
+FROM msg m LEFT JOIN st ON st.s = m.s JOIN ef ON ef.s = m.s JOIN li ON li.s = m.s GROUP BY m.s""")
+def incremental_sessions(spark, d):
+    """Window, limit and compactions of every session from a state that grew in three batches."""
+    from ..streaming.incremental import Incremental
+
+    kept, at = Incremental(shared_dir(spark)), shared_dir(spark)
+    rows = event_messages(spark, d).withColumn("line_no", F.col("idx"))
+    _in_thirds(spark, rows, lambda stream: kept.follow(stream.drop("idx"), at).awaitTermination())
+    return kept.state(spark).sessions
+
+
+#: Milliseconds after which a wait for a compaction ends, and which it goes on after one.
+_PATIENCE, _SETTLE = 10 * 86_400_000, 6 * 3_600_000
+
+
+@query(f"""WITH {EV}, r AS (SELECT s, idx, type, eff, epoch_us(ts) // 1000 AS ms FROM msg), rq AS (SELECT s, ms AS began FROM r WHERE idx = 4),
+f AS (SELECT rq.s, began, min(ms) FILTER (type = 'system' AND ms > began AND ms < began + {_PATIENCE}) AS found FROM rq JOIN r USING (s) GROUP BY rq.s, began),
+e AS (SELECT *, coalesce(found + {_SETTLE}, began + {_PATIENCE}) AS ended FROM f)
+SELECT CAST(e.s AS VARCHAR) AS session_id, CASE WHEN found IS NULL THEN 'timeout' ELSE 'compacted' END AS status, CASE WHEN found IS NULL THEN 'no boundary was written' END AS message, began AS began_ms, ended AS ended_ms,
+  count(*) FILTER (ms <= began) AS before_messages, count(*) FILTER (ms < ended) AS after_messages, count(*) FILTER (type = 'system' AND ms <= began) AS before_compactions, count(*) FILTER (type = 'system' AND ms < ended) AS after_compactions,
+  CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND eff > 0 AND ms <= began), 0) AS BIGINT) AS before_tokens, CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND eff > 0 AND ms < ended), 0) AS BIGINT) AS after_tokens
+FROM e JOIN r USING (s) WHERE ended <= (SELECT max(ms) FROM r) GROUP BY e.s, found, began, ended""")
+def await_compactions(spark, d):
+    """Every session asks at its fifth message for its next compaction; what became of it, in the time of the
+    records. Waits that the last record leaves open have no row."""
+    from ..streaming import waiting
+    from ..streaming.live import run_once
+
+    m = event_messages(spark, d)
+    rows = waiting.records(m).unionByName(waiting.requests(m.filter("idx = 4").select("session_id", F.to_timestamp("ts").alias("at"))))
+    rows, at, to = cut(rows), shared_dir(spark), shared_dir(spark)
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    for k in range(3):  # time only grows from batch to batch
+        edges = [low + (high - low) * x / 3 for x in (k, k + 1)]
+        part = rows.filter((F.col("at") >= edges[0]) & (F.col("at") < edges[1] if k < 2 else F.lit(True)))
+        part.write.mode("append").parquet(f"{at}/rows")
+        out = run_once(waiting.await_compactions(spark.readStream.schema(rows.schema).parquet(f"{at}/rows"), _PATIENCE, _SETTLE, by_event=True), to)
+    return out
 
 
 _FIX = f"""{_WASTE}, {_FOCUS}, {_STATE}, ps AS (SELECT *, CAST({_LEFT} AS BIGINT) AS ml FROM sp),
@@ -782,6 +853,28 @@ def jsonl_sessions(spark, d):
     return C.classify(read_sessions(spark, f"{base}/*/*.jsonl")).select("session_id", "idx", "type", "category", "tokens")
 
 
+@query(f"WITH {O.CONV} SELECT 'p-' || (s % 3) || '/c' || (s // 3) AS session_id, idx, type, cat AS category, tok AS tokens FROM msg")
+def tail_sessions(spark, d):
+    """Conversations as logs that grow in two steps, followed by a stream; the second step ends what the first left half written."""
+    from ..sources.sinks import write_sessions
+    from ..sources.tail import tail_messages
+    from ..streaming.live import run_once
+
+    t = table(spark, d, "conversations")
+    said = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    rows = cut(t.select(F.concat(F.lit("p-"), (F.col("conv_id") % 3).cast("string")).alias("project"), F.concat(F.lit("c"), F.floor(F.col("conv_id") / 3).cast("string")).alias("name"), F.col("turn").cast("bigint").alias("pos"), said.alias("line")))
+    middle = F.floor(F.count(F.lit(1)).over(Window.partitionBy("project", "name")) / 2)
+    place = F.row_number().over(Window.partitionBy("project", "name").orderBy("pos")) - 1
+    half = rows.withColumns({"middle": middle, "place": place}).filter("place <= middle")
+    cut_off = half.withColumn("line", F.when(F.col("place") == F.col("middle"), F.expr("left(line, length(line) div 2)")).otherwise(F.col("line"))).drop("middle", "place")
+    base, to = shared_dir(spark), shared_dir(spark)
+    for step in (cut_off, rows):
+        write_sessions(step, base, end_last=step is rows).count()
+        found = run_once(tail_messages(spark, base, width=1 << 16), to)
+    place = (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("bigint")
+    return C.classify(found.withColumn("idx", place)).select("session_id", "idx", "type", "category", "tokens")
+
+
 @query(f"""WITH {O.events(cumulative=True)}, {O.EVENTS}, {O.CATS}, c AS (SELECT m.s, idx, type, eff, sum(tok) OVER (PARTITION BY m.s ORDER BY idx) - tok AS before, coalesce(start_idx, 0) AS st0 FROM msg m LEFT JOIN st ON st.s = m.s),
 p AS (SELECT *, lead(idx) OVER w AS ni, lead(eff) OVER w AS ne, lead(before) OVER w AS nb, row_number() OVER (PARTITION BY s ORDER BY idx DESC) AS back, count(*) OVER (PARTITION BY s) AS n FROM c WHERE type = 'assistant' AND eff > 0 AND idx >= st0 WINDOW w AS (PARTITION BY s ORDER BY idx)),
 q AS (SELECT s, CAST(ne - eff - (nb - before) AS DOUBLE) / CAST(ni - idx AS DOUBLE) AS x FROM p WHERE n >= 3 AND ni IS NOT NULL AND back <= 21 AND ne > eff),

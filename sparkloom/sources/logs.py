@@ -65,6 +65,13 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Message rows from (session_id, line_no, line)."""
+    rows = parse_records(lines)
+    place = (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("bigint")
+    return rows.select("session_id", place.alias("idx"), *(c for c in rows.columns if c not in ("session_id", "line_no")))
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """Message rows from (session_id, line_no, line), with line_no in place of idx: one line makes one row or none."""
     parsed = lines.select("session_id", "line_no", F.from_json("line", _LINE).alias("j"), F.expr("try_parse_json(line)").alias("v"))
     good = parsed.filter(F.col("v").isNotNull() & F.col("j.type").isNotNull())
     kept = good.filter(
@@ -88,9 +95,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             fields.append(F.when(kind_of == "array", b["content"]).alias("sub_json"))
         return F.struct(*fields)
 
-    out = kept.select(
+    return kept.select(
         "session_id",
-        (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("bigint").alias("idx"),
+        "line_no",
         F.col("j.type").alias("type"),
         F.col("j.subtype").alias("subtype"),
         F.col("j.message.role").alias("role"),
@@ -105,7 +112,6 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.coalesce("j.isMeta", F.lit(False)).alias("is_meta"),
         F.col("j.compactMetadata.preTokens").alias("pre_tokens"),
     )
-    return out
 
 
 def read_sessions(spark: SparkSession, paths: str | list[str]) -> DataFrame:

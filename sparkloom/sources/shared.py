@@ -8,11 +8,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MARKED: set[str] = set()
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="loom-code-")) / "sparkloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +77,20 @@ def free(*cuts: DataFrame) -> None:
     for df in cuts:
         fs, path = _hadoop(df.sparkSession, df._cut_path)
         fs.delete(path, True)
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    fs, path = _hadoop(spark, uri)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    fs, path = _hadoop(spark, uri)
+    fs.delete(path, True)
+
+
+def subfolders(spark: SparkSession, uri: str) -> list[int]:
+    """The numbers that name folders below ``uri``, in order."""
+    fs, path = _hadoop(spark, uri)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n) for n in names if n.isdigit())

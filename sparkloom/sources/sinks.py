@@ -17,8 +17,9 @@ def to_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_sessions(lines: DataFrame, base: str) -> DataFrame:
+def write_sessions(lines: DataFrame, base: str, end_last: bool = True) -> DataFrame:
     """Write rows (project, name, pos, line) as ``base``/project/name.jsonl; rows (path, n_lines).
+    Without ``end_last`` a file's last line has no line break, as when it is still being written.
 
     A file is streamed by one task, in order, under a name of its attempt and renamed at the end."""
     src = lines.select("project", "name", "pos", "line").repartition("project", "name").sortWithinPartitions("project", "name", "pos")
@@ -32,6 +33,8 @@ def write_sessions(lines: DataFrame, base: str) -> DataFrame:
         held, at, n, done = None, None, 0, []
 
         def close():
+            if end_last:
+                held.write(b"\n")
             held.close()
             store.move(f"{root}/{at[0]}/_try-{TaskContext.get().taskAttemptId()}-{at[1]}", f"{root}/{at[0]}/{at[1]}.jsonl")
             done.append((f"{base}/{at[0]}/{at[1]}.jsonl", n))
@@ -44,7 +47,7 @@ def write_sessions(lines: DataFrame, base: str) -> DataFrame:
                     at, n = (project, name), 0
                     store.create_dir(f"{root}/{project}", recursive=True)
                     held = store.open_output_stream(f"{root}/{project}/_try-{TaskContext.get().taskAttemptId()}-{name}", compression=None)
-                held.write(f"{line}\n".encode())
+                held.write((f"\n{line}" if n else line).encode())
                 n += 1
         if held:
             close()

@@ -1,21 +1,17 @@
-"""Live sessions: compactions as they happen, throttled notes, and re-analysis on change.
+"""Live sessions: compactions as they happen and throttled notes.
 
-State is kept by Spark for each session, so a restarted query goes on where it stopped.
-Lines are complete records; a record split over two reads is never lost.
+State is kept by Spark for each session, so a restarted query goes on where it stopped. The
+records come from ``sources.tail``; ``incremental`` keeps the analysis, ``waiting`` waits.
 """
 
 from __future__ import annotations
 
-import json
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..sources.logs import discover_sessions, read_sessions
-
 
 def boundaries(messages: DataFrame) -> DataFrame:
     """The compaction boundaries of a (streaming) message table."""
@@ -75,73 +71,3 @@ def run_once(stream: DataFrame, to: str) -> DataFrame:
     if q.exception():
         raise q.exception()
     return spark.read.schema(stream.schema).json(f"{to}/feed")
-
-
-def read_between(uri: str, start: int, end: int) -> bytes:
-    """The bytes [start, end) of a file in any store that Arrow can open."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        f.seek(start)
-        return f.read(end - start)
-
-
-def _size(uri: str) -> int:
-    """Bytes of a file, -1 where there is none."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    info = store.get_file_info(path)
-    return info.size if info.type == fs.FileType.File else -1
-
-
-def await_compaction(uri: str, snapshot: Callable[[], dict], timeout: float = 900, poll: float = 1, settle: float = 2.5, clock=time.monotonic, sleep=time.sleep) -> dict:
-    """Wait until a boundary record is appended to a log, and compare snapshots before and after.
-
-    ``snapshot`` returns the fields of ``operators.reports.SNAPSHOT``. The result has status
-    (compacted, timeout or error), before, after, delta and waited seconds."""
-    if (size := _size(uri)) < 0:
-        return {"status": "error", "message": "no such log", "before": None, "after": None, "delta": None, "waited": 0.0}
-    before, began, rest = snapshot(), clock(), b""
-    while True:
-        if clock() - began >= timeout:
-            return {"status": "timeout", "message": "no boundary was written", "before": before, "after": None, "delta": None, "waited": clock() - began}
-        sleep(poll)
-        if (now := _size(uri)) > size:
-            # a record that is only half written waits for its end
-            *lines, rest = (rest + read_between(uri, size, now)).split(b"\n")
-            size = now
-            if any(_is_boundary(x) for x in lines):
-                break
-    waited = clock() - began
-    sleep(settle)
-    after = snapshot()
-    if after["compaction_count"] <= before["compaction_count"]:
-        return {"status": "error", "message": "the boundary was not seen as a compaction", "before": before, "after": after, "delta": None, "waited": waited}
-    return {"status": "compacted", "message": None, "before": before, "after": after, "delta": {k: after[k] - before[k] for k in before if k not in ("context_limit", "message_count")}, "waited": waited}
-
-
-def _is_boundary(line: bytes) -> bool:
-    if b"compact_boundary" not in line:
-        return False
-    try:
-        got = json.loads(line)
-    except ValueError:
-        return False
-    return isinstance(got, dict) and got.get("type") == "system" and got.get("subtype") == "compact_boundary"
-
-
-def watch(spark: SparkSession, base: str, on_change: Callable[[DataFrame], None], seen: dict[str, int] | None = None) -> dict[str, int]:
-    """One poll: sessions whose files grew are read again, whole, and handed to ``on_change``.
-
-    Returns the sizes to pass to the next poll. The listing fixes what a poll reads."""
-    seen = dict(seen or {})
-    changed = []
-    for r in discover_sessions(spark, base).select("path", "size_bytes").toLocalIterator():
-        if seen.get(r.path) != r.size_bytes:
-            changed.append(r.path)
-            seen[r.path] = r.size_bytes
-    if changed:
-        on_change(read_sessions(spark, changed))
-    return seen
