@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, free, shared_dir
+from ..sources.shared import cut, free, shared_dir, ship
 
 __all__ = ["column", "cut", "fence", "free", "shared_dir", "ship", "slices", "unused"]
 
-_SHIPPED: set[str] = set()
-
 
 def column(name: str) -> Column:
     """The column of this name, whatever characters are in it."""
@@ -37,20 +31,6 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(row).select("row.*")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="loom-code-")) / "sparkloom.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(to))
-    _SHIPPED.add(app)
-
-
 def slices(batch, column: str, max_rows: int = 2000, max_bytes: int = 8 << 20):
     """Cut an Arrow batch into runs of rows whose ``column`` stays near ``max_bytes``.
 
