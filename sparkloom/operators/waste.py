@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.text import CHARS_PER_TOKEN_CODE, filename, js_len, js_trim, normal_path
 from .classify import in_order, by_session, has_block, tool_names, tool_uses
+from .mentions import last_mentions
 from .tokens import effective_input
 
 COLUMNS = ("session_id", "type", "severity", "tokens", "first_idx", "last_idx", "filename", "n_reads", "detail")
@@ -47,10 +48,7 @@ def stale_reads(classified: DataFrame, min_age: int = 15) -> DataFrame:
     """Reads of more than ``min_age`` rows ago whose file no later row (from the second on) names."""
     r = file_reads(classified).withColumn("age", F.col("n") - (F.col("idx") - F.col("start"))).filter((F.col("age") > min_age) & (F.col("tokens") != 0))
     r = r.withColumn("filename", filename(F.col("path")))
-    # texts meet the distinct names of their session, and only the last mention of a name goes on
-    names = r.select("session_id", "filename").distinct()
-    t = _row_texts(classified).withColumnRenamed("idx", "ti")
-    last = names.join(t, "session_id").filter(F.col("text").contains(F.col("filename"))).groupBy("session_id", "filename").agg(F.max("ti").alias("ti"))
+    last = last_mentions(r.select("session_id", F.col("filename").alias("name")), _row_texts(classified)).withColumnRenamed("name", "filename")
     r = r.join(last, ["session_id", "filename"], "left").filter(F.coalesce("ti", F.lit(-1)) < F.col("idx") + 2)
     return r.select("session_id", F.lit("stale_read").alias("type"), F.lit("high").alias("severity"), "tokens", F.col("idx").alias("first_idx"), (F.col("idx") + 1).alias("last_idx"), "filename", F.lit(1).cast("bigint").alias("n_reads"), F.col("age").cast("string").alias("detail"))
 
@@ -117,8 +115,10 @@ def unused_results(classified: DataFrame, min_chars: int = 200, min_tokens: int
     res = res.join(names, (F.col("session_id") == F.col("ns")) & (F.col("use") == F.col("nid")), "left").filter(~F.coalesce(F.col("name").isin(*S.UNTRACKED_RESULTS), F.lit(False)))
     texts = F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)), lambda b: b["text"])
     said = classified.filter((F.col("type") == "assistant") & has_block("text")).select(F.col("session_id").alias("s"), F.col("idx").alias("ai"), F.explode(texts).alias("said"))
+    # a text meets each of the rows it may answer by equality
+    said = said.withColumn("ri", F.explode(F.sequence(F.col("ai") - ahead, F.col("ai") - 1)))
     mark = js_trim(F.substring("content", 1, 50))
-    on = (F.col("session_id") == F.col("s")) & (F.col("ai") > F.col("idx")) & (F.col("ai") <= F.col("idx") + ahead) & ((js_len(F.col("said")) > text_chars) | ((mark != "") & F.col("said").contains(mark)))
+    on = (F.col("session_id") == F.col("s")) & (F.col("idx") == F.col("ri")) & ((js_len(F.col("said")) > text_chars) | ((mark != "") & F.col("said").contains(mark)))
     out = res.join(said, on, "left_anti").filter(F.col("tokens") > min_tokens)
     return out.select("session_id", F.lit("unused_result").alias("type"), F.lit("low").alias("severity"), "tokens", F.col("idx").alias("first_idx"), F.col("idx").alias("last_idx"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("bigint").alias("n_reads"), F.coalesce("name", F.lit("Tool")).alias("detail"))
 
