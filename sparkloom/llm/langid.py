@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import ship, slices
+from .store import column, ship, slices, unused
 
 WINDOW = 64
 HIDDEN = 8
@@ -41,6 +41,7 @@ BATCH = 192
 #: Windows that pass the network together.
 TOGETHER = 2048
 PAD = 0
+_HASHES = 1 << 40
 
 
 @dataclass
@@ -238,28 +239,24 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_texts: int = MAX_TEXTS) -> list[tuple[str, str]]:
     """(window text, label) rows: at most ``CUTS * per_lang`` for each label, on the driver."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(max_texts + 1).collect()
+    near = F.pmod(F.xxhash64(text), F.lit(_HASHES))
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), near.alias("h"), F.col(text).alias("t"))
+    # copies of a text share a hash and count once
+    counts = known.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).limit(max_texts + 1).collect()
     if not counts:
         return []
     if len(counts) > max_texts:
         raise ValueError(f"more than {max_texts} languages")
     per_lang = min(per_lang, max_texts // len(counts))
-    spread = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    share = F.lit(-1)
-    for r in counts:
-        # twice the wanted number on average, so that a label is rarely short of it
-        share = F.when(F.col(lang) == r["l"], F.lit(int(min(1.0, 2 * per_lang / r["n"]) * (1 << 30)))).otherwise(share)
-    cuts = F.array(*(F.substring(F.col(text), (F.length(text) * k / CUTS).cast("int") + 1, F.lit(WINDOW)) for k in range(CUTS)))
-    # copies of a text share a hash; they count once, so that a large group cannot fill the sample
-    rows = known.filter(spread < share).select(F.col(lang).alias("l"), spread.alias("s"), cuts.alias("c")).distinct()
-    kept: dict[str, list[str]] = {}
-    # about two max_texts are expected at most, so the limit only guards the driver
-    for r in rows.orderBy("s").limit(3 * max_texts).collect():
-        own = kept.setdefault(r["l"], [])
-        if len(own) < CUTS * per_lang:
-            own += [c for c in r["c"] if c]
-    return [(t, k) for k, own in sorted(kept.items()) for t in own]
+    # with enough to spare that a label is hardly ever short of its number; its least hash is always in
+    wide = per_lang + 4 * per_lang**0.5 + 16
+    bounds = [(r["l"], max(r["least"] + 1, int(min(1.0, 1.2 * wide / r["n"]) * _HASHES))) for r in counts]
+    bound = docs.sparkSession.createDataFrame(bounds, "b_l string, b long")  # a row for each label, max_texts at most
+    cuts = F.array(*(F.substring("t", (F.length("t") * k / CUTS).cast("int") + 1, F.lit(WINDOW)) for k in range(CUTS)))
+    some = known.join(F.broadcast(bound), F.col("l") == F.col("b_l")).filter("h < b").select("l", "h", cuts.alias("c")).groupBy("l", "h").agg(F.first("c").alias("c"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))  # about 1.5 per_lang + 20 rows a label
+    rows = some.withColumn("r", place).filter(F.col("r") <= per_lang).orderBy("l", "h").select("l", "c").collect()
+    return [(c, r["l"]) for r in rows for c in r["c"] if c]
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", **kw) -> Model | None:
@@ -270,13 +267,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", **kw) -> Model
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` of every whole text."""
     ship(docs.sparkSession)
-    src = docs.select(*keep, F.col(text).rlike(r"\p{L}").alias("_letter"), F.col(text).alias("_text"))
+    letter, said = (unused(docs, x) for x in ("letter", "said"))
+    src = docs.select(*(column(c) for c in keep), F.col(text).rlike(r"\p{L}").alias(letter), F.col(text).alias(said))
     schema = T.StructType([*(src.schema[c] for c in keep), T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model) if model else None
         for big in batches:
-            for b in slices(big, "_text", max_bytes=4 << 20):
+            for b in slices(big, said, max_bytes=4 << 20):
                 letter = b.column(len(keep)).to_pylist()
                 raw = [t.encode() if t and x and reader else b"" for t, x in zip(b.column(len(keep) + 1).to_pylist(), letter, strict=True)]
                 if reader:

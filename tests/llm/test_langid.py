@@ -60,3 +60,51 @@ def test_sample_keeps_every_label(spark):
     assert len({t for t, _ in few}) > 6 and len({y for _, y in few}) == 3
     with pytest.raises(ValueError):
         L.sample(df, max_texts=69)
+
+
+def test_copies_do_not_lose_a_label(spark):
+    many = spark.range(100_000).select(F.concat(F.lit("copied text "), F.col("id") % 20).alias("text"), F.lit("xx").alias("lang"))
+    few = spark.range(2000).select(F.concat(F.lit("own text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    texts = {}
+    for t, y in L.sample(many.union(few)):
+        texts.setdefault(y, set()).add(t)
+    assert len(texts["xx"]) >= 20 and len(texts["en"]) >= 400
+
+
+@pytest.mark.parametrize("labels,per_lang", [(64, 1), (300, 1), (5_000, 2), (25_600, 400)])
+def test_every_one_of_many_labels_is_kept(spark, labels, per_lang):
+    docs = spark.range(3 * labels).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id") % labels).alias("lang"))
+    rows = L.sample(docs, per_lang=per_lang)
+    assert len({y for _, y in rows}) == labels and len(rows) <= L.CUTS * L.MAX_TEXTS
+
+
+def test_pooled_scores_equal_a_plain_pass():
+    rng = np.random.default_rng(3)
+    w = L._init(3, rng)
+    texts = [b"short", "é".encode() * 50, bytes(rng.integers(1, 255, 300).astype(np.uint8))]
+    got = L.Reader(L.Model(["a", "b", "c"], w)).pooled(texts)
+    for raw, p in zip(texts, got, strict=True):
+        want = np.zeros(3)
+        for at in range(0, len(raw), L.WINDOW):
+            ids = np.zeros(L.WINDOW, np.int64)
+            ids[: len(raw[at : at + L.WINDOW])] = list(raw[at : at + L.WINDOW])
+            states = []
+            for d in "fb":
+                order = range(L.WINDOW) if d == "f" else range(L.WINDOW - 1, -1, -1)
+                h, out = np.zeros(L.HIDDEN), [None] * L.WINDOW
+                for t in order:
+                    x, a = w["E"][ids[t]] @ w[f"W{d}"] + w[f"b{d}"], h @ w[f"U{d}"]
+                    z, r = (1 / (1 + np.exp(-(x[i : i + L.HIDDEN] + a[i : i + L.HIDDEN]))) for i in (0, L.HIDDEN))
+                    n = np.tanh(x[2 * L.HIDDEN :] + r * (a[2 * L.HIDDEN :] + w[f"q{d}"]))
+                    h = out[t] = n + z * (h - n)
+                states.append(out)
+            for t in range(min(L.WINDOW, len(raw) - at)):
+                logit = np.concatenate([states[0][t], states[1][t]]) @ w["V"] + w["c"]
+                want += np.exp(logit) / np.exp(logit).sum()
+        assert np.allclose(p, want / len(raw), atol=1e-4)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the and of", "en", "a", "b")], "doc_id long, text string, lang string, letter string, said string")
+    got = L.predict(df, L.fit(df), keep=("doc_id", "letter", "said")).first()
+    assert (got.letter, got.said, got.lang_pred) == ("a", "b", "en")
