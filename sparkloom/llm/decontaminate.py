@@ -81,6 +81,12 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, short: bool = True) -> DataFrame:
     """One row (doc_id, item_id, n_windows, best_share) for each pair with a verified overlap."""
+    found = _found(docs, items, doc_id, text, item_id, item_text, max_broadcast, short)
+    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("dk", "ik", "dp", "ip", "span").alias("n_windows"), F.max("share").alias("best_share"))
+
+
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, max_broadcast: int, short: bool) -> DataFrame:
+    """The verified places: (doc_id, item_id, dk, ik, dp, ip, span, share), dk the text's hash."""
     it = items.select(column(item_id).alias("item_id"), tokens(column(item_text)).alias("iw")).filter(F.size("iw") >= (1 if short else 5)).distinct()
     it = it.select("item_id", "iw", F.xxhash64("iw").alias("ik"))
     # at most four lengths: the positions of short items are hashed only where there are any
@@ -100,15 +106,16 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         once = dt.dropDuplicates(["doc_id", "dk"])
         hits = pairs.join(it, same_item).join(once, F.col("hit_doc").eqNullSafe(F.col("doc_id")) & (F.col("hit_dk") == F.col("dk")))
         hits = hits.select("doc_id", "item_id", "dk", "ik", "dw", "iw", F.explode("places").alias("p")).select("doc_id", "item_id", "dk", "ik", "dw", "iw", "p.*")
-    found = _verified(hits).select("doc_id", "item_id", "dk", "ik", "dp", "ip", "span", "share")
-    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("dk", "ik", "dp", "ip", "span").alias("n_windows"), F.max("share").alias("best_share"))
+    return _verified(hits).select("doc_id", "item_id", "dk", "ik", "dp", "ip", "span", "share")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", short: bool = False, **kw) -> DataFrame:
-    """The rows of ``docs`` whose id has no verified overlap; rows with a null id are judged as one."""
-    name = unused(docs, "bad")
-    bad = contaminated(docs, items, doc_id=doc_id, short=short, **kw).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, column(doc_id).eqNullSafe(F.col(name)), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, short: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose text has no verified overlap; each is judged by its id and text, so rows that
+    share an id (or have none) stay unless their own text overlaps."""
+    name, key, own = (unused(docs, x) for x in ("bad", "bad_key", "own_key"))
+    bad = _found(docs, items, doc_id, text, item_id, item_text, max_broadcast, short).select(F.col("doc_id").alias(name), F.col("dk").alias(key)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64(column(text)))
+    return keyed.join(bad, (F.col(own) == F.col(key)) & column(doc_id).eqNullSafe(F.col(name)), "left_anti").drop(own)
 
 
 def oracle() -> str:

@@ -163,3 +163,13 @@ def test_clean_prose_is_not_taken_for_boilerplate(spark):
     got = {r.doc_id: r for r in Q.clean(df).collect()}
     assert all(got[i].kept and got[i].n_lines_removed == 0 for i in range(4))
     assert not got[4].kept and got[4].n_lines_removed == 2
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("clean text number "), F.col("id").cast("string")).alias("text"))
+    leak = spark.createDataFrame([(None, f"so {passage} then"), (7, f"so {passage} then"), (7, "clean too"), (8, None), (9, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for most in (500_000, 0):
+        kept = D.drop_contaminated(docs.union(leak), items, max_broadcast=most)
+        assert kept.count() == 10_003 and kept.filter("text LIKE '%w3 %'").count() == 0
