@@ -64,7 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go.
 
-    Null and empty texts hold none and stay. Rows of one id go together, those with a null id as one."""
+    Null and empty texts hold none and stay. Each row goes by its own id and text."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
