@@ -23,11 +23,13 @@ LONG_LIMIT = 1_000_000
 
 # Fixed value: file extensions that count as file references.
 FILE_EXTENSIONS = (
-    "ts tsx js jsx mjs cjs md mdx txt rst adoc json jsonl json5 yaml yml toml ini env properties xml csv tsv lock "
-    "html htm css scss sass less vue svelte astro sh bash zsh fish ps1 bat cmd py rb go rs java kt kts swift m mm "
-    "c cpp cc cxx h hpp hxx cs vb fs php scala clj lua r jl pl pm dockerfile tf tfvars hcl sql graphql gql proto "
-    "svg png jpg jpeg gif webp ico pdf"
-).split()
+    "ts", "tsx", "js", "jsx", "mjs", "cjs", "md", "mdx", "txt", "rst", "adoc", "json", "jsonl", "json5", "yaml",
+    "yml", "toml", "ini", "env", "properties", "xml", "csv", "tsv", "lock", "html", "htm", "css", "scss", "sass",
+    "less", "vue", "svelte", "astro", "sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "py", "rb", "go", "rs",
+    "java", "kt", "kts", "swift", "m", "mm", "c", "cpp", "cc", "cxx", "h", "hpp", "hxx", "cs", "vb", "fs", "php",
+    "scala", "clj", "lua", "r", "jl", "pl", "pm", "dockerfile", "tf", "tfvars", "hcl", "sql", "graphql", "gql",
+    "proto", "svg", "png", "jpg", "jpeg", "gif", "webp", "ico", "pdf",
+)
 
 # Fixed value: the shape of a file reference.
 FILE_REF = r"(?:[a-zA-Z]:[\\/]|\.{1,2}[\\/]|[\\/])?(?:[\w\-]+[\\/])*[\w\-][\w\-.]*\.[a-zA-Z][a-zA-Z0-9]{0,7}\b"

@@ -18,9 +18,11 @@ def compact_focus(waste: DataFrame) -> DataFrame:
     items of high or medium severity. Every caller takes the text from here."""
     top = waste.filter(F.col("severity").isin("high", "medium"))
     top = top.withColumn("r", F.row_number().over(by_session().orderBy("rank"))).filter("r <= 3")
+    # the text stands in quotes, so quotes within it are escaped
+    name = F.replace(F.replace("filename", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     target = (
-        F.when(F.col("type") == "duplicate_read", F.concat(F.lit("keep only latest read of "), F.col("filename")))
-        .when(F.col("type") == "stale_read", F.concat(F.lit("drop stale read of "), F.col("filename")))
+        F.when(F.col("type") == "duplicate_read", F.concat(F.lit("keep only latest read of "), name))
+        .when(F.col("type") == "stale_read", F.concat(F.lit("drop stale read of "), name))
         .when(F.col("type") == "resolved_exchange", F.concat(F.lit("drop resolved exchange at messages #"), F.col("rel_first"), F.lit("-"), F.col("rel_first") + F.col("last_idx") - F.col("first_idx")))
     )
     g = top.withColumn("t", target).groupBy("session_id").agg(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("r", "t")))).alias("ts"), F.sum("tokens").alias("savings"))
@@ -55,17 +57,22 @@ def top_consumers(classified: DataFrame, waste: DataFrame, events: DataFrame, de
     return all_.withColumn("position", F.row_number().over(w).cast("bigint")).filter(F.col("position") <= k).drop("ord")
 
 
-def session_state(classified: DataFrame, window: DataFrame, limits: DataFrame, since: DataFrame) -> DataFrame:
-    """Rows (session_id, total, context_limit, n_messages, percentage, health, messages_left)."""
-    n = classified.join(since.select("session_id", "start_idx"), "session_id", "left").filter(F.col("idx") >= F.coalesce("start_idx", F.lit(0))).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    sums = classified.groupBy("session_id").agg(F.sum("tokens").alias("content"))
-    j = n.join(window, "session_id", "left").join(sums, "session_id").join(limits, "session_id").withColumn("total", F.coalesce("effective", "content"))
+def session_state(classified: DataFrame, window: DataFrame, limits: DataFrame, since: DataFrame, content: DataFrame | None = None) -> DataFrame:
+    """Rows (session_id, total, context_limit, n_messages, percentage, health, messages_left) of the live
+    windows. Without usage the total is the content: rows (session_id, content), fixed costs included, or else
+    the live messages' own tokens."""
+    live = classified.join(since.select("session_id", "start_idx"), "session_id", "left").filter(F.col("idx") >= F.coalesce("start_idx", F.lit(0)))
+    n = live.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("tokens").alias("own"))
+    j = n.join(window, "session_id", "left").join(limits, "session_id")
+    j = j.join(content, "session_id", "left") if content is not None else j.withColumn("content", F.lit(None).cast("bigint"))
+    j = j.withColumn("total", F.coalesce("effective", "content", "own"))
     pct = F.col("total") / F.col("context_limit") * 100
     return j.select("session_id", "total", "context_limit", "n_messages", pct.alias("percentage"), F.greatest(F.lit(0), F.col("context_limit") - F.col("total")).alias("free_tokens"), context_health(pct).alias("health"), projection(F.col("total"), F.col("context_limit"), F.col("n_messages")).alias("messages_left"))
 
 
-def recommendations(state: DataFrame, waste: DataFrame, focus: DataFrame, n_compactions: DataFrame, tool_share: DataFrame, messages: DataFrame, servers: tuple[str, ...] = (), prompt: int = 0) -> DataFrame:
-    """Ranked advice: rows (session_id, position, priority, kind, impact, subject)."""
+def recommendations(state: DataFrame, waste: DataFrame, focus: DataFrame, n_compactions: DataFrame, tool_share: DataFrame, messages: DataFrame, servers: tuple[str, ...] = (), prompt: int = 0, consumers: DataFrame | None = None) -> DataFrame:
+    """Ranked advice: rows (session_id, position, priority, kind, impact, subject). ``consumers`` are the
+    rows of ``top_consumers``."""
     s = state.join(focus, "session_id", "left")
     half = s.filter(F.col("total") >= F.col("context_limit") * 0.5)
     compact = half.select("session_id", F.lit(1).alias("priority"), F.lit("compact").alias("kind"), F.coalesce("savings", F.floor(F.col("total") * 0.25)).cast("bigint").alias("impact"), F.coalesce("focus", F.lit("/compact")).alias("subject"), F.lit(0).alias("ord"))
@@ -78,6 +85,9 @@ def recommendations(state: DataFrame, waste: DataFrame, focus: DataFrame, n_comp
     dup = waste.filter("type = 'duplicate_read'").withColumn("r", F.row_number().over(by_session().orderBy(F.desc("tokens"), "rank"))).filter("r <= 5")
     duplicates = dup.select("session_id", F.lit(2).alias("priority"), F.lit("duplicate-file").alias("kind"), F.col("tokens").alias("impact"), F.concat_ws("|", "filename", "n_reads", "detail").alias("subject"), (F.lit(2) + F.col("r") / 10).alias("ord"))
     parts = [compact, prediction, duplicates]
+    if consumers is not None:
+        named = F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "tokens"))), lambda x: F.concat(x["name"], F.lit(" "), x["tokens"]))
+        parts.append(consumers.groupBy("session_id").agg(F.array_join(named, "; ").alias("subject")).select("session_id", F.lit(3).alias("priority"), F.lit("top-consumers").alias("kind"), zero.alias("impact"), "subject", F.lit(3).alias("ord")))
     if servers:
         used = tool_uses(messages).filter(F.col("name").isin(*servers)).groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("u"))
         parts.append(state.join(used, "session_id", "left").select("session_id", F.lit(5).alias("priority"), F.lit("mcp-info").alias("kind"), zero.alias("impact"), F.coalesce("u", F.lit("none")).alias("subject"), F.lit(4).alias("ord")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from ..functions.text import duration_seconds
 from ..sources.shared import cut
-from ..sources.state import Thresholds
+from ..sources.state import BUILTIN_TOOLS, Thresholds
 from . import advice, classify as C, compaction as K, waste as W
 
 
@@ -27,13 +29,27 @@ class Analysis:
     framing: DataFrame
     waste: DataFrame
     focus: DataFrame
+    tools: DataFrame
+    servers: DataFrame | None
+    durations: DataFrame
+    consumers: DataFrame
+    recommendations: DataFrame
 
 
-def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False) -> Analysis:
+def durations(messages: DataFrame) -> DataFrame:
+    """Rows (session_id, duration_seconds): from the first message's time to the last one's, null unless positive."""
+    ends = messages.groupBy("session_id").agg(F.min_by("ts", "idx").alias("first"), F.max_by("ts", "idx").alias("last"))
+    return ends.select("session_id", duration_seconds(F.col("first"), F.col("last")).alias("duration_seconds"))
+
+
+def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False, until: int | None = None) -> Analysis:
     """All intermediate tables, lazily; ``cache`` writes the classified rows once for all of them.
 
     ``config`` is what ``sources.logs.gather_config`` returns; ``prompt`` and ``memory`` stand in for it.
-    ``current`` are the buckets from the last compaction on, with the same fixed costs."""
+    ``until`` takes the first rows of each session; without it a trailing turn in which the analyser itself
+    was run is left out. ``buckets`` are those of the whole sessions with fixed costs, ``current`` those
+    from the last compaction on, which also get what each message costs beyond its content."""
+    messages = messages.filter(F.col("idx") < until) if until is not None else C.without_own_turn(messages)
     known = {"prompt": prompt, "memory": memory, "builtin": S.BUILTIN_SCHEMA_TOKENS, "mcp": 0, "skill_tokens": 0} | (config or {})
     t = thresholds or Thresholds()
     classified = C.classify(messages)
@@ -50,18 +66,31 @@ def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict
     each = framing.select("session_id", "tokens_per_message")
     live = overhead.join(since.select("session_id"), "session_id", "left_semi")
     waste = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))
+    whole = C.buckets(classified, overhead)
+    current = C.buckets(K.current_context(classified, events), live, each)
+    content = [b.groupBy("session_id").agg(F.sum("tokens").alias("content")) for b in (current, whole.join(since, "session_id", "left_anti"))]
+    state = advice.session_state(classified, window, limits, since, content[0].unionByName(content[1]))
+    focus = advice.compact_focus(waste)
+    servers = tuple(known.get("servers", ()))
+    consumers = advice.top_consumers(K.slice_from(classified, since), waste, events, derived, known["prompt"], known["builtin"] + known["mcp"], known["memory"])
+    share = whole.filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
     return Analysis(
         classified,
         events,
         since,
-        C.buckets(classified, overhead, each),
-        C.buckets(K.current_context(classified, events), live, each),
+        whole,
+        current,
         window,
         limits,
         segments,
-        advice.session_state(classified, window, limits, since),
+        state,
         derived,
         framing,
         waste,
-        advice.compact_focus(waste),
+        focus,
+        advice.tool_breakdown(classified, tuple(n for n, _ in BUILTIN_TOOLS) + servers),
+        advice.mcp_usage(classified, servers) if servers else None,
+        durations(messages),
+        consumers,
+        advice.recommendations(state, waste, focus, since, share, classified, servers, known["prompt"], consumers),
     )

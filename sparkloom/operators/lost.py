@@ -107,22 +107,30 @@ def lost_totals(items: DataFrame) -> DataFrame:
     return items.rollup("session_id", "event").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_items"))
 
 
+#: Characters at the start of a short item by which it is sought.
+GRAM = 8
+
+
 def surviving_items(items: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (item_id, doc_id): passages that a text contains whole.
 
-    Both sides are keyed by a hash of the words at the item's start, so the test runs on
-    matching places only and never as a nested loop over all pairs. Items: (item_id, text);
-    texts: (doc_id, text). Items of fewer than five words are matched where they stand as whole words.
-    """
+    Both sides are keyed by a hash of what the item starts with, so the test runs on matching
+    places only and never as a nested loop over all pairs: three words inside of an item of five words or
+    more, else its first ``GRAM`` characters, for which the texts are hashed at every place. The empty item is in no text.
+    Items: (item_id, text); texts: (doc_id, text)."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    it = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") >= 1).distinct()
-    # a long item's ends may be parts of words: its key are three words inside; a short one's all its words
-    inner = F.when(F.size("w") >= 5, F.slice("w", 2, 3)).otherwise(F.col("w"))
-    it = it.select("item_id", "item", F.xxhash64("item").alias("ik"), F.xxhash64(inner).alias("h"), F.size(inner).alias("n"))
-    sizes = sorted(r[0] for r in it.select("n").distinct().collect())  # at most 1 to 4
-    runs = [f"CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> xxhash64(slice(w, i + 1, {n}))) ELSE array() END" for n in sizes]
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    it = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.length("item") > 0).distinct()
+    # a long item's ends may be parts of words, so its key are three words inside
+    long_ = F.size("w") >= 5
+    start = F.slice(letters(F.col("item")), 1, GRAM)
+    it = it.select("item_id", "item", F.xxhash64("item").alias("ik"), F.xxhash64(F.when(long_, F.slice("w", 2, 3)).otherwise(start)).alias("h"), F.when(~long_, F.size(start)).alias("n"))
+    kinds = {r[0] for r in it.select("n").distinct().collect()}  # none, or 1 to GRAM
+    runs = ["CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(slice(w, i + 1, 3))) ELSE array() END"] if None in kinds else []
+    runs += [f"CASE WHEN size(g) >= {n} THEN transform(sequence(0, size(g) - {n}), i -> xxhash64(slice(g, i + 1, {n}))) ELSE array() END" for n in sorted(kinds - {None})]
     key = F.xxhash64("text")
-    tx = texts.select("doc_id", key.alias("tk"), words(F.col("text")).alias("w")).withColumn("hs", F.expr(f"array_distinct(concat({', '.join(runs) or 'array(0L)'}))"))
+    tx = texts.select("doc_id", key.alias("tk"), words(F.col("text")).alias("w"), (letters(F.col("text")) if kinds - {None} else F.array()).alias("g"))
+    tx = tx.withColumn("hs", F.expr(f"array_distinct(concat({', '.join(runs) or 'array(0L)'}))"))
     # hashes travel without the texts, which are joined once to the pairs that agree
     met = tx.select("doc_id", "tk", F.explode_outer("hs").alias("h")).join(it.select("item_id", "ik", "h"), "h").select("doc_id", "tk", "item_id", "ik").distinct()
     met = met.join(it.select(F.col("item_id").alias("i2"), F.col("ik").alias("k2"), "item"), F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("ik") == F.col("k2")))

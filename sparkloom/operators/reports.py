@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions.text import WHITE, csv_field, file_refs, js_trim
+from . import classify as C
 from .classify import by_session
 
 # --- comparison -----------------------------------------------------------------
@@ -51,22 +52,58 @@ def insights(compared: DataFrame, counts: DataFrame) -> DataFrame:
     return pivoted.select("session_a", "session_b", F.array_join(found, "\n").alias("insights"))
 
 
-def cut_messages(messages: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
-    """Each session once for each cut, holding its first rows up to the cut (between 1 and its
-    length); session_id becomes struct(session_id, cut), so that every operator sees each cut as
-    a session of its own."""
-    n = F.count(F.lit(1)).over(by_session())
-    rows = messages.withColumn("n", n).withColumn("cut", F.explode(F.array(*(F.lit(int(c)).cast("bigint") for c in cuts))))
-    upto = F.greatest(F.lit(1), F.least(F.col("n"), F.col("cut")))
-    return rows.filter(F.col("idx") < upto).withColumn("session_id", F.struct("session_id", "cut")).drop("n", "cut")
-
-
-def session_diff(buckets_at_cuts: DataFrame, start: int, end: int) -> DataFrame:
-    """Category tokens of each session at two cuts, from buckets keyed by struct(session_id, cut)."""
+def cut_buckets(messages: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """Rows (session_id, cut, category, tokens, n_messages, accuracy): each session as it was at each cut,
+    holding its first rows up to the cut (between 1 and its length). One pass, however many cuts.
+
+    A row counts from the first cut after it. What later rows change goes into the same sums as
+    moves: the last human text enters ``user`` and leaves it for its other category at the cut that
+    has a later one, and a tool result changes category when a later call takes its id."""
+    cuts = tuple(sorted({max(1, int(c)) for c in cuts}))
+    edges = F.array(*(F.lit(c).cast("bigint") for c in cuts))
+    slot = F.size(F.filter(edges, lambda c: c <= F.col("idx")))
+    m = C.row_marks(messages).withColumn("slot", slot.cast("bigint"))
+    last = len(cuts) - 1
+    estimated = (F.col("accuracy") == "estimated").cast("bigint")
+    result = F.col("_result").isNotNull() & ~F.col("_marker") & ~F.col("_is_call")
+    category = F.when(F.col("_marker"), "system").when(F.col("_is_call"), C.tool_category(F.col("_call"))).otherwise(F.col("_other"))
+    rows = m.filter(F.col("slot") <= last)
+    sums = (F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.sum(estimated).alias("n_estimated"))
+    parts = [rows.filter(~result).groupBy("session_id", "slot", category.alias("category")).agg(*sums)]
+
+    def moved(df: DataFrame, at: str, to: Column, sign: int) -> DataFrame:
+        return df.select("session_id", F.col(at).alias("slot"), to.alias("category"), *((F.col(c) * sign).alias(c) for c in ("tokens", "n", "n_estimated")))
+
+    # the last human text of each slot holds until the next slot that has one
+    human = rows.filter("_human").groupBy("session_id", "slot").agg(F.max(F.struct("idx", "tokens", F.col("_other").alias("other"), F.col("_marker").alias("marker"), estimated.alias("n_estimated"))).alias("h"))
+    human = human.withColumn("until", F.lead("slot").over(by_session().orderBy("slot"))).filter("NOT h.marker")
+    human = human.select("session_id", "slot", "until", "h.tokens", F.lit(1).alias("n"), "h.n_estimated", "h.other")
+    gone = human.filter("until IS NOT NULL")
+    parts += [moved(human, "slot", F.lit("user"), 1), moved(human, "slot", F.col("other"), -1), moved(gone, "until", F.lit("user"), -1), moved(gone, "until", F.col("other"), 1)]
+    # a result is a tool's before any call has its id, then by the last name of each slot
+    results = rows.filter(result).groupBy("session_id", F.coalesce("_result.tool_use_id", F.lit("")).alias("id"), F.col("slot").alias("own")).agg(*sums)
+    named = C.tool_uses(rows).filter("id <> '' AND name <> ''").join(rows.select("session_id", "idx", "slot"), ["session_id", "idx"])
+    named = named.groupBy("session_id", "id", "slot").agg(F.max_by("name", F.struct("idx", "pos")).alias("name"))
+    named = named.select("session_id", "id", F.col("slot").alias("since"), F.lead("slot").over(Window.partitionBy("session_id", "id").orderBy("slot")).alias("until"), C.tool_category(F.col("name")).alias("category"))
+    first = named.groupBy("session_id", "id").agg(F.min("since").alias("until")).select("session_id", "id", F.lit(-1).cast("bigint").alias("since"), "until", F.lit("tools").alias("category"))
+    spans = results.join(named.unionByName(first), ["session_id", "id"]).withColumn("slot", F.greatest("own", "since"))
+    spans = spans.filter(F.col("until").isNull() | (F.col("slot") < F.col("until")))
+    never = results.join(first, ["session_id", "id"], "left_anti").withColumn("category", F.lit("tools"))
+    parts += [moved(spans, "slot", F.col("category"), 1), moved(spans.filter("until IS NOT NULL"), "until", F.col("category"), -1), moved(never, "own", F.col("category"), 1)]
+
+    deltas = reduce(lambda x, y: x.unionByName(y), parts).groupBy("session_id", "slot", "category").agg(*(F.sum(c).alias(c) for c in ("tokens", "n", "n_estimated")))
+    grid = messages.select("session_id").distinct().select("session_id", F.posexplode(edges).alias("slot", "cut")).withColumn("category", F.explode(F.array(*(F.lit(c) for c in S.CATEGORIES))))
+    upto = Window.partitionBy("session_id", "category").orderBy("slot")
+    sofar = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(upto)
+    return grid.join(deltas, ["session_id", "slot", "category"], "left").select("session_id", "cut", "category", sofar("tokens").alias("tokens"), sofar("n").alias("n_messages"), F.when(sofar("n_estimated") > 0, "estimated").otherwise("exact").alias("accuracy"))
+
+
+def session_diff(at_cuts: DataFrame, start: int, end: int) -> DataFrame:
+    """Category tokens of each session at two cuts, from ``cut_buckets``."""
     if start >= end:
         raise ValueError("the first cut must lie before the second")
-    c = F.col("session_id.cut")
-    g = buckets_at_cuts.groupBy(F.col("session_id.session_id").alias("session_id"), "category").agg(F.sum(F.when(c == start, F.col("tokens"))).alias("tokens_from"), F.sum(F.when(c == end, F.col("tokens"))).alias("tokens_to"))
+    c = F.col("cut")
+    g = at_cuts.groupBy("session_id", "category").agg(F.sum(F.when(c == start, F.col("tokens"))).alias("tokens_from"), F.sum(F.when(c == end, F.col("tokens"))).alias("tokens_to"))
     return g.withColumn("delta", F.col("tokens_to") - F.col("tokens_from"))
 
 
@@ -107,9 +144,26 @@ def trend_summary(history: DataFrame, by: str) -> DataFrame:
     return j.select(by, "n", "avg_percent", "dominant_category", delta.alias("percent_delta"), F.when(delta > 5, "worsening").when(delta < -5, "improving").otherwise("flat").alias("direction"))
 
 
-def trend_csv(history: DataFrame, columns: list[str]) -> DataFrame:
-    """One CSV line for each record, nulls as empty fields."""
-    return history.select("ts", F.concat_ws(",", *(csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns)).alias("line"))
+#: The columns of an exported history.
+TREND_COLUMNS = ("sessionId", "projectName", "timestamp", "totalTokens", "percentUsed", "messageCount", "compactionCount", "health", "topCategory", "topCategoryTokens", "contextLimit")
+
+
+def two_decimals(x: Column) -> Column:
+    """A number that is not negative with two decimals, by its exact binary value, halves up."""
+    half = (x * 8 == F.floor(x * 8)) & (F.pmod(x * 1000, F.lit(10)) == 5)
+    return F.call_function("format_number", F.when(half, x + 0.001).otherwise(x), F.lit("0.00"))
+
+
+def trend_csv(history: DataFrame, columns: tuple[str, ...] = TREND_COLUMNS) -> DataFrame:
+    """One CSV line for each record, nulls as empty fields; fractions have two decimals."""
+    kinds = dict(history.dtypes)
+
+    def field(c: str) -> Column:
+        shown = two_decimals(F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+        return csv_field(F.coalesce(shown, F.lit("")))
+
+    kept = [c for c in ("ts",) if c in history.columns]
+    return history.select(*kept, F.concat_ws(",", *map(field, columns)).alias("line"))
 
 
 def top_category(buckets: DataFrame) -> DataFrame:
@@ -171,10 +225,11 @@ def calibrate(buckets: DataFrame, actual: DataFrame) -> DataFrame:
     return j.withColumn("delta_percent", F.when(F.col("actual") > 0, (F.col("estimated") - F.col("actual")) / F.col("actual") * 100).otherwise(F.lit(0.0)))
 
 
-def calibration_accuracy(compared: DataFrame, actual: DataFrame, builtin: int = S.BUILTIN_SCHEMA_TOKENS) -> DataFrame:
-    """Rows (id, accuracy, stale): agreement of the sums, and whether the schema table is off by over 5 %."""
-    g = compared.groupBy("id").agg(F.sum("estimated").alias("e"), F.sum("actual").alias("a")).join(actual.select("id", F.col("system_tools").alias("t")), "id")
-    return g.select("id", F.when(F.col("a") > 0, 100 - F.abs(F.col("e") - F.col("a")) / F.col("a") * 100).alias("accuracy"), F.coalesce((F.col("t") > 0) & (F.abs(F.col("t") - builtin) / F.col("t") > 0.05), F.lit(False)).alias("stale"))
+def calibration_accuracy(compared: DataFrame, builtin: int = S.BUILTIN_SCHEMA_TOKENS) -> DataFrame:
+    """Rows (id, accuracy, stale): agreement of the sums, and whether the schema table is off by over 5 % of
+    the measured tools, servers' included."""
+    g = compared.groupBy("id").agg(F.sum("estimated").alias("e"), F.sum("actual").alias("a"), F.max(F.when(F.col("bucket") == "Tools", F.col("actual"))).alias("t"))
+    return g.select("id", F.when(F.col("a") > 0, 100 - F.abs(F.col("e") - F.col("a")) / F.col("a") * 100).alias("accuracy"), F.coalesce((F.col("t") > 0) & (F.abs(F.col("t") - builtin) / F.col("t") * 100 > 5), F.lit(False)).alias("stale"))
 
 
 # --- benchmark runs -------------------------------------------------------------

@@ -105,7 +105,7 @@ sg AS (SELECT s, segment, min(model) AS model, min(idx) AS first_idx, max(idx) A
 _LIM = f"""{_SEG}, cm AS (SELECT s, arg_max(model, segment) AS model, count(*) - 1 AS n_switches FROM sg GROUP BY s),
 lm AS (SELECT m.s, CASE WHEN regexp_matches(coalesce(max(cm.model), ''), '(?i)\\[1m\\]|-1m$') THEN 'model-id' WHEN max(eff) > 200000 THEN 'usage' ELSE 'default' END AS signal FROM msg m LEFT JOIN cm ON cm.s = m.s GROUP BY m.s),
 li AS (SELECT s, signal, CASE WHEN signal = 'default' THEN 200000 ELSE 1000000 END AS lim FROM lm)"""
-_STATE = f"""{_EFF}, {_LIM}, sn AS (SELECT m.s, count(*) FILTER (idx >= coalesce(start_idx, 0)) AS n, sum(tok) AS content FROM msg m LEFT JOIN st ON st.s = m.s GROUP BY m.s),
+_STATE = f"""{_EFF}, {_LIM}, sn AS (SELECT m.s, count(*) FILTER (idx >= coalesce(start_idx, 0)) AS n, sum(tok) FILTER (idx >= coalesce(start_idx, 0)) AS content FROM msg m LEFT JOIN st ON st.s = m.s GROUP BY m.s),
 sx AS (SELECT sn.s, CAST(coalesce(effective, content) AS BIGINT) AS total, lim, sn.n FROM sn JOIN ef USING (s) JOIN li USING (s)),
 sp AS (SELECT *, total::DOUBLE / lim::DOUBLE * 100 AS pct FROM sx)"""
 
@@ -354,18 +354,44 @@ def recommendations(spark, d):
     return advice.recommendations(_state(m, c, since), w, advice.compact_focus(w), since, share, m, prompt=2000)
 
 
-@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, lw AS (SELECT s, idx, tool, path, coalesce(lead(tok) OVER (PARTITION BY s ORDER BY idx), 0) AS nt FROM lv), fc AS (SELECT s, split_part(path, '/', -1) AS name, sum(nt) AS tokens, count(*) AS n_reads FROM lw WHERE tool = 'Read' GROUP BY 1, 2),
+_TOP_CTE = """lw AS (SELECT s, idx, tool, path, coalesce(lead(tok) OVER (PARTITION BY s ORDER BY idx), 0) AS nt FROM lv), fc AS (SELECT s, split_part(path, '/', -1) AS name, sum(nt) AS tokens, count(*) AS n_reads FROM lw WHERE tool = 'Read' GROUP BY 1, 2),
 ip AS (SELECT s, arg_min(eff, idx) FILTER (type = 'assistant' AND u_in > 0) - 9531 - coalesce(arg_min(tok, idx) FILTER (type = 'user'), 0) AS t FROM msg GROUP BY s),
-al AS (SELECT fc.s, name, fc.tokens, fc.n_reads, coalesce(w.tokens, 0) AS duplicate_tokens, 0 AS o FROM fc LEFT JOIN wr w ON w.s = fc.s AND w.type = 'duplicate_read' AND w.filename = fc.name
+ta AS (SELECT fc.s, name, fc.tokens, fc.n_reads, coalesce(w.tokens, 0) AS duplicate_tokens, 0 AS o FROM fc LEFT JOIN wr w ON w.s = fc.s AND w.type = 'duplicate_read' AND w.filename = fc.name
   UNION ALL SELECT DISTINCT s, 'Tool schemas', 9055, 0, 0, 1 FROM lv UNION ALL SELECT s, 'System prompt', CASE WHEN t BETWEEN 1000 AND 15000 THEN t ELSE 0 END, 0, 0, 2 FROM ip WHERE s IN (SELECT s FROM lv)),
-r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, o, name) AS position FROM al)
-SELECT s AS session_id, name, CAST(tokens AS BIGINT) AS tokens, n_reads, CAST(duplicate_tokens AS BIGINT) AS duplicate_tokens, position FROM r WHERE position <= 5""")
+tr AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, o, name) AS position FROM ta)"""
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_TOP_CTE}
+SELECT s AS session_id, name, CAST(tokens AS BIGINT) AS tokens, n_reads, CAST(duplicate_tokens AS BIGINT) AS duplicate_tokens, position FROM tr WHERE position <= 5""")
 def top_consumers(spark, d):
     m, c, e, since = _live(spark, d)
     derived = K.internal_prompt(m).filter("tokens IS NOT NULL").select("session_id", "tokens")
     return advice.top_consumers(K.slice_from(c, since), W.detect_waste(c, m, since), e, derived)
 
 
+@query(f"""WITH {EV}, {O.EVENTS}, {_WASTE}, {_FOCUS}, {_STATE}, {O.CATS},
+tp AS (SELECT m.s, CAST(coalesce(sum(tok) FILTER (cat = 'tools'), 0) AS DOUBLE) / CAST(sum(tok) AS DOUBLE) * 100 AS tpct FROM msg m GROUP BY m.s),
+pr AS (SELECT s, CAST(floor((lim * 0.8::DOUBLE - total) / (total::DOUBLE / n::DOUBLE)) AS BIGINT) AS lf FROM sp WHERE total > 0),
+dd AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tokens DESC, rank) AS r FROM wr WHERE type = 'duplicate_read'),
+dc AS (SELECT s, count(*) AS dups FROM dd GROUP BY s),
+hb AS (SELECT sp.s, CASE WHEN n_compactions >= 3 THEN 'clear-between-tasks' WHEN dups >= 5 THEN 'reuse-reads' WHEN tpct > 50 THEN 'fresh-sessions' END AS h FROM sp LEFT JOIN st ON st.s = sp.s LEFT JOIN dc ON dc.s = sp.s LEFT JOIN tp ON tp.s = sp.s),
+{_TOP_CTE},
+tl AS (SELECT s, string_agg(name || ' ' || CAST(tokens AS BIGINT), '; ' ORDER BY position) AS list_ FROM tr WHERE position <= 5 GROUP BY s), mi AS (SELECT s, string_agg(DISTINCT tool, ',' ORDER BY tool) AS used FROM msg WHERE tool IN ('Edit', 'db') GROUP BY s),
+al AS (SELECT sp.s, 1 AS priority, 'compact' AS kind, coalesce(savings, CAST(floor(total * 0.25::DOUBLE) AS BIGINT)) AS impact, coalesce(focus, '/compact') AS subject, 0.0::DOUBLE AS o FROM sp LEFT JOIN fo ON fo.s = sp.s WHERE total >= lim * 0.5::DOUBLE
+  UNION ALL SELECT s, CASE WHEN lf <= 0 THEN 1 WHEN lf < 20 THEN 2 ELSE 5 END, 'prediction', 0, CAST(lf AS VARCHAR), 1 FROM pr WHERE lf <= 100
+  UNION ALL SELECT s, 2, 'duplicate-file', tokens, filename || '|' || n_reads || '|' || detail, 2 + r / 10 FROM dd WHERE r <= 5
+  UNION ALL SELECT s, 3, 'top-consumers', 0, list_, 3 FROM tl UNION ALL SELECT s, 5, 'mcp-info', 0, coalesce(used, 'none'), 4 FROM sp LEFT JOIN mi USING (s) UNION ALL SELECT s, 4, 'prompt-split', 500, '2000', 5 FROM sp UNION ALL SELECT s, 5, 'habit', 0, h, 6 FROM hb WHERE h IS NOT NULL)
+SELECT s AS session_id, CAST(priority AS BIGINT) AS priority, kind, CAST(impact AS BIGINT) AS impact, subject, row_number() OVER (PARTITION BY s ORDER BY priority, o) AS position FROM al""")
+def recommendations_all(spark, d):
+    """All seven kinds of advice; prompt, session consumers and servers included."""
+    m, c, e, since = _live(spark, d)
+    w = cut(W.detect_waste(c, m, since))
+    share = C.buckets(c).filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
+    derived = K.internal_prompt(m).filter("tokens IS NOT NULL").select("session_id", "tokens")
+    consumers = advice.top_consumers(K.slice_from(c, since), w, e, derived)
+    return advice.recommendations(_state(m, c, since), w, advice.compact_focus(w), since, share, m, ("Edit", "db"), 2000, consumers)
+
+
 @query(f"""WITH RECURSIVE {EV}, h AS (SELECT s, epoch_ns(ts) // 1000000 AS t FROM msg WHERE eff IS NOT NULL AND CAST(eff AS DOUBLE) / 200000 * 100 >= 50),
 r AS (SELECT s, min(t) AS t FROM h GROUP BY s UNION ALL SELECT r.s, min(h.t) AS t FROM r JOIN h ON h.s = r.s AND h.t >= r.t + 86400000 GROUP BY r.s, r.t) SELECT s AS session_id, t AS ts_ms FROM r""")
 def inject_decision(spark, d):
@@ -445,6 +471,13 @@ def content_survival(spark, d):
     return L.surviving_items(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
+@query("SELECT item_id, doc_id FROM (SELECT item_id, substr(text, 2 + item_id % 5, 4 + item_id % 9) AS t FROM benchmark) b JOIN documents d ON contains(d.text, t)")
+def short_survival(spark, d):
+    """Passages of a few characters, which begin and end inside words."""
+    items = table(spark, d, "benchmark").select("item_id", F.expr("substr(text, 2 + CAST(item_id % 5 AS INT), 4 + CAST(item_id % 9 AS INT))").alias("text"))
+    return L.surviving_items(items, table(spark, d, "documents"))
+
+
 # --- comparison, trends, calibration, benchmark runs --------------------------------
 
 _CMP = f"""WITH {O.CONV}, {O.CATS}, bk AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINCT s FROM msg) g CROSS JOIN cats c LEFT JOIN msg m ON m.s = g.s AND m.cat = c.category GROUP BY g.s, c.category),
@@ -496,8 +529,21 @@ b{n} AS (SELECT g.s, c.category, coalesce(sum(tok), 0) AS t FROM (SELECT DISTINC
 
 @query(f"WITH {O.CONV}, {O.CATS}, {_cut_sql(2)}, {_cut_sql(5)} SELECT s AS session_id, category, CAST(b2.t AS BIGINT) AS tokens_from, CAST(b5.t AS BIGINT) AS tokens_to, CAST(b5.t - b2.t AS BIGINT) AS delta FROM b2 JOIN b5 USING (s, category)")
 def session_diff(spark, d):
-    m = R.cut_messages(conversation_messages(spark, d), (2, 5))
-    return R.session_diff(C.buckets(C.classify(m)), 2, 5)
+    return R.session_diff(R.cut_buckets(conversation_messages(spark, d), (2, 5)), 2, 5)
+
+
+_CUTS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+
+
+@query(f"""WITH {EV}, {O.CATS}, cu AS (SELECT msg.*, cut FROM msg, unnest({list(_CUTS)}) c(cut) WHERE idx < cut),
+ct AS (SELECT s, cut, tok, type, CASE WHEN type = 'system' THEN 'system' WHEN event_type = 'click' AND idx = max(CASE WHEN event_type = 'click' THEN idx END) OVER (PARTITION BY s, cut) THEN 'user'
+  WHEN is_call OR is_res THEN CASE WHEN coalesce(tname, '') = 'Read' THEN 'retrieved' ELSE 'tools' END ELSE 'conversation' END AS cat FROM cu),
+p AS (SELECT s, cut, cat, sum(tok) AS t, count(*) AS n, bool_or(type <> 'assistant') AS est FROM ct GROUP BY s, cut, cat)
+SELECT g.s AS session_id, CAST(g.cut AS BIGINT) AS cut, category, CAST(coalesce(t, 0) AS BIGINT) AS tokens, CAST(coalesce(n, 0) AS BIGINT) AS n_messages, CASE WHEN est THEN 'estimated' ELSE 'exact' END AS accuracy
+FROM (SELECT DISTINCT s, cut FROM cu) g CROSS JOIN cats LEFT JOIN p ON p.s = g.s AND p.cut = g.cut AND p.cat = category""")
+def session_cuts(spark, d):
+    """Buckets of every session at ten cuts."""
+    return R.cut_buckets(event_messages(spark, d), _CUTS)
 
 
 def _records(spark, d):
@@ -525,7 +571,21 @@ def trend_summary(spark, d):
 @query(f"""WITH {_HIST} SELECT strftime(ts, '%Y-%m-%d') AS day, concat_ws(',', CAST(s AS VARCHAR), project, cat) AS line FROM h""")
 def trend_csv(spark, d):
     h = R.trend_history(_records(spark, d))
-    return R.trend_csv(h, ["session_id", "project", "top_category"]).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "line")
+    return R.trend_csv(h, ("session_id", "project", "top_category")).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "line")
+
+
+@query("""SELECT o_orderkey AS record, concat_ws(',', o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderpriority || ', ""a""' || chr(10) || 'b"' ELSE o_orderpriority END,
+  o_orderkey, printf('%d.%02d', r // 100, r % 100), o_orderkey % 90, o_orderkey % 4, CASE WHEN o_orderkey % 2 = 0 THEN 'hot' ELSE '' END, 'tools', o_orderkey * 2, 200000) AS line
+FROM (SELECT *, CAST(floor(12.5 * (o_orderkey % 800) + 0.5) AS INT) AS r FROM orders)""")
+def trend_csv_full(spark, d):
+    """The eleven exported columns; texts with commas, quotes and line breaks, fractions in eighths."""
+    o = table(spark, d, "orders")
+    odd = F.concat("o_orderpriority", F.lit(', "a"\nb'))
+    made = (
+        F.col("o_custkey"), F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 3 == 0, odd).otherwise(F.col("o_orderpriority")), F.col("o_orderkey"), F.col("o_orderkey") % 800 / 8,
+        F.col("o_orderkey") % 90, F.col("o_orderkey") % 4, F.when(F.col("o_orderkey") % 2 == 0, "hot"), F.lit("tools"), F.col("o_orderkey") * 2, F.lit(200_000),
+    )
+    return R.trend_csv(o.select("o_orderkey", F.col("o_orderkey").alias("ts"), *(c.alias(n) for c, n in zip(made, R.TREND_COLUMNS, strict=True)))).select(F.col("ts").alias("record"), "line")
 
 
 def _pasted(spark, d):
@@ -574,10 +634,10 @@ def calibration_compare(spark, d):
 
 
 @query(f"""WITH {EV}, {_CALC}, g AS (SELECT id, sum(estimated) AS e, sum(actual) AS a FROM cp GROUP BY id)
-SELECT id, CASE WHEN a > 0 THEN 100 - CAST(abs(e - a) AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS accuracy, system_tools > 0 AND CAST(abs(system_tools - 9055) AS DOUBLE) / CAST(system_tools AS DOUBLE) > 0.05 AS stale FROM g JOIN cc USING (id)""")
+SELECT id, CASE WHEN a > 0 THEN 100 - CAST(abs(e - a) AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS accuracy, system_tools + mcp_tools > 0 AND CAST(abs(system_tools + mcp_tools - 9055) AS DOUBLE) / CAST(system_tools + mcp_tools AS DOUBLE) * 100 > 5 AS stale FROM g JOIN cc USING (id)""")
 def calibration_accuracy(spark, d):
     actual = R.parse_context_output(_pasted(spark, d))
-    return R.calibration_accuracy(R.calibrate(_estimates(spark, d), actual), actual)
+    return R.calibration_accuracy(R.calibrate(_estimates(spark, d), actual))
 
 
 _SNAP = f"""{O.EVENTS}, {_WASTE}, {_STATE}, an AS (SELECT s, count(*) AS na FROM msg GROUP BY s), tt AS (SELECT s, CAST(coalesce(arg_max(eff, idx) FILTER (type = 'assistant' AND model <> '<synthetic>' AND eff > 0), sum(tok)) AS BIGINT) AS t FROM msg GROUP BY s), wc AS (SELECT s, count(*) AS n FROM wr GROUP BY s),
@@ -887,3 +947,59 @@ def analyze_current_context(spark, d):
     from ..operators.analyze import analyze
 
     return analyze(event_messages(spark, d, cumulative=True), memory=300, cache=True).current
+
+
+_OVER = """ip AS (SELECT s, arg_min(eff, idx) FILTER (type = 'assistant' AND u_in > 0) - 9831 - coalesce(arg_min(tok, idx) FILTER (type = 'user'), 0) AS t FROM msg GROUP BY s),
+part AS (SELECT s, cat, tok, 1 AS n, type <> 'assistant' AS est FROM msg UNION ALL SELECT DISTINCT s, 'tools', 9055, 0, true FROM msg UNION ALL SELECT DISTINCT s, 'state', 300, 0, true FROM msg
+  UNION ALL SELECT s, 'system', t, 0, true FROM ip WHERE t BETWEEN 1000 AND 15000)"""
+
+
+@query(f"WITH {O.events(cumulative=True)}, {O.CATS}, {_OVER}, {_BUCKETS}")
+def analyze_lifetime(spark, d):
+    """The analysis' view of whole sessions: fixed costs and derived prompt, but nothing for each message."""
+    from ..operators.analyze import analyze
+
+    return analyze(event_messages(spark, d, cumulative=True), memory=300, cache=True).buckets
+
+
+@query(f"WITH {EV}, {O.CATS}, {_OVER}, {_BUCKETS}")
+def analyze_own_turn(spark, d):
+    """Sessions that end with a run of the analyser: what asked for it, the call and its output do not count."""
+    from ..functions import schema as S
+    from ..operators.analyze import analyze
+
+    m = event_messages(spark, d)
+    n = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    call = F.to_json(F.struct(F.lit(f"{S.OWN_COMMANDS[0]} --json").alias("command")))
+
+    def row(k: int, **fields):
+        has = {"session_id": F.col("session_id"), "idx": F.col("n") + k} | fields
+        return n.select(*(has.get(c, F.lit(None)).cast(t).alias(c) for c, t in [("session_id", "bigint"), *((f.name, f.dataType) for f in m.schema if f.name != "session_id")]))
+
+    def block(**fields):
+        kind = m.schema["blocks"].dataType.elementType
+        return F.array(F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind)))
+
+    user, tool = {"type": F.lit("user"), "role": F.lit("user")}, {"content_kind": F.lit("array")}
+    ask = row(0, **user, content_kind=F.lit("string"), content_str=F.lit("what fills the window?"))
+    run = row(1, type=F.lit("assistant"), role=F.lit("assistant"), **tool, blocks=block(type=F.lit("tool_use"), name=F.lit("Bash"), id=F.lit("own"), input_json=call))
+    out = row(2, **user, **tool, blocks=block(type=F.lit("tool_result"), tool_use_id=F.lit("own"), content_kind=F.lit("string"), content_str=F.lit(f"{S.OWN_MARKS[0]}: 3 items")))
+    return analyze(m.unionByName(ask).unionByName(run).unionByName(out), memory=300, cache=True).buckets
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_EFF}, {_LIM}, {_OVER}, sl AS (SELECT s, sum(tok) AS whole FROM part GROUP BY s), fx AS (SELECT s, sum(tok) AS fixed FROM part WHERE n = 0 GROUP BY s),
+lv AS (SELECT m.s, count(*) AS n, sum(tok) AS own FROM msg m LEFT JOIN st ON st.s = m.s WHERE idx >= coalesce(start_idx, 0) GROUP BY m.s),
+fm AS (SELECT m.s, idx, eff, sum(tok) OVER (PARTITION BY m.s ORDER BY idx) - tok AS before, type, coalesce(start_idx, 0) AS st0 FROM msg m LEFT JOIN st ON st.s = m.s),
+fp AS (SELECT *, lead(idx) OVER w AS ni, lead(eff) OVER w AS ne, lead(before) OVER w AS nb, row_number() OVER (PARTITION BY s ORDER BY idx DESC) AS back, count(*) OVER (PARTITION BY s) AS n FROM fm WHERE type = 'assistant' AND eff > 0 AND idx >= st0 WINDOW w AS (PARTITION BY s ORDER BY idx)),
+fq AS (SELECT s, CAST(ne - eff - (nb - before) AS DOUBLE) / CAST(ni - idx AS DOUBLE) AS x FROM fp WHERE n >= 3 AND ni IS NOT NULL AND back <= 21 AND ne > eff),
+fr AS (SELECT s, list_sort(list(x)) AS xs FROM fq WHERE x BETWEEN 0 AND 50 GROUP BY s HAVING count(*) >= 3), ff AS (SELECT s, CAST(floor(xs[len(xs) // 2 + 1] + 0.5) AS BIGINT) AS f FROM fr),
+du AS (SELECT s, CAST(floor((epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) / 1000.0 + 0.5) AS BIGINT) AS secs FROM msg GROUP BY s),
+tt AS (SELECT s, coalesce(sum(tok) FILTER (cat IN ('tools', 'retrieved') AND type = 'assistant'), 0) AS a, coalesce(sum(tok) FILTER (cat IN ('tools', 'retrieved') AND type <> 'assistant'), 0) AS b, count(DISTINCT tname) AS u FROM msg GROUP BY s)
+SELECT lv.s AS session_id, CAST(coalesce(effective, CASE WHEN st.s IS NULL THEN whole ELSE own + fixed + coalesce(f, 0) * lv.n END) AS BIGINT) AS total, CAST(lim AS BIGINT) AS context_limit, lv.n AS n_messages, CASE WHEN secs > 0 THEN secs END AS duration_seconds, CAST(a AS BIGINT) AS call_tokens, CAST(b AS BIGINT) AS result_tokens, u AS n_used
+FROM lv JOIN sl ON sl.s = lv.s JOIN fx ON fx.s = lv.s JOIN ef ON ef.s = lv.s JOIN li ON li.s = lv.s JOIN du ON du.s = lv.s JOIN tt ON tt.s = lv.s LEFT JOIN st ON st.s = lv.s LEFT JOIN ff ON ff.s = lv.s""")
+def analyze_totals(spark, d):
+    """Window, size, duration and tools of every session; without usage the window is what is known of its content."""
+    from ..operators.analyze import analyze
+
+    a = analyze(event_messages(spark, d), memory=300, cache=True)
+    return a.state.select("session_id", "total", "context_limit", "n_messages").join(a.durations, "session_id").join(a.tools.select("session_id", "call_tokens", "result_tokens", "n_used"), "session_id")

@@ -151,12 +151,14 @@ def read_memory(spark: SparkSession, folder: str, index: str = "MEMORY.md") -> D
     at = f"{folder}/{index}"
     if not existing(spark, [at]):
         return spark.createDataFrame([], _FILE_TOKENS)
-    read = lambda paths: spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), "value", F.ceil(js_len(F.col("value")) / F.lit(4.0)).cast("bigint").alias("tokens"))
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    read = lambda paths: spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.ceil(js_len(F.col("value")) / F.lit(4.0)).cast("bigint").alias("tokens"))
     main = read([at])
-    links = memory_links(main.select("value"), "value").select(F.regexp_extract("target", r"([^/]+)$", 1).alias("name"), "target")
-    found = existing(spark, sorted({f"{folder}/{r.target}" for r in links.select("target").collect()}))  # one index file's links
+    links = memory_links(main.select("value"), "value").select(F.concat(F.lit(f"{folder}/"), "target").alias("linked"))
+    found = existing(spark, sorted({r.linked for r in links.distinct().collect()}))  # one index file's links
     out = main.select("path", "tokens")
-    return out if not found else out.union(links.join(read(found), "name").select("path", "tokens"))
+    # by the whole path, as files in two folders may have one name
+    return out if not found else out.union(links.join(read(found), bare(F.col("linked")) == bare(F.col("path"))).select("path", "tokens"))
 
 
 def gather_config(spark: SparkSession, prompt_paths: list[str], memory_dir: str, global_json: str, project_json: str) -> dict:
