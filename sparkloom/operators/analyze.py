@@ -42,13 +42,16 @@ def durations(messages: DataFrame) -> DataFrame:
     return ends.select("session_id", duration_seconds(F.col("first"), F.col("last")).alias("duration_seconds"))
 
 
-def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False, until: int | None = None) -> Analysis:
+def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False, until: int | None = None, configs: DataFrame | None = None) -> Analysis:
     """All intermediate tables, lazily; ``cache`` writes the classified rows once for all of them.
 
     ``config`` is what ``sources.logs.gather_config`` returns; ``prompt`` and ``memory`` stand in for it.
     ``until`` takes the first rows of each session; without it a trailing turn in which the analyser itself
     was run is left out. ``buckets`` are those of the whole sessions with fixed costs, ``current`` those
-    from the last compaction on, which also get what each message costs beyond its content."""
+    from the last compaction on, which also get what each message costs beyond its content.
+
+    ``configs`` (rows of ``sources.configs.project_configs``) gives each session the fixed costs of its project, the
+    part of session_id before the slash; waste and advice on the prompt's size still take ``prompt``."""
     messages = messages.filter(F.col("idx") < until) if until is not None else C.without_own_turn(messages)
     known = {"prompt": prompt, "memory": memory, "builtin": S.BUILTIN_SCHEMA_TOKENS, "mcp": 0, "skill_tokens": 0} | (config or {})
     t = thresholds or Thresholds()
@@ -60,9 +63,10 @@ def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict
     segments = K.model_segments(messages)
     limits = C.context_limits(messages, K.model_history(segments).select("session_id", "current_model"))
     window = C.effective_window(messages, since)
-    derived = K.internal_prompt(messages, known["prompt"], known["builtin"], known["memory"], known["skill_tokens"]).filter("tokens IS NOT NULL").select("session_id", "tokens")
+    costs = C.session_costs(classified, configs, F.split(F.col("session_id"), "/")[0], known["builtin"]) if configs is not None else None
+    derived = K.internal_prompt(messages, known["prompt"], known["builtin"], known["memory"], known["skill_tokens"], costs).filter("tokens IS NOT NULL").select("session_id", "tokens")
     framing = K.framing(classified, since)
-    overhead = C.config_overhead(classified, known["prompt"], known["builtin"], known["mcp"], known["memory"], derived)
+    overhead = C.config_overhead(classified, known["prompt"], known["builtin"], known["mcp"], known["memory"], derived) if costs is None else C.cost_rows(costs, derived)
     each = framing.select("session_id", "tokens_per_message")
     live = overhead.join(since.select("session_id"), "session_id", "left_semi")
     waste = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))

@@ -152,6 +152,23 @@ def config_overhead(sessions: DataFrame, prompt: int = 0, builtin: int = S.BUILT
     return out
 
 
+def session_costs(sessions: DataFrame, configs: DataFrame, project: Column, builtin: int = S.BUILTIN_SCHEMA_TOKENS) -> DataFrame:
+    """Rows (session_id, prompt, builtin, memory, skill_tokens): the fixed costs of each session by its
+    ``project``; ``configs`` are rows of ``sources.configs.project_configs``. A project without a row costs only the built-in tools."""
+    zero = F.lit(0).cast("bigint")
+    own = sessions.select("session_id", project.alias("project")).distinct().join(configs, "project", "left")
+    return own.select("session_id", F.coalesce("prompt", zero).alias("prompt"), F.lit(builtin).cast("bigint").alias("builtin"), F.coalesce("memory", zero).alias("memory"), F.coalesce("skill_tokens", zero).alias("skill_tokens"))
+
+
+def cost_rows(costs: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """The fixed costs of each session by category, as ``config_overhead`` gives them for one configuration."""
+    listed = F.array(*(F.struct(F.lit(c).alias("category"), F.col(n).alias("tokens")) for c, n in (("system", "prompt"), ("tools", "builtin"), ("state", "memory"))))
+    out = costs.select("session_id", F.explode(listed).alias("r")).filter("r.tokens > 0").select("session_id", "r.category", "r.tokens", F.lit(True).alias("estimated"))
+    if derived is not None:
+        out = out.unionByName(derived.select("session_id", F.lit("system").alias("category"), "tokens", F.lit(True).alias("estimated")))
+    return out
+
+
 def effective_window(messages: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Rows (session_id, effective): input of the last real assistant call, from ``since`` on."""
     m = messages

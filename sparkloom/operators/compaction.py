@@ -88,9 +88,9 @@ def model_history(segments: DataFrame) -> DataFrame:
     return last.join(named, "session_id")
 
 
-def internal_prompt(messages: DataFrame, prompt: int = 0, builtin: int = S.BUILTIN_SCHEMA_TOKENS, memory: int = 0, skill_tokens: int = 0) -> DataFrame:
+def internal_prompt(messages: DataFrame, prompt: int = 0, builtin: int = S.BUILTIN_SCHEMA_TOKENS, memory: int = 0, skill_tokens: int = 0, costs: DataFrame | None = None) -> DataFrame:
     """Rows (session_id, first_input, tokens): input of the first call less all that is known;
-    tokens is null outside 1,000 to 15,000."""
+    tokens is null outside 1,000 to 15,000. ``costs`` gives what is known of each session (``session_costs``)."""
     call = (F.col("type") == "assistant") & (F.col("usage.input_tokens") > 0)
     user = (F.col("type") == "user") & (F.col("role") == "user")
     exact = F.lit(False)
@@ -99,6 +99,10 @@ def internal_prompt(messages: DataFrame, prompt: int = 0, builtin: int = S.BUILT
         F.min_by(F.when(~exact, content_tokens()), F.when(user, F.col("idx"))).alias("first_user"),
     )
     known = F.lit(prompt + builtin + memory + (skill_tokens or S.DEFAULT_SKILL_TOKENS)) + F.coalesce("first_user", F.lit(0))
+    if costs is not None:
+        one = one.join(costs, "session_id")
+        skilled = F.when(F.col("skill_tokens") > 0, F.col("skill_tokens")).otherwise(S.DEFAULT_SKILL_TOKENS)
+        known = F.col("prompt") + F.col("builtin") + F.col("memory") + skilled + F.coalesce("first_user", F.lit(0))
     left = F.col("first_input") - known
     return one.select("session_id", "first_input", F.when(left.between(1000, 15000), left).alias("tokens"))
 

@@ -60,6 +60,19 @@ def current_context_breakdown(spark, d):
     return C.buckets(K.current_context(C.classify(m), K.compaction_events(m)))
 
 
+@query(f"""WITH {EV}, r AS (SELECT *, CASE WHEN lag(cat) OVER w IS NOT DISTINCT FROM cat THEN 0 ELSE 1 END AS starts FROM msg WINDOW w AS (PARTITION BY s ORDER BY idx))
+SELECT s AS session_id, idx, CAST(sum(tok) OVER w AS BIGINT) AS cumulative_tokens, last_value(tname IGNORE NULLS) OVER w AS last_tool, CAST(sum(starts) OVER w AS BIGINT) AS run,
+  CAST(sum(tok) OVER (PARTITION BY s ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS BIGINT) AS before FROM r WINDOW w AS (PARTITION BY s ORDER BY idx)""")
+def timeline_in_blocks(spark, d):
+    """Running sum, last tool, runs of one category and a look back over five rows, in blocks of eight rows of a session."""
+    from ..operators import scan
+
+    c = C.classify(event_messages(spark, d)).select("session_id", "idx", "tokens", "category", "tool_name")
+    c = scan.running_sum(c, "tokens", "cumulative_tokens", 8)
+    c = scan.islands(scan.last_value(c, "tool_name", "last_tool", 8), "category", "run", 8)
+    return scan.moving_sum(c, "tokens", 5, "before", 8).select("session_id", "idx", "cumulative_tokens", "last_tool", F.col("run").cast("bigint").alias("run"), "before")
+
+
 @query(f"""WITH {O.CONV} SELECT s AS session_id, idx, type, cat AS category, tok AS tokens, CAST(sum(tok) OVER (PARTITION BY s ORDER BY idx) AS BIGINT) AS cumulative_tokens,
   replace(substr(txt, 1, 60), chr(10), ' ') AS preview FROM msg""")
 def message_timeline(spark, d):
@@ -559,6 +572,23 @@ def trend_history(spark, d):
     return R.trend_history(_records(spark, d)).select("session_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "line", "project", "top_category")
 
 
+@query("""WITH h AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 3, o_orderkey) = 1)
+SELECT CAST(o_custkey AS VARCHAR) AS session_id, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_orderstatus AS project, o_totalprice / 5000 AS percent_used, o_orderpriority AS top_category, o_orderkey AS total_tokens FROM h""")
+def trend_log(spark, d):
+    """The newest record of each session from a log written in three runs, one of them twice, and folded on the way."""
+    from ..sources.appends import AppendLog
+    from ..sources.state import trend_records as records
+
+    o = table(spark, d, "orders").selectExpr("o_orderkey % 3 AS run", "CAST(o_custkey AS STRING) AS sessionId", "o_orderstatus AS projectName", "date_format(o_orderdate, 'yyyy-MM-dd') AS timestamp", "o_totalprice / 5000 AS percentUsed", "o_orderpriority AS topCategory", "o_orderkey AS totalTokens")
+    log = AppendLog(shared_dir(spark))
+    for run in (0, 1, 1, 2):
+        log.append(o.filter(F.col("run") == run).drop("run"), run, "totalTokens")
+        if run == 1:
+            log.fold(spark, 1, "sessionId", "timestamp")
+    log.append(o.filter("run = 0").drop("run"), 0)
+    return R.trend_history(records(log.lines(spark))).select("session_id", "ts", "project", "percent_used", "top_category", "total_tokens")
+
+
 @query(f"""WITH {_HIST}, p AS (SELECT *, count(*) OVER (PARTITION BY project) AS n, row_number() OVER (PARTITION BY project ORDER BY ts, s) AS pos FROM h), q AS (SELECT *, greatest(1, n // 3) AS third FROM p),
 a AS (SELECT project, count(*) AS n, avg(pu) AS ap, avg(pu) FILTER (pos <= third) AS fa, avg(pu) FILTER (pos > n - third) AS la FROM q GROUP BY project),
 m AS (SELECT project, cat, count(*) AS c, min(pos) AS p FROM q GROUP BY project, cat), b AS (SELECT project, cat FROM m QUALIFY row_number() OVER (PARTITION BY project ORDER BY c DESC, p) = 1)
@@ -1003,3 +1033,22 @@ def analyze_totals(spark, d):
 
     a = analyze(event_messages(spark, d), memory=300, cache=True)
     return a.state.select("session_id", "total", "context_limit", "n_messages").join(a.durations, "session_id").join(a.tools.select("session_id", "call_tokens", "result_tokens", "n_used"), "session_id")
+
+
+@query(f"""WITH {EV}, {O.EVENTS}, {_EFF}, {_LIM}, sn AS (SELECT m.s, count(*) FILTER (idx >= coalesce(start_idx, 0)) AS n, sum(tok) FILTER (idx >= coalesce(start_idx, 0)) AS content FROM msg m LEFT JOIN st ON st.s = m.s GROUP BY m.s),
+sp AS (SELECT sn.s, coalesce(effective, content) AS total, sn.n FROM sn JOIN ef USING (s))
+SELECT CAST(s AS VARCHAR) AS session_id, CAST(total AS BIGINT) AS total, n AS n_messages, (SELECT count(*) FROM ev WHERE ev.s = sp.s) AS n_events, (SELECT count(*) FROM (SELECT DISTINCT cat FROM msg WHERE msg.s = sp.s)) AS n_filled FROM sp""")
+def report_pages(spark, d):
+    """A page for each session, written by tasks and read back: its window, its compactions and its filled categories."""
+    from ..sources.sinks import page_lines, write_sessions
+
+    m, c, e, since = _live(spark, d)
+    filled = C.buckets(c).filter("n_messages > 0").select("session_id", "category", "percentage")
+    sections = {"Window": (_state(m, c, since).select("session_id", "total", "n_messages"), []), "Compactions": (e.select("session_id", "before_idx", "tokens_dropped"), ["before_idx"]), "Categories": (filled, ["category"])}
+    base = shared_dir(spark)
+    write_sessions(page_lines(sections), base, suffix=".html").count()
+    page = spark.read.text(f"{base}/pages/*.html", wholetext=True)
+    rows = lambda h: F.regexp_count(F.regexp_extract("value", rf"(?s)<h2>{h}</h2>(.*?)</table>", 1), F.lit("<tr><td>"))
+    cells = F.regexp_extract_all("value", F.lit(r"(?s)<h2>Window</h2>.*?<tr><td>(\d+)</td><td>(\d+)</td>"), F.lit(0))
+    window = lambda k: F.regexp_extract(F.get(cells, F.lit(0)), r"<td>(\d+)</td><td>(\d+)</td>$", k).cast("bigint")
+    return page.select(F.regexp_extract("value", r"<h1>Session (\S+)</h1>", 1).alias("session_id"), window(1).alias("total"), window(2).alias("n_messages"), rows("Compactions").cast("bigint").alias("n_events"), rows("Categories").cast("bigint").alias("n_filled"))

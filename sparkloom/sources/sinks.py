@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import html_escape
+from .appends import ordered_lines
+
 
 def to_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -17,8 +20,8 @@ def to_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_sessions(lines: DataFrame, base: str, end_last: bool = True) -> DataFrame:
-    """Write rows (project, name, pos, line) as ``base``/project/name.jsonl; rows (path, n_lines).
+def write_sessions(lines: DataFrame, base: str, end_last: bool = True, suffix: str = ".jsonl") -> DataFrame:
+    """Write rows (project, name, pos, line) as ``base``/project/name + ``suffix``; rows (path, n_lines).
     Without ``end_last`` a file's last line has no line break, as when it is still being written.
 
     A file is streamed by one task, in order, under a name of its attempt and renamed at the end."""
@@ -36,11 +39,11 @@ def write_sessions(lines: DataFrame, base: str, end_last: bool = True) -> DataFr
             if end_last:
                 held.write(b"\n")
             held.close()
-            store.move(f"{root}/{at[0]}/_try-{TaskContext.get().taskAttemptId()}-{at[1]}", f"{root}/{at[0]}/{at[1]}.jsonl")
-            done.append((f"{base}/{at[0]}/{at[1]}.jsonl", n))
+            store.move(f"{root}/{at[0]}/_try-{TaskContext.get().taskAttemptId()}-{at[1]}", f"{root}/{at[0]}/{at[1]}{suffix}")
+            done.append((f"{base}/{at[0]}/{at[1]}{suffix}", n))
 
         for b in batches:
-            for project, name, _, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for project, name, line in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if at != (project, name):
                     if held:
                         close()
@@ -56,16 +59,10 @@ def write_sessions(lines: DataFrame, base: str, end_last: bool = True) -> DataFr
     return src.mapInArrow(run, "path string, n_lines bigint")
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append rows to a Parquet log; earlier rows stay as they are."""
-    df.write.mode("append").parquet(path)
-
-
 def read_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Rows of an injection log (JSON lines), newest first; rows without all five fields are skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     j = F.from_json("value", "struct<sessionId:string,timestamp:string,percentUsed:double,threshold:double,text:string>")
-    rows = raw.select("line", j.alias("j")).select("line", "j.*").dropna().orderBy(F.desc("line"))
+    rows = ordered_lines(spark, path).select("line", j.alias("j")).select("line", "j.*").dropna().orderBy(F.desc("line"))
     return rows.limit(limit) if limit is not None else rows
 
 
@@ -122,10 +119,61 @@ def html_report(sections: dict[str, DataFrame], title: str, rows: int | None = N
     return "".join(out) + "</body></html>"
 
 
-def session_report(analysis, title: str) -> str:
-    """The whole analysis as one page: window, buckets, live slice, waste, compactions and models."""
-    parts = {"Window": analysis.state, "Categories": analysis.buckets, "Since the last compaction": analysis.current, "Waste": analysis.waste, "Compactions": analysis.events, "Models": analysis.segments}
-    return html_report(parts, title)
+_STYLE = "body{font-family:sans-serif}td,th{padding:2px 8px;text-align:left}.bar{background:#69c;height:8px}"
+
+
+def _shown(c: str, kind: str) -> Column:
+    """A cell; a number with one decimal, and a percentage as a bar as well."""
+    if kind not in ("double", "float"):
+        return html_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    text = F.coalesce(F.call_function("format_number", F.col(c), F.lit("0.0")), F.lit(""))
+    bar = F.when(F.col(c) > 0, F.concat(F.lit("<div class='bar' style='width:"), F.call_function("format_number", F.least(F.col(c), F.lit(100.0)), F.lit("0.0")), F.lit("px'></div>")))
+    return F.concat(text, F.coalesce(bar, F.lit(""))) if c == "percentage" else text
+
+
+def page_lines(sections: dict[str, tuple[DataFrame, list[str]]], key: str = "session_id", project: Column | None = None, title: str = "Session") -> DataFrame:
+    """Rows (project, name, pos, line) of one HTML page for each value of ``key``, for ``write_sessions``.
+
+    Each section is a table with ``key`` and the columns its rows are sorted by; a key that a section lacks
+    gets none of it. The first section has every key."""
+    name = F.url_encode(F.col(key).cast("string"))
+    folder = project if project is not None else F.lit("pages")
+    parts = []
+    for k, (section, (df, order)) in enumerate(sections.items()):
+        own = [(c, t) for c, t in df.dtypes if c != key]
+        cells = F.concat(*(x for c, t in own for x in (F.lit("<td>"), _shown(c, t), F.lit("</td>"))))
+        head = f"<h2>{section}</h2><table><tr>" + "".join(f"<th>{c}</th>" for c, _ in own) + "</tr>"
+        place = lambda step, sort: F.struct(F.lit(k).alias("section"), F.lit(step).alias("step"), sort.alias("sort"))
+        none = F.array().cast("array<string>")
+        # numbers sort by their padded text
+        sort = F.array(*(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 20, " ") if dict(df.dtypes)[c] in ("int", "bigint") else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)).cast("array<string>")
+        ids = df.select(key).distinct()
+        if k == 0:
+            said = html_escape(F.col(key).cast("string"))
+            parts.append(ids.select(key, F.struct(F.lit(-1).alias("section"), F.lit(0).alias("step"), none.alias("sort")).alias("pos"), F.concat(F.lit(f"<!doctype html><html><head><meta charset='utf-8'><title>{title} "), said, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>{title} "), said, F.lit("</h1>")).alias("line")))
+            parts.append(ids.select(key, F.struct(F.lit(len(sections)).alias("section"), F.lit(0).alias("step"), none.alias("sort")).alias("pos"), F.lit("</body></html>").alias("line")))
+        parts += [ids.select(key, place(0, none).alias("pos"), F.lit(head).alias("line")), df.select(key, place(1, sort).alias("pos"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("line")), ids.select(key, place(2, none).alias("pos"), F.lit("</table>").alias("line"))]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return lines.select(folder.alias("project"), name.alias("name"), "pos", "line")
+
+
+def session_pages(analysis) -> DataFrame:
+    """The lines of a page for each session: window, categories, live slice, waste, compactions, models and advice."""
+    sections = {
+        "Window": (analysis.state, []), "Categories": (analysis.buckets, ["category"]), "Since the last compaction": (analysis.current, ["category"]), "Waste": (analysis.waste, ["rank"]),
+        "Compactions": (analysis.events, ["before_idx"]), "Models": (analysis.segments, ["segment"]), "Advice": (analysis.recommendations, ["position"]),
+    }
+    return page_lines(sections)
+
+
+def comparison_pages(compared: DataFrame, insights: DataFrame) -> DataFrame:
+    """The lines of a page for each compared pair: what stands out, and the categories side by side."""
+    pair = F.concat(F.col("session_a").cast("string"), F.lit(" and "), F.col("session_b").cast("string")).alias("pair")
+    said = insights.select(pair, F.posexplode(F.split("insights", "\n")).alias("no", "insight"))
+    rows = compared.select(pair, "category", "tokens_a", "tokens_b", "delta", "delta_percent")
+    return page_lines({"Categories": (rows, ["category"]), "What stands out": (said, ["no"])}, key="pair", title="Comparison of")
 
 
 def sparkline(values: list[float]) -> str:

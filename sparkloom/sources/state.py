@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_bom
+from .appends import ordered_lines
 
 # Built-in tools and the tokens of their schemas.
 BUILTIN_TOOLS = (
@@ -106,9 +107,13 @@ _RECORD = "sessionId string, projectName string, timestamp string, totalTokens b
 
 
 def read_trend_log(spark: SparkSession, path: str) -> DataFrame:
-    """Trend records with their line numbers; lines that are no record are skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    rows = raw.select("line", F.from_json("value", _RECORD).alias("j"), F.expr("schema_of_variant(try_variant_get(try_parse_json(value), '$.sessionId', 'variant')) = 'STRING'").alias("ok")).filter("coalesce(ok, false)")
+    """Trend records of text files with their places; lines that are no record are skipped."""
+    return trend_records(ordered_lines(spark, path))
+
+
+def trend_records(lines: DataFrame) -> DataFrame:
+    """Trend records of (line, value), as of an ``AppendLog``; ``line`` orders them."""
+    rows = lines.select("line", F.from_json("value", _RECORD).alias("j"), F.expr("schema_of_variant(try_variant_get(try_parse_json(value), '$.sessionId', 'variant')) = 'STRING'").alias("ok")).filter("coalesce(ok, false)")
     return rows.select(F.col("j.sessionId").alias("session_id"), F.col("j.timestamp").alias("ts"), "line", F.col("j.projectName").alias("project"), F.col("j.percentUsed").alias("percent_used"), F.col("j.topCategory").alias("top_category"), F.col("j.totalTokens").alias("total_tokens"), F.col("j.messageCount").alias("message_count"), F.col("j.compactionCount").alias("compaction_count"), F.col("j.contextLimit").alias("context_limit"))
 
 

@@ -220,7 +220,9 @@ def test_whole_analysis_and_reports(spark, read, tmp_path):
     md = sinks.markdown_table(a.buckets, "Window")
     assert md.count("\n") == 10
     assert "<table>" in sinks.html_report({"w": a.state}, "Report") and "1 more rows" in sinks.html_report({"w": a.buckets}, "R", rows=5)
-    assert sinks.session_report(a, "All").count("<h2>") == 6 and "5 more rows" in sinks.markdown_table(a.buckets, "W", rows=1)
+    pages = {r.line for r in sinks.session_pages(a).collect()}
+    assert sum(x.startswith("<h2>") for x in pages) == 4 and "<tr><td>tools</td><td>9055</td><td>0</td><td>estimated</td><td>98.6<div class='bar' style='width:98.6px'></div></td></tr>" in pages, pages
+    assert "5 more rows" in sinks.markdown_table(a.buckets, "W", rows=1)
     shown = sinks.text_table(a.buckets.select("category", "tokens").orderBy("category")).split("\n")
     assert shown[0].startswith("category") and shown[2].endswith(" 31") and len(shown) == 9
     odd = spark.createDataFrame([("a,b", 1), ('say "x"', None)], "t string, n int")
