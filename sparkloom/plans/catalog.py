@@ -282,6 +282,11 @@ def cache_overhead(spark, d):
     return W.cache_overhead(event_messages(spark, d)).select("session_id", "type", "severity")
 
 
+@query(f"WITH {EV} SELECT DISTINCT s AS session_id, 'oversized_system' AS type, 'medium' AS severity, CAST(2700 AS BIGINT) AS tokens, '4200' AS detail FROM msg")
+def oversized_system(spark, d):
+    return W.oversized_system(event_messages(spark, d), 4200).select("session_id", "type", "severity", "tokens", "detail")
+
+
 @query(f"WITH {EV}, {O.EVENTS}, {_WASTE} SELECT {_WCOLS}, rank, rel_first FROM wr")
 def waste_ranked(spark, d):
     m, c, e, since = _live(spark, d)
@@ -479,6 +484,27 @@ def lost_totals(spark, d):
     return L.lost_totals(both)
 
 
+@query(f"""WITH {LOST}, {_LOST} SELECT s AS session_id, event, type, first_idx, last_idx, tokens, subject, row_number() OVER (PARTITION BY s, event ORDER BY tokens DESC, o, first_idx) AS position
+FROM lost WHERE type IN ('file_read', 'tool_result') OR (type = 'conversation' AND length(subject) >= 10)""")
+def lost_content(spark, d):
+    """All that each compaction lost, largest first, with the usual limits (no instruction here is long enough)."""
+    m = event_messages(spark, d, summaries=True)
+    return L.lost_content(C.classify(m), m, K.compaction_events(m))
+
+
+_AGENTS = ("CASE WHEN k % 2 = 0 THEN concat('x/toolu_0', k, CASE WHEN k % 4 = 0 THEN '.json' ELSE '' END) ELSE concat('x/toolu-', k % 10, '.ts') END", "CASE WHEN k % 2 = 0 THEN 'x/toolu_0' || k || CASE WHEN k % 4 = 0 THEN '.json' ELSE '' END ELSE 'x/toolu-' || (k % 10) || '.ts' END")
+
+
+@query(f"""WITH {O.events(path=_AGENTS[1], summaries=True)}, {_LOST}, fx AS (SELECT *, CASE WHEN regexp_matches(split_part(path, '/', -1), '^toolu_') THEN 'Agent sub-task result' ELSE path END AS p2 FROM nx WHERE tool = 'Read'),
+f1 AS (SELECT s, event, idx, coalesce(ntok, 0) AS tokens, split_part(p2, '/', -1) AS fn FROM fx QUALIFY row_number() OVER (PARTITION BY s, event, lower(p2) ORDER BY idx) = 1)
+SELECT s AS session_id, event, idx AS first_idx, tokens, fn AS subject FROM f1 JOIN sm USING (s, event) WHERE NOT contains(summary, lower(fn))""")
+def lost_agent_results(spark, d):
+    """Lost reads of files that are named after a call: one item for all of them."""
+    m = event_messages(spark, d, summaries=True, paths=_AGENTS[0])
+    e = L.event_windows(K.compaction_events(m))
+    return L.lost_file_reads(L.window_rows(C.classify(m), e), L.summaries(m, e)).select("session_id", "event", "first_idx", "tokens", "subject")
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def content_survival(spark, d):
     return L.surviving_items(table(spark, d, "benchmark"), table(spark, d, "documents"))
@@ -1052,3 +1078,53 @@ def report_pages(spark, d):
     cells = F.regexp_extract_all("value", F.lit(r"(?s)<h2>Window</h2>.*?<tr><td>(\d+)</td><td>(\d+)</td>"), F.lit(0))
     window = lambda k: F.regexp_extract(F.get(cells, F.lit(0)), r"<td>(\d+)</td><td>(\d+)</td>$", k).cast("bigint")
     return page.select(F.regexp_extract("value", r"<h1>Session (\S+)</h1>", 1).alias("session_id"), window(1).alias("total"), window(2).alias("n_messages"), rows("Compactions").cast("bigint").alias("n_events"), rows("Categories").cast("bigint").alias("n_filled"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS shown FROM pages""")
+def escaped_pages(spark, d):
+    """Raw pages as they are shown within a report."""
+    return table(spark, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("shown"))
+
+
+@query(f"WITH {O.CONV} SELECT s AS session_id, idx, type, cat AS category, tok AS tokens FROM msg")
+def json_round_trip(spark, d):
+    """Classified rows written as JSON lines, the second time in place of the first, and read back."""
+    from ..sources.sinks import to_json_lines
+
+    c = C.classify(conversation_messages(spark, d)).select("session_id", "idx", "type", "category", "tokens")
+    at = shared_dir(spark)
+    to_json_lines(c.limit(0), at)
+    to_json_lines(c, at)
+    return spark.read.schema(c.schema).json(at)
+
+
+_DOC_TOKENS = "CAST(ceil((length(text) + 1) / 4.0::DOUBLE) AS BIGINT)"
+
+
+@query(f"""WITH dc AS (SELECT DISTINCT ON (doc_id) * FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL), pr AS (SELECT source, arg_min({_DOC_TOKENS}, doc_id) AS prompt, min(lang) AS l FROM dc GROUP BY source),
+ln AS (SELECT source, doc_id, '[x](' || (doc_id % 2) || '/n' || (doc_id // 2) || '.md)' AS link, {_DOC_TOKENS} AS t FROM dc WHERE doc_id % 5 = 0),
+mi AS (SELECT source, CAST(ceil(sum(length(link) + 1) / 4.0::DOUBLE) AS BIGINT) + sum(t) AS memory FROM ln GROUP BY source)
+SELECT source AS project, prompt, CAST(coalesce(memory, 0) AS BIGINT) AS memory, CAST(180 AS BIGINT) AS skill_tokens, 'all,' || source AS servers, 'k1,k2,' || source AS skills FROM pr LEFT JOIN mi USING (source)""")
+def project_configuration(spark, d):
+    """Prompt, memory, server and skill files of a project for each source, written from the documents and read at once.
+    Linked files lie in two folders under equal names."""
+    from ..sources.configs import config_files, project_configs
+    from ..sources.sinks import write_sessions
+
+    t = table(spark, d, "documents").filter("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "source", "text")
+    base, zero = shared_dir(spark), F.lit(0).cast("bigint")
+    first = t.groupBy("source").agg(F.min_by("text", "doc_id").alias("line"))
+    noted = t.filter("doc_id % 5 = 0")
+    name = F.concat((F.col("doc_id") % 2).cast("string"), F.lit("/n"), F.floor(F.col("doc_id") / 2).cast("string"))
+    folder = F.concat(F.col("source"), F.lit("/mem"))
+    files = first.select(F.col("source").alias("project"), F.lit("PROMPT").alias("name"), zero.alias("pos"), "line")
+    files = files.unionByName(noted.select(folder.alias("project"), F.lit("MEMORY").alias("name"), F.col("doc_id").alias("pos"), F.concat(F.lit("[x]("), name, F.lit(".md)")).alias("line")))
+    files = files.unionByName(noted.select(F.concat(folder, F.lit("/"), (F.col("doc_id") % 2).cast("string")).alias("project"), F.concat(F.lit("n"), F.floor(F.col("doc_id") / 2).cast("string")).alias("name"), zero.alias("pos"), F.col("text").alias("line")))
+    write_sessions(files, base, suffix=".md").count()
+    own = first.select(F.col("source").alias("project"), F.lit("own").alias("name"), zero.alias("pos"), F.format_string('{"mcpServers": {"all": {}, "%s": {}}, "skills": {"k1": 1, "%s": 2}}', F.col("source"), F.col("source")).alias("line"))
+    shared = spark.range(1).select(F.lit("all").alias("project"), F.lit("all").alias("name"), zero.alias("pos"), F.lit('{"mcpServers": {"all": {}}, "skills": ["k1", {"name": "k2"}]}').alias("line"))
+    write_sessions(own.unionByName(shared), base, suffix=".json").count()
+    at = lambda *x: F.concat(F.lit(f"{base}/"), *x)
+    projects = first.select(F.col("source").alias("project"), F.array(at("source", F.lit("/PROMPT.md")), at("source", F.lit("/none.md"))).alias("prompt_paths"), at("source", F.lit("/mem")).alias("memory_dir"), at(F.lit("all/all.json")).alias("global_json"), at("source", F.lit("/own.json")).alias("project_json"))
+    found = project_configs(projects, config_files(spark, base))
+    return found.select("project", "prompt", "memory", "skill_tokens", F.array_join("servers", ",").alias("servers"), F.array_join("skills", ",").alias("skills"))
