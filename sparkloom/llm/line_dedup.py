@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,9 +157,16 @@ def _sharded(keys: DataFrame, n: int, shard: int) -> DataFrame:
     return rows.filter("sure").select("doc_id", "key").unionByName(probed)
 
 
+def _holder(doc_id: str, text: str) -> Column:
+    """What holds a line: the document of an id; a row without one is known by its text, so that such rows
+    do not gather."""
+    own = F.when(column(doc_id).isNull(), F.xxhash64(column(text)))
+    return F.struct(column(doc_id).alias("id"), own.alias("own"))
+
+
 def repeated_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int | None = None, shard: int = SHARD) -> DataFrame:
-    """Rows (doc_id, key) for every document that has to give up a key's lines."""
-    keys = cut(line_keys(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")), min_chars))
+    """Rows (doc_id, key) for every document, as ``_holder`` names it, that has to give up a key's lines."""
+    keys = cut(line_keys(docs.select(_holder(doc_id, text).alias("doc_id"), column(text).alias("text")), min_chars))
     n = keys.agg(F.sum("n_keys")).first()[0] or 1
     bits = bloom.bits_for(n, per_key=8)
     wide = n * 8 > (max_bits or bloom.MAX_BITS)
@@ -167,8 +174,8 @@ def repeated_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     held = cut((_sharded(keys, n, shard) if wide else _suspects(keys, bits)).distinct())
     free(keys)
     # written, so that the join reads plain shuffles on both sides and a hot line can be split
-    confirmed = cut(held.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
-    return held.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key")
+    confirmed = cut(held.groupBy("key").agg(F.count("doc_id.id").alias("n"), F.max("doc_id.id").alias("keeper")).filter(F.col("n") >= min_docs))
+    return held.join(confirmed, "key").filter(~F.col("doc_id.id").eqNullSafe(F.col("keeper"))).select("doc_id", "key")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, **kw) -> DataFrame:
@@ -181,8 +188,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     # the other columns travel as one struct, so that none clashes with a name of this function
     others = [c for c in docs.columns if c != text]
     rest = F.struct(*(column(c) for c in others)) if others else F.struct(F.lit(0).alias("none"))
-    src = docs.select(rest.alias("row"), column(doc_id).alias("doc_id"), column(text).alias("text"))
-    joined = src.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("row", "text", "gone")
+    src = docs.select(rest.alias("row"), _holder(doc_id, text).alias("doc_id"), column(text).alias("text"))
+    same = F.col("doc_id.id").eqNullSafe(F.col("gone_id.id")) & F.col("doc_id.own").eqNullSafe(F.col("gone_id.own"))
+    joined = src.join(gone.hint("shuffle_hash"), same, "left").select("row", "text", "gone")
     added = [T.StructField("deduped", T.StringType(), False), T.StructField("n_lines", T.LongType(), False), T.StructField("n_dropped", T.LongType(), False)]
     schema = T.StructType([joined.schema["row"], joined.schema["text"], *added])
 

@@ -72,3 +72,12 @@ def test_filters_lose_nothing():
     u, n = np.unique(seen, return_counts=True)
     assert bloom.contains(once, u, bits).all() and bloom.contains(twice, u[n > 1], bits).all()
     assert bloom.contains(twice, u[n == 1], bits).mean() < 0.2
+
+
+def test_rows_without_an_id_do_not_gather(spark):
+    a = "A common line of the corpus"
+    rows = [(i, f"{a}\nown {i}") for i in range(3)] + [(None, f"{a}\nnull row {i} has its own line here\n{a}") for i in range(2000)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = L.repeated_keys(df)
+    assert gone.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 1
+    assert sorted(((r.doc_id, r.deduped, r.n_lines, r.n_dropped) for r in L.dedup_lines(df).collect()), key=str) == brute(rows)
