@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ MIN_SHARED = 100
 CHUNK = 1 << 20
 #: Duplicate payloads (digest and id) are broadcast up to this many rows, else shuffled.
 MAX_BROADCAST = 200_000
-#: Index entries to a read task's row.
+#: Index entries and bytes of records, inflated, to a row of a read task; a larger record is a row of its own.
 RANGE = 256
+RANGE_BYTES = 8 << 20
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -199,8 +201,8 @@ def normalise(files: DataFrame, to: str) -> DataFrame:
                 fs.create_dir(base, recursive=True)
                 name = at.rsplit("/", 1)[1]
                 tag = f"{base}/_try-{TaskContext.get().taskAttemptId()}-{name}"
-                offset = n = at_index = 0
-                edges = []
+                offset = n = at_index = held = 0
+                edges, starts = [], []
                 with source.open_input_stream(at, compression=None) as f, fs.open_output_stream(tag, compression=None) as out, fs.open_output_stream(f"{tag}.idx", compression=None) as idx:
                     for rec in split_records(_inflate(f)):
                         z = zlib.compressobj(6, wbits=31)
@@ -210,16 +212,18 @@ def normalise(files: DataFrame, to: str) -> DataFrame:
                         out.write(member)
                         entry = json.dumps({"offset": offset, "length": len(member), "type": said["WARC-Type"], "id": said["WARC-Record-ID"]}).encode() + b"\n"
                         idx.write(entry)
-                        if n % RANGE == 0:
+                        if not starts or n - starts[-1] >= RANGE or held + len(rec) > RANGE_BYTES:
                             edges.append(at_index)
+                            starts.append(n)
+                            held = 0
+                        held += len(rec)
                         at_index += len(entry)
                         offset += len(member)
                         n += 1
                 fs.move(tag, f"{base}/{name}")
                 fs.move(f"{tag}.idx", f"{base}/{name}.idx")
-                starts = list(range(0, n, RANGE))
                 yield pa.RecordBatch.from_pydict(
-                    {"path": [f"{to}/{name}"] * len(starts), "index": [f"{to}/{name}.idx"] * len(starts), "start": pa.array(starts, pa.int64()), "records": pa.array([min(RANGE, n - s) for s in starts], pa.int64()), "index_from": pa.array(edges, pa.int64()), "index_to": pa.array([*edges[1:], at_index][: len(edges)], pa.int64())}
+                    {"path": [f"{to}/{name}"] * len(starts), "index": [f"{to}/{name}.idx"] * len(starts), "start": pa.array(starts, pa.int64()), "records": pa.array(np.diff([*starts, n]), pa.int64()), "index_from": pa.array(edges, pa.int64()), "index_to": pa.array([*edges[1:], at_index][: len(edges)], pa.int64())}
                 )
 
     return files.mapInArrow(run, "path string, index string, start long, records long, index_from long, index_to long")
@@ -241,7 +245,7 @@ def read_archives(ranges: DataFrame) -> DataFrame:
                 with fs.open_input_file(index) as f:
                     f.seek(r["index_from"])
                     lines = f.read(r["index_to"] - r["index_from"]).splitlines()
-                found = []
+                found = []  # of RANGE_BYTES at most, but for a single larger record
                 with fs.open_input_file(at) as f:
                     spans = [json.loads(x) for x in lines]
                     f.seek(spans[0]["offset"])

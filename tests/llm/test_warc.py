@@ -5,6 +5,7 @@ import zlib
 import pytest
 
 from sparkloom.llm import warc
+from sparkloom.llm.store import shared_dir
 
 
 def test_round_trip_and_revisits(spark):
@@ -66,3 +67,14 @@ def test_ties_dates_and_clashing_names(spark, tmp_path):
     assert got == [(3, "response", None), (3, "response", None), (4, "revisit", 3)]
     files = warc.write_archives(warc.with_record_types(df).coalesce(1), (tmp_path / "m").as_uri()).collect()
     assert len(files) == 1 and zlib.decompress((tmp_path / "m" / "part-000000.warc.gz").read_bytes(), wbits=31).count(b"WARC-Date: 2020-02-03T04:05:06Z") == 3
+
+
+def test_ranges_are_bound_by_bytes(spark, monkeypatch):
+    big = [(i, "u", chr(97 + i % 26) * 300_000 + str(i)) for i in range(40)] + [(100, "u", "z" * 9_000_000), (101, "u", None), (102, "u", "small")]
+    pages = spark.createDataFrame(big, "page_id long, url string, html string").coalesce(1)
+    base = shared_dir(spark)
+    ranges = warc.normalise(warc.write_archives(warc.with_record_types(pages), f"{base}/a"), f"{base}/b").cache()
+    sizes = [r.records for r in ranges.collect()]
+    assert sum(sizes) == 43 and max(sizes) <= 28 and 1 in sizes
+    got = {r.page_id: r.payload.decode() for r in warc.read_archives(ranges).collect()}
+    assert got == {i: t or "" for i, _, t in big}
