@@ -1128,3 +1128,75 @@ def project_configuration(spark, d):
     projects = first.select(F.col("source").alias("project"), F.array(at("source", F.lit("/PROMPT.md")), at("source", F.lit("/none.md"))).alias("prompt_paths"), at("source", F.lit("/mem")).alias("memory_dir"), at(F.lit("all/all.json")).alias("global_json"), at("source", F.lit("/own.json")).alias("project_json"))
     found = project_configs(projects, config_files(spark, base))
     return found.select("project", "prompt", "memory", "skill_tokens", F.array_join("servers", ",").alias("servers"), F.array_join("skills", ",").alias("skills"))
+
+
+@query("""WITH r AS (SELECT source AS s, lang, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS docs FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang)
+SELECT s AS source, '# Source ' || s || chr(10) || chr(10) || '## Languages' || chr(10) || chr(10) || '| lang | chars | docs |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || lang || ' | ' || chars || ' | ' || docs || ' |', chr(10) ORDER BY lang) || chr(10) AS page FROM r GROUP BY s""")
+def markdown_pages(spark, d):
+    """A Markdown page for each source, written by tasks and read back."""
+    from ..sources.sinks import MARKDOWN, page_lines, write_sessions
+
+    t = table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").groupBy("source", "lang").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("docs"))
+    base = shared_dir(spark)
+    write_sessions(page_lines({"Languages": (t, ["lang"])}, key="source", title="Source", style=MARKDOWN), base, suffix=".md").count()
+    page = spark.read.text(f"{base}/pages/*.md", wholetext=True)
+    return page.select(F.regexp_extract("value", "^# Source ([^\n]+)", 1).alias("source"), F.col("value").alias("page"))
+
+
+@query(f"""WITH RECURSIVE {EV}, h AS (SELECT s, epoch_ns(ts) // 1000000 AS t FROM msg WHERE eff IS NOT NULL AND CAST(eff AS DOUBLE) / 200000 * 100 >= 50),
+r AS (SELECT s, min(t) AS t FROM h GROUP BY s UNION ALL SELECT r.s, min(h.t) AS t FROM r JOIN h ON h.s = r.s AND h.t >= r.t + 86400000 GROUP BY r.s, r.t) SELECT CAST(s AS VARCHAR) AS session_id, t AS ts_ms FROM r""")
+def throttled_notes(spark, d):
+    """Notes as a stream gives them in three batches: the gap to the last one is kept for each session."""
+    from ..operators.tokens import effective_input
+    from ..streaming.live import run_once, throttled
+
+    m = event_messages(spark, d)
+    turns = m.select("session_id", "idx", (F.unix_micros(F.to_timestamp("ts")) / 1000).cast("bigint").alias("ts_ms"), (effective_input() / 200_000 * 100).alias("percentage"))
+    to, found = shared_dir(spark), []
+    _in_thirds(spark, turns, lambda stream: found.append(run_once(throttled(stream, 50, 86_400_000), to)))
+    return found[-1]
+
+
+@query("SELECT conv_id, count(*) AS n_boundaries FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id")
+def boundary_lines(spark, d):
+    """Raw log lines that are boundary records; others only speak of them."""
+    from ..streaming.live import boundary_lines as marks
+
+    t = table(spark, d, "conversations")
+    mark = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype")))
+    said = F.to_json(F.struct(F.lit("user").alias("type"), F.lit("a compact_boundary").alias("text")))
+    return marks(t.select("conv_id", F.when(F.col("turn") % 3 == 1, mark).otherwise(said).alias("value"))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_boundaries"))
+
+
+@query("SELECT 'c' || o_custkey AS file, o_orderdate::VARCHAR || '-' || o_orderkey AS name FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::VARCHAR || '-' || o_orderkey DESC) > 3")
+def surplus_backups(spark, d):
+    """Backups beyond the three newest of each file."""
+    from ..sources.state import surplus_backups as surplus
+
+    o = table(spark, d, "orders")
+    return surplus(o.select(F.concat(F.lit("c"), "o_custkey").alias("file"), F.concat(F.col("o_orderdate").cast("string"), F.lit("-"), "o_orderkey").alias("name")), keep=3)
+
+
+@query("SELECT page_id, coalesce(html, '') AS html, url FROM pages")
+def csv_round_trip(spark, d):
+    """Pages with quotes, commas and line breaks written as CSV and read back."""
+    from ..sources.sinks import to_csv
+
+    at = shared_dir(spark)
+    to_csv(table(spark, d, "pages").select("page_id", "html", "url"), at)
+    back = spark.read.csv(at, header=True, quote='"', escape='"', multiLine=True, schema="page_id bigint, html string, url string", emptyValue="", nullValue="\0")
+    return back.select("page_id", F.coalesce("html", F.lit("")).alias("html"), "url")
+
+
+@query("SELECT 'c' || (conv_id // 3) AS session_id, 'p-' || (conv_id % 3) AS project, 'p-' || (conv_id % 3) || '/c' || (conv_id // 3) AS session_key, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def discovered_sessions(spark, d):
+    """Logs below three project folders as a listing finds them, with the messages that a read by key gives each."""
+    from ..sources.logs import discover_sessions, read_sessions
+    from ..sources.sinks import write_sessions
+
+    t = table(spark, d, "conversations")
+    said = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    base = shared_dir(spark)
+    write_sessions(t.select(F.concat(F.lit("p-"), (F.col("conv_id") % 3).cast("string")).alias("project"), F.concat(F.lit("c"), F.floor(F.col("conv_id") / 3).cast("string")).alias("name"), F.col("turn").alias("pos"), said.alias("line")), base).count()
+    n = read_sessions(spark, f"{base}/*/*.jsonl").groupBy(F.col("session_id").alias("session_key")).agg(F.count(F.lit(1)).alias("n_messages"))
+    return discover_sessions(spark, base).select("session_id", "project", "session_key").join(n, "session_key")

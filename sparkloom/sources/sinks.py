@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,58 +124,82 @@ def html_report(sections: dict[str, DataFrame], title: str, rows: int | None = N
 _STYLE = "body{font-family:sans-serif}td,th{padding:2px 8px;text-align:left}.bar{background:#69c;height:8px}"
 
 
-def _shown(c: str, kind: str) -> Column:
-    """A cell; a number with one decimal, and a percentage as a bar as well."""
-    if kind not in ("double", "float"):
-        return html_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    text = F.coalesce(F.call_function("format_number", F.col(c), F.lit("0.0")), F.lit(""))
-    bar = F.when(F.col(c) > 0, F.concat(F.lit("<div class='bar' style='width:"), F.call_function("format_number", F.least(F.col(c), F.lit(100.0)), F.lit("0.0")), F.lit("px'></div>")))
-    return F.concat(text, F.coalesce(bar, F.lit(""))) if c == "percentage" else text
+@dataclass(frozen=True)
+class Style:
+    """How a page is written; {title}, {key}, {section} and {columns} are filled in, cells are joined by ``between``."""
 
+    head: str
+    section: str
+    row: tuple[str, str, str]
+    column: tuple[str, str]
+    after: str
+    foot: str | None
 
-def page_lines(sections: dict[str, tuple[DataFrame, list[str]]], key: str = "session_id", project: Column | None = None, title: str = "Session") -> DataFrame:
-    """Rows (project, name, pos, line) of one HTML page for each value of ``key``, for ``write_sessions``.
+
+HTML = Style(f"<!doctype html><html><head><meta charset='utf-8'><title>{{title}} {{key}}</title><style>{_STYLE.replace(chr(123), chr(123) * 2).replace(chr(125), chr(125) * 2)}</style></head><body><h1>{{title}} {{key}}</h1>", "<h2>{section}</h2><table><tr>{columns}</tr>", ("<tr><td>", "</td><td>", "</td></tr>"), ("<th>", "</th>"), "</table>", "</body></html>")
+MARKDOWN = Style("# {title} {key}", "\n## {section}\n\n|{columns}\n|{rules}", ("| ", " | ", " |"), (" ", " |"), "", None)
+
+
+def page_lines(sections: dict[str, tuple[DataFrame, list[str]]], key: str = "session_id", project: Column | None = None, title: str = "Session", style: Style = HTML) -> DataFrame:
+    """Rows (project, name, pos, line) of one page for each value of ``key``, for ``write_sessions``.
 
     Each section is a table with ``key`` and the columns its rows are sorted by; a key that a section lacks
     gets none of it. The first section has every key."""
     name = F.url_encode(F.col(key).cast("string"))
     folder = project if project is not None else F.lit("pages")
+    none = F.array().cast("array<string>")
+    escaped = html_escape if style is HTML else lambda c: F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+    def cell(c: str, kind: str) -> Column:
+        if kind not in ("double", "float"):
+            return escaped(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        text = F.coalesce(F.call_function("format_number", F.col(c), F.lit("0.0")), F.lit(""))
+        wide = F.call_function("format_number", F.least(F.col(c), F.lit(100.0)), F.lit("0.0"))
+        bar = F.when(F.col(c) > 0, F.concat(F.lit("<div class='bar' style='width:"), wide, F.lit("px'></div>")))
+        return F.concat(text, F.coalesce(bar, F.lit(""))) if c == "percentage" and style is HTML else text
+
+    def sort_key(c: str, kind: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.lpad(text, 20, " ") if kind in ("int", "bigint") else text  # numbers sort by their padded text
+
     parts = []
     for k, (section, (df, order)) in enumerate(sections.items()):
+        kinds = dict(df.dtypes)
         own = [(c, t) for c, t in df.dtypes if c != key]
-        cells = F.concat(*(x for c, t in own for x in (F.lit("<td>"), _shown(c, t), F.lit("</td>"))))
-        head = f"<h2>{section}</h2><table><tr>" + "".join(f"<th>{c}</th>" for c, _ in own) + "</tr>"
-        place = lambda step, sort: F.struct(F.lit(k).alias("section"), F.lit(step).alias("step"), sort.alias("sort"))
-        none = F.array().cast("array<string>")
-        # numbers sort by their padded text
-        sort = F.array(*(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 20, " ") if dict(df.dtypes)[c] in ("int", "bigint") else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)).cast("array<string>")
+        before, between, after = style.row
+        row = F.concat(F.lit(before), *(x for i, (c, t) in enumerate(own) for x in ((F.lit(between),) if i else ()) + (cell(c, t),)), F.lit(after))
+        head = style.section.format(section=section, columns="".join(f"{style.column[0]}{c}{style.column[1]}" for c, _ in own), rules="---|" * len(own))
+        place = lambda step, sort: F.struct(F.lit(k).alias("section"), F.lit(step).alias("step"), sort.alias("sort")).alias("pos")
         ids = df.select(key).distinct()
+        sort = F.array(*(sort_key(c, kinds[c]) for c in order)).cast("array<string>")
+        edges = [(0, head)] + ([(2, style.after)] if style.after else [])
+        parts += [ids.select(key, place(step, none), F.lit(text).alias("line")) for step, text in edges]
+        parts.append(df.select(key, place(1, sort), row.alias("line")))
         if k == 0:
-            said = html_escape(F.col(key).cast("string"))
-            parts.append(ids.select(key, F.struct(F.lit(-1).alias("section"), F.lit(0).alias("step"), none.alias("sort")).alias("pos"), F.concat(F.lit(f"<!doctype html><html><head><meta charset='utf-8'><title>{title} "), said, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>{title} "), said, F.lit("</h1>")).alias("line")))
-            parts.append(ids.select(key, F.struct(F.lit(len(sections)).alias("section"), F.lit(0).alias("step"), none.alias("sort")).alias("pos"), F.lit("</body></html>").alias("line")))
-        parts += [ids.select(key, place(0, none).alias("pos"), F.lit(head).alias("line")), df.select(key, place(1, sort).alias("pos"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("line")), ids.select(key, place(2, none).alias("pos"), F.lit("</table>").alias("line"))]
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
+            outer = lambda at: F.struct(F.lit(at).alias("section"), F.lit(0).alias("step"), none.alias("sort")).alias("pos")
+            said = F.replace(F.lit(style.head.format(title=title, key="{key}")), F.lit("{key}"), escaped(F.col(key).cast("string")))
+            parts.append(ids.select(key, outer(-1), said.alias("line")))
+            if style.foot:
+                parts.append(ids.select(key, outer(len(sections)), F.lit(style.foot).alias("line")))
+    lines = reduce(lambda x, y: x.unionByName(y), parts)
     return lines.select(folder.alias("project"), name.alias("name"), "pos", "line")
 
 
-def session_pages(analysis) -> DataFrame:
+def session_pages(analysis, style: Style = HTML) -> DataFrame:
     """The lines of a page for each session: window, categories, live slice, waste, compactions, models and advice."""
     sections = {
         "Window": (analysis.state, []), "Categories": (analysis.buckets, ["category"]), "Since the last compaction": (analysis.current, ["category"]), "Waste": (analysis.waste, ["rank"]),
         "Compactions": (analysis.events, ["before_idx"]), "Models": (analysis.segments, ["segment"]), "Advice": (analysis.recommendations, ["position"]),
     }
-    return page_lines(sections)
+    return page_lines(sections, style=style)
 
 
-def comparison_pages(compared: DataFrame, insights: DataFrame) -> DataFrame:
+def comparison_pages(compared: DataFrame, insights: DataFrame, style: Style = HTML) -> DataFrame:
     """The lines of a page for each compared pair: what stands out, and the categories side by side."""
     pair = F.concat(F.col("session_a").cast("string"), F.lit(" and "), F.col("session_b").cast("string")).alias("pair")
     said = insights.select(pair, F.posexplode(F.split("insights", "\n")).alias("no", "insight"))
     rows = compared.select(pair, "category", "tokens_a", "tokens_b", "delta", "delta_percent")
-    return page_lines({"Categories": (rows, ["category"]), "What stands out": (said, ["no"])}, key="pair", title="Comparison of")
+    return page_lines({"Categories": (rows, ["category"]), "What stands out": (said, ["no"])}, key="pair", title="Comparison of", style=style)
 
 
 def sparkline(values: list[float]) -> str:
