@@ -118,5 +118,6 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": license_scan.oracle(),
     "op7_line_dedup": line_dedup.oracle(),
     "op10_warc": warc.oracle(),
+    "op11_conversation_repair": turn_repair.oracle(),
     "op12_centroid_clustering": centroids.oracle(),
 }

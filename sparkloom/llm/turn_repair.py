@@ -358,3 +358,28 @@ def report(original: DataFrame, turns: DataFrame, **kw) -> DataFrame:
     counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
     nothing = hashlib.sha256().hexdigest()
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(nothing)).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """The same in SQL, row by row, with the digest's lines carried along."""
+    cost = "{'c': %s, 'a': %s, 'l': %s}"
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  [ascii(c) for c in string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')] AS b FROM conversations),
+h AS (SELECT * EXCLUDE (b), xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(x AS BIGINT) for x in b]), lambda s, x: list_reduce(list_prepend(xor(s, x), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) AS pair FROM o),
+cl(st, too, c, a, l) AS (VALUES ('', '', 0, '', CAST([] AS VARCHAR[])), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']), ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])),
+ar(st, too, c, op, who) AS (VALUES ('', '', 4, 'D', ''), ('s', 's', 4, 'D', ''), ('u', 'u', 4, 'D', ''), ('a', 'a', 4, 'D', ''), ('', 's', 0, 'K', 's'), ('', 'u', 0, 'K', 'u'), ('s', 'u', 0, 'K', 'u'), ('a', 'u', 0, 'K', 'u'), ('u', 'a', 0, 'K', 'a'),
+  ('', 'u', 3, 'R', 'user'), ('s', 'u', 3, 'R', 'user'), ('a', 'u', 3, 'R', 'user'), ('u', 'a', 3, 'R', 'assistant')),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, '' AS st, {cost % ("0", "''", "CAST([] AS VARCHAR[])")} AS e FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL SELECT w.conv_id, w.p + 1, ar.too, min({cost % ("e.c + cl.c + ar.c + CASE WHEN op <> 'D' AND fault = 't' THEN 3 ELSE 0 END", "e.a || cl.a || op", "e.l || cl.l || CASE op WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [who || ':' || text] ELSE CAST([] AS VARCHAR[]) END")})
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.p = w.p + 1 JOIN cl ON cl.st = w.st JOIN ar ON ar.st = cl.too AND (op = 'D' OR (fault NOT IN ('b', 'd') AND (op = 'R' OR who = ini))) GROUP BY w.conv_id, w.p, ar.too),
+n AS (SELECT conv_id, max(p) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT w.conv_id, any_value(n) AS n, min({cost % ("e.c + cl.c", "e.a || cl.a", "e.l || cl.l")}) AS e FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.p JOIN cl ON cl.st = w.st AND cl.too IN ('', 'a') GROUP BY w.conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(array_to_string(e.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM i.conv_id"""
