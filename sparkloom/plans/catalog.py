@@ -1200,3 +1200,35 @@ def discovered_sessions(spark, d):
     write_sessions(t.select(F.concat(F.lit("p-"), (F.col("conv_id") % 3).cast("string")).alias("project"), F.concat(F.lit("c"), F.floor(F.col("conv_id") / 3).cast("string")).alias("name"), F.col("turn").alias("pos"), said.alias("line")), base).count()
     n = read_sessions(spark, f"{base}/*/*.jsonl").groupBy(F.col("session_id").alias("session_key")).agg(F.count(F.lit(1)).alias("n_messages"))
     return discover_sessions(spark, base).select("session_id", "project", "session_key").join(n, "session_key")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS session_id, strftime(o_orderdate, '%Y-%m-%d') AS at, o_totalprice / 5000 AS percent, o_orderkey AS note, o_orderkey % 2 AS run
+FROM orders WHERE o_orderkey % 7 <> 0""")
+def injection_log(spark, d):
+    """Notes logged in two runs, one of them twice; what lacks a field or is no record is skipped."""
+    from ..sources.appends import AppendLog
+    from ..sources.sinks import injection_records
+
+    whole = F.col("o_orderkey") % 7 != 0
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("sessionId"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), (F.col("o_totalprice") / 5000).alias("percentUsed"),
+        F.when(whole, F.lit(50.0)).alias("threshold"), F.col("o_orderkey").cast("string").alias("text"),
+    )
+    log = AppendLog(shared_dir(spark))
+    for run in (0, 1, 0):
+        log.append(o.filter(F.col("o_orderkey") % 2 == run).orderBy("o_orderkey").drop("o_orderkey"), run, F.col("text").cast("bigint"))
+    rows = injection_records(log.lines(spark))
+    return rows.select(F.col("sessionId").alias("session_id"), F.col("timestamp").alias("at"), F.col("percentUsed").alias("percent"), F.col("text").cast("bigint").alias("note"), F.col("line.run").alias("run"))
+
+
+@query("SELECT n_nationkey AS id, n_regionkey * 100 AS system_tools, n_nationkey * 7 AS messages, n_name AS label FROM nation")
+def calibration_files(spark, d):
+    """One settings document of several lines for each nation, written by tasks and read at once."""
+    from ..sources.sinks import write_sessions
+    from ..sources.state import read_json_file
+
+    n = table(spark, d, "nation")
+    body = F.format_string('{\n  "id": %s,\n  "buckets": {"system_tools": %s,\n    "messages": %s},\n  "label": "%s"\n}', F.col("n_nationkey").cast("string"), (F.col("n_regionkey") * 100).cast("string"), (F.col("n_nationkey") * 7).cast("string"), F.col("n_name"))
+    base = shared_dir(spark)
+    write_sessions(n.select(F.lit("calibration").alias("project"), F.col("n_name").alias("name"), F.lit(0).alias("pos"), body.alias("line")), base, suffix=".json").count()
+    return read_json_file(spark, f"{base}/calibration", ("id", "buckets")).select("id", "buckets.system_tools", "buckets.messages", "label")

@@ -63,8 +63,13 @@ def write_sessions(lines: DataFrame, base: str, end_last: bool = True, suffix: s
 
 def read_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Rows of an injection log (JSON lines), newest first; rows without all five fields are skipped."""
+    return injection_records(ordered_lines(spark, path), limit)
+
+
+def injection_records(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """The same of (line, value), as of an ``AppendLog``."""
     j = F.from_json("value", "struct<sessionId:string,timestamp:string,percentUsed:double,threshold:double,text:string>")
-    rows = ordered_lines(spark, path).select("line", j.alias("j")).select("line", "j.*").dropna().orderBy(F.desc("line"))
+    rows = lines.select("line", j.alias("j")).select("line", "j.*").dropna().orderBy(F.desc("line"))
     return rows.limit(limit) if limit is not None else rows
 
 
