@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import schema as S
 from ..functions.text import filename, is_tool_use_id, js_len, js_trim, key_terms, normal_path, one_line
+from ..sources.shared import ship
 from .classify import by_session, has_block, tool_uses
 from .tokens import message_text
 
@@ -107,8 +109,44 @@ def lost_totals(items: DataFrame) -> DataFrame:
     return items.rollup("session_id", "event").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_items"))
 
 
-#: Characters at the start of a short item by which it is sought.
-GRAM = 8
+#: Lengths of the starts by which short items are sought: the longest that fits counts.
+GRAMS = (8, 4, 2, 1)
+
+
+def _gram_hashes(text: str, n: int, whole: bool):
+    """Hashes of the text's first ``n`` characters, or of every run of ``n``, each once."""
+    import numpy as np
+
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    places = len(codes) - n + 1 if whole else min(1, len(codes) - n + 1)
+    if places < 1:
+        return np.zeros(0, np.int64)
+    h = np.full(places, n, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + places]
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def _with_grams(df: DataFrame, lengths: tuple[int, ...] | None) -> DataFrame:
+    """``df`` (last column: text) with hs, the hashes of its runs of these lengths in place of the text; without
+    lengths, of its start, and n, that start's length."""
+    ship(df.sparkSession)
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            hs, ns = [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                n = None if lengths else next((g for g in GRAMS if g <= len(t)), 0)
+                hs.append(np.concatenate([_gram_hashes(t, g, True) for g in lengths]) if lengths else _gram_hashes(t, n, False))
+                ns.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.int32())], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def surviving_items(items: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,23 +154,24 @@ def surviving_items(items: DataFrame, texts: DataFrame) -> DataFrame:
 
     Both sides are keyed by a hash of what the item starts with, so the test runs on matching
     places only and never as a nested loop over all pairs: three words inside of an item of five words or
-    more, else its first ``GRAM`` characters, for which the texts are hashed at every place. The empty item is in no text.
-    Items: (item_id, text); texts: (doc_id, text)."""
+    more, else its first 8, 4, 2 or 1 characters, for which the texts are hashed at every place. The empty item
+    is in no text. Items: (item_id, text); texts: (doc_id, text)."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     it = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).filter(F.length("item") > 0).distinct()
-    # a long item's ends may be parts of words, so its key are three words inside
-    long_ = F.size("w") >= 5
-    start = F.slice(letters(F.col("item")), 1, GRAM)
-    it = it.select("item_id", "item", F.xxhash64("item").alias("ik"), F.xxhash64(F.when(long_, F.slice("w", 2, 3)).otherwise(start)).alias("h"), F.when(~long_, F.size(start)).alias("n"))
-    kinds = {r[0] for r in it.select("n").distinct().collect()}  # none, or 1 to GRAM
-    runs = ["CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(slice(w, i + 1, 3))) ELSE array() END"] if None in kinds else []
-    runs += [f"CASE WHEN size(g) >= {n} THEN transform(sequence(0, size(g) - {n}), i -> xxhash64(slice(g, i + 1, {n}))) ELSE array() END" for n in sorted(kinds - {None})]
+    it = it.select("item_id", "item", F.xxhash64("item").alias("ik"), "w")
     key = F.xxhash64("text")
-    tx = texts.select("doc_id", key.alias("tk"), words(F.col("text")).alias("w"), (letters(F.col("text")) if kinds - {None} else F.array()).alias("g"))
-    tx = tx.withColumn("hs", F.expr(f"array_distinct(concat({', '.join(runs) or 'array(0L)'}))"))
+    # a long item's ends may be parts of words, so its key are three words inside
+    long_ = it.filter(F.size("w") >= 5).select("item_id", "ik", F.xxhash64(F.slice("w", 2, 3)).alias("h"))
+    short = _with_grams(it.filter(F.size("w") < 5).select("item_id", "ik", "item"), None).select("item_id", "ik", F.explode("hs").alias("h"), "n")
+    kinds = tuple(sorted(r[0] for r in short.select("n").distinct().collect()))  # of GRAMS
+    tx = texts.select("doc_id", key.alias("tk"), words(F.col("text")).alias("w"))
+    runs = F.expr("array_distinct(CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(slice(w, i + 1, 3))) ELSE array() END)")
     # hashes travel without the texts, which are joined once to the pairs that agree
-    met = tx.select("doc_id", "tk", F.explode_outer("hs").alias("h")).join(it.select("item_id", "ik", "h"), "h").select("doc_id", "tk", "item_id", "ik").distinct()
+    met = tx.select("doc_id", "tk", F.explode(runs).alias("h")).join(long_, "h").select("doc_id", "tk", "item_id", "ik")
+    if kinds:
+        at = _with_grams(texts.filter(F.col("text").isNotNull()).select("doc_id", key.alias("tk"), "text"), kinds)
+        met = met.unionByName(at.select("doc_id", "tk", F.explode("hs").alias("h")).join(short.drop("n"), "h").select("doc_id", "tk", "item_id", "ik"))
+    met = met.distinct()
     met = met.join(it.select(F.col("item_id").alias("i2"), F.col("ik").alias("k2"), "item"), F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("ik") == F.col("k2")))
     src = texts.select(F.col("doc_id").alias("d2"), key.alias("t2"), "text")
     met = met.join(src, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("tk") == F.col("t2")))

@@ -986,7 +986,7 @@ def tail_sessions(spark, d):
     base, to = shared_dir(spark), shared_dir(spark)
     for step in (cut_off, rows):
         write_sessions(step, base, end_last=step is rows).count()
-        found = run_once(tail_messages(spark, base, width=1 << 16), to)
+        found = run_once(tail_messages(spark, base), to)
     place = (F.row_number().over(Window.partitionBy("session_id").orderBy("line_no")) - 1).cast("bigint")
     return C.classify(found.withColumn("idx", place)).select("session_id", "idx", "type", "category", "tokens")
 

@@ -27,8 +27,9 @@ from .shared import ship
 
 FORMAT = "session_log_tail"
 SCHEMA = "session_id string, path string, at bigint, line string"
-#: Bytes of one task, of one look back and of one batch of records.
+#: Bytes of one task, of what opening a log counts for, of one look back and of one batch of records.
 RANGE = 32 << 20
+OPENING = 256 << 10
 BACK = 64 << 10
 TOGETHER = 4 << 20
 
@@ -85,9 +86,21 @@ def records(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         held.append(rest)
 
 
-class Range(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+def bundles(found: list[tuple[str, int, int]], width: int = RANGE, opening: int = OPENING) -> list[list[tuple[str, int, int]]]:
+    """Ranges put together to tasks of about ``width`` bytes; to open a log counts as so many bytes."""
+    out, size = [], width
+    for name, start, end in found:
+        if size + end - start + opening > width:
+            out.append([])
+            size = 0
+        out[-1].append((name, start, end))
+        size += end - start + opening
+    return out
+
+
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class TailReader(DataSourceStreamReader):
@@ -100,27 +113,26 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return sizes(self.base)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(*r) for r in ranges(start, end, self.width)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return [Ranges(r) for r in bundles(ranges(start, end, self.width), self.width)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(self.base)
-        session = partition.name.removesuffix(".jsonl")
-        path = f"{self.base}/{partition.name}"
 
         def batch(rows):
-            places, lines = zip(*rows, strict=True)
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([session] * n), pa.array([path] * n), pa.array(places, pa.int64()), pa.array([x.decode(errors="replace") for x in lines])], ["session_id", "path", "at", "line"])
+            types = (pa.string(), pa.string(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["session_id", "path", "at", "line"])
 
         held, size = [], 0
-        with store.open_input_file(f"{root}/{partition.name}") as f:
-            for at, line in records(f, partition.start, partition.end):
-                held.append((at, line))
-                size += len(line) + 100
-                if size > TOGETHER:
-                    yield batch(held)
-                    held, size = [], 0
+        for name, start, end in partition.ranges:
+            session, path = name.removesuffix(".jsonl"), f"{self.base}/{name}"
+            with store.open_input_file(f"{root}/{name}") as f:
+                for at, line in records(f, start, end):
+                    held.append((session, path, at, line.decode(errors="replace")))
+                    size += len(line) + 100
+                    if size > TOGETHER:
+                        yield batch(held)
+                        held, size = [], 0
         if held:
             yield batch(held)
 

@@ -33,6 +33,12 @@ def test_ranges_share_out_the_records(width, monkeypatch):
     assert [x for _, x in got] == lines and all(whole[at : at + len(x)] == x for at, x in got)
 
 
+def test_small_logs_share_a_task():
+    found = [(f"p/{i}", 0, 10) for i in range(7)] + [("p/x", 0, 100), ("p/y", 0, 100)]
+    got = tail.bundles(found, 100, opening=20)
+    assert [len(b) for b in got] == [3, 3, 1, 1, 1] and [r for b in got for r in b] == found
+
+
 def test_a_shorter_log_is_read_again():
     assert tail.ranges({"p/s": 90, "p/t": 5}, {"p/s": 40, "p/t": 5, "p/u": 3}) == [("p/s", 0, 40), ("p/u", 0, 3)]
 
