@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .store import ship, slices
+from .store import released, ship, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 LIMIT = 16_384  # characters given to the regex at once
@@ -117,7 +117,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", ranks: str
                 got = [encode_text(enc, t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
                 yield b.append_column(ids, pa.array(got, pa.list_(pa.int32())))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def count_tokens(df: DataFrame, text: str = "text", count: str = "n_tokens", keep: tuple[str, ...] = (), ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -133,7 +133,7 @@ def count_tokens(df: DataFrame, text: str = "text", count: str = "n_tokens", kee
                 got = [len(encode_text(enc, t or "")) for t in b.column(b.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.int64())], [*keep, count])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(released(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -148,7 +148,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", ranks: s
             got = [enc.decode_bytes(x) if x else b"" for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield b.append_column(out, pa.array(got, pa.binary()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", out: str = "decoded", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -171,4 +171,4 @@ def round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", out: s
                 raw = [enc.decode_bytes(x) for x in got]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(got, pa.list_(pa.int32())), pa.array(raw, pa.binary())], [*kept, ids, out])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(released(run), schema)

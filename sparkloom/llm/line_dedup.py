@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .store import column, cut, free, ship, slices
+from .store import column, cut, free, released, ship, slices
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -77,7 +77,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 found = [_keys(t, min_chars) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([b"".join(f) for f in found], pa.binary())], ["doc_id", "n_keys", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema).filter("n_keys > 0")
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema).filter("n_keys > 0")
 
 
 def _digests(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def _suspects(keys: DataFrame, bits: int) -> DataFrame:
             bloom.meet(once, twice, _digests(b)[0][:, 0], bits)
         yield from bloom.pieces(once, twice, TaskContext.get().partitionId())
 
-    _, twice = bloom.merged(keys.mapInArrow(fill, bloom._SCHEMA), bits)
+    _, twice = bloom.merged(keys.mapInArrow(released(fill), bloom._SCHEMA), bits)
     shared = keys.sparkSession.sparkContext.broadcast(twice)  # bits / 8 bytes, MAX_BITS / 8 at most
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _suspects(keys: DataFrame, bits: int) -> DataFrame:
             hit = bloom.contains(shared.value, raw[:, 0], bits)
             yield pa.RecordBatch.from_arrays(_pairs(b, raw[hit], row[hit]), ["doc_id", "key"])
 
-    return keys.mapInArrow(probe, _pair_schema(keys))
+    return keys.mapInArrow(released(probe), _pair_schema(keys))
 
 
 def _pair_schema(keys: DataFrame) -> T.StructType:
@@ -134,7 +134,7 @@ def _sharded(keys: DataFrame, n: int, shard: int) -> DataFrame:
                 which = ((raw[some, 0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(some), mark)), *_pairs(b, raw[some], row[some])], dealt.names)
 
-    rows = keys.mapInArrow(deal, dealt)
+    rows = keys.mapInArrow(released(deal), dealt)
     bits = bloom.bits_for(2 * shard, per_key=8)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _sharded(keys: DataFrame, n: int, shard: int) -> DataFrame:
                 hit[which == s] = bloom.contains(filters[s][1], raw[which == s], bits)
             yield pa.RecordBatch.from_arrays(list(b.filter(pa.array(hit)).columns[2:]), ["doc_id", "key"])
 
-    probed = rows.filter("NOT sure").repartition(shards, "shard").mapInArrow(probe, _pair_schema(keys))
+    probed = rows.filter("NOT sure").repartition(shards, "shard").mapInArrow(released(probe), _pair_schema(keys))
     return rows.filter("sure").select("doc_id", "key").unionByName(probed)
 
 
@@ -212,7 +212,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                     dropped.append(n - len(rest))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "text", *OUTPUTS])
 
-    done = joined.mapInArrow(rewrite, schema)
+    done = joined.mapInArrow(released(rewrite), schema)
     return done.select(*((F.col("text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns), *OUTPUTS)
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .store import column, cut, free, ship, slices, unused
+from .store import column, cut, free, released, ship, slices, unused
 
 ROWS, BANDS = 7, 40
 REGISTERS = ROWS * BANDS
@@ -226,7 +226,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 lists = [k if n else [] for k, n in zip(keys, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(identities(h, counts)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "mark", "id", "bands"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "mark", "text").mapInArrow(released(run), _SKETCH)
 
 
 def _sets(ids: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _sets(ids: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
                     sets = [np.concatenate([w[x:y].view(np.int64), c[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(identities(h, counts)), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "packed"])
 
-    sets = docs.select(F.xxhash64(named(docs, "doc_id")).alias("h"), "text").mapInArrow(maybe, "id long, packed binary")
+    sets = docs.select(F.xxhash64(named(docs, "doc_id")).alias("h"), "text").mapInArrow(released(maybe), "id long, packed binary")
     return cut(sets.groupBy("id").agg(F.max("packed").alias("packed")))  # equal words have equal sets
 
 
@@ -276,7 +276,7 @@ def _verify(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, threshold: f
                 ok.append(similarity(*_unpacked(x.as_buffer()), *_unpacked(y.as_buffer())) >= threshold)
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    links = cut(both.mapInArrow(test, "a long, b long"))
+    links = cut(both.mapInArrow(released(test), "a long, b long"))
     free(sets)
     return links
 
@@ -343,7 +343,7 @@ def _across(rest: DataFrame, single: DataFrame, vertices: DataFrame, docs: DataF
                             right.append(max(yi[n], xi[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    links = cut(both.mapInArrow(run, "a long, b long"))
+    links = cut(both.mapInArrow(released(run), "a long, b long"))
     free(known)
     return links
 

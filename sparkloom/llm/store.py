@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, free, shared_dir, ship
 
-__all__ = ["column", "cut", "fence", "free", "shared_dir", "ship", "slices", "unused"]
+__all__ = ["column", "cut", "fence", "free", "release", "released", "shared_dir", "ship", "slices", "unused"]
 
 
 def column(name: str) -> Column:
@@ -31,6 +31,30 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(row).select("row.*")
 
 
+def release() -> None:
+    """Give what Arrow and numpy no longer use back to the system; Python workers serve many tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run):
+    """``run``, a generator over Arrow batches, which gives its memory back at the end of the task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def slices(batch, column: str, max_rows: int = 2000, max_bytes: int = 8 << 20):
     """Cut an Arrow batch into runs of rows whose ``column`` stays near ``max_bytes``.
 
