@@ -43,7 +43,7 @@ def durations(messages: DataFrame) -> DataFrame:
 
 
 def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False, until: int | None = None, configs: DataFrame | None = None) -> Analysis:
-    """All intermediate tables, lazily; ``cache`` writes the classified rows once for all of them.
+    """All intermediate tables, lazily; ``cache`` writes the classified rows and the waste once for all of them.
 
     ``config`` is what ``sources.logs.gather_config`` returns; ``prompt`` and ``memory`` stand in for it.
     ``until`` takes the first rows of each session; without it a trailing turn in which the analyser itself
@@ -70,6 +70,8 @@ def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict
     each = framing.select("session_id", "tokens_per_message")
     live = overhead.join(since.select("session_id"), "session_id", "left_semi")
     waste = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))
+    if cache:
+        waste = cut(waste)
     whole = C.buckets(classified, overhead)
     current = C.buckets(K.current_context(classified, events), live, each)
     content = [b.groupBy("session_id").agg(F.sum("tokens").alias("content")) for b in (current, whole.join(since, "session_id", "left_anti"))]

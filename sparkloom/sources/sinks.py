@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
 from .appends import ordered_lines
+from .shared import cut
 
 
 def to_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -196,7 +197,8 @@ def session_pages(analysis, style: Style = HTML) -> DataFrame:
         "Window": (analysis.state, []), "Categories": (analysis.buckets, ["category"]), "Since the last compaction": (analysis.current, ["category"]), "Waste": (analysis.waste, ["rank"]),
         "Compactions": (analysis.events, ["before_idx"]), "Models": (analysis.segments, ["segment"]), "Advice": (analysis.recommendations, ["position"]),
     }
-    return page_lines(sections, style=style)
+    # written first, as each is read for its keys and for its rows
+    return page_lines({k: (cut(df), order) for k, (df, order) in sections.items()}, style=style)
 
 
 def comparison_pages(compared: DataFrame, insights: DataFrame, style: Style = HTML) -> DataFrame:

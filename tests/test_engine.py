@@ -213,7 +213,7 @@ def test_cuts_and_diff(read):
 
 def test_whole_analysis_and_reports(spark, read, tmp_path):
     m = read(ask("a"), reply(50_000, out=10), ask("b"), reply(60_000, out=20))
-    a = analyze.analyze(m, prompt=100)
+    a = analyze.analyze(m, prompt=100, cache=True)
     s = a.state.first()
     assert (s.total, s.context_limit, s.n_messages, s.health) == (60_000, 200_000, 4, "healthy")
     assert {r.category: r.tokens for r in a.buckets.collect()}["tools"] == 9_055
