@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import schema as S
 from ..functions.text import filename, is_tool_use_id, js_len, js_trim, key_terms, normal_path, one_line
 from ..sources.shared import ship
-from .classify import by_session, has_block, tool_uses
+from .classify import by_session, has_block
 from .tokens import message_text
 
 COLUMNS = ("session_id", "event", "type", "first_idx", "last_idx", "tokens", "subject")
