@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import queries, word_lm
@@ -47,11 +48,12 @@ TEXTS = ["a b a b c", "a b, B a! a b b a", "", None, "é zz é a b c", "a b a b
 OWN = [1, 0, 0, 1, 0, 1, 0, 0, 1]
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 20, 12])
-def test_scores_against_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes,fan,wide", [(1 << 20, 256, 1 << 20), (12, 256, 1 << 20), (12, 256, 2), (12, 2, 1)])
+def test_scores_against_brute_force(spark, chunk_bytes, fan, wide):
+    """One chunk, many, contexts in parts, and both with several levels of two ways."""
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     marks = spark.createDataFrame([(i,) for i, o in enumerate(OWN) if o] * 2 + [(None,), (99,)], "doc_id long")
-    got = {r.doc_id: r for r in word_lm.score(df, marks, chunk_bytes=chunk_bytes).collect()}
+    got = {r.doc_id: r for r in word_lm.score(df, marks, chunk_bytes=chunk_bytes, fan=fan, wide=wide).collect()}
     assert len(got) == len(TEXTS)
     for i, (n, ct, cb) in enumerate(brute(TEXTS, OWN)):
         assert got[i].n_tokens == n
@@ -79,3 +81,44 @@ def test_query_tells_word_order_apart(spark, tmp_path):
     want = brute([t for _, t in rows], [1, 0])
     for i, (n, ct, cb) in enumerate(want, 1):
         assert (got[i].n_tokens, got[i].ce_diff) == (n, pytest.approx(ct - cb))
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 256, 257, 3840, 70_000])
+@pytest.mark.parametrize("fan", [2, 256])
+def test_routes_are_few_and_cover_all_buckets(buckets, fan):
+    plan = word_lm.Plan(buckets, fan)
+    routes = [0]
+    for level in range(1, plan.depth + 1):
+        cuts = [plan.cuts(level, r) for r in routes]
+        assert all(2 <= len(c) <= fan + 1 for c in cuts)
+        routes = [int(b) // plan.step(level) for c in cuts for b in c[:-1]]
+        assert routes == list(range(-(-buckets // plan.step(level))))
+    assert routes == list(range(buckets))
+
+
+def test_requests_grow_with_the_chunks(spark):
+    """Ten times the chunks send about ten times the rows, not a hundred times."""
+    sent = {}
+    for chunks in (40, 400):
+        plan = word_lm.Plan(chunks, fan=16)
+        words = np.unique(word_lm.mix(np.arange(5000, dtype=np.uint64)))
+        gram, at = word_lm._by_bucket(words, plan)
+        o = word_lm._Grams(gram, at.astype(np.uint64), plan)
+        ones = np.ones(len(gram), np.int64)
+        rows = word_lm._word_rows(plan, 1, 0, 0, gram, ones, ones) + word_lm._gram_rows(plan, 1, 1, 0, 0, o, ones, ones)
+        sent[chunks] = chunks * len(rows)
+    assert sent[400] <= 2 * 400 * 16 and sent[400] <= 20 * sent[40]
+
+
+def test_a_wide_context_is_dealt_in_parts():
+    """A million continuations of one context lie in no bucket by more than a few times the bound."""
+    plan = word_lm.Plan(64, wide=1 << 15)
+    word = np.arange(1, 1_000_001, dtype=np.uint64)
+    ctx = np.full(len(word), 7, np.uint64)
+    o = word_lm._Grams(ctx, word, plan, np.full(len(word), 31, np.uint64))
+    held = np.bincount(o.head)
+    assert held.sum() == len(word) and held.max() <= 5 * plan.wide
+    assert len(o.of) > 16 and set(o.of.tolist()) == {0}
+    # a chunk with one of these bigrams asks all parts, so that it can add up their totals
+    few = word_lm._Grams(ctx[:1], word[:1], plan, np.full(1, 31, np.uint64))
+    assert few.bucket.tolist() == o.bucket.tolist()
