@@ -157,6 +157,22 @@ def _add(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, weights=x, minlength=size).astype(_U)
 
 
+def _distinct(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and the number of each value, by one unstable sort."""
+    order = np.argsort(v)
+    held = v[order]
+    new = np.ones(len(v), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    at = np.empty(len(v), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return held[new], order[new], at
+
+
+def _in_buckets(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The stable order by bucket; short numbers are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
 class _Words:
     """The distinct words of a chunk by bucket, and the place of every token's word."""
 
@@ -174,8 +190,8 @@ class _Words:
 
 def _by_bucket(tokens: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words by bucket, and the place of each word given."""
-    u, inverse = np.unique(tokens, return_inverse=True)
-    order = np.argsort(u % _U(plan.buckets), kind="stable")
+    u, _, inverse = _distinct(tokens)
+    order = _in_buckets(u % _U(plan.buckets), plan.buckets)
     rank = np.empty(len(u), np.int64)
     rank[order] = np.arange(len(u))
     return u[order], rank[inverse]
@@ -186,7 +202,7 @@ class _Grams:
     each bucket that holds a part of it; ``parts``, where given, are the parts of each pair's context."""
 
     def __init__(self, ctx: np.ndarray, word: np.ndarray, plan: Plan, parts: np.ndarray | None = None):
-        u, at = np.unique(ctx, return_inverse=True)
+        u, _, at = _distinct(ctx)
         of, bucket = np.arange(len(u)), plan.bucket(u)
         self.split = parts is not None
         if self.split:
@@ -197,13 +213,13 @@ class _Grams:
             heads = np.unique((plan.bucket(u[of], part) << _U(32)) | of.astype(_U))
             at = np.searchsorted(heads, (plan.bucket(ctx, mix(word) % parts) << _U(32)) | at.astype(_U))
             of, bucket = (heads & _LOW).astype(np.int64), heads >> _U(32)
-        order = np.argsort(bucket, kind="stable")
+        order = _in_buckets(bucket, plan.buckets)
         rank = np.empty(len(of), np.int64)
         rank[order] = np.arange(len(of))
         self.of, self.bucket = of[order], bucket[order].astype(np.int64)
         self.ctx = u[self.of]
         key = (rank[at].astype(_U) << _U(32)) | word
-        g, self.first, self.at = np.unique(key, return_index=True, return_inverse=True)
+        g, self.first, self.at = _distinct(key)
         self.head, self.word = (g >> _U(32)).astype(np.int64), g & _LOW
 
 
@@ -353,13 +369,13 @@ class _Added:
         got = lambda k: np.concatenate([_unpack(p[k], s[int(k > 2)]) for p, s in zip(packs, self.sizes, strict=True)])
         self.order, self.up = divmod(asked.column("bucket")[0].as_py(), plan.buckets)
         ctx = np.concatenate([np.cumsum(_unpack(p[0], s[0]), dtype=_U) for p, s in zip(packs, self.sizes, strict=True)])
-        u, self.at = np.unique(ctx, return_inverse=True)
+        u, _, self.at = _distinct(ctx)
         heads = np.arange(len(u), dtype=_U)
         if level < plan.depth:  # a context may have several buckets in a route, of which each has its head
-            heads, self.at = np.unique((got(1) << _U(32)) | self.at.astype(_U), return_inverse=True)
+            heads, _, self.at = _distinct((got(1) << _U(32)) | self.at.astype(_U))
         self.ctx, self.bucket = u[(heads & _LOW).astype(np.int64)], (heads >> _U(32)).astype(np.int64) + self.up * plan.step(level)
         self.place = np.repeat(np.arange(len(ctx)), got(2).astype(np.int64))
-        g, self.inverse = np.unique((self.at[self.place].astype(_U) << _U(32)) | got(3), return_inverse=True)
+        g, _, self.inverse = _distinct((self.at[self.place].astype(_U) << _U(32)) | got(3))
         self.head, self.word = (g >> _U(32)).astype(np.int64), g & _LOW
         self.own_n, self.own_t = got(4), got(5)
         self.n, self.t = _add(self.inverse, self.own_n, len(g)), _add(self.inverse, self.own_t, len(g))
@@ -420,9 +436,10 @@ class _Pairs:
 
     def __init__(self, text: np.ndarray, at: np.ndarray, o: _Grams | None = None):
         key = (text.astype(_U) << _U(32)) | at.astype(_U)
-        u, *rest = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        u, *rest = _distinct(key)
         del key
-        self.first, self.at, self.n = (x.astype(np.int32) for x in rest)
+        self.first, self.at = (x.astype(np.int32) for x in rest)
+        self.n = np.bincount(self.at, minlength=len(u)).astype(np.int32)
         self.text, self.gram = (u >> _U(32)).astype(np.int32), (u & _U(0xFFFFFFFF)).astype(np.int32)
         if o is not None:
             self.ctx = o.head[self.gram].astype(np.int32)
