@@ -21,8 +21,10 @@ name. A very long text is searched by one task, which holds its tokens and one h
 position.
 
 The seeds are broadcast only up to ``max_broadcast`` rows, counted first; beyond that seeds and
-positions are joined by shuffle, without the texts, which are joined once to the pairs of a
-text and an item that agree somewhere. Both ways give the same rows.
+positions are joined by shuffle, without the texts, and the places of a pair of a text and an item are
+gathered by stretches of ``STRETCH`` positions. The pairs are written; only the texts in them are
+shuffled to meet them, as long as there are at most ``max_broadcast`` of these, whose ids are
+broadcast for that; beyond, all texts are. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, unused
+from .store import column, cut, unused
 
 MASKS = ("11111", "1101011", "110010011")
 #: For items of one to four tokens: all of them.
@@ -39,6 +41,8 @@ MIN_WINDOW = 13
 REACH = 6
 MIN_SHARE = 0.8
 MAX_BROADCAST = 500_000
+#: Positions of a text whose agreements with an item travel in one row.
+STRETCH = 1024
 
 NOT_TOKEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -102,9 +106,14 @@ def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: s
         hits = met.select("doc_id", "dk", "dw", "dp", "hit", "hk", "ip", "span").join(F.broadcast(it), same_item)
     else:
         met = at.select("doc_id", "dk", "dh", "dp").join(seeds, F.col("dh") == F.col("h"))
-        pairs = met.groupBy(F.col("doc_id").alias("hit_doc"), F.col("dk").alias("hit_dk"), F.col("item_id").alias("hit"), F.col("ik").alias("hk")).agg(F.collect_set(F.struct("dp", "ip", "span")).alias("places"))
-        once = dt.dropDuplicates(["doc_id", "dk"])
-        hits = pairs.join(it, same_item).join(once, F.col("hit_doc").eqNullSafe(F.col("doc_id")) & (F.col("hit_dk") == F.col("dk")))
+        stretch = F.floor(F.col("dp") / STRETCH).alias("stretch")
+        pairs = met.groupBy(F.col("doc_id").alias("hit_doc"), F.col("dk").alias("hit_dk"), F.col("item_id").alias("hit"), F.col("ik").alias("hk"), stretch)
+        pairs = cut(pairs.agg(F.collect_set(F.struct("dp", "ip", "span")).alias("places")))
+        same_text = F.col("hit_doc").eqNullSafe(F.col("doc_id")) & (F.col("hit_dk") == F.col("dk"))
+        ids = pairs.select("hit_doc", "hit_dk").distinct()
+        if ids.limit(max_broadcast + 1).count() <= max_broadcast:
+            dt = dt.join(F.broadcast(ids), same_text, "left_semi")
+        hits = pairs.join(it, same_item).join(dt.dropDuplicates(["doc_id", "dk"]), same_text)
         hits = hits.select("doc_id", "item_id", "dk", "ik", "dw", "iw", F.explode("places").alias("p")).select("doc_id", "item_id", "dk", "ik", "dw", "iw", "p.*")
     return _verified(hits).select("doc_id", "item_id", "dk", "ik", "dp", "ip", "span", "share")
 

@@ -68,7 +68,8 @@ def test_decontamination_catches_substitutions(spark):
     want = {(1, 10), (2, 10), (None, 10), (7, 10), (9, 10), (1, 13), (2, 13), (None, 13), (6, 13), (8, 14)}
     first = D.contaminated(df, items).collect()
     assert {(x.doc_id, x.item_id) for x in first} - {(2, 13)} == want - {(2, 13)}
-    assert sorted(D.contaminated(df, items, max_broadcast=0).collect(), key=str) == sorted(first, key=str)
+    for most in (0, 20):  # texts by shuffle as a whole, and only those that agree somewhere
+        assert sorted(D.contaminated(df, items, max_broadcast=most).collect(), key=str) == sorted(first, key=str)
     kept = D.drop_contaminated(df, items)
     assert {x.doc_id for x in kept.collect()} == {3, 4, 5, 8} and kept.columns == df.columns
     assert D.contaminated(df.limit(0), items).count() == 0 and D.contaminated(df, items.limit(0)).count() == 0
@@ -93,7 +94,18 @@ def test_both_joins_and_the_sql_agree_on_repeated_ids(spark, tmp_path):
     rows = lambda x: sorted(((a.doc_id, a.item_id, a.n_windows, round(a.best_share, 9)) for a in x.collect()), key=str)
     want = sorted(((a, b, n, round(s, 9)) for a, b, n, s in con.sql(D.oracle()).fetchall()), key=str)
     assert len(want) >= 5
-    assert rows(D.contaminated(df, it)) == want and rows(D.contaminated(df, it, max_broadcast=0)) == want
+    assert all(rows(D.contaminated(df, it, max_broadcast=most)) == want for most in (500_000, 20, 0))
+
+
+def test_a_seed_that_agrees_everywhere(spark):
+    """One seed at thousands of places of a text and at several of the item, over more than one stretch."""
+    turn = "ab cd ef gh ij "
+    docs = spark.createDataFrame([(1, turn * 700), (2, "x " + turn * 3), (3, "y " * 3000)] + [(4, turn * 2)] * 300, "doc_id long, text string")
+    items = spark.createDataFrame([(1, turn * 4), (2, turn + "kl mn op qr")], "item_id long, text string")
+    rows = lambda most: sorted(map(tuple, D.contaminated(docs, items, max_broadcast=most).collect()))
+    want = rows(500_000)
+    assert {(d, i) for d, i, *_ in want} >= {(1, 1), (2, 1)} and max(n for *_, n, _ in want) > D.STRETCH
+    assert rows(10) == want and rows(0) == want
 
 
 def licenses(text):
