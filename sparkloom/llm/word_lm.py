@@ -208,11 +208,20 @@ class _Grams:
         if self.split:
             many = np.ones(len(u), np.int64)
             many[at] = parts
-            of = np.repeat(of, many)
-            part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            heads = np.unique((plan.bucket(u[of], part) << _U(32)) | of.astype(_U))
-            at = np.searchsorted(heads, (plan.bucket(ctx, mix(word) % parts) << _U(32)) | at.astype(_U))
+            whole = many == 1
+            in_part = ~whole[at]
+            # contexts in parts are few, and only what belongs to them is dealt and looked up by part
+            of = np.repeat(np.flatnonzero(~whole), many[~whole])
+            part = np.arange(len(of)) - np.repeat(np.cumsum(many[~whole]) - many[~whole], many[~whole])
+            dealt = np.unique((plan.bucket(u[of], part) << _U(32)) | of.astype(_U))
+            heads = np.sort(np.concatenate([(bucket[whole] << _U(32)) | np.flatnonzero(whole).astype(_U), dealt]))
             of, bucket = (heads & _LOW).astype(np.int64), heads >> _U(32)
+            mine = (plan.bucket(ctx[in_part], mix(word[in_part]) % parts[in_part]) << _U(32)) | at[in_part].astype(_U)
+            place = np.empty(len(u), np.int64)
+            place[of] = np.arange(len(of))
+            at = place[at]
+            at[in_part] = np.searchsorted(heads, mine)
+            self.parted = ~whole[of]
         order = _in_buckets(bucket, plan.buckets)
         rank = np.empty(len(of), np.int64)
         rank[order] = np.arange(len(of))
@@ -443,11 +452,13 @@ class _Pairs:
         self.text, self.gram = (u >> _U(32)).astype(np.int32), (u & _U(0xFFFFFFFF)).astype(np.int32)
         if o is not None:
             self.ctx = o.head[self.gram].astype(np.int32)
+            # n-grams are numbered by context, so those of one text and a context in one part are neighbours
+            new = (np.diff(self.text, prepend=-1) != 0) | (np.diff(self.ctx, prepend=-1) != 0)
+            self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
             if o.split:
-                self.run = np.unique((self.text.astype(_U) << _U(32)) | o.of[self.ctx].astype(_U), return_inverse=True)[1]
-            else:  # n-grams are numbered by context, so those of one context and text are neighbours
-                new = (np.diff(self.text, prepend=-1) != 0) | (np.diff(self.ctx, prepend=-1) != 0)
-                self.run = np.cumsum(new, dtype=np.int32) - np.int32(1)
+                some = np.flatnonzero(o.parted[self.ctx])
+                key = (self.text[some].astype(_U) << _U(32)) | o.of[self.ctx[some]].astype(_U)
+                self.run[some] = np.int32(len(new)) + _distinct(key)[2].astype(np.int32)
 
     def by_context(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.run, weights=x)[self.run]
