@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["context_breakdown", "current_context_breakdown", "model_segments", "compaction_events", "message_framing", "stale_reads", "mcp_servers", "lost_file_reads", "session_diff", "trend_summary", "file_refs", "cutoff_trim", "content_survival", "calibration_parse", "calibration_compare", "jsonl_sessions", "analyze_current_context", "unused_results", "lost_tool_results", "inject_decision", "watch_feed", "tail_sessions", "incremental_analysis", "await_compactions", "session_cuts", "lost_content", "lost_agent_results", "project_configuration", "markdown_pages", "throttled_notes", "discovered_sessions", "trend_log", "timeline_in_blocks", "report_pages", "recommendations_all", "analyze_totals", "trend_csv_full", "short_survival", "bench_insights", "injection_text"]
 
-ENDS = ["effective_window", "context_health", "bench_snapshots", "bench_snapshot_compare", "fix_prompts", "recommendations", "recommendations_all", "status_line", "analyze_totals", "injection_text"]
+ENDS = ["effective_window", "context_health", "bench_snapshots", "bench_snapshot_compare", "fix_prompts", "recommendations", "recommendations_all", "status_line", "analyze_totals", "injection_text", "report_pages"]
 
 
 def test_entry_contract(spark):
