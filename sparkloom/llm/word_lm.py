@@ -19,9 +19,10 @@ The chunk takes off what each of its texts has added itself, turns the rest into
 these up by document. A frequent n-gram is one entry a chunk. Words are compared by 64-bit hashes, n-grams exactly by their words' numbers.
 
 There are as many buckets as chunks, and a chunk sends at most ``FAN`` rows of each kind. With more
-buckets than that a row covers a range of them: the rows of ``FAN`` neighbouring chunks for one
-range meet in a task that adds them up, which leaves about a chunk's number of entries, and sends
-at most ``FAN`` rows on, to the parts of the range; answers take the same ways back. So rows grow as
+buckets than that a row covers a range of them: the rows of some neighbouring chunks for one
+range meet in a task that adds them up, and sends rows on to the parts of the range; answers take the
+same ways back. All levels have about the same number of ways (the root of the number of buckets, at
+most ``FAN``), and as many chunks meet, so that a task gets about a chunk's number of entries. So rows grow as
 the corpus times the number of levels (one to 2 GB, two to 512 GB, three to 128 TB). The rows of a
 level above the last are written to the shared folder.
 
@@ -72,6 +73,16 @@ class Plan(NamedTuple):
     fan: int = FAN
     wide: int = WIDE
 
+    @classmethod
+    def even(cls, buckets: int, most: int = FAN, wide: int = WIDE) -> Plan:
+        """The fewest levels of at most so many ways each, and no more ways than these levels need: with more of
+        them a range, and the task that adds it up, would hold many chunks' entries."""
+        depth = cls(buckets, most).depth
+        fan = max(2, round(buckets ** (1 / depth)) - 1)
+        while fan**depth < buckets:
+            fan += 1
+        return cls(buckets, fan, wide)
+
     @property
     def depth(self) -> int:
         d = 1
@@ -506,7 +517,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     the target are the documents whose id is in ``targets`` (column doc_id)."""
     ship(docs.sparkSession)
     held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    plan = Plan(max(1, -(-held // chunk_bytes)), fan, wide)
+    plan = Plan.even(max(1, -(-held // chunk_bytes)), fan, wide)
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(plan.buckets)).cast("long")
     # ids without a value are no target and are dealt by their text
     chunk = F.when(F.col(doc_id).isNull(), deal(F.col(text))).otherwise(deal(F.col(doc_id)))

@@ -122,3 +122,21 @@ def test_a_wide_context_is_dealt_in_parts():
     # a chunk with one of these bigrams asks all parts, so that it can add up their totals
     few = word_lm._Grams(ctx[:1], word[:1], plan, np.full(1, 31, np.uint64))
     assert few.bucket.tolist() == o.bucket.tolist()
+
+
+@pytest.mark.parametrize("buckets", [2, 256, 257, 750, 3600, 65_536, 65_537, 1_000_000])
+def test_a_task_of_each_level_adds_up_about_a_chunk(buckets):
+    plan = word_lm.Plan.even(buckets)
+    assert plan.fan <= word_lm.FAN and plan.depth == word_lm.Plan(buckets).depth
+    for level in range(1, plan.depth):
+        # so many chunks meet in a task, and each sends it the share of the buckets that its range covers
+        assert plan.fan**level * plan.step(level) / buckets < 2.2
+
+
+def test_scores_take_even_ways(spark, monkeypatch):
+    """Of 300 chunks of a few words each no task may get the rows of many."""
+    met = []
+    real = word_lm._exchange
+    monkeypatch.setattr(word_lm, "_exchange", lambda asked, plan, *more: met.append(plan) or real(asked, plan, *more))
+    word_lm.score(spark.createDataFrame([(i, "a b c d") for i in range(300)], "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long"), chunk_bytes=7)
+    assert met[0].buckets > word_lm.FAN and met[0].fan**2 < 2 * met[0].buckets
