@@ -111,6 +111,8 @@ def lost_totals(items: DataFrame) -> DataFrame:
 
 #: Lengths of the starts by which short items are sought: the longest that fits counts.
 GRAMS = (8, 4, 2, 1)
+#: Hashes that a Python task holds before it hands them on.
+HASHES = 1 << 19
 
 
 def _gram_hashes(text: str, n: int, whole: bool):
@@ -128,25 +130,33 @@ def _gram_hashes(text: str, n: int, whole: bool):
     return np.unique(h.view(np.int64))
 
 
+def _gram_batches(batches, lengths: tuple[int, ...] | None, names: list[str]):
+    """``_with_grams`` on Arrow batches. Texts have many times their bytes in hashes, so a batch is handed on
+    whenever it has ``HASHES``; only a longer text has more."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        hs, ns, size, at = [], [], 0, 0
+        for k, t in enumerate(b.column(b.num_columns - 1), 1):
+            t = t.as_py()
+            n = None if lengths else next((g for g in GRAMS if g <= len(t)), 0)
+            hs.append(np.concatenate([_gram_hashes(t, g, True) for g in lengths]) if lengths else _gram_hashes(t, n, False))
+            ns.append(n)
+            size += len(hs[-1])
+            if size >= HASHES or k == b.num_rows:
+                part = b.slice(at, k - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.int32())], names)
+                hs, ns, size, at = [], [], 0, k
+
+
 def _with_grams(df: DataFrame, lengths: tuple[int, ...] | None) -> DataFrame:
     """``df`` (last column: text) with hs, the hashes of its runs of these lengths in place of the text; without
     lengths, of its start, and n, that start's length."""
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType())])
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            hs, ns = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                n = None if lengths else next((g for g in GRAMS if g <= len(t)), 0)
-                hs.append(np.concatenate([_gram_hashes(t, g, True) for g in lengths]) if lengths else _gram_hashes(t, n, False))
-                ns.append(n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.int32())], schema.names)
-
-    return df.mapInArrow(run, schema)
+    names = schema.names
+    return df.mapInArrow(lambda batches: _gram_batches(batches, lengths, names), schema)
 
 
 def surviving_items(items: DataFrame, texts: DataFrame) -> DataFrame:

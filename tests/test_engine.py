@@ -316,3 +316,18 @@ def test_doctor_and_files(spark, tmp_path):
     assert state.upsert_config(at, {"a": {"y": 3}}) == {"a": {"x": 1, "y": 3}, "b": 2} == json.loads((tmp_path / "c.json").read_text())
     backups = spark.createDataFrame([("f", f"f.{k:02d}") for k in range(13)] + [("g", "g.1")], "file string, name string")
     assert {r.name for r in state.surplus_backups(backups).collect()} == {"f.00", "f.01", "f.02"}
+
+
+def test_texts_hand_on_their_hashes_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.operators import lost
+
+    texts = ["".join(map(chr, range(k, k + 40_000))) for k in range(100, 1000, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = list(lost._gram_batches([batch, batch.slice(0, 0)], (8, 1), ["id", "hs", "n"]))
+    assert max(len(b.column(1).flatten()) for b in out) < lost.HASHES + 80_000
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(texts)))
+    want = np.concatenate([lost._gram_hashes(texts[-1], g, True) for g in (8, 1)])
+    assert out[-1].column(1)[-1].as_py() == want.tolist()
