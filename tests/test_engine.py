@@ -331,3 +331,17 @@ def test_texts_hand_on_their_hashes_in_parts():
     assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(texts)))
     want = np.concatenate([lost._gram_hashes(texts[-1], g, True) for g in (8, 1)])
     assert out[-1].column(1)[-1].as_py() == want.tolist()
+
+
+def test_rows_are_spread_by_their_number(spark):
+    from sparkloom.sources.adapters import event_messages
+    from sparkloom.sources.shared import spread
+
+    rows = spark.range(1000, numPartitions=1).selectExpr("id % 100 AS k", "id")
+    got = spread(rows, "k", task_rows=50)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 1000
+    assert spread(rows.limit(0), "k").count() == 0
+    # a session's windows and groups keep the dealing of the table as read
+    m = C.classify(event_messages(spark, "/root/testdata/sf0.1"))
+    plan = m.groupBy("session_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan.split("Exchange hashpartitioning(user_id")[0]
