@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +29,29 @@ class Analysis:
     state: DataFrame
     derived: DataFrame
     framing: DataFrame
-    waste: DataFrame
-    focus: DataFrame
     tools: DataFrame
     servers: DataFrame | None
     durations: DataFrame
-    consumers: DataFrame
-    recommendations: DataFrame
+    find_waste: Callable[[], DataFrame]
+    find_consumers: Callable[[DataFrame], DataFrame]
+    advise: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+    # waste costs more than all else, so it is sought (and written) by those who ask for it or what follows from it
+    @cached_property
+    def waste(self) -> DataFrame:
+        return self.find_waste()
+
+    @cached_property
+    def focus(self) -> DataFrame:
+        return advice.compact_focus(self.waste)
+
+    @cached_property
+    def consumers(self) -> DataFrame:
+        return self.find_consumers(self.waste)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return self.advise(self.waste, self.focus, self.consumers)
 
 
 def durations(messages: DataFrame) -> DataFrame:
@@ -43,7 +61,7 @@ def durations(messages: DataFrame) -> DataFrame:
 
 
 def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict | None = None, thresholds: Thresholds | None = None, cache: bool = False, until: int | None = None, configs: DataFrame | None = None) -> Analysis:
-    """All intermediate tables, lazily; ``cache`` writes the classified rows and the waste once for all of them.
+    """All intermediate tables, lazily; ``cache`` writes the classified rows once for all of them, and the waste when it is first asked for.
 
     ``config`` is what ``sources.logs.gather_config`` returns; ``prompt`` and ``memory`` stand in for it.
     ``until`` takes the first rows of each session; without it a trailing turn in which the analyser itself
@@ -69,16 +87,16 @@ def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict
     overhead = C.config_overhead(classified, known["prompt"], known["builtin"], known["mcp"], known["memory"], derived) if costs is None else C.cost_rows(costs, derived)
     each = framing.select("session_id", "tokens_per_message")
     live = overhead.join(since.select("session_id"), "session_id", "left_semi")
-    waste = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))
-    if cache:
-        waste = cut(waste)
+
+    def find_waste() -> DataFrame:
+        w = W.detect_waste(classified, messages, since, known["prompt"], stale_age=t.stale_read, oversized=t.oversized_system, cache=t.cache_overhead, lookback=int(t.resolution_lookback))
+        return cut(w) if cache else w
+
     whole = C.buckets(classified, overhead)
     current = C.buckets(K.current_context(classified, events), live, each)
     content = [b.groupBy("session_id").agg(F.sum("tokens").alias("content")) for b in (current, whole.join(since, "session_id", "left_anti"))]
     state = advice.session_state(classified, window, limits, since, content[0].unionByName(content[1]))
-    focus = advice.compact_focus(waste)
     servers = tuple(known.get("servers", ()))
-    consumers = advice.top_consumers(K.slice_from(classified, since), waste, events, derived, known["prompt"], known["builtin"] + known["mcp"], known["memory"])
     share = whole.filter("category = 'tools'").select("session_id", F.col("percentage").alias("tool_percentage"))
     return Analysis(
         classified,
@@ -92,11 +110,10 @@ def analyze(messages: DataFrame, prompt: int = 0, memory: int = 0, config: dict
         state,
         derived,
         framing,
-        waste,
-        focus,
         advice.tool_breakdown(classified, tuple(n for n, _ in BUILTIN_TOOLS) + servers),
         advice.mcp_usage(classified, servers) if servers else None,
         durations(messages),
-        consumers,
-        advice.recommendations(state, waste, focus, since, share, classified, servers, known["prompt"], consumers),
+        find_waste,
+        lambda waste: advice.top_consumers(K.slice_from(classified, since), waste, events, derived, known["prompt"], known["builtin"] + known["mcp"], known["memory"]),
+        lambda waste, focus, consumers: advice.recommendations(state, waste, focus, since, share, classified, servers, known["prompt"], consumers),
     )

@@ -345,3 +345,12 @@ def test_rows_are_spread_by_their_number(spark):
     m = C.classify(event_messages(spark, "/root/testdata/sf0.1"))
     plan = m.groupBy("session_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan.split("Exchange hashpartitioning(user_id")[0]
+
+
+def test_waste_is_sought_when_asked_for(read, monkeypatch):
+    sought = []
+    real = W.detect_waste
+    monkeypatch.setattr(W, "detect_waste", lambda *a, **k: sought.append(1) or real(*a, **k))
+    a = analyze.analyze(read(ask("hi"), reply(5000), ask("more")), prompt=3000, cache=True)
+    assert a.state.count() == 1 and a.buckets.count() == 6 and not sought
+    assert a.waste.count() == 1 and a.recommendations.count() > 0 and sought == [1]
