@@ -13,15 +13,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.tokens import effective_input
 from ..sources.shared import ship
 
 TIMEOUT_MS, SETTLE_MS = 900_000, 2_500
 STATUS = "session_id string, status string, message string, began_ms bigint, ended_ms bigint, before_messages bigint, after_messages bigint, before_compactions bigint, after_compactions bigint, before_tokens bigint, after_tokens bigint"
-_COUNTS = "messages bigint, compactions bigint, tokens bigint"
-_WAIT = "began bigint, found bigint, messages bigint, compactions bigint, tokens bigint"
+#: Groups that sessions are dealt over by hash. Spark calls a function once a group and batch, which costs
+#: far more than the rows it hands over, so a group holds many sessions.
+BUCKETS = 2048
+#: What each session of a bucket holds so far, and the request that waits, if any.
+_STATE = "session_id array<string>, messages array<bigint>, compactions array<bigint>, tokens array<bigint>, began array<bigint>, found array<bigint>, before_messages array<bigint>, before_compactions array<bigint>, before_tokens array<bigint>"
+_NO_WAIT = (None,) * 5
 
 
 def records(messages: DataFrame, at: str = "ts") -> DataFrame:
@@ -36,94 +40,79 @@ def requests(sessions: DataFrame, at: str = "at") -> DataFrame:
     return sessions.select(F.col("session_id").cast("string").alias("session_id"), F.to_timestamp(at).alias("at"), F.lit(True).alias("request"), F.lit(False).alias("boundary"), F.lit(None).cast("bigint").alias("tokens"))
 
 
-class Waiter(StatefulProcessor):
-    """Two values for each session: what it holds so far, and the request that waits, if any."""
+def _step(timeout_ms: int, settle_ms: int, by_event: bool):
+    """What happens to the sessions of a bucket when rows arrive or time is up: a function for ``applyInPandasWithState``."""
 
-    def __init__(self, timeout_ms: int, settle_ms: int, by_event: bool):
-        self.timeout_ms, self.settle_ms, self.by_event = timeout_ms, settle_ms, by_event
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getValueState("counts", _COUNTS)
-        self.wait = handle.getValueState("wait", _WAIT)
-
-    def _deadline(self, wait) -> int:
+    def deadline(wait) -> int:
         began, found = wait[:2]
-        return began + self.timeout_ms if found is None else found + self.settle_ms
+        return began + timeout_ms if found is None else found + settle_ms
 
-    def _end(self, key, wait, counts, at: int) -> tuple:
+    def end(session, wait, counts) -> tuple:
         began, found, *before = wait
         status = ("timeout", "no boundary was written") if found is None else ("compacted", None)
-        return (str(key[0]), *status, began, at, *(x for pair in zip(before, counts, strict=True) for x in pair))
+        return (session, *status, began, deadline(wait), *(x for pair in zip(before, counts, strict=True) for x in pair))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+    def step(key, frames, state) -> Iterator:
         import pandas as pd
 
-        now = timerValues.getCurrentProcessingTimeInMs()
-        counts = self.counts.get() if self.counts.exists() else (0, 0, 0)
-        wait = kept = self.wait.get() if self.wait.exists() else None
-        met = []
-        for f in rows:
-            ms = f["at"].astype("datetime64[ms]").astype("int64") if self.by_event else [now] * len(f)
-            met += zip(ms, f["request"], f["boundary"], f["tokens"], strict=True)
+        now = state.getCurrentProcessingTimeMs()
+        counts, waits = {}, {}
+        for session, *held in zip(*state.get, strict=True) if state.exists else ():
+            counts[session] = tuple(held[:3])
+            if held[3] is not None:
+                waits[session] = tuple(held[3:])
         done = []
-        # a request counts the records of its own instant as before it
-        for at, request, boundary, tokens in sorted(met, key=lambda r: (r[0], r[1])):
-            at = int(at)
-            if wait and at >= self._deadline(wait):
-                done.append(self._end(key, wait, counts, self._deadline(wait)))
+        for session, at, request, boundary, tokens in () if state.hasTimedOut else _in_order(pd.concat(frames), None if by_event else now):
+            wait, sums = waits.get(session), counts.get(session, (0, 0, 0))
+            if wait and at >= deadline(wait):
+                done.append(end(session, waits.pop(session), sums))
                 wait = None
             if request:
-                if wait or not counts[0]:
+                if wait or not sums[0]:
                     why = "a request waits already" if wait else "no such session"
-                    done.append((str(key[0]), "error", why, at, at, *(x for c in counts for x in (c, None))))
+                    done.append((session, "error", why, at, at, *(x for c in sums for x in (c, None))))
                 else:
-                    wait = (at, None, *counts)
+                    waits[session] = (at, None, *sums)
                 continue
-            counts = (counts[0] + 1, counts[1] + bool(boundary), counts[2] if pd.isna(tokens) else int(tokens))
+            counts[session] = (sums[0] + 1, sums[1] + bool(boundary), sums[2] if tokens is None else tokens)
             if boundary and wait and wait[1] is None:
-                wait = (wait[0], at, *wait[2:])
-        if counts[0]:
-            self.counts.update(counts)
-        self._keep(kept, wait)
+                waits[session] = (wait[0], at, *wait[2:])
+        reached = state.getCurrentWatermarkMs() if by_event else now
+        for session in [s for s, wait in waits.items() if deadline(wait) <= reached]:
+            done.append(end(session, waits.pop(session), counts[session]))
+        if counts:
+            state.update(tuple(map(list, zip(*((s, *c, *waits.get(s, _NO_WAIT)) for s, c in counts.items()), strict=True))))
+        if waits and by_event:  # time is up once the watermark has reached the deadline, not only passed it
+            state.setTimeoutTimestamp(max(min(map(deadline, waits.values())) - 1, 1))
+        elif waits:
+            state.setTimeoutDuration(min(map(deadline, waits.values())) - now)
         if done:
-            yield self._frame(done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        wait = self.wait.get() if self.wait.exists() else None
-        if wait and self._deadline(wait) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.wait.clear()
-            yield self._frame([self._end(key, wait, self.counts.get(), self._deadline(wait))])
-
-    def _keep(self, before, wait) -> None:
-        """State and timer of the request that waits now."""
-        if before and before != wait:
-            self.handle.deleteTimer(self._deadline(before))
-        if wait is None:
-            if before:
-                self.wait.clear()
-        elif wait != before:
-            self.wait.update(wait)
-            self.handle.registerTimer(self._deadline(wait))
-
-    @staticmethod
-    def _frame(rows: list[tuple]):
-        import pandas as pd
+            yield pd.DataFrame(done, columns=[c.split()[0] for c in STATUS.split(", ")], dtype="object")
+
+    return step
 
-        columns = [c.split()[0] for c in STATUS.split(", ")]
-        return pd.DataFrame({c: pd.array(x, dtype="Int64" if c.endswith(("_ms", "messages", "compactions", "tokens")) else "object") for c, x in zip(columns, zip(*rows, strict=True), strict=True)})
 
-    def close(self) -> None:
-        pass
+def _in_order(rows, now: int | None) -> Iterator[tuple]:
+    """Rows (session_id, ms, request, boundary, tokens) in time, which is ``now`` if that is given."""
+    if now is not None:
+        rows["ms"] = now
+    # a request counts the records of its own instant as before it
+    rows = rows.sort_values(["ms", "request"], kind="stable")
+    tokens = (int(x) if known else None for x, known in zip(rows["tokens"], rows["tokens"].notna(), strict=True))
+    return zip(rows["session_id"].tolist(), rows["ms"].tolist(), rows["request"].tolist(), rows["boundary"].tolist(), tokens, strict=True)
 
 
-def await_compactions(stream: DataFrame, timeout_ms: int = TIMEOUT_MS, settle_ms: int = SETTLE_MS, by_event: bool = False, late: str = "0 seconds") -> DataFrame:
+def await_compactions(stream: DataFrame, timeout_ms: int = TIMEOUT_MS, settle_ms: int = SETTLE_MS, by_event: bool = False, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """One row for each request in a stream of ``records`` and ``requests``, when it ends.
 
     Time is the clock's, or that of the records (``by_event``; records later than ``late`` are dropped).
     By the clock a timer may always fire, so such a query runs until it is stopped and has no end
-    of what is available. The session needs the RocksDB state store."""
+    of what is available. The state lies in RocksDB, in ``buckets`` values: a restarted query keeps their number,
+    and a batch reads and writes those that its rows or due timers fall into."""
     ship(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = stream.withWatermark("at", late) if by_event else stream
-    return timed.groupBy("session_id").transformWithStateInPandas(Waiter(timeout_ms, settle_ms, by_event), STATUS, "append", "EventTime" if by_event else "ProcessingTime")
+    session = F.col("session_id").cast("string")
+    dealt = timed.select(F.pmod(F.hash(session), F.lit(buckets)).alias("bucket"), "at", session.alias("session_id"), F.unix_millis("at").alias("ms"), "request", "boundary", "tokens")
+    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
+    return dealt.groupBy("bucket").applyInPandasWithState(_step(timeout_ms, settle_ms, by_event), STATUS, _STATE, "append", timeout)

@@ -156,6 +156,33 @@ def test_waits_of_many_sessions(spark, tmp_path):
     }
 
 
+def test_groups_do_not_grow_with_the_sessions(spark, tmp_path):
+    n = 2500
+    rows = spark.range(n).selectExpr("id", "explode(sequence(0, 3)) AS k").filter("k < 3 OR id % 2 = 0")
+    rows = rows.selectExpr("CAST(id AS string) AS session_id", "timestamp_seconds(1704067200 + 10 * k) AS at", "k = 1 AS request", "k = 2 AND id % 3 = 0 AS boundary", "IF(k = 0, id + 1, NULL) AS tokens")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = waiting.await_compactions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), timeout_ms=15_000, by_event=True)
+    q = out.writeStream.format("json").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = spark.read.schema(waiting.STATUS).json(str(tmp_path / "out")).collect()
+    want = [(str(i), *(("compacted", 22_500) if i % 3 == 0 else ("timeout", 25_000)), 1, 2, i + 1, i + 1) for i in range(n)]
+    assert sorted((r.session_id, r.status, r.ended_ms - 1704067200000, r.before_messages, r.after_messages, r.before_tokens, r.after_tokens) for r in got) == sorted(want)
+    assert max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) <= waiting.BUCKETS < n
+
+
+def test_sessions_that_share_a_group(spark, tmp_path):
+    rng, batches, at = random.Random(5), [], 0
+    for _ in range(3):
+        batches.append([])
+        for _ in range(60):
+            at += rng.randrange(1, 60)
+            batches[-1].append((f"s{rng.randrange(9)}", at, rng.choice(["", "", "ask", "mark"]), rng.choice([None, at])))
+    kw = {"timeout_ms": 200_000, "settle_ms": 30_000, "by_event": True}
+    alone = _wait(spark, tmp_path / "alone", batches, buckets=100_000, **kw)
+    assert {s[0] for s in alone.values()} == {"compacted", "timeout", "error"}
+    assert _wait(spark, tmp_path / "together", batches, buckets=1, **kw) == alone
+
+
 def test_timers_of_the_clock(spark, tmp_path):
     rows = spark.createDataFrame([("a", None, False, False, 3)], "session_id string, at timestamp, request boolean, boundary boolean, tokens long")
     rows.write.parquet(str(tmp_path / "in"))
